@@ -28,7 +28,7 @@ def portable_index(rep: Column, i: Column, stratum: Column, seed: int, n: Column
     x1 = (x0 * x0 + 12345) % MODULUS
     x2 = x1 * 48271 % MODULUS
     x3 = (x2 * x2 + 67891) % MODULUS
-    return ((x3 * n - (x3 * n) % MODULUS) / MODULUS).cast("long")
+    return F.call_function("div", x3 * n.cast("long"), F.lit(MODULUS).cast("long"))
 
 
 def portable_state(rep: np.ndarray, i: np.ndarray, stratum: int, seed: int) -> np.ndarray:

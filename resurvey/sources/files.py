@@ -29,8 +29,14 @@ def read_survey(spark: SparkSession, path: str, schema: T.StructType, na: str =
 
 
 def scan_report(df: DataFrame) -> DataFrame:
-    """A1. Row count and count of rows with a bad cell."""
-    return df.agg(F.count(F.lit(1)).alias("total_rows"), F.count(F.col(CORRUPT)).alias("bad_rows"))
+    """A1. Row count, rows with a bad cell, and cells that are missing or could not be read."""
+    data = [c for c in df.columns if c != CORRUPT]
+    empty = sum((F.col(c).isNull().cast("long") for c in data), F.lit(0))
+    return df.agg(
+        F.count(F.lit(1)).alias("total_rows"),
+        F.count(F.col(CORRUPT)).alias("bad_rows"),
+        F.sum(empty).alias("empty_cells"),
+    )
 
 
 def write_dataset(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()) -> str:
