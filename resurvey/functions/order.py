@@ -17,6 +17,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# A group above this many rows is hot: it takes the two-level path.
+HOT_ROWS = 1_000_000
+# Hot keys are broadcast up to this many of them (a key row is well below 100 bytes).
+BROADCAST_GROUPS = 50_000
 # Leading decimal digits kept by the coarse bucket: 9,000 buckets per power of ten.
 COARSE_DIGITS = 3
 
@@ -83,20 +87,51 @@ def number_rows(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequenc
     )
 
 
+def split_hot(df: DataFrame, by: Sequence[str], limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of groups up to ``limit`` rows, and rows of larger groups with their size ``_n``.
+
+    One counting job runs first and brings back the number of hot groups, nothing else.
+    Without any, the data need no join at all; a checked number of them is broadcast; more
+    than that are joined by shuffle.  ``by`` columns must not be NULL.
+    """
+    by = list(by)
+    hot = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+    count = hot.count()
+    if count == 0:
+        return df, None
+    if count <= BROADCAST_GROUPS:
+        hot = F.broadcast(hot)
+    return df.join(hot.select(*by), by, "left_anti"), df.join(hot, by)
+
+
 def exact_quantiles(
-    df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str]
+    df: DataFrame,
+    by: Sequence[str],
+    value: str,
+    probs: Sequence[float],
+    names: Sequence[str],
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles (R type 7) of ``value`` per ``by``.
 
-    NULL values are ignored.  The first pass counts rows per coarse bucket; the second
-    reads only the buckets that hold a wanted rank.  No group is ever gathered.
+    NULL values are ignored.  Groups up to ``hot_rows`` rows use the built-in ``percentile``;
+    larger ones never meet in one buffer (``_hot_quantiles``).
     """
     by = list(by)
-    rows = (
-        df.select(*by, F.col(value).cast("double").alias("_v"))
-        .where(F.col("_v").isNotNull())
-        .withColumn("_bucket", coarse_key(F.col("_v")))
-    )
+    rows = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    small, large = split_hot(rows, by, hot_rows)
+    wanted = F.array(*[F.lit(float(p)) for p in probs])
+    out = small.groupBy(*by).agg(F.percentile("_v", wanted).alias("_q"))
+    out = out.select(*by, *[F.col("_q")[i].alias(name) for i, name in enumerate(names)])
+    if large is None:
+        return out
+    return out.unionByName(_hot_quantiles(large.drop("_n"), by, probs, names))
+
+
+def _hot_quantiles(df: DataFrame, by: list[str], probs: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """Quantiles of ``_v`` in two passes: rows are counted per coarse bucket, then only the
+    buckets that hold a wanted rank are read again.  No group is ever gathered."""
+    rows = df.withColumn("_bucket", coarse_key(F.col("_v")))
     whole = Window.partitionBy(*by)
     buckets = (
         rows.groupBy(*by, "_bucket")
@@ -104,42 +139,28 @@ def exact_quantiles(
         .withColumn("_offset", F.coalesce(F.sum("_w").over(_before(by, "_bucket")), F.lit(0)))
         .withColumn("_n", F.sum("_w").over(whole))
     )
-    # position p*(n-1): the rank below (side 0) and the rank above (side 1), from 1
-    wanted = []
-    for i, p in enumerate(probs):
-        pos = F.lit(float(p)) * (F.col("_n") - 1)
-        low = F.floor(pos).cast("long") + 1
-        high = F.least(low + 1, F.col("_n"))
-        for side, rank in ((0, low), (1, high)):
-            wanted.append(F.struct(F.lit(2 * i + side).alias("slot"), rank.alias("rank")))
-    inside_bucket = lambda t: (t["rank"] > F.col("_offset")) & (
-        t["rank"] <= F.col("_offset") + F.col("_w")
-    )
-    picks = (
-        buckets.withColumn("_picks", F.filter(F.array(*wanted), inside_bucket))
-        .where(F.size("_picks") > 0)
-        .select(*by, "_bucket", "_offset", "_n", "_picks")
-    )
+    # position p*(n-1): the rank below (even slots) and the rank above (odd slots), from 1
+    ranks = []
+    for p in probs:
+        low = F.floor(F.lit(float(p)) * (F.col("_n") - 1)).cast("long") + 1
+        ranks += [low, F.least(low + 1, F.col("_n"))]
+    held = F.lit(False)
+    for rank in ranks:
+        held = held | ((rank > F.col("_offset")) & (rank <= F.col("_offset") + F.col("_w")))
+    picks = buckets.where(held).select(*by, "_bucket", "_offset", "_n")
     running = Window.partitionBy(*by, "_bucket").orderBy("_v")
     running = running.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     exact = (
-        rows.join(picks.select(*by, "_bucket"), by + ["_bucket"], "left_semi")
-        .groupBy(*by, "_bucket", "_v")
+        rows.join(picks, by + ["_bucket"])
+        .groupBy(*by, "_bucket", "_v", "_offset", "_n")
         .agg(F.count(F.lit(1)).alias("_f"))
-        .withColumn("_upto", F.sum("_f").over(running))
-        .join(picks, by + ["_bucket"])
-        .withColumn("_upto", F.col("_upto") + F.col("_offset"))
-        .select(*by, "_v", "_f", "_upto", "_n", F.explode("_picks").alias("_pick"))
-        .where(
-            (F.col("_pick.rank") <= F.col("_upto"))
-            & (F.col("_pick.rank") > F.col("_upto") - F.col("_f"))
-        )
-    )
-    slot = lambda k: F.max(F.when(F.col("_pick.slot") == k, F.col("_v")))
-    wide = exact.groupBy(*by).agg(
-        F.max("_n").alias("_n"),
-        *[slot(k).alias(f"_s{k}") for k in range(2 * len(probs))],
+        .withColumn("_upto", F.col("_offset") + F.sum("_f").over(running))
     )
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank <= F.col("_upto")) & (rank > F.col("_upto") - F.col("_f")), F.col("_v")))
+
+    wide = exact.groupBy(*by, "_n").agg(*[at(rank).alias(f"_s{k}") for k, rank in enumerate(ranks)])
     out = []
     for i, (p, name) in enumerate(zip(probs, names, strict=True)):
         pos = F.lit(float(p)) * (F.col("_n") - 1)
@@ -147,3 +168,36 @@ def exact_quantiles(
         low, high = F.col(f"_s{2 * i}"), F.col(f"_s{2 * i + 1}")
         out.append((low + (high - low) * part).alias(name))
     return wide.select(*by, *out)
+
+
+def fill_levels(
+    freq: DataFrame, by: Sequence[str], level: str, weight: str, from_zero: bool = False, extra: int = 0
+) -> DataFrame:
+    """Frequency table with its empty levels, ``_upto`` (running sum) and ``_total``.
+
+    ``freq`` has one row per integer level.  Every row fills the gap below it (down to 0 for the
+    first one with ``from_zero``), the last one adds ``extra`` empty levels; no join is needed.
+    The window runs over the levels of a group, which are as many as the result rows.
+    """
+    by = list(by)
+    order = Window.partitionBy(*by).orderBy(level)
+    below = F.lag(level).over(order)
+    start = F.coalesce(below + 1, F.lit(0).cast("long") if from_zero else F.col(level))
+    last = F.lead(level).over(order).isNull()
+    stop = F.col(level) + F.when(last, extra).otherwise(0)
+    rows = freq.select(
+        *by,
+        F.col(level).alias("_own"),
+        F.col(weight).alias("_w"),
+        F.sum(weight).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_s"),
+        F.sum(weight).over(Window.partitionBy(*by)).alias("_total"),
+        F.sequence(start, stop).alias("_levels"),
+    ).select(*by, "_own", "_w", "_s", "_total", F.explode("_levels").alias(level))
+    reached = F.col(level) >= F.col("_own")
+    return rows.select(
+        *by,
+        level,
+        F.when(F.col(level) == F.col("_own"), F.col("_w")).otherwise(0).alias(weight),
+        F.when(reached, F.col("_s")).otherwise(F.col("_s") - F.col("_w")).alias("_upto"),
+        "_total",
+    )

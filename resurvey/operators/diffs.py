@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from resurvey.functions.order import exact_quantiles, running_total
+from resurvey.functions.order import exact_quantiles, fill_levels, running_total
 from resurvey.operators.reshape import complete_grid, pair_by_role
 
 ROLE_MAP = {"N": "n", "Q": "q"}
@@ -108,13 +108,8 @@ def difference_cdf(df: DataFrame, col: str, by: Sequence[str] = (), width: float
         .groupBy(*by, "level")
         .agg(F.count(F.lit(1)).alias("frequency"))
     )
-    ends = freq.groupBy(*by).agg(
-        F.min("level").alias("_lo"), F.max("level").alias("_hi"), F.sum("frequency").alias("_total")
-    )
-    levels = ends.select(*by, "_total", F.explode(F.sequence("_lo", "_hi")).alias("level"))
-    filled = levels.join(freq, by + ["level"], "left").fillna(0, subset=["frequency"])
     return (
-        running_total(filled, by, "level", "frequency", "_upto")
+        fill_levels(freq, by, "level", "frequency")
         .withColumn("cdf", F.bround(100 * F.col("_upto") / F.col("_total"), 1))
         .select(*by, (F.col("level") * F.lit(float(width))).alias("difference"), "frequency", "cdf")
     )
@@ -142,18 +137,12 @@ def interval_freq(
     rows = df.where(F.col(col).isNotNull()).select(*by, a.alias("_a"), number.alias("_no"))
     counted = F.count(F.lit(1)) if include_zero else F.count(F.when(F.col("_a") > 0, 1))
     freq = rows.groupBy(*by, "_no").agg(counted.alias("frequency"))
-    levels = freq.groupBy(*by).agg(F.max("_no").alias("_hi"))
-    levels = levels.select(*by, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_hi"))).alias("_no"))
     k = F.col("_no")
-    return (
-        levels.join(freq, by + ["_no"], "left")
-        .fillna(0, subset=["frequency"])
-        .select(
-            *by,
-            F.when(k == 0, 0.0).when(k == 1, 1.0).otherwise((k - 1) * F.lit(float(step))).alias("above"),
-            F.when(k == 0, 1.0).otherwise(k * F.lit(float(step))).alias("up_to"),
-            "frequency",
-        )
+    return fill_levels(freq, by, "_no", "frequency", from_zero=True).select(
+        *by,
+        F.when(k == 0, 0.0).when(k == 1, 1.0).otherwise((k - 1) * F.lit(float(step))).alias("above"),
+        F.when(k == 0, 1.0).otherwise(k * F.lit(float(step))).alias("up_to"),
+        "frequency",
     )
 
 
@@ -168,10 +157,7 @@ def ecdf_at(df: DataFrame, col: str, step: float, by: Sequence[str] = ()) -> Dat
         .groupBy(*by, "level")
         .agg(F.count(F.lit(1)).alias("_f"))
     )
-    ends = freq.groupBy(*by).agg(F.max("level").alias("_hi"), F.sum("_f").alias("_total"))
-    levels = ends.select(*by, "_total", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_hi") + 1)).alias("level"))
-    filled = levels.join(freq, by + ["level"], "left").fillna(0, subset=["_f"])
-    return running_total(filled, by, "level", "_f", "_upto").select(
+    return fill_levels(freq, by, "level", "_f", from_zero=True, extra=1).select(
         *by,
         (F.col("level") * F.lit(float(step))).alias("up_to"),
         F.bround(100 * F.col("_upto") / F.col("_total")).alias("cum_percent"),

@@ -18,22 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from resurvey.functions import draws
-from resurvey.functions.order import number_rows, running_total
+from resurvey.functions.order import number_rows, running_total, split_hot
 from resurvey.operators import regen
 from resurvey.operators.agree import MISSING, pair_cells, specific_agreement
 
 CHUNK_VALUES = 4_000_000  # numbers held at once by a vectorised step
 
 
-def _by_size(df: DataFrame, keys: Sequence[str], limit: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of groups up to ``limit`` rows and rows of larger groups, both with ``_n``."""
-    keys = list(keys)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    small = df.join(sizes.where(F.col("_n") <= limit), keys)
-    large = df.join(sizes.where(F.col("_n") > limit), keys)
-    return small, large
-
-
 def _fields(df: DataFrame, cols: Sequence[str]) -> list[T.StructField]:
     return [df.schema[c] for c in cols]
 
@@ -132,7 +123,7 @@ def mean_median_interval(
     """
     keys = list(keys)
     data = df.select(*keys, F.col(y).cast("double").alias("_y")).where(F.col("_y").isNotNull())
-    small, large = _by_size(data, keys, direct_rows)
+    small, large = split_hot(data, keys, direct_rows)
     stratum = draws.stratum_number(*[F.col(k) for k in keys])
     kf = _fields(data, keys)
 
@@ -160,7 +151,10 @@ def mean_median_interval(
             stats = pd.DataFrame(rows, columns=INTERVAL_COLUMNS, dtype=float)
             yield pd.concat([pdf[keys].reset_index(drop=True), stats], axis=1)
 
-    near = grouped.mapInPandas(direct, out)
+    fine = [F.when(~F.isnan(c), F.col(c)).alias(c) for c in INTERVAL_COLUMNS]
+    near = grouped.mapInPandas(direct, out).select(*keys, *fine)
+    if large is None:
+        return near
 
     # large groups: (value, count) rows, cut at block borders in value order
     freq = large.groupBy(*keys, "_y", "_n").agg(F.count(F.lit(1)).alias("_f"))
@@ -224,8 +218,7 @@ def mean_median_interval(
     far = far.select(
         *keys, *[F.col(f"_{s}")[i].alias(f"{s}_{q}") for s in ("mean", "median") for i, q in enumerate(INTERVAL_PROBS)]
     )
-    fine = [F.when(~F.isnan(c), F.col(c)).alias(c) for c in INTERVAL_COLUMNS]
-    return near.unionByName(far).select(*keys, *fine)
+    return near.unionByName(far)
 
 
 # ---- G3 -------------------------------------------------------------------------
@@ -245,7 +238,7 @@ def cluster_bootstrap(
     per_unit = per_value.groupBy(*area, unit).agg(
         F.array_sort(F.collect_list(F.struct(F.col(y).cast("double").alias("v"), F.col("_f").alias("f")))).alias("table")
     )
-    small, large = _by_size(per_unit, area, direct_units)
+    small, large = split_hot(per_unit, area, direct_units)
     stratum = draws.stratum_number(*[F.col(k) for k in area])
     af = _fields(df, area)
     stats = ["p05", "p50", "p95"]
@@ -277,6 +270,8 @@ def cluster_bootstrap(
             yield pd.concat([pdf[area].reset_index(drop=True), res], axis=1)
 
     near = grouped.mapInPandas(direct, out)
+    if large is None:
+        return near
 
     mark = F.md5(F.col(unit).cast("string"))
     numbered = number_rows(large.withColumn("_mark", mark), area, F.conv(F.substring("_mark", 1, 3), 16, 10).cast("int"), ["_mark", unit], "_no")
@@ -407,7 +402,7 @@ def _interval(corners, trees, strata, event, values, reps, seed, k, direct_rows,
     """Shared body of G4 and G5: split strata by size, sample, summarise per event."""
     strata = list(strata)
     rows = _stratum_rows(corners, trees, strata, event, values)
-    small, large = _by_size(rows, strata, direct_rows)
+    small, large = split_hot(rows, strata, direct_rows)
     number = lambda kind, target: draws.stratum_number(
         *[F.col(c) for c in strata], F.lit("T" if target else "F"), F.lit(kind)
     )
@@ -431,6 +426,8 @@ def _interval(corners, trees, strata, event, values, reps, seed, k, direct_rows,
                 yield part[[*strata, "event", "mean", "lo95", "hi95"]]
 
     near = grouped.mapInPandas(direct, out)
+    if large is None:
+        return near
     drawn = _index_join(large, strata, reps, seed, k)
     limits = F.percentile("_value", F.array(F.lit(0.025), F.lit(0.975)))
     far = (

@@ -511,7 +511,7 @@ def detection_report(v: Views):
     f"""{_REPORT},
 s AS ({_summary_sql('subset, unit, scale, position', 'long')}),
 fq AS (SELECT subset, scale, abs(rich_diff) AS level, count(*) AS frequency FROM s GROUP BY ALL),
-g AS (SELECT subset, scale, unnest(range(min(level), max(level) + 1)) AS level FROM fq GROUP BY ALL)
+g AS (SELECT subset, scale, unnest(range(min(level), max(level) + 1)) AS level FROM fq GROUP BY subset, scale)
 SELECT subset, scale, level::DOUBLE AS difference, coalesce(frequency, 0) AS frequency,
        round_even(100 * sum(coalesce(frequency, 0)) OVER (PARTITION BY subset, scale ORDER BY level)
                   / sum(frequency) OVER (PARTITION BY subset, scale), 1) AS cdf
