@@ -201,9 +201,14 @@ def impute_cells(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
 def presence_scales(df: DataFrame, cells: Sequence[str], modules: Mapping[str, Sequence[str]]) -> DataFrame:
     """B9. Keep rows seen in any cell; ``in_plot``, one flag per module (its cells sum > 0) and
     one per cell at the finest scale (code > 1), cells being replaced by the flags."""
-    total = sum((F.col(c) for c in cells), F.lit(0))
-    out = df.where(total > 0).withColumn("in_plot", F.lit(True))
-    out = out.withColumns({m: sum((F.col(c) for c in cs), F.lit(0)) > 0 for m, cs in modules.items()})
+    return presence_flags(df, cells, modules).where("in_plot")
+
+
+def presence_flags(df: DataFrame, cells: Sequence[str], modules: Mapping[str, Sequence[str]]) -> DataFrame:
+    """The flags of ``presence_scales`` on every row, seen or not."""
+    some = lambda cs: sum((F.col(c) for c in cs), F.lit(0)) > 0
+    out = df.withColumn("in_plot", some(cells))
+    out = out.withColumns({m: some(cs) for m, cs in modules.items()})
     return out.withColumns({c: F.col(c) > 1 for c in cells})
 
 

@@ -76,55 +76,60 @@ def scale_columns(modules: Mapping[str, Sequence[str]], cells: Sequence[str]) ->
 
 
 def scaled_detection(
-    df: DataFrame, unit: Sequence[str], item: str, flags: Mapping[tuple[str, str], str], role: str = "role"
+    df: DataFrame, unit: Sequence[str], item: str, flags: Mapping[tuple[str, str], str], high: Column, role: str = "role"
 ) -> DataFrame:
-    """Per unit and item one N and one Q flag for every scale and position (wide).
-
-    One shuffle serves all scales; nothing is exploded before it.
-    """
-    aggs = []
-    for col in flags.values():
-        aggs += [_seen(role, "N", F.col(col)).alias(f"n_{col}"), _seen(role, "Q", F.col(col)).alias(f"q_{col}")]
-    return df.groupBy(*unit, item).agg(*aggs)
+    """Per unit and item the scales and positions seen by N and by Q, as two bit masks, and
+    whether ``high`` holds in any row.  One shuffle serves all scales; nothing is exploded."""
+    bits = F.lit(0).cast("long")
+    for k, col in enumerate(flags.values()):
+        bits = bits + F.when(F.col(col), F.lit(1 << k)).otherwise(0)
+    by = lambda code: F.coalesce(F.bit_or(F.when(F.col(role) == code, bits)), F.lit(0).cast("long"))
+    return df.groupBy(*unit, item).agg(by("N").alias("_n"), by("Q").alias("_q"), F.bool_or(high).alias("_high"))
 
 
 def detection_report(
-    subsets: Mapping[str, DataFrame], unit: Sequence[str], item: str, flags: Mapping[tuple[str, str], str]
+    base: DataFrame, rolled: DataFrame, unit: Sequence[str], item: str, flags: Mapping[tuple[str, str], str], high: Column
 ) -> DataFrame:
-    """E20. Detection summaries of several data subsets at all scales, long: subset, scale, position."""
+    """E20. Detection summaries of all items, of items with high cover, and of items rolled up to
+    genus, at all scales, long: subset, scale, position.
+
+    ``base`` and ``rolled`` carry the flags of ``presence_flags``; ``high`` is a row condition
+    on ``base`` that makes its unit and item high.  A unit without detections in a subset has no rows.
+    """
     unit = list(unit)
-    parts = []
-    for name, df in subsets.items():
-        wide = scaled_detection(df, unit, item, flags)
-        parts.append(wide.withColumn("subset", F.lit(name)))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    aggs = []
-    for col in flags.values():
-        a, b = F.col(f"n_{col}"), F.col(f"q_{col}")
-        aggs += [
-            F.count(F.when(a & ~b, 1)).alias(f"_no_{col}"),
-            F.count(F.when(~a & b, 1)).alias(f"_qo_{col}"),
-            F.count(F.when(a & b, 1)).alias(f"_bo_{col}"),
-        ]
-    wide = rows.groupBy("subset", *unit).agg(*aggs)
+    subsets = F.array_compact(F.array(F.lit("all"), F.when(F.col("_high"), F.lit("high_cover"))))
+    rows = (
+        scaled_detection(base, unit, item, flags, high)
+        .select(*unit, "_n", "_q", F.explode(subsets).alias("subset"))
+        .unionByName(
+            scaled_detection(rolled, unit, item, flags, F.lit(False)).select(
+                *unit, "_n", "_q", F.lit("rolled_up").alias("subset")
+            )
+        )
+    )
+    n, q = F.col("_n"), F.col("_q")
+    masks = {"n_only": n.bitwiseAND(F.bitwise_not(q)), "q_only": q.bitwiseAND(F.bitwise_not(n)), "matched": n.bitwiseAND(q)}
+    count = lambda mask, k: F.sum(F.shiftright(mask, k).bitwiseAND(F.lit(1).cast("long")))
+    wide = rows.groupBy("subset", *unit).agg(
+        *[count(mask, k).alias(f"_{name}{k}") for k in range(len(flags)) for name, mask in masks.items()]
+    )
     long = F.explode(
         F.array(
             *[
                 F.struct(
                     F.lit(scale).alias("scale"),
                     F.lit(pos).alias("position"),
-                    F.col(f"_no_{col}").alias("n_only"),
-                    F.col(f"_qo_{col}").alias("q_only"),
-                    F.col(f"_bo_{col}").alias("matched"),
+                    *[F.col(f"_{name}{k}").alias(name) for name in masks],
                 )
-                for (scale, pos), col in flags.items()
+                for k, (scale, pos) in enumerate(flags)
             ]
         )
     )
+    plot = next(k for k, (scale, _) in enumerate(flags) if scale == "plot")
+    seen = F.col(f"_n_only{plot}") + F.col(f"_q_only{plot}") + F.col(f"_matched{plot}")
     return (
-        wide.select("subset", *unit, long.alias("_r"))
+        wide.where(seen > 0)
+        .select("subset", *unit, long.alias("_r"))
         .select("subset", *unit, "_r.*")
         .select("subset", *unit, "scale", "position", *summary_columns())
     )

@@ -29,6 +29,17 @@ def _fields(df: DataFrame, cols: Sequence[str]) -> list[T.StructField]:
     return [df.schema[c] for c in cols]
 
 
+def _spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Hash-partition by the stratum keys with a fixed partition count.
+
+    The strata are small in bytes and heavy in work, so adaptive coalescing, which goes by
+    bytes, would run them in a few tasks.  The grouping that follows keeps this partitioning.
+    """
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(parts, *keys)
+
+
 def _rep_chunks(reps: int, width: int) -> Iterator[np.ndarray]:
     step = max(1, CHUNK_VALUES // max(1, width))
     for start in range(0, reps, step):
@@ -127,7 +138,7 @@ def mean_median_interval(
     stratum = draws.stratum_number(*[F.col(k) for k in keys])
     kf = _fields(data, keys)
 
-    grouped = small.groupBy(*keys).agg(F.array_sort(F.collect_list("_y")).alias("values")).withColumn("stratum", stratum)
+    grouped = _spread(small, keys).groupBy(*keys).agg(F.array_sort(F.collect_list("_y")).alias("values")).withColumn("stratum", stratum)
     out = T.StructType([*kf, *[T.StructField(c, T.DoubleType()) for c in INTERVAL_COLUMNS]])
     probs = list(INTERVAL_PROBS.values())
 
@@ -244,7 +255,8 @@ def cluster_bootstrap(
     stats = ["p05", "p50", "p95"]
     probs = [0.05, 0.5, 0.95]
     grouped = (
-        small.groupBy(*area)
+        _spread(small, area)
+        .groupBy(*area)
         .agg(F.array_sort(F.collect_list(F.struct(F.col(unit).alias("u"), F.col("table").alias("t")))).alias("units"))
         .withColumn("stratum", stratum)
     )
@@ -407,7 +419,8 @@ def _interval(corners, trees, strata, event, values, reps, seed, k, direct_rows,
         *[F.col(c) for c in strata], F.lit("T" if target else "F"), F.lit(kind)
     )
     grouped = (
-        small.groupBy(*strata)
+        _spread(small, strata)
+        .groupBy(*strata)
         .agg(F.collect_list(F.struct("kind", "target", "mark", "event", *values, "trees")).alias("rows"))
         .select(*strata, "rows", *[number(x, t).alias(f"num_{x}{int(t)}") for x in "st" for t in (True, False)])
     )

@@ -487,22 +487,18 @@ parts AS (SELECT 'all' AS subset, {_PRES_COLS} FROM pres
 long AS ({_LONG})"""
 
 
-def presence_subsets(v: Views):
-    """The three data subsets of the detection report with presence flags."""
+def presence_rows(v: Views):
+    """Presence flags of the items as recorded, and of the items rolled up to genus."""
     spec = v.spec()
-    flagged = roles.high_value_flag(
-        spec.select("unit", "role", "item", "cover_class", *CELLS), ["unit", "item"], "cover_class", 8, F.lit(True)
-    )
-    base = clean.presence_scales(clean.impute_cells(flagged, PAIRS), CELLS, MODULES)
+    base = clean.presence_flags(clean.impute_cells(spec, PAIRS), CELLS, MODULES)
     rolled = clean.roll_up_taxa(spec, "item", ["SMAL", "LARG"], ["unit", "role"], CELLS)
-    rolled = clean.presence_scales(clean.impute_cells(rolled, PAIRS), CELLS, MODULES)
-    return {"all": base, "high_cover": base.where("high"), "rolled_up": rolled}
+    return base, clean.presence_flags(clean.impute_cells(rolled, PAIRS), CELLS, MODULES)
 
 
 @query("detection_report", "spec", f"{_REPORT} {_summary_sql('subset, unit, scale, position', 'long')}")
 def detection_report(v: Views):
     """E20."""
-    return detect.detection_report(presence_subsets(v), ["unit"], "item", _FLAG_COLS)
+    return detect.detection_report(*presence_rows(v), ["unit"], "item", _FLAG_COLS, F.col("cover_class") > 8)
 
 
 @query(

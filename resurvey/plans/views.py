@@ -39,13 +39,17 @@ class Views:
     def _role(self):
         return F.when(F.col("l_linestatus") == "O", "N").otherwise("Q")
 
+    def _flag(self):
+        """The one-letter return flag as a number, so that its minimum is a hash aggregate."""
+        return F.ascii("l_returnflag")
+
     def rating(self) -> DataFrame:
         """unit x role: one category code and a confidence class."""
         return (
             self.table("lineitem")
             .groupBy(F.col("l_orderkey").alias("unit"), self._role().alias("role"))
             .agg(
-                F.min("l_returnflag").alias("value"),
+                F.char(F.min(self._flag())).alias("value"),
                 F.min(F.when(F.col("l_linenumber") == 1, 1).otherwise(2)).alias("fit"),
             )
         )
@@ -58,8 +62,8 @@ class Views:
             self.table("lineitem")
             .groupBy(F.col("l_orderkey").alias("unit"))
             .agg(
-                F.min(F.when(n, F.col("l_returnflag"))).alias("value1"),
-                F.min(F.when(q, F.col("l_returnflag"))).alias("value2"),
+                F.char(F.min(F.when(n, self._flag()))).alias("value1"),
+                F.char(F.min(F.when(q, self._flag()))).alias("value2"),
                 F.min(F.when(n, fit)).alias("fit1"),
                 F.min(F.when(q, fit)).alias("fit2"),
             )
@@ -76,8 +80,8 @@ class Views:
                 F.max("l_quantity").alias("dbh"),
                 (F.min("l_quantity").cast("long") % 5).alias("status"),
                 (1 + F.max(cents) % 5).alias("crown"),
-                F.min("l_returnflag").alias("code1"),
-                F.when(F.min("l_returnflag") != F.max("l_returnflag"), F.max("l_returnflag")).alias("code2"),
+                F.char(F.min(self._flag())).alias("code1"),
+                F.char(F.when(F.min(self._flag()) != F.max(self._flag()), F.max(self._flag()))).alias("code2"),
                 (1 + F.max("l_quantity").cast("long") % 5).alias("level1"),
                 (F.max("l_suppkey") % 7).alias("rater"),
             )
@@ -224,18 +228,51 @@ class Views:
         )
 
     def regen(self) -> DataFrame:
-        """event x role x corner x target: counts in eight size classes."""
-        keys = ["event", "area", "zone", "community", "plot", "year", "cycle_no", "role", "corner", "module", "target"]
-        return (
-            self._regen_base()
-            .groupBy(*keys)
+        """event x role x corner x target: counts in eight size classes.
+
+        Counted on the numeric keys first; the names of the place are joined to the counts.
+        """
+        part = self.table("part").select(
+            "p_partkey",
+            F.col("p_type").isin(TARGET_TYPES).alias("target"),
+            F.floor((F.col("p_size") - 1) * 8 / 50).cast("long").alias("class_no"),
+        )
+        cnt = F.col("l_quantity").cast("long")
+        counted = (
+            self.table("lineitem")
+            .join(part, F.col("l_partkey") == F.col("p_partkey"))
+            .groupBy("l_suppkey", F.year("l_shipdate").cast("long").alias("year"), "l_linestatus", "l_linenumber", "target")
             .agg(
                 *[
-                    F.coalesce(F.sum(F.when(F.col("class_no") == i, F.col("cnt"))), F.lit(0)).alias(c)
+                    F.coalesce(F.sum(F.when(F.col("class_no") == i, cnt)), F.lit(0)).alias(c)
                     for i, c in enumerate(SIZE_CLASSES)
                 ]
             )
         )
+        supp = self.table("supplier").select("s_suppkey", "s_nationkey")
+        place = (
+            self.table("nation")
+            .join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+            .select("n_nationkey", F.col("n_name").alias("area"), F.col("r_name").alias("zone"))
+        )
+        return (
+            counted.join(supp, F.col("l_suppkey") == F.col("s_suppkey"))
+            .join(place, F.col("s_nationkey") == F.col("n_nationkey"))
+            .select(
+                F.concat_ws("-", F.col("l_suppkey").cast("string"), F.col("year").cast("string")).alias("event"),
+                "area",
+                "zone",
+                F.concat(F.lit("G"), F.lpad(F.col("n_nationkey").cast("string"), 3, "0")).alias("community"),
+                F.col("l_suppkey").cast("string").alias("plot"),
+                "year",
+                F.ceil((F.col("year") - 1994) / 5).cast("long").alias("cycle_no"),
+                self._role().alias("role"),
+                F.concat(F.lit("C"), F.col("l_linenumber").cast("string")).alias("corner"),
+                (1 + F.col("l_linenumber") % 4).cast("long").alias("module"),
+                "target",
+                *SIZE_CLASSES,
+            )
+        )
 
     def regen_tree(self) -> DataFrame:
         """one row per measured tree: diameter, status, module, target flag."""
