@@ -125,7 +125,8 @@ def unit_metrics(
     )
     out = out.unionByName(
         rows(
-            priority, "priority_cover", F.col("rel_cover"), F.concat(head, F.lit(":<br/>"), pct, F.lit("% cover")), F.col("item")
+            priority, "priority_cover", F.col("rel_cover"), F.concat(head, F.lit(":<br/>"), pct, F.lit("% cover")),
+            F.translate(F.col("item"), "_", " "),
         )
     )
     for metric, df in (extra or {}).items():

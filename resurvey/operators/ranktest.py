@@ -100,7 +100,7 @@ def signed_rank_by_group(
 ) -> DataFrame:
     """G6. Signed-rank test of ``value`` in the last against the first cycle, per group.
 
-    One row per unit and cycle.  As in the source tables the values are rounded to ``digits``
+    One row per unit and cycle; two are an error.  As in the source tables the values are rounded to ``digits``
     first, so a group is a short table of distinct differences with counts whatever its number of
     units, and that table is all a task receives.  Groups below ``min_n`` pairs get NULLs.
     Zero differences are left out of the ranks.  p is exact for up to 50 pairs without ties or
@@ -109,7 +109,12 @@ def signed_rank_by_group(
     """
     group = list(group)
     scale = 10**digits
-    side = lambda c: F.max(F.when(F.col(cycle) == c, F.bround(F.col(value), digits)))
+    stop = F.raise_error(F.lit("signed_rank_by_group: more than one row for a unit and cycle")).cast("double")
+
+    def side(c: int):
+        one = F.when(F.col(cycle) == c, F.bround(F.col(value), digits))
+        return F.when(F.count(F.when(F.col(cycle) == c, 1)) > 1, stop).otherwise(F.max(one))
+
     delta = (
         df.where(F.col(cycle).isin(first, last))
         .groupBy(*group, unit)

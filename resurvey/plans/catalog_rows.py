@@ -52,7 +52,7 @@ FROM orders""",
 def csv_scan(v: Views):
     """A1."""
     df = files.read_survey(v.spark, _orders_csv(v), ORDERS_CSV)
-    return df.withColumn("bad_row", F.col(files.CORRUPT).isNotNull()).drop(files.CORRUPT)
+    return df.withColumn("bad_row", F.col(files.BAD_CELLS) > 0).drop(files.BAD_CELLS)
 
 
 @query(

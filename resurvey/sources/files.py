@@ -4,37 +4,48 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CORRUPT = "_corrupt_record"
+BAD_CELLS = "_bad_cells"
 
 
-def read_survey(spark: SparkSession, path: str, schema: T.StructType, na: str = "NA") -> DataFrame:
-    """A1. CSV with a header and a declared schema; no inference pass.
+def _typed(name: str, kind: T.DataType) -> Column:
+    """Cell text as the declared type, NULL when it does not fit."""
+    text = F.col(name)
+    if isinstance(kind, (T.IntegerType, T.LongType)):
+        number = text.try_cast("double")
+        return F.when(number == F.floor(number), number.try_cast(kind))
+    return text if isinstance(kind, T.StringType) else text.try_cast(kind)
 
-    A row with a cell of the wrong type keeps its good cells, gets NULL in the bad one and its
-    full text in ``_corrupt_record``, so bad rows can be counted and listed.
+
+def read_survey(spark: SparkSession, path: str, schema: T.StructType | str, na: str = "NA") -> DataFrame:
+    """A1. CSV with a header and declared types; columns are found by name, others are not read.
+
+    Empty cells and the ``na`` token are NULL.  A cell of the wrong type is NULL as well and is
+    counted in ``_bad_cells`` of its row, so it is never dropped silently.  A missing column is
+    an error.  No pass over the data is made to infer types.
     """
-    full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    return (
-        spark.read.schema(full)
-        .option("header", True)
-        .option("nullValue", na)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .csv(path)
-    )
+    if isinstance(schema, str):
+        schema = spark.createDataFrame([], schema).schema
+    raw = spark.read.option("header", True).csv(path)
+    missing = [f.name for f in schema if f.name not in raw.columns]
+    if missing:
+        raise ValueError(f"{path}: missing columns {missing}")
+    cells = raw.select(*[F.nullif(F.nullif(F.trim(F.col(f"`{f.name}`")), F.lit("")), F.lit(na)).alias(f.name) for f in schema])
+    typed = {f.name: _typed(f.name, f.dataType) for f in schema}
+    bad = sum(((F.col(n).isNotNull() & v.isNull()).cast("int") for n, v in typed.items()), F.lit(0))
+    return cells.select(*[v.alias(n) for n, v in typed.items()], bad.alias(BAD_CELLS))
 
 
 def scan_report(df: DataFrame) -> DataFrame:
     """A1. Row count, rows with a bad cell, and cells that are missing or could not be read."""
-    data = [c for c in df.columns if c != CORRUPT]
+    data = [c for c in df.columns if c != BAD_CELLS]
     empty = sum((F.col(c).isNull().cast("long") for c in data), F.lit(0))
     return df.agg(
         F.count(F.lit(1)).alias("total_rows"),
-        F.count(F.col(CORRUPT)).alias("bad_rows"),
+        F.count(F.when(F.col(BAD_CELLS) > 0, 1)).alias("bad_rows"),
         F.sum(empty).alias("empty_cells"),
     )
 

@@ -5,7 +5,7 @@ from resurvey.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8, 8)
+    session = local_session(4, 3)
     yield session
     session.stop()
 
