@@ -69,9 +69,13 @@ def running_total(
 
 
 def number_rows(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence, out: str) -> DataFrame:
-    """Row number from 1 within ``by``; ``bucket`` must be non-decreasing along ``order``."""
+    """Row number from 1 within ``by``; ``bucket`` must be non-decreasing along ``order``.
+
+    Rows with a NULL bucket come first, as NULLs do in an ascending order.  ``by`` columns must
+    not be NULL.
+    """
     by = list(by)
-    rows = df.withColumn("_bucket", bucket)
+    rows = df.withColumn("_bucket", F.coalesce(bucket.cast("long"), F.lit(-(2**63)).cast("long")))
     offsets = (
         rows.groupBy(*by, "_bucket")
         .agg(F.count(F.lit(1)).alias("_n"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import product
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,15 +45,50 @@ def codes_to_flags(
     return grid.join(seen, unit + [code], "left").select(*unit, code, F.col("_hit").isNotNull().alias("present"))
 
 
+# Aggregates of a grid completed inside the grouping; more would leave whole-stage codegen.
+MAX_WIDE_AGGREGATES = 24
+
+
 def complete_grid(
     df: DataFrame, unit: Sequence[str], levels: Mapping[str, Sequence], measures: Sequence[str], fill=0
 ) -> DataFrame:
-    """C4. Every unit seen in ``df`` crossed with fixed level lists, measures filled.
+    """C4. Every unit seen in ``df`` with every combination of fixed level lists, measures filled.
 
-    The levels are parameters, so the grid is an ``explode`` of literals on the distinct
-    units: no cross join and no second scan for the level values.
+    ``df`` has one row per unit and combination; two are an error.  Rows at a level that is not
+    listed are not part of the grid (``illegal_codes`` finds them).  The levels are parameters,
+    so there is no cross join: a small grid is completed in the aggregate that groups the units,
+    a large one by a left join from exploded literals.
     """
     unit = list(unit)
+    kinds = {name: df.schema[name].dataType for name in levels}
+    cells = list(product(*levels.values()))
+    if len(cells) * (len(measures) + 1) > MAX_WIDE_AGGREGATES:
+        return _joined_grid(df, unit, levels, measures, fill)
+    aggs, structs = [], []
+    hits = F.lit(0)
+    known = F.lit(False)
+    for k, cell in enumerate(cells):
+        here = F.lit(True)
+        for name, value in zip(levels, cell, strict=True):
+            here = here & (F.col(name) == F.lit(value).cast(kinds[name]))
+        known = known | here
+        hits = hits + F.coalesce(F.max(F.when(here, 1)), F.lit(0))
+        aggs += [F.max(F.when(here, F.col(m))).alias(f"_{m}_{k}") for m in measures]
+        names = [F.lit(value).cast(kinds[name]).alias(name) for name, value in zip(levels, cell, strict=True)]
+        structs.append(F.struct(*names, *[F.col(f"_{m}_{k}").alias(m) for m in measures]))
+    stop = F.raise_error(F.lit("complete_grid: more than one row for a unit and level")).cast("boolean")
+    single = F.when(F.count(F.when(known, 1)) > hits, stop).otherwise(True)
+    return (
+        df.groupBy(*unit)
+        .agg(single.alias("_single"), *aggs)
+        .where("_single")
+        .select(*unit, F.explode(F.array(*structs)).alias("_c"))
+        .select(*unit, "_c.*")
+        .fillna(fill, subset=list(measures))
+    )
+
+
+def _joined_grid(df: DataFrame, unit: list[str], levels: Mapping[str, Sequence], measures: Sequence[str], fill) -> DataFrame:
     grid = df.select(*unit).distinct()
     for name, values in levels.items():
         grid = grid.withColumn(name, F.explode(F.array(*[F.lit(v).cast(df.schema[name].dataType) for v in values])))

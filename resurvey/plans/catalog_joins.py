@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from resurvey.operators import asof, checks, clean, diffs, reshape, roles
-from resurvey.plans.registry import query, rounded
+from resurvey.plans.registry import query, rounded, settled, settled_sql
 from resurvey.plans.views import Views
 
 _SIDES = """
@@ -237,15 +237,15 @@ def merge_summaries(v: Views):
 @query(
     "stack_metrics",
     "thr",
-    """
-SELECT 'price' AS metric, unit, count(*) AS n, round_even(avg(y), 3) AS mean FROM v_thr GROUP BY unit
-UNION ALL SELECT 'share', unit, count(*), round_even(avg(100 * y / (SELECT avg(y) FROM v_thr)), 3) FROM v_thr GROUP BY unit""",
+    f"""
+SELECT 'price' AS metric, unit, count(*) AS n, {settled_sql('avg(y)')} AS mean FROM v_thr GROUP BY unit
+UNION ALL SELECT 'share', unit, count(*), {settled_sql('avg(100 * y / (SELECT avg(y) FROM v_thr))')} FROM v_thr GROUP BY unit""",
 )
 def stack_metrics(v: Views):
     """D11."""
     summary = lambda df, c: df.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.avg(c).alias("mean"))
     share = clean.percent_of_mean(v.thr(), "y", "pct")
-    return rounded(roles.stack_metrics({"price": summary(v.thr(), "y"), "share": summary(share, "pct")}), 3, "mean")
+    return settled(roles.stack_metrics({"price": summary(v.thr(), "y"), "share": summary(share, "pct")}), "mean")
 
 
 # ---- K: quality checks ------------------------------------------------------------

@@ -214,17 +214,17 @@ cl AS (SELECT param, band, band_min::DOUBLE AS band_min,
        FROM bd)"""
 
 
-@query("close_bands", "thr", f"{_CLOSED} SELECT param, band, band_min, round_even(band_max, 4) AS band_max FROM cl")
+@query("close_bands", "thr", f"{_CLOSED} SELECT param, band, band_min, {settled_sql('band_max')} AS band_max FROM cl")
 def close_bands(v: Views):
     """F8."""
-    return rounded(bands.close_bands(limit_bands(v), limit_summary(v), "param", ["mean", "median"]), 4, "band_max")
+    return settled(bands.close_bands(limit_bands(v), limit_summary(v), "param", ["mean", "median"]), "band_max")
 
 
 @query(
     "band_status",
     "thr",
     f"""{_CLOSED}
-SELECT ms.param, unit, subunit, period, n, round_even(mean, 4) AS mean, round_even(median, 4) AS median, band AS status
+SELECT ms.param, unit, subunit, period, n, {settled_sql('mean')} AS mean, {settled_sql('median')} AS median, band AS status
 FROM ms LEFT JOIN cl ON cl.param = ms.param AND (band_min <= median AND median < band_max
      OR median = band_max AND band_max = (SELECT max(band_max) FROM cl x WHERE x.param = ms.param))""",
 )
@@ -232,7 +232,7 @@ def band_status(v: Views):
     """F9, status of the median."""
     summary = limit_summary(v)
     closed = bands.close_bands(limit_bands(v), summary, "param", ["mean", "median"])
-    return rounded(bands.band_status(summary, closed, "param", "median"), 4, "mean", "median")
+    return settled(bands.band_status(summary, closed, "param", "median"), "mean", "median")
 
 
 # ---- portable draws in SQL --------------------------------------------------------

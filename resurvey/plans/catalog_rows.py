@@ -489,11 +489,22 @@ def score_bins(v: Views):
     return clean.score_bin(rich, "richness", 4, 8, 2, reverse=True)
 
 
-@query("row_ids", sql="SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS row_id FROM orders")
+@query("row_ids", sql="SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey) AS row_id FROM orders")
 def row_ids(v: Views):
-    """B21."""
-    rows = v.table("orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    return clean.row_ids(rows, "o_totalprice", ["o_orderkey"]).drop("o_totalprice")
+    """B21 over a unique order."""
+    return clean.row_ids(v.table("orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+
+
+@query(
+    "row_ids_with_ties",
+    sql="""
+SELECT o_orderkey, p AS price, row_number() OVER (ORDER BY p NULLS FIRST, o_orderkey) AS row_id
+FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 0 WHEN o_orderpriority NOT LIKE '1%' THEN o_totalprice END AS p FROM orders)""",
+)
+def row_ids_with_ties(v: Views):
+    """B21 with a value that a third of the rows share, and missing values."""
+    price = F.when(F.col("o_orderstatus") == "O", 0.0).when(~F.col("o_orderpriority").startswith("1"), F.col("o_totalprice"))
+    return clean.row_ids(v.table("orders").select("o_orderkey", price.alias("price")), "price", "o_orderkey")
 
 
 # ---- C: reshaping -----------------------------------------------------------------

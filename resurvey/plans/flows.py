@@ -1,8 +1,9 @@
 """The analyses from source tables to results, as compositions of the operators.
 
 Every flow takes tables as read by ``read_survey`` with the types of ``sources.schemas`` and
-returns named DataFrames.  Nothing runs before a result is written or shown (the size-checked
-resampling paths count their groups first).
+returns named DataFrames.  Nothing runs before a result is written or shown, with two exceptions:
+the size-checked resampling paths count their groups first, and ``regeneration`` writes its
+prepared tables to the shared folder because many results read them.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 
 from resurvey.operators import agree, asof, bands, clean, compose, detect, diffs, ranktest, regen, resample, reshape, roles
 from resurvey.operators.roles import stack_metrics
-from resurvey.sources.files import filter_options
+from resurvey.session import exchange_dir
+from resurvey.sources.files import filter_options, write_dataset
 from resurvey.sources.schemas import DISTURBANCES
 
 ORIGIN, WIDTH = 2010, 5
@@ -25,6 +27,16 @@ CORNERS = [c.upper() for c in CELLS]
 BOTH = {"N": "n", "Q": "q"}
 
 
+def _staged(df: DataFrame, name: str) -> DataFrame:
+    """The table written once to the shared folder and read back.
+
+    For tables with several expensive consumers: the lineage is cut, and a lost executor costs
+    a re-read, not the joins behind the table.
+    """
+    spark = df.sparkSession
+    return spark.read.parquet(write_dataset(df, exchange_dir(spark, name)))
+
+
 def _survey(df: DataFrame, code: str = "QAQC") -> DataFrame:
     """Unit (plot-year) and role of a re-survey table."""
     keyed = clean.composite_key(df, {"unit": ["location_name", ("text", "_"), "event_year"]})
@@ -343,6 +355,7 @@ def regeneration(
     corners = clean.composite_key(corners, {"corner": [("text", "M"), "Module", ("text", "C"), "Corner"]})
     stems, main = prepare(trees.withColumnsRenamed({"DBH": "dbh", "Tree_Status": "status", "Module": "module"}), main)
     stems = clean.recode(stems, "status", {0: 2, 4: 2})
+    corners, stems, main = _staged(corners, "corners"), _staged(stems, "stems"), _staged(main, "main")
 
     event = ["event", "park", "community_type", "plot", "cycle_no", "role"]
     boxes = regen.box_counts(
@@ -375,6 +388,7 @@ def regeneration(
     rename = lambda df, tag: df.withColumnsRenamed({c: f"{tag}_{c}" for c in ("mean", "lo95", "hi95")})
     metrics = rename(index, "index").join(rename(importance, "importance"), [*strata, "event"], "full")
     metrics = metrics.withColumns({c: F.bround(c, 2) for c in metrics.columns if c not in (*strata, "event")})
+    metrics = _staged(metrics, "metrics")
 
     # burn history
     dates = clean.survey_dates(

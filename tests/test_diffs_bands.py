@@ -74,6 +74,17 @@ def test_complete_grid_keeps_levels_never_seen(spark, rows):
     ]
 
 
+def test_large_grids_and_repeated_cells(spark, rows, monkeypatch):
+    df = spark.createDataFrame([("u", "N", 1, 5), ("w", "Q", 2, 1), ("w", "Z", 2, 9)], "u string, role string, m int, n long")
+    levels = {"role": ["N", "Q"], "m": [1, 2, 3]}
+    small = rows(reshape.complete_grid(df, ["u"], levels, ["n"]), "u", "role", "m", "n")
+    monkeypatch.setattr(reshape, "MAX_WIDE_AGGREGATES", 1)
+    assert small == rows(reshape.complete_grid(df, ["u"], levels, ["n"]), "u", "role", "m", "n") and len(small) == 12
+    monkeypatch.undo()
+    with pytest.raises(Exception, match="more than one row"):
+        reshape.complete_grid(df.unionByName(df), ["u"], levels, ["n"]).collect()
+
+
 @pytest.mark.parametrize(
     "cutoffs, kw, want",
     [
