@@ -361,7 +361,7 @@ def regeneration(
     boxes = regen.box_counts(
         corners.where("community_type <> 'other'"), event, "corner", "target", regen.BOX_CLASSES, 8
     )
-    sander = resample.cluster_bootstrap(
+    box_means = resample.cluster_bootstrap(
         boxes.where("cycle_no = 1"), ["community_type", "park"], "plot", "box_count", 8, 2 * reps, seed
     )
 
@@ -418,7 +418,7 @@ def regeneration(
     return {
         "main": main,
         "boxes": boxes,
-        "box_intervals": sander,
+        "box_intervals": box_means,
         "resurveys": regen.resurvey_counts(
             main.where(F.col("group").isin(clean.TARGET_COMMUNITIES)), "park", "plot", "event", "cycle_no", "role"
         ),
