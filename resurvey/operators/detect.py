@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from resurvey.operators.reshape import pair_by_role
@@ -87,6 +87,27 @@ def scaled_detection(
     return df.groupBy(*unit, item).agg(by("N").alias("_n"), by("Q").alias("_q"), F.bool_or(high).alias("_high"))
 
 
+def scaled_match(
+    df: DataFrame, unit: Sequence[str], item: str, flags: Mapping[tuple[str, str], str]
+) -> DataFrame:
+    """Detection table at every scale and position, long: an item seen anywhere in the unit has a
+    row at each position, with both flags FALSE where nobody saw it.  Expanded after the shuffle."""
+    unit = list(unit)
+    masks = scaled_detection(df, unit, item, flags, F.lit(False)).where((F.col("_n") + F.col("_q")) > 0)
+    at = lambda mask, k: F.col(mask).bitwiseAND(F.lit(1 << k).cast("long")) != 0
+    rows = F.explode(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(scale).alias("scale"), F.lit(pos).alias("position"), at("_n", k).alias("n_seen"), at("_q", k).alias("q_seen")
+                )
+                for k, (scale, pos) in enumerate(flags)
+            ]
+        )
+    )
+    return masks.select(*unit, item, rows.alias("_r")).select(*unit, item, "_r.*")
+
+
 def detection_report(
     base: DataFrame, rolled: DataFrame, unit: Sequence[str], item: str, flags: Mapping[tuple[str, str], str], high: Column
 ) -> DataFrame:
@@ -137,9 +158,10 @@ def detection_report(
 
 def unmatched_items(df: DataFrame, item: str, min_detect: int, min_pct: float = 50) -> DataFrame:
     """E21. Items with at least ``min_detect`` detection rows of which more than ``min_pct`` percent
-    are unmatched, with the rank by that percent (ties share it)."""
-    from pyspark.sql import Window
+    are unmatched, with the rank by that percent (ties share it).
 
+    At a fine scale a row that neither survey saw counts as a row and as unmatched, as in the source
+    tables."""
     rates = (
         df.groupBy(item)
         .agg(

@@ -468,7 +468,7 @@ def detection_summary(v: Views):
 
 _FLAG_COLS = detect.scale_columns(MODULES, CELLS)
 _LONG = " UNION ALL ".join(
-    f"SELECT subset, unit, '{s}' AS scale, '{p}' AS position, coalesce(bool_or(role = 'N' AND {c}), FALSE) AS n_seen, "
+    f"SELECT subset, unit, item, '{s}' AS scale, '{p}' AS position, coalesce(bool_or(role = 'N' AND {c}), FALSE) AS n_seen, "
     f"coalesce(bool_or(role = 'Q' AND {c}), FALSE) AS q_seen FROM parts GROUP BY subset, unit, item"
     for (s, p), c in _FLAG_COLS.items()
 )
@@ -549,6 +549,31 @@ def unmatched_items(v: Views):
     return detect.unmatched_items(detections(v), "item", 30, 50)
 
 
+MIN_DETECTIONS = {"plot": 5, "module": 30, "cell": 60}
+_BY_SCALE = " UNION ALL ".join(
+    f"""
+SELECT '{scale}' AS scale, *, rank() OVER (ORDER BY unmatched_percent DESC) AS position
+FROM (SELECT item, detections, unmatched, round_even(100 * unmatched / detections, 0)::BIGINT AS unmatched_percent FROM rs
+      WHERE scale = '{scale}' AND detections >= {k}) WHERE unmatched_percent > 50"""
+    for scale, k in MIN_DETECTIONS.items()
+)
+
+
+@query(
+    "unmatched_items_by_scale",
+    "spec",
+    f"""{_REPORT},
+rs AS (SELECT scale, item, count(*) AS detections, count(*) FILTER (NOT (n_seen AND q_seen)) AS unmatched
+       FROM long WHERE subset = 'all' GROUP BY ALL)
+{_BY_SCALE}""",
+)
+def unmatched_items_by_scale(v: Views):
+    """E21 at the three scales, each with its minimum of detections."""
+    long = detect.scaled_match(presence_rows(v)[0], ["unit"], "item", _FLAG_COLS)
+    tables = {s: detect.unmatched_items(long.where(F.col("scale") == s), "item", k, 50) for s, k in MIN_DETECTIONS.items()}
+    return roles.stack_metrics(tables, "scale")
+
+
 def _list_sql(cond: str, name: str) -> str:
     return f"coalesce(string_agg(item, ' - ' ORDER BY item) FILTER ({cond}), '') AS {name}"
 

@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from resurvey.operators import agree, asof, bands, clean, compose, detect, diffs, ranktest, regen, resample, reshape, roles
+from resurvey.operators import agree, asof, bands, checks, clean, compose, detect, diffs, ranktest, regen, resample, reshape, roles
 from resurvey.operators.roles import stack_metrics
 from resurvey.session import exchange_dir
 from resurvey.sources.files import filter_options, write_dataset
@@ -283,7 +283,12 @@ def count_agreement(all_trees: DataFrame, seedlings: DataFrame, densiometer: Dat
     }
 
 
-def herb_agreement(herbs: DataFrame, exclude: DataFrame | None = None) -> dict[str, DataFrame]:
+MIN_DETECTIONS = {"plot": 5, "module": 30, "cell": 30}  # fixed values of the dashboard charts
+
+
+def herb_agreement(
+    herbs: DataFrame, exclude: DataFrame | None = None, min_detections: Mapping[str, int] = MIN_DETECTIONS
+) -> dict[str, DataFrame]:
     """Richness and detection of herbs by both surveys; ``exclude`` (item) leaves names out."""
     rows = _survey(herbs).select(
         "unit", "role", F.col("Species_Original").alias("item"), F.col("Cover_Class").alias("cover_class"),
@@ -298,11 +303,14 @@ def herb_agreement(herbs: DataFrame, exclude: DataFrame | None = None) -> dict[s
     flags = detect.scale_columns(MODULES, CELLS)
     summary = detect.detection_report(base, rolled, ["unit"], "item", flags, (F.col("cover_class") > 1) & base_set)
     match = detect.detection_match(base.where("in_plot"), ["unit"], "item")
+    scaled = detect.scaled_match(base, ["unit"], "item", flags)
     classes = detect.class_difference(base.where("in_plot"), ["unit"], "item", "cover_class")
     return {
         "summary": summary,
         "difference_table": diffs.difference_cdf(summary, "rich_diff", ["subset", "scale"]),
-        "unmatched": detect.unmatched_items(match, "item", 5),
+        "unmatched": stack_metrics(
+            {s: detect.unmatched_items(scaled.where(F.col("scale") == s), "item", k) for s, k in min_detections.items()}, "scale"
+        ),
         "match_lists": detect.match_lists(match, ["unit"], "item"),
         "class_difference": classes,
         "class_table": diffs.difference_cdf(classes, "abs_diff"),
@@ -423,6 +431,8 @@ def regeneration(
             main.where(F.col("group").isin(clean.TARGET_COMMUNITIES)), "park", "plot", "event", "cycle_no", "role"
         ),
         "table": table,
+        "illegal_corners": checks.illegal_codes(corners, ["event"], "corner", CORNERS),
+        "incomplete_events": checks.incomplete_parents(corners, ["event"], "corner", CORNERS),
         "orphan_dates": dates.join(events.select("plot", "year"), ["plot", "year"], "left_anti"),
         "rank_test": ranktest.signed_rank_by_group(
             tested, ["park", "exposed"], "plot", "cycle_no", "index_mean", start, last

@@ -123,6 +123,18 @@ def test_class_difference_keeps_missing_classes(spark, rows):
     assert rows(detect.class_difference(df, ["u"], "item", "cc")) == [("u", "a", 3, 5, 2), ("u", "b", None, 2, None)]
 
 
+def test_scaled_match_keeps_positions_nobody_saw(spark, rows):
+    schema = "u string, item string, role string, in_plot boolean, m1 boolean, m2 boolean"
+    data = [("u", "a", "N", True, True, False), ("u", "a", "Q", True, True, False), ("u", "b", "N", False, False, False)]
+    flags = {("plot", "plot"): "in_plot", ("module", "m1"): "m1", ("module", "m2"): "m2"}
+    got = rows(detect.scaled_match(spark.createDataFrame(data, schema), ["u"], "item", flags))
+    assert got == [
+        ("u", "a", "module", "m1", True, True), ("u", "a", "module", "m2", False, False), ("u", "a", "plot", "plot", True, True),
+    ]
+    unmatched = detect.unmatched_items(detect.scaled_match(spark.createDataFrame(data, schema), ["u"], "item", flags), "item", 1, 0)
+    assert rows(unmatched) == [("a", 3, 1, 33, 1)]
+
+
 def test_detection_report(spark):
     schema = "u string, item string, role string, cc int, in_plot boolean, m1 boolean, c1 boolean"
     data = [

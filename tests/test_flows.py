@@ -266,4 +266,7 @@ def test_regeneration(load, vegetation, spark):
     assert areas == {("target", "ABCD"): 3, ("target", "EFGH"): 2, ("ruderal", "ABCD"): 1, ("ruderal", "EFGH"): 1}
     assert {r.park: (r.units, r.resurveyed) for r in out["resurveys"].collect()} == {"ABCD": (3, 3), "EFGH": (2, 2)}
     assert sum(r.n for r in out["rank_test"].collect()) == 5
+    assert out["illegal_corners"].count() == 0
+    missing = {r.missing for r in out["incomplete_events"].collect()}
+    assert missing == {"M2C3,M3C2,M4C2,M4C3"}
     assert out["orphan_dates"].count() == 0 and out["years_since"].count() == 2
