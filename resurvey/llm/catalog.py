@@ -6,12 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resurvey.llm import decontam, line_dedup, near_dedup, quality, shards, token_counts, toxicity
-from resurvey.llm.base import ORACLES, QUERIES, query, table
+from resurvey.llm import bpe, decontam, line_dedup, near_dedup, quality, rans, shards, token_counts, toxicity, warc
+from resurvey.llm.base import ORACLES, QUERIES, fresh_path, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
 
 SHARDS = 16
+END_ID = 2
 
 
 @query("op1_kd_shards")
@@ -103,3 +104,25 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_benchmark_overlap")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op9_rans_token_ids")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    path = fresh_path(spark, "token-ids")
+    rans.write_ids(docs, path, public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+    return rans.read_ids(spark, path).withColumnRenamed("key", "doc_id")
+
+
+@query("op6_warc_captures")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "archives")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    records = warc.read_records(spark, path, with_payload=False)
+    return warc.page_digests(warc.captures(records))
+
+
+@query("op2_byte_bpe")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)

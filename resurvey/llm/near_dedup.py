@@ -224,8 +224,10 @@ def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     Of rows that are equal in key and text one stays.  Rows without words and rows with NULL key
     all stay.
     """
-    gone = near_duplicates(docs, key, text).where(~F.col("kept")).select(F.col(key)).distinct()
-    gone = small_side(written(gone, "near-gone"))
+    found = near_duplicates(docs, key, text).where(F.col(key).isNotNull() & (F.col("n_shingles") > 0))
+    found = written(found.groupBy(key).agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("NOT kept OR n > 1"), "near-found")
+    gone = small_side(found.where("NOT kept").select(key))
+    twice = small_side(found.where("kept").select(key))
     kept = docs.join(gone, key, "left_anti")
-    worded = F.col(key).isNotNull() & F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    return kept.where(~worded).unionByName(kept.where(worded).dropDuplicates([key, text]))
+    alone, among = kept.join(twice, key, "left_anti"), kept.join(twice, key, "left_semi")
+    return alone.unionByName(among.dropDuplicates([key, text]))

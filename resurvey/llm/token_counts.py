@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from resurvey.llm.base import only
-from resurvey.llm.tokens import CHUNK_BYTES, Pieces, chunks
+from resurvey.llm.tokens import CHUNK_BYTES, chunks, pieces_of
 
 # A longer text is counted section by section, each cut at a safe boundary.
 SECTION_CHARS = 1_000_000
@@ -50,7 +50,7 @@ def token_counts(
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        pieces = Pieces(tokenizer_path, lengths=True)
+        pieces = pieces_of(tokenizer_path, lengths=True)
         for batch in batches:
             for part in chunks(batch, text, CHUNK_BYTES):
                 counts = []

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
@@ -18,8 +19,8 @@ import pyarrow as pa
 # Bytes of text that are cut into pieces at once, and of new pieces handed to the library at once.
 CHUNK_BYTES = 2_000_000
 BATCH_BYTES = 250_000
-# Pieces kept in a task; beyond it the memory starts anew, which costs time but not results.
-KEPT_PIECES = 700_000
+# Pieces kept in a worker; beyond it the memory starts anew, which costs time but not results.
+KEPT_PIECES = 1_200_000
 
 AMBIGUOUS = re.compile(r" \s")
 CUT = re.compile(r"(?<=\S)(?= )|(?= \S)")
@@ -43,6 +44,12 @@ def cut_text(text: str) -> list[str]:
     return [MARK + found[0], *[p[1:] if p[0] == " " else MARK + p for p in found[1:]]]
 
 
+def inner(piece: str) -> list[str]:
+    """A piece cut once more at its marks; the parts are pieces themselves."""
+    first, *rest = INNER.split(piece[1:] if piece[:1] == MARK else " " + piece)
+    return [first[1:] if first[:1] == " " and len(first) > 1 else MARK + first, *[MARK + p for p in rest]]
+
+
 class Pieces:
     """Pieces already seen, as their ids in little-endian bytes or as their number of tokens."""
 
@@ -58,50 +65,58 @@ class Pieces:
         if any(re.search(r"[\s.,!?;:]", t.content) for t in added):
             raise ValueError("a special token holds white space or a mark at which texts are cut")
         self.lengths = lengths
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.nothing = 0 if lengths else b""
-        self.whole: dict[str, int | bytes] = {}
-        self.parts: dict[str, int | bytes] = {}
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.known: dict[str, int | bytes] = {}
 
     def _encode(self, new: list[str]) -> None:
-        """Put ``new`` strings into ``parts``, in batches of bounded bytes."""
+        """Learn strings that hold no safe cut, in batches of bounded size."""
+        texts = [p[1:] if p[:1] == MARK else " " + p for p in new]
         start = size = 0
-        for i, s in enumerate(new):
+        for i, s in enumerate(texts):
             size += len(s)
-            if size >= BATCH_BYTES or i == len(new) - 1:
-                batch = new[start : i + 1]
-                coded = self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)
+            if size >= BATCH_BYTES or i == len(texts) - 1:
+                coded = self.tokenizer.encode_batch_fast(texts[start : i + 1], add_special_tokens=False)
                 if self.lengths:
-                    self.parts.update((s, len(e)) for s, e in zip(batch, coded, strict=True))
+                    self.known.update(zip(new[start : i + 1], map(len, coded), strict=True))
                 else:
-                    self.parts.update(
-                        (s, np.array(e.ids, self.kind).tobytes()) for s, e in zip(batch, coded, strict=True)
-                    )
+                    made = [array(self.code, e.ids).tobytes() for e in coded]
+                    self.known.update(zip(new[start : i + 1], made, strict=True))
                 start, size = i + 1, 0
 
     def learn(self, seen: set[str]) -> None:
-        if len(self.whole) + len(self.parts) > KEPT_PIECES:
-            self.whole.clear()
-            self.parts.clear()
-        new = [p for p in seen if p not in self.whole]
-        inner = [INNER.split(p[1:] if p[:1] == MARK else " " + p) for p in new]
-        self._encode(list({s for ss in inner for s in ss if s not in self.parts and s}))
-        get = self.parts.__getitem__
+        if len(self.known) > KEPT_PIECES:
+            self.known.clear()
+        new = seen.difference(self.known)
+        plain = [p for p in new if p.isalpha()]  # letters behind a space: nothing to cut
+        parts = {p: inner(p) for p in new.difference(plain)}
+        wanted = set().union(plain, *parts.values())
+        self._encode([p for p in wanted if p not in self.known])
+        get = self.known.__getitem__
         if self.lengths:
-            self.whole.update((p, sum(get(s) for s in ss if s)) for p, ss in zip(new, inner, strict=True))
+            self.known.update([(p, sum(map(get, ps))) for p, ps in parts.items()])
         else:
-            self.whole.update((p, b"".join([get(s) for s in ss if s])) for p, ss in zip(new, inner, strict=True))
+            self.known.update([(p, b"".join(map(get, ps))) for p, ps in parts.items()])
 
     def of(self, texts: list[str | None]) -> list:
         """Counts, or ids as bytes, of each text; nothing for NULL and for an empty text."""
         cut = [cut_text(t) if t else [] for t in texts]
         self.learn(set().union(*cut))
-        get = self.whole.__getitem__
+        get = self.known.__getitem__
         if self.lengths:
             return [sum(map(get, parts)) for parts in cut]
         return [b"".join(map(get, parts)) for parts in cut]
 
 
+_KEPT: dict[tuple[str, bool], Pieces] = {}
+
+
+def pieces_of(path: str, lengths: bool) -> Pieces:
+    """The pieces a Python worker has seen so far; its tasks share them."""
+    if (path, lengths) not in _KEPT:
+        _KEPT[path, lengths] = Pieces(path, lengths)
+    return _KEPT[path, lengths]
+
+
 def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterable[pa.RecordBatch]:
     """Slices of the batch with about ``limit`` bytes of ``column`` each."""
     sizes = np.diff(np.asarray(offsets(batch.column(column))))
