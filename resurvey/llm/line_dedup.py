@@ -23,9 +23,9 @@ MIN_SITES = 5
 MAX_SHARE = 0.5
 
 
-def _lines(docs: DataFrame, text: str, site: str) -> DataFrame:
+def _lines(rows: DataFrame) -> DataFrame:
     """One row per line that is not blank: row, pos, size, h, g (two hashes of the line), site."""
-    parts = docs.select("_row", F.col(site).alias("site"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    parts = rows.select("_row", "site", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     line = parts.withColumn("line", F.trim("line")).where("line <> ''")
     return line.select("_row", "site", "pos", F.length("line").alias("size"), mixed("line").alias("h"), F.hash("line").alias("g"))
 
@@ -68,8 +68,11 @@ def remove_boilerplate(
     """
     taken = docs.drop("n_lines", "n_boilerplate", "n_removed")
     # rows are told apart by key and text, so that rows that share a key but not a text stay apart
-    rows = taken.withColumn("_row", mixed(F.col(key), F.col(text)))
-    lines = _lines(rows, text, site)
+    rows = taken.select(
+        F.struct(*[F.col(f"`{c}`") for c in taken.columns]).alias("doc"),
+        F.col(site).alias("site"), F.col(text).alias("text"), mixed(F.col(key), F.col(text)).alias("_row"),
+    )
+    lines = _lines(rows)
     flagged = spread_lines(lines, min_sites).select("h", "g")
     found = (
         lines.select("_row", "pos", "size", "h", "g")
@@ -81,16 +84,16 @@ def remove_boilerplate(
     copies = F.col("_c") / F.size("at")
     found = found.select("_row", "at", (F.col("_n") / copies).alias("chars"))
     joined = rows.join(found, "_row", "left")
-    split = F.split(text, "\n")
+    split = F.split("text", "\n")
     n_flagged = F.coalesce(F.size("at"), F.lit(0)).cast("long")
     n_flagged = F.when(F.col("at").isNull(), F.lit(0).cast("long")).otherwise(n_flagged)
-    copy = F.col("chars") > F.lit(max_share) * F.length(text)
+    copy = F.col("chars") > F.lit(max_share) * F.length("text")
     removes = F.col("at").isNotNull() & ~copy
     marks = F.transform(F.sequence(F.lit(0), F.size(split) - 1), lambda i: F.array_contains("at", i))
     kept = F.filter(F.arrays_zip(split.alias("line"), marks.alias("gone")), lambda x: ~x["gone"])
-    clean = F.when(removes, F.array_join(F.transform(kept, lambda x: x["line"]), "\n")).otherwise(F.col(text))
+    clean = F.when(removes, F.array_join(F.transform(kept, lambda x: x["line"]), "\n")).otherwise(F.col("text"))
     return joined.select(
-        *[clean.alias(c) if c == text else F.col(f"`{c}`") for c in taken.columns],
+        *[clean.alias(c) if c == text else F.col("doc").getField(c).alias(c) for c in taken.columns],
         F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"),
         n_flagged.alias("n_boilerplate"),
         F.when(removes, n_flagged).otherwise(F.lit(0).cast("long")).alias("n_removed"),
