@@ -12,17 +12,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-EXACT_LIMIT = 50
-
-
 @lru_cache(maxsize=64)
 def null_cdf(n: int) -> np.ndarray:
     """P(V <= v) for v = 0 .. n(n+1)/2 under the null hypothesis, no ties."""
-    ways = np.zeros(n * (n + 1) // 2 + 1)
-    ways[0] = 1
-    for rank in range(1, n + 1):
-        ways[rank:] = ways[rank:] + ways[:-rank]
-    return np.cumsum(ways) / 2.0**n
+    share = np.zeros(n * (n + 1) // 2 + 1)
+    share[0] = 1
+    for rank in range(1, n + 1):  # each rank counts with probability one half
+        top = rank * (rank + 1) // 2 + 1
+        below = share[: top - rank].copy()
+        share[:top] *= 0.5
+        share[rank:top] += 0.5 * below
+    return np.cumsum(share)
 
 
 def walsh_order_statistic(v: np.ndarray, f: np.ndarray, rank: int) -> int:
@@ -53,13 +53,13 @@ def signed_rank(v: np.ndarray, f: np.ndarray, level: float) -> dict:
     v, f = v[keep], f[keep].astype(np.int64)
     n = int(f.sum())
     if n == 0:
-        return {"v": 0.0, "p": None, "shift2": 0, "lo2": None, "hi2": None}
+        return {"v": 0.0, "p": None, "shift2": 0, "lo2": None, "hi2": None, "method": None}
     size, inverse = np.unique(np.abs(v), return_inverse=True)
     ties = np.bincount(inverse, weights=f)
     mean_rank = np.cumsum(ties) - (ties - 1) / 2
     stat = float((f * mean_rank[inverse])[v > 0].sum())
     pairs = n * (n + 1) // 2
-    exact = n <= EXACT_LIMIT and zeros == 0 and ties.max() == 1
+    exact = zeros == 0 and ties.max() == 1
     alpha = 1 - level
     if exact:
         cdf = null_cdf(n)
@@ -77,6 +77,7 @@ def signed_rank(v: np.ndarray, f: np.ndarray, level: float) -> dict:
     return {
         "v": stat,
         "p": p,
+        "method": "exact" if exact else "normal",
         "shift2": sum(middle) / 2,
         "lo2": walsh_order_statistic(v, f, order),
         "hi2": walsh_order_statistic(v, f, pairs + 1 - order),
@@ -103,9 +104,10 @@ def signed_rank_by_group(
     One row per unit and cycle; two are an error.  As in the source tables the values are rounded to ``digits``
     first, so a group is a short table of distinct differences with counts whatever its number of
     units, and that table is all a task receives.  Groups below ``min_n`` pairs get NULLs.
-    Zero differences are left out of the ranks.  p is exact for up to 50 pairs without ties or
-    zeros, otherwise the normal approximation with tie and continuity correction; the interval
-    is read from the ordered pairwise averages.
+    Zero differences are left out of the ranks.  p is exact without ties or zeros, whatever the
+    number of pairs (which rounding bounds, as no two differences of such a group are equal in
+    size), otherwise the normal approximation with tie and continuity correction; ``method`` tells
+    which.  The interval is read from the ordered pairwise averages.
     """
     group = list(group)
     scale = 10**digits
@@ -130,7 +132,8 @@ def signed_rank_by_group(
     )
     numbers = ["v_stat", "p_value", "shift", "shift_lo", "shift_hi"]
     out = T.StructType(
-        [*[df.schema[c] for c in group], T.StructField("n", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in numbers]]
+        [*[df.schema[c] for c in group], T.StructField("n", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in numbers],
+         T.StructField("method", T.StringType())]
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,14 +144,14 @@ def signed_rank_by_group(
                 f = np.array([x["_f"] for x in table], dtype=np.int64)
                 n = int(f.sum())
                 if n < min_n:
-                    rows.append([n] + [None] * 5)
+                    rows.append([n] + [None] * 6)
                     continue
                 r = signed_rank(v, f, level)
                 half = lambda x: None if x is None else x / 2 / scale
-                rows.append([n, r["v"], r["p"], half(r["shift2"]), half(r["lo2"]), half(r["hi2"])])
-            res = pd.DataFrame(rows, columns=["n", *numbers])
+                rows.append([n, r["v"], r["p"], half(r["shift2"]), half(r["lo2"]), half(r["hi2"]), r["method"]])
+            res = pd.DataFrame(rows, columns=["n", *numbers, "method"])
             res[numbers] = res[numbers].astype(float)
             yield pd.concat([pdf[group].reset_index(drop=True), res], axis=1)
 
     fine = [F.when(~F.isnan(c), F.col(c)).alias(c) for c in numbers]
-    return tables.mapInPandas(run, out).select(*group, "n", *fine)
+    return tables.mapInPandas(run, out).select(*group, "n", *fine, "method")

@@ -76,11 +76,15 @@ def box_counts(
 
 
 def module_tree_counts(
-    df: DataFrame, event: Sequence[str], lo: float | None, hi: float | None, modules: Sequence[int], targets: Sequence[bool] = (True, False)
+    df: DataFrame, event: Sequence[str], lo: float | None, hi: float | None, modules: Sequence[int], targets: Sequence[bool] = (True, False),
+    role: str | None = "N",
 ) -> DataFrame:
-    """F13. Live first-survey trees within the size range per module and target flag, zero-filled
-    for events with any such tree.  ``None`` leaves a side of the range open."""
-    keep = (F.col("status") == 1) & (F.col("role") == "N") & F.col("target").isin(list(targets))
+    """F13. Live trees of one role (first survey by default) within the size range per module and
+    target flag, zero-filled for events with any such tree.  ``None`` leaves a side of the range
+    open; role None counts all roles, which then belong into ``event``."""
+    keep = (F.col("status") == 1) & F.col("target").isin(list(targets))
+    if role is not None:
+        keep = keep & (F.col("role") == role)
     if lo is not None:
         keep = keep & (F.col("dbh") >= lo)
     if hi is not None:

@@ -203,15 +203,15 @@ def high_value_flag(v: Views):
 @query(
     "key_differences",
     sql="""
-SELECT o_custkey AS custkey, 'a' AS only_in FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'O') o
-WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)
+SELECT o_custkey AS custkey, 'a' AS only_in FROM (SELECT DISTINCT o_custkey FROM orders) o
+WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
 UNION ALL
-SELECT c_custkey, 'b' FROM customer WHERE c_acctbal > 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')""",
+SELECT c_custkey, 'b' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""",
 )
 def key_differences(v: Views):
-    """D9. Customers with open orders against customers in credit."""
-    a = v.table("orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("custkey"))
-    b = v.table("customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("custkey"))
+    """D9. Customers with orders against all customers."""
+    a = v.table("orders").select(F.col("o_custkey").alias("custkey"))
+    b = v.table("customer").select(F.col("c_custkey").alias("custkey"))
     return roles.key_differences(a, b, "custkey")
 
 
@@ -219,8 +219,8 @@ def key_differences(v: Views):
     "merge_summaries",
     "pair",
     """
-, a AS (SELECT value1 AS code, count(*) AS first_calls FROM v_pair WHERE value1 IN ('A', 'N') GROUP BY 1),
-b AS (SELECT value2 AS code, count(*) AS second_calls FROM v_pair WHERE value2 IN ('N', 'R') GROUP BY 1),
+, a AS (SELECT value1 AS code, count(*) AS first_calls FROM v_pair WHERE value1 IS NOT NULL GROUP BY 1),
+b AS (SELECT value2 AS code, count(*) AS second_calls FROM v_pair WHERE value2 IS NOT NULL GROUP BY 1),
 c AS (SELECT value1 AS code, count(*) AS agreed FROM v_pair WHERE value1 = value2 GROUP BY 1)
 SELECT code, first_calls, second_calls, agreed FROM a FULL JOIN b USING (code) FULL JOIN c USING (code)""",
 )
@@ -228,8 +228,8 @@ def merge_summaries(v: Views):
     """D10."""
     p = v.pair()
     n = F.count(F.lit(1))
-    a = p.where(F.col("value1").isin("A", "N")).groupBy(F.col("value1").alias("code")).agg(n.alias("first_calls"))
-    b = p.where(F.col("value2").isin("N", "R")).groupBy(F.col("value2").alias("code")).agg(n.alias("second_calls"))
+    a = p.where(F.col("value1").isNotNull()).groupBy(F.col("value1").alias("code")).agg(n.alias("first_calls"))
+    b = p.where(F.col("value2").isNotNull()).groupBy(F.col("value2").alias("code")).agg(n.alias("second_calls"))
     c = p.where(F.col("value1") == F.col("value2")).groupBy(F.col("value1").alias("code")).agg(n.alias("agreed"))
     return roles.merge_summaries([a, b, c], ["code"])
 
@@ -271,12 +271,11 @@ def not_exact_pair(v: Views):
     "pair",
     """
 SELECT unit, CASE WHEN a AND b THEN 'both missing' WHEN a THEN 'first missing' ELSE 'second missing' END AS problem
-FROM (SELECT unit, coalesce(value1 = 'R', TRUE) AS a, coalesce(value2 = 'R', TRUE) AS b FROM v_pair) WHERE a OR b""",
+FROM (SELECT unit, value1 IS NULL AS a, value2 IS NULL AS b FROM v_pair) WHERE a OR b""",
 )
 def missing_sides(v: Views):
-    """K3. Code R plays a missing value too, so that pairs missing on both sides occur."""
-    p = v.pair().select("unit", *[F.nullif(F.col(c), F.lit("R")).alias(c) for c in ("value1", "value2")])
-    return checks.missing_sides(p, "unit", "value1", "value2")
+    """K3."""
+    return checks.missing_sides(v.pair(), "unit", "value1", "value2")
 
 
 @query(
@@ -303,16 +302,15 @@ def illegal_codes(v: Views):
     "zero_zero_share",
     "cnt",
     """
-, w AS (SELECT unit, module, coalesce(max(n) FILTER (role = 'N' AND n > 12), 0) AS n, coalesce(max(n) FILTER (role = 'Q' AND n > 12), 0) AS q
+, w AS (SELECT unit, module, coalesce(max(n) FILTER (role = 'N'), 0) AS n, coalesce(max(n) FILTER (role = 'Q'), 0) AS q
       FROM v_cnt GROUP BY ALL)
 SELECT round_even(100 * avg(CASE WHEN n = 0 AND q = 0 THEN 1 ELSE 0 END), 0) AS zero_zero_percent,
        max(greatest(n, q))::DOUBLE AS max_count
 FROM w""",
 )
 def zero_zero_share(v: Views):
-    """K6. Counts of at most twelve records play unseen modules, so that 0-0 pairs occur."""
-    rows = v.count().withColumn("n", F.when(F.col("n") > 12, F.col("n")).otherwise(0))
-    wide = reshape.pair_by_role(rows, ["unit", "module"], "role", ["n"], {"N": "n", "Q": "q"}).fillna(0)
+    """K6."""
+    wide = reshape.pair_by_role(v.count(), ["unit", "module"], "role", ["n"], {"N": "n", "Q": "q"}).fillna(0)
     return diffs.zero_zero_share(wide, "n_n", "q_n")
 
 

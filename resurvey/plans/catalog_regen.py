@@ -308,13 +308,12 @@ def threshold_table(v: Views):
     "regen_base",
     """
 , p AS (SELECT area, plot, count(DISTINCT event) FILTER (role = 'N') AS n, count(DISTINCT cycle_no) FILTER (role = 'Q') AS q
-        FROM v_regen_base WHERE status <> 3 GROUP BY ALL)
+        FROM v_regen_base GROUP BY ALL)
 SELECT area, count(*) AS units, count(*) FILTER (n > 1) AS resurveyed, sum(q)::BIGINT AS quality_surveys FROM p GROUP BY area""",
 )
 def resurvey_counts(v: Views):
     """F11."""
-    rows = v._regen_base().where(F.col("status") != 3)
-    return regen.resurvey_counts(rows, "area", "plot", "event", "cycle_no", "role")
+    return regen.resurvey_counts(v._regen_base(), "area", "plot", "event", "cycle_no", "role")
 
 
 EVENT = ["event", "area", "plot", "cycle_no", "role"]
@@ -341,12 +340,12 @@ EVENT_N = ["event", "area", "zone", "plot", "cycle_no"]
 _EN = ", ".join(EVENT_N)
 
 
-def _tree_sql(name: str, cond: str, targets: str) -> str:
-    return f"""{name}0 AS (SELECT {_EN}, target, module, count(*) AS trees FROM v_regen_tree
-            WHERE status = 1 AND role = 'N' AND target IN ({targets}) AND {cond} GROUP BY ALL),
-{name} AS (SELECT {_EN}, target, module, coalesce(trees, 0) AS trees
-         FROM (SELECT DISTINCT {_EN} FROM {name}0) CROSS JOIN (SELECT unnest([{targets}]) AS target)
-              CROSS JOIN (SELECT unnest(range(1, 5)) AS module) LEFT JOIN {name}0 USING ({_EN}, target, module))"""
+def _tree_sql(name: str, cond: str, targets: str, keys: str = _EN, role: str = "role = 'N'") -> str:
+    return f"""{name}0 AS (SELECT {keys}, target, module, count(*) AS trees FROM v_regen_tree
+            WHERE status = 1 AND {role} AND target IN ({targets}) AND {cond} GROUP BY ALL),
+{name} AS (SELECT {keys}, target, module, coalesce(trees, 0) AS trees
+         FROM (SELECT DISTINCT {keys} FROM {name}0) CROSS JOIN (SELECT unnest([{targets}]) AS target)
+              CROSS JOIN (SELECT unnest(range(1, 5)) AS module) LEFT JOIN {name}0 USING ({keys}, target, module))"""
 
 
 def small_trees(v: Views):
@@ -371,10 +370,10 @@ def _index_sql(role: str = "role = 'N'", keys: str = _EN, trees: str = "tr") ->
 sx AS (SELECT {keys}, coalesce(sum({seed}) FILTER (target), 0) AS seed_t, coalesce(sum({seed}) FILTER (NOT target), 0) AS seed_o,
               coalesce(sum({sap}) FILTER (target), 0) AS sap_t, coalesce(sum({sap}) FILTER (NOT target), 0) AS sap_o
        FROM v_regen WHERE {role} GROUP BY ALL),
-tx AS (SELECT {_EN}, sum(trees) FILTER (target) AS t, sum(trees) FILTER (NOT target) AS o FROM {trees} GROUP BY ALL),
+tx AS (SELECT {keys}, sum(trees) FILTER (target) AS t, sum(trees) FILTER (NOT target) AS o FROM {trees} GROUP BY ALL),
 ix AS (SELECT {keys}, coalesce(seed_t / nullif(seed_t + seed_o, 0), 0)::DOUBLE AS seed_ratio,
               coalesce((sap_t + coalesce(t, 0)) / nullif(sap_t + coalesce(t, 0) + sap_o + coalesce(o, 0), 0), 0)::DOUBLE AS sap_ratio
-       FROM sx LEFT JOIN tx USING ({_EN}))"""
+       FROM sx LEFT JOIN tx USING ({keys}))"""
 
 
 @query(
@@ -411,8 +410,8 @@ def importance_score(v: Views):
 @query(
     "role_index_difference",
     "regen regen_tree",
-    f""", {_tree_sql('tr', 'dbh BETWEEN 10 AND 15', 'TRUE, FALSE')},
-{_index_sql('TRUE', _EN + ', role', '(SELECT * FROM tr WHERE FALSE)')},
+    f""", {_tree_sql('tr', 'dbh BETWEEN 10 AND 15', 'TRUE, FALSE', _EN + ', role', 'TRUE')},
+{_index_sql('TRUE', _EN + ', role')},
 d AS (SELECT a.seed_ratio + a.sap_ratio - b.seed_ratio - b.sap_ratio AS d
       FROM (FROM ix WHERE role = 'N') a JOIN (FROM ix WHERE role = 'Q') b USING (event))
 SELECT count(*) AS pairs, round_even(avg(d), 6) AS mean_difference, round_even(quantile_cont(d, 0.05), 6) AS p05,
@@ -420,9 +419,9 @@ SELECT count(*) AS pairs, round_even(avg(d), 6) AS mean_difference, round_even(q
 FROM d""",
 )
 def role_index_difference(v: Views):
-    """F17. Corner counts only, since trees are counted in first surveys."""
-    no_trees = small_trees(v).where(F.lit(False)).withColumn("role", F.lit("N"))
-    index = regen.regen_index(v.regen(), no_trees, [*EVENT_N, "role"])
+    """F17, with the trees of both surveys."""
+    trees = regen.module_tree_counts(v.regen_tree(), [*EVENT_N, "role"], 10, 15, [1, 2, 3, 4], role=None)
+    index = regen.regen_index(v.regen(), trees, [*EVENT_N, "role"])
     out = regen.role_index_difference(index, ["event"], "role", "regen_index")
     return rounded(out, 6, "mean_difference", "p05", "p95")
 
@@ -431,7 +430,7 @@ def role_index_difference(v: Views):
     "box_stats",
     "regen",
     """
-, e AS (SELECT event, role, area, target, sum(seed5_15 + sap0_1)::BIGINT AS total FROM v_regen GROUP BY ALL),
+, e AS (SELECT event, role, area, target, sum(seed5_15 + seed15_30 + seed30_50 + seed50_137 + sap0_1 + sap1_25 + sap25_5 + sap5_10)::BIGINT AS total FROM v_regen GROUP BY ALL),
 q AS (SELECT area, target, quantile_cont(total::DOUBLE, 0.25) AS q1, quantile_cont(total::DOUBLE, 0.5) AS median,
              quantile_cont(total::DOUBLE, 0.75) AS q3 FROM e GROUP BY ALL)
 SELECT area, target, q1, median, q3, count(*) AS n,
@@ -442,7 +441,8 @@ FROM e JOIN q USING (area, target) GROUP BY ALL""",
 )
 def box_stats(v: Views):
     """F19."""
-    rows = v.regen().groupBy("event", "role", "area", "target").agg(F.sum(F.col("seed5_15") + F.col("sap0_1")).alias("total"))
+    classes = ["seed5_15", "seed15_30", "seed30_50", "seed50_137", "sap0_1", "sap1_25", "sap25_5", "sap5_10"]
+    rows = v.regen().groupBy("event", "role", "area", "target").agg(F.sum(sum(F.col(c) for c in classes)).alias("total"))
     return regen.box_stats(rows, ["area", "target"], "total")
 
 

@@ -29,9 +29,17 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
 
 
 def exchange_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path for a written table, below the shared folder the cluster names."""
+    """A fresh path for a written table, below the shared folder the cluster names.
+
+    A session whose tasks run in the driver's own process may do without ``spark.checkpoint.dir``
+    and gets a temporary folder; on a cluster an unset folder is an error, since each machine
+    would write to its own disk.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="resurvey-")
     # the JVM makes the unique part, so two callers never share a path
     unique = spark.sparkContext._jvm.java.util.UUID.randomUUID().toString()

@@ -30,6 +30,21 @@ def test_exact_case_against_enumeration(seed):
     assert got["lo2"] / 2 in walsh and got["hi2"] / 2 in walsh and got["lo2"] <= 2 * shift <= got["hi2"]
 
 
+@pytest.mark.parametrize("n", [49, 50, 51, 200])
+def test_exact_at_every_size(n):
+    """Counts of rank sums by an integer recursion, beyond the sizes that can be enumerated."""
+    rng = np.random.default_rng(n)
+    d = np.arange(1, n + 1) * rng.choice([-1, 1], n, p=[0.4, 0.6])
+    ways = [1] + [0] * (n * (n + 1) // 2)
+    for rank in range(1, n + 1):
+        ways = [w + (ways[v - rank] if v >= rank else 0) for v, w in enumerate(ways)]
+    v = int(d[d > 0].sum())
+    low, high = sum(ways[: v + 1]), sum(ways[v:])
+    got = ranktest.signed_rank(np.sort(d), np.ones(n, dtype=np.int64), 0.9)
+    assert got["method"] == "exact" and got["v"] == v
+    assert got["p"] == pytest.approx(min(1.0, 2 * min(low, high) / 2**n), rel=1e-6)
+
+
 def test_all_positive_six_pairs():
     got = ranktest.signed_rank(np.arange(1, 7, dtype=np.int64), np.ones(6, dtype=np.int64), 0.9)
     assert got["v"] == 21 and got["p"] == pytest.approx(2 / 64)
@@ -51,7 +66,7 @@ def test_ties_use_the_normal_form():
     got = ranktest.signed_rank(v, f, 0.9)
     # mean ranks: 15.5 for |1|, 35.5 for |2|, 55.5 for |3|
     assert got["v"] == 30 * 15.5 + 30 * 55.5
-    assert got["p"] < 0.001
+    assert got["p"] < 0.001 and got["method"] == "normal"
 
 
 def test_groups_below_the_minimum_have_no_test(spark):
