@@ -11,7 +11,7 @@ from resurvey.plans.registry import query, rounded, settled, settled_sql
 from resurvey.plans.views import PRIORITY_ITEMS, Views
 
 SEED = 20
-REPS = 100
+REPS, CLUSTER_REPS = 1000, 2000
 LEVELS = ["A", "N", "R"]
 CORNERS = [f"C{i}" for i in range(1, 9)]
 
@@ -460,7 +460,7 @@ c1 AS (SELECT area, plot, box_count AS y FROM boxes WHERE cycle_no = 1),
 un AS (SELECT area, plot, row_number() OVER (PARTITION BY area ORDER BY plot) - 1 AS idx FROM (SELECT DISTINCT area, plot FROM c1)),
 vals AS (SELECT area, plot, y, row_number() OVER (PARTITION BY area, plot ORDER BY y) - 1 AS bidx, count(*) OVER (PARTITION BY area, plot) AS nb FROM c1),
 ar AS (SELECT area, count(*) AS n, {_stratum_sql('area')} AS sid FROM un GROUP BY area),
-{_draws_sql('du', 'ar', 'n', REPS)},
+{_draws_sql('du', 'ar', 'n', CLUSTER_REPS)},
 db AS (SELECT area, rep, n, plot, unnest(range(0, 8)) AS j, i, sid FROM du JOIN un USING (area, idx)),
 nbs AS (SELECT DISTINCT area, plot, nb FROM vals),
 bx2 AS (SELECT area, n, rep, plot, {_state_sql('rep', '(i * 8 + j)', 'sid', SEED + 1)} * nb // {_M} AS bidx
@@ -478,7 +478,7 @@ def cluster_rows(v: Views):
 @query("cluster_bootstrap", "regen", _CB)
 def cluster_bootstrap(v: Views):
     """G3, first cycle, both roles."""
-    out = resample.cluster_bootstrap(cluster_rows(v), ["area"], "plot", "box_count", 8, REPS, SEED)
+    out = resample.cluster_bootstrap(cluster_rows(v), ["area"], "plot", "box_count", 8, CLUSTER_REPS, SEED)
     return rounded(out, 6, "p05", "p50", "p95")
 
 
@@ -637,7 +637,7 @@ def regen_table(v: Views):
 
 @query("regen_table_intervals")
 def regen_table_intervals(v: Views):
-    """F16 with the bootstrap means and limits of G4 and G5 (1000 replicates are for the bench)."""
+    """F16 with the bootstrap means and limits of G4 and G5."""
     index = resample.regen_index_interval(index_corners(v), small_trees(v), STRATA, "event", REPS, SEED)
     importance = resample.importance_interval(importance_corners(v), all_target_trees(v), STRATA, "event", REPS, SEED)
     rename = lambda df, tag: df.withColumnsRenamed({c: f"{tag}_{c}" for c in ("mean", "lo95", "hi95")})
