@@ -4,12 +4,14 @@
 2. Each class has ``BANDS * ROWS`` MinHash samples.  A band of samples names a bucket; the samples
    also fold into an odd sketch, a parity bitmap.  The population count of the XOR of two sketches
    estimates how many samples differ, most precisely where few do.
-3. In each bucket every class is paired with one hub.  Of its hubs, a class is confirmed with the
-   closest by sketch; the links give first components.
-4. Buckets that still hold several components pair their members across components; pairs whose
-   sketches are far apart are dropped, the others confirmed on the full sets.  So no link between
-   components is lost, and a group of thousands of near copies is not paired with itself.
-5. The links of both rounds give the components.
+3. In each bucket every class is paired with the most central one, the hub.  Pairs whose sketches
+   are far apart are dropped.  Of its hubs, a class is confirmed on the full sets first with the
+   closest, then with those outside the component it has come to.
+4. Classes of buckets that still hold several components are paired across components, by the rare
+   shingles that any two linked sets must share; sketches and full sets decide as before.  So no
+   link between components is lost, and a group of thousands of near copies is not paired with
+   itself.
+5. All links give the components.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from resurvey.llm import wordhash
@@ -149,6 +151,47 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("common") >= percent * union).select("a", "b").distinct()
 
 
+def compared(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs with their estimate ``like``, without those that are far apart or too unlike in size."""
+    a = sketches.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
+    b = sketches.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
+    sized = pairs.join(a, "a").join(b, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    rated = sized.select("a", "b", sketch_similarity(F.col("ka"), F.col("kb")).alias("like"))
+    return rated.where(F.col("like") >= percent / 100.0 - SKETCH_SLACK)
+
+
+def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose ends lie in different components."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
+def prefix_pairs(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of ``nodes`` (node, component) across components that can reach ``percent``.
+
+    Two sets that do so have a shingle in common among their first n - ceil(n * percent / 100) + 1,
+    in any common order of shingles, and from the first one on enough shingles are left for the
+    overlap they need.  In the order from rare to frequent, a passage that thousands of texts share
+    comes last and pairs no two of them.
+    """
+    rows = sets.join(nodes, "node").select("node", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    often = rows.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
+    counted = rows.join(often, "s")
+    order = Window.partitionBy("node").orderBy("f", "s")  # one text's shingles
+    # those that no other set has come first and pair nothing
+    single = F.col("n") - F.count("*").over(Window.partitionBy("node"))
+    length = F.floor(F.col("n") * (100 - percent) / 100) + 1
+    heads = counted.withColumn("place", F.row_number().over(order) + single).where(F.col("place") <= length)
+    left_over = F.col("n") - F.col("place") + 1
+    heads = written(heads.select("s", "node", "component", "n", left_over.alias("rest")), "near-heads")
+    left = heads.select("s", *[F.col(c).alias(f"{c}_a") for c in ("node", "component", "n", "rest")])
+    right = heads.select("s", *[F.col(c).alias(f"{c}_b") for c in ("node", "component", "n", "rest")])
+    enough = (100 + percent) * F.least("rest_a", "rest_b") >= percent * (F.col("n_a") + F.col("n_b"))
+    pairs = left.join(right, "s").where((F.col("component_a") < F.col("component_b")) & enough)
+    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per input row: ``key``, ``n_shingles``, ``component_id``, ``kept``.
 
@@ -163,45 +206,37 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     same = [F.first(c).alias(c) for c in ("n", "bands", "sketch")]  # equal in all documents of a class
     classes = written(feats.where("node IS NOT NULL").groupBy("node").agg(F.min("doc").alias("least"), *same), "near-classes")
     entries = classes.select("node", F.explode("bands").alias("bucket"))
-    hubs = (
-        entries.groupBy("bucket")
-        .agg(F.count("*").alias("size"), F.min("node").alias("hub"))
-        .where("size > 1").select("bucket", "hub")
-    )
-    hubs = written(hubs, "near-hubs")
-    members = written(entries.join(hubs, "bucket"), "near-members")
+    shared = written(entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "near-buckets")
+    members = written(entries.join(shared, "bucket"), "near-members")
+    # the hub of a bucket is its most central class: the one that shares most places with others
+    central = members.groupBy("node").agg(F.sum("size").alias("weight"))
+    hubs = members.join(central, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node"))["node"].alias("hub"))
+    stars = members.join(hubs, "bucket").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     sketches = classes.select("node", "n", "sketch")
 
-    def compared(pairs: DataFrame) -> DataFrame:
-        """Pairs with their estimate, without those that are far apart or too unlike in size."""
-        a = sketches.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
-        b = sketches.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
-        sized = pairs.join(a, "a").join(b, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        rated = sized.select("a", "b", sketch_similarity(F.col("ka"), F.col("kb")).alias("like"))
-        return rated.where(F.col("like") >= percent / 100.0 - SKETCH_SLACK)
-
-    stars = members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    best = compared(stars).groupBy("a").agg(
-        F.slice(F.sort_array(F.collect_list(F.struct(F.col("like"), F.col("b"))), False), 1, FIRST_HUBS).alias("near")
-    )  # at most BANDS entries
-    first = written(best.select("a", F.explode("near.b").alias("b")), "near-first")
-
     # the full sets of all classes that share a bucket, each from one of its documents
     wanted = classes.select("node", "least").join(members.select("node").distinct(), "node", "left_semi")
     texts = only(docs, key, text).select(F.col(key).alias("least"), F.encode(text, "UTF-8").alias("text"))
     sets = shingle_sets(texts.join(small_side(written(wanted, "near-wanted")), "least").select("node", "text"))
     sets = written(sets, "near-sets")
-    links = written(confirmed(first, sets, percent), "near-links")
+
+    # first the closest hubs, then the other hubs beyond the components found so far
+    stars = written(compared(stars, sketches, percent), "near-stars")
+    best = stars.groupBy("a").agg(
+        F.slice(F.sort_array(F.collect_list(F.struct("like", "b")), False), 1, FIRST_HUBS).alias("near")
+    )  # at most BANDS entries
+    links = written(confirmed(best.select("a", F.explode("near.b").alias("b")), sets, percent), "near-links")
+    labels = written(connected_components(links, "a", "b"), "near-labels")
+    more = confirmed(across(stars.select("a", "b"), labels), sets, percent)
+    links = written(links.unionByName(more), "near-links")
     labels = written(connected_components(links, "a", "b"), "near-labels")
 
+    # then every pair of classes in different components that can be linked at all
     placed = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    open_ = written(placed.join(split, "bucket"), "near-open")
-    left = open_.select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"))
-    right = open_.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"))
-    across = left.join(right, "bucket").where("ca < cb").select("a", "b").distinct()
-    second = written(compared(across).select("a", "b"), "near-second")
-    more = confirmed(second, sets, percent)
+    open_ = written(placed.join(split, "bucket", "left_semi").select("node", "component").distinct(), "near-open")
+    rest = written(compared(prefix_pairs(sets, open_, percent), sketches, percent).select("a", "b"), "near-rest")
+    more = confirmed(rest, sets, percent)
     labels = connected_components(written(links.unionByName(more), "near-links"), "a", "b")
 
     joined = classes.select("node", "least").join(labels, "node", "left")
