@@ -30,9 +30,11 @@ from resurvey.llm.tokens import CHUNK_BYTES, chunks, pieces_of
 
 # Frequencies add up to 2**SCALE; states lie in [LOW, LOW << 32).
 SCALE, LOW = 20, 1 << 31
-LANES, BLOCK_IDS, CHECKPOINT_STEPS = 1024, 1 << 19, 128
+LANES, BLOCK_IDS, CHECKPOINT_STEPS = 2048, 1 << 19, 128
 FILE_IDS = 8 << 20
 FILES_PER_GROUP = 1000
+# Ids counted at once.
+COUNT_IDS = 1 << 20
 HEADER = struct.Struct("<4sQIIQIIQ")  # magic, bytes up to the CRC, table, documents, ids, lanes, checkpoints, words
 MAGIC = b"RANB"
 
@@ -222,10 +224,15 @@ def _counts(rows: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for packed in batch.column(0):
-                found = np.bincount(unpack(packed.as_py()), minlength=len(total))
-                found[: len(total)] += total
-                total = found
+            held: list[np.ndarray] = []
+            size = 0
+            for i, packed in enumerate(batch.column(0)):
+                held.append(unpack(packed.as_py()))
+                size += len(held[-1])
+                if size > COUNT_IDS or i == len(batch) - 1:
+                    found = np.bincount(np.concatenate(held), minlength=len(total))
+                    found[: len(total)] += total
+                    total, held, size = found, [], 0
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at), pa.array(total[at])], ["symbol", "n"])
 

@@ -66,30 +66,43 @@ class Pieces:
             raise ValueError("a special token holds white space or a mark at which texts are cut")
         self.lengths = lengths
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        (self.line_end,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.known: dict[str, int | bytes] = {}
 
     def _encode(self, new: list[str]) -> None:
         """Learn strings that hold no safe cut, in batches of bounded size."""
         texts = [p[1:] if p[:1] == MARK else " " + p for p in new]
-        start = size = 0
-        for i, s in enumerate(texts):
-            size += len(s)
-            if size >= BATCH_BYTES or i == len(texts) - 1:
-                coded = self.tokenizer.encode_batch_fast(texts[start : i + 1], add_special_tokens=False)
-                if self.lengths:
-                    self.known.update(zip(new[start : i + 1], map(len, coded), strict=True))
-                else:
-                    made = [array(self.code, e.ids).tobytes() for e in coded]
-                    self.known.update(zip(new[start : i + 1], made, strict=True))
-                start, size = i + 1, 0
-
-    def learn(self, seen: set[str]) -> None:
-        if len(self.known) > KEPT_PIECES:
-            self.known.clear()
-        new = seen.difference(self.known)
-        plain = [p for p in new if p.isalpha()]  # letters behind a space: nothing to cut
+        for start, stop in batches_of(texts):
+            coded = self.tokenizer.encode_batch_fast(texts[start:stop], add_special_tokens=False)
+            if self.lengths:
+                self.known.update(zip(new[start:stop], map(len, coded), strict=True))
+            else:
+                made = [array(self.code, e.ids).tobytes() for e in coded]
+                self.known.update(zip(new[start:stop], made, strict=True))
+
+    def _encode_plain(self, new: list[str]) -> None:
+        """Learn words of letters behind a space: many lines of one text, as line ends are tokens of their own."""
+        size = array(self.code).itemsize
+        for start, stop in batches_of(new):
+            words = new[start:stop]
+            ids = self.tokenizer.encode_batch_fast([" " + "\n ".join(words)], add_special_tokens=False)[0].ids
+            ids = np.array(ids, f"<u{size}")
+            ends = np.append(np.flatnonzero(ids == self.line_end), len(ids)).tolist()
+            starts = [0, *[e + 1 for e in ends[:-1]]]
+            if len(ends) != len(words):
+                raise ValueError("the tokenizer joins line ends with words")
+            if self.lengths:
+                self.known.update(zip(words, [e - s for s, e in zip(starts, ends, strict=True)], strict=True))
+            else:
+                data = ids.tobytes()
+                self.known.update(zip(words, [data[size * s : size * e] for s, e in zip(starts, ends, strict=True)], strict=True))
+
+    def learn(self, new: set[str]) -> None:
+        plain = [p for p in new if p.isalpha()]  # nothing to cut
         parts = {p: inner(p) for p in new.difference(plain)}
-        wanted = set().union(plain, *parts.values())
+        wanted = [p for p in set().union(*parts.values()) if p not in self.known]
+        plain += [p for p in wanted if p.isalpha() and p not in new]
+        self._encode_plain(plain)
         self._encode([p for p in wanted if p not in self.known])
         get = self.known.__getitem__
         if self.lengths:
@@ -99,12 +112,26 @@ class Pieces:
 
     def of(self, texts: list[str | None]) -> list:
         """Counts, or ids as bytes, of each text; nothing for NULL and for an empty text."""
+        if len(self.known) > KEPT_PIECES:
+            self.known.clear()
         cut = [cut_text(t) if t else [] for t in texts]
-        self.learn(set().union(*cut))
-        get = self.known.__getitem__
-        if self.lengths:
-            return [sum(map(get, parts)) for parts in cut]
-        return [b"".join(map(get, parts)) for parts in cut]
+        found = [list(map(self.known.get, parts)) for parts in cut]
+        holes = [[i for i, v in enumerate(values) if v is None] if None in values else () for values in found]
+        self.learn({parts[i] for parts, at in zip(cut, holes, strict=True) for i in at})
+        for parts, values, at in zip(cut, found, holes, strict=True):
+            for i in at:
+                values[i] = self.known[parts[i]]
+        return [sum(v) for v in found] if self.lengths else [b"".join(v) for v in found]
+
+
+def batches_of(texts: list[str], limit: int = BATCH_BYTES) -> Iterable[tuple[int, int]]:
+    """Bounds of runs of about ``limit`` characters."""
+    start = size = 0
+    for i, s in enumerate(texts):
+        size += len(s)
+        if size >= limit or i == len(texts) - 1:
+            yield start, i + 1
+            start, size = i + 1, 0
 
 
 _KEPT: dict[tuple[str, bool], Pieces] = {}
