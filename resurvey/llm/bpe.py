@@ -29,7 +29,7 @@ from resurvey.llm.base import only
 from resurvey.llm.tokens import CHUNK_BYTES, MARK, chunks, cut_text
 
 # Text bytes of a block: its distinct words and sequences are held in one task at a time.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 # Buckets of words for each input partition, and their bounds; a bucket's words are held in one task.
 BUCKETS_PER_PARTITION, MIN_BUCKETS, MAX_BUCKETS = 8, 64, 16_384
 # Words of a bucket kept at once; beyond it they are forgotten, which costs time but not results.
@@ -124,23 +124,27 @@ def blocks_of(docs: DataFrame, key: str, text: str, block_bytes: int) -> DataFra
     return only(docs, key, text).mapInArrow(run, "block long, data binary")
 
 
+def _by_bucket(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the words in the order of (bucket, word), and where each bucket begins."""
+    order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+    where = np.fromiter((crc32(w) % buckets for w in words), np.int64, len(words))
+    order = order[np.argsort(where[order], kind="stable")]
+    return order, np.searchsorted(where[order], np.arange(buckets + 1))
+
+
 def bucketed_words(blocks: DataFrame, buckets: int) -> DataFrame:
-    """bucket, block, words: the words of a block in each bucket, with their numbers."""
+    """bucket, block, words: the words of a block in each bucket, in alphabetical order."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = _bytes_to_words(*_unpack(data.as_py())[3:])
-                where = np.fromiter((crc32(w) % buckets for w in words), np.int64, len(words))
-                order = np.argsort(where, kind="stable")
-                borders = np.searchsorted(where[order], np.arange(buckets + 1))
+                order, borders = _by_bucket(words, buckets)
+                ordered = [words[i] for i in order.tolist()]
                 rows = []
                 for b in np.flatnonzero(np.diff(borders)).tolist():
-                    numbers = order[borders[b] : borders[b + 1]]
-                    # neighbours in the alphabet compress well
-                    mine = sorted((words[i], i) for i in numbers.tolist())
-                    sizes = np.array([len(w) for w, _ in mine], np.uint32).tobytes()
-                    rows.append((b, _pack(b"".join([w for w, _ in mine]), sizes, np.array([i for _, i in mine], np.uint32).tobytes())))
+                    mine = ordered[borders[b] : borders[b + 1]]
+                    rows.append((b, _pack(b"".join(mine), np.fromiter(map(len, mine), np.uint32, len(mine)).tobytes())))
                 yield pa.record_batch(
                     [pa.array([b for b, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([w for _, w in rows], pa.binary())],
                     ["bucket", "block", "words"],
@@ -150,27 +154,29 @@ def bucketed_words(blocks: DataFrame, buckets: int) -> DataFrame:
 
 
 def encoded_words(words: DataFrame, ranks_path: str, pattern: str, parts: int) -> DataFrame:
-    """block, ids: for the words of a block in one bucket, their numbers and ids."""
+    """block, bucket, ids: the ids of the words of a block in one bucket, in the order of the words."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        encode = encoder_of(load_ranks(ranks_path), pattern).encode_ordinary
+        ranks = load_ranks(ranks_path)
+        kind = "<u2" if max(ranks.values()) < 1 << 16 else "<u4"
+        size = np.dtype(kind).itemsize
+        encode = encoder_of(ranks, pattern).encode_ordinary
         known: dict[bytes, bytes] = {}
         now = None
         for batch in batches:
             for bucket, block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if bucket != now or len(known) > KEPT_WORDS:
                     known, now = {}, bucket
-                flat, sizes, numbers = _unpack(data.as_py())
-                mine = _bytes_to_words(flat, sizes)
+                mine = _bytes_to_words(*_unpack(data.as_py()))
                 for w in mine:
                     if w not in known:
-                        known[w] = np.array(encode(w.decode()), "<u4").tobytes()
+                        known[w] = np.array(encode(w.decode()), kind).tobytes()
                 ids = [known[w] for w in mine]
-                counts = np.fromiter(map(len, ids), np.uint32, len(ids)) // 4
-                packed = _pack(numbers, counts.tobytes(), b"".join(ids))
-                yield pa.record_batch([pa.array([block], pa.int64()), pa.array([packed], pa.binary())], ["block", "ids"])
+                counts = np.fromiter(map(len, ids), np.uint32, len(ids)) // size
+                packed = _pack(kind, counts.tobytes(), b"".join(ids))
+                yield pa.record_batch([pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([packed], pa.binary())], ["block", "bucket", "ids"])
 
-    return words.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "block long, ids binary")
+    return words.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "block long, bucket int, ids binary")
 
 
 def _gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -198,20 +204,24 @@ def encode_documents(
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows != 1:
             raise ValueError("ids for a block that is not there")
-        keys, counts, planes, _, sizes = _unpack(left.column("data")[0].as_py())
-        n_words = len(sizes) // 4
+        keys, counts, planes, *words = _unpack(left.column("data")[0].as_py())
+        order, borders = _by_bucket(_bytes_to_words(*words), buckets)
+        n_words = len(order)
         starts, lengths = np.zeros(n_words, np.int64), np.full(n_words, -1, np.int64)
         flat, base = [], 0
-        for data in right.column("ids"):
-            numbers, n_ids, coded = _unpack(data.as_py())
-            numbers, n_ids = np.frombuffer(numbers, np.uint32), np.frombuffer(n_ids, np.uint32).astype(np.int64)
+        for b, data in zip(right.column("bucket").to_pylist(), right.column("ids"), strict=True):
+            numbers = order[borders[b] : borders[b + 1]]
+            form, n_ids, coded = _unpack(data.as_py())
+            n_ids = np.frombuffer(n_ids, np.uint32).astype(np.int64)
+            if len(numbers) != len(n_ids):
+                raise ValueError("a bucket came back with other words")
             starts[numbers] = base + np.cumsum(n_ids) - n_ids
             lengths[numbers] = n_ids
-            flat.append(np.frombuffer(coded, "<u4"))
+            flat.append(np.frombuffer(coded, form))
             base += len(flat[-1])
         if (lengths < 0).any():
             raise ValueError("a block has words without ids")
-        flat = np.concatenate(flat or [np.zeros(0, "<u4")])
+        flat = np.concatenate(flat or [np.zeros(0, "<u4")]).astype("<u4", copy=False)
         places = sum(np.frombuffer(p, np.uint8).astype(np.uint32) << np.uint32(8 * k) for k, p in enumerate(planes))
         ends = np.cumsum(np.frombuffer(counts, np.int64))
         out = []
