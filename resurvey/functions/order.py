@@ -43,6 +43,15 @@ def _before(by: Sequence[str], order: str):
     return Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
 
 
+def join_groups(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``by`` in which NULL meets NULL, so that a group with a NULL key is kept."""
+    renamed = right.withColumnsRenamed({c: f"_right_{c}" for c in by})
+    on = F.lit(True)
+    for c in by:
+        on = on & left[c].eqNullSafe(renamed[f"_right_{c}"])
+    return left.join(renamed, on, how).drop(*[f"_right_{c}" for c in by])
+
+
 def running_total(
     df: DataFrame, by: Sequence[str], value: str, weight: str, out: str = "running"
 ) -> DataFrame:

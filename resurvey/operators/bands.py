@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from resurvey.functions.order import exact_quantiles
+from resurvey.functions.order import exact_quantiles, join_groups
 from resurvey.operators.roles import stack_metrics
 
 # ---- fixed values ---------------------------------------------------------------
@@ -45,7 +45,7 @@ def subunit_summary(df: DataFrame, keys: Sequence[str], y: str) -> DataFrame:
     keys = list(keys)
     plain = df.where(F.col(y).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("mean"))
     mid = exact_quantiles(df, keys, y, [0.5], ["median"])
-    return plain.join(mid, keys).select(*keys, "n", "mean", "median")
+    return join_groups(plain, mid, keys).select(*keys, "n", "mean", "median")
 
 
 def _bands(cutoffs: Sequence[float], one_is_concern: bool | None, high_is_good: bool | None):

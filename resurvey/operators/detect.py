@@ -80,6 +80,8 @@ def scaled_detection(
 ) -> DataFrame:
     """Per unit and item the scales and positions seen by N and by Q, as two bit masks, and
     whether ``high`` holds in any row.  One shuffle serves all scales; nothing is exploded."""
+    if len(flags) > 63:
+        raise ValueError("a bit mask holds 63 positions")
     bits = F.lit(0).cast("long")
     for k, col in enumerate(flags.values()):
         bits = bits + F.when(F.col(col), F.lit(1 << k)).otherwise(0)

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from resurvey.functions.order import exact_quantiles, fill_levels, running_total
+from resurvey.functions.order import exact_quantiles, fill_levels, join_groups, running_total
 from resurvey.operators.reshape import complete_grid, pair_by_role
 
 ROLE_MAP = {"N": "n", "Q": "q"}
@@ -194,7 +194,7 @@ def bland_altman(df: DataFrame, n: str, q: str, by: Sequence[str] = ()) -> DataF
     keys = by or ["_all"]
     mean = d.groupBy(*keys).agg(F.count("_d").alias("pairs"), F.avg("_d").alias("bias"))
     limits = exact_quantiles(d, keys, "_d", [0.025, 0.975], ["lower_limit", "upper_limit"])
-    return mean.join(limits, keys).drop("_all")
+    return join_groups(mean, limits, keys).drop("_all")
 
 
 def bland_altman_points(df: DataFrame, n: str, q: str) -> DataFrame:

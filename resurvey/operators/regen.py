@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from resurvey.functions.order import exact_quantiles
+from resurvey.functions.order import exact_quantiles, join_groups
 from resurvey.operators.clean import cycle_display, cycle_label
 from resurvey.operators.reshape import complete_grid, pair_by_role
 
@@ -197,8 +197,7 @@ def box_stats(df: DataFrame, group: Sequence[str], col: str) -> DataFrame:
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col(col) >= F.col("q1") - reach) & (F.col(col) <= F.col("q3") + reach)
     return (
-        df.where(F.col(col).isNotNull())
-        .join(q, group)
+        join_groups(df.where(F.col(col).isNotNull()), q, group)
         .groupBy(*group, "q1", "median", "q3")
         .agg(
             F.count(F.lit(1)).alias("n"),

@@ -8,6 +8,8 @@ from itertools import product
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from resurvey.functions.order import join_groups
+
 
 def pair_by_role(
     df: DataFrame, unit: Sequence[str], role: str, values: Sequence[str], role_map: Mapping[str, str]
@@ -93,7 +95,14 @@ def _joined_grid(df: DataFrame, unit: list[str], levels: Mapping[str, Sequence],
     for name, values in levels.items():
         grid = grid.withColumn(name, F.explode(F.array(*[F.lit(v).cast(df.schema[name].dataType) for v in values])))
     keys = unit + list(levels)
-    return grid.join(df.select(*keys, *measures), keys, "left").fillna(fill, subset=list(measures))
+    listed = F.lit(True)
+    for name, values in levels.items():
+        listed = listed & F.col(name).isin(list(values))
+    stop = F.raise_error(F.lit("complete_grid: more than one row for a unit and level")).cast("boolean")
+    single = F.when(F.count(F.lit(1)) > 1, stop).otherwise(True)
+    rows = df.where(listed).groupBy(*keys).agg(single.alias("_single"), *[F.max(m).alias(m) for m in measures])
+    rows = rows.where("_single").drop("_single")
+    return join_groups(grid, rows, keys, "left").fillna(fill, subset=list(measures))
 
 
 def wide_counts(df: DataFrame, key: Sequence[str], cat: str, levels: Mapping[str, str], value: str | None = None) -> DataFrame:

@@ -129,3 +129,20 @@ def test_both_grains(spark, rows):
     long = bands.two_grains(df, ["unit", "subunit", "period"], "bin")
     got = rows(bands.subunit_summary(long, ["grain", "grain_bin"], "y"))
     assert got == [("bin", "x", 2, 2.0, 2.0), ("subunit", "", 3, 4.0, 3.0)]
+
+
+def test_groups_with_a_null_key_are_kept(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 5.0), (None, 9.0)], "g string, y double")
+    assert {tuple(r) for r in bands.subunit_summary(df, ["g"], "y").collect()} == {("a", 2, 2.0, 2.0), (None, 2, 7.0, 7.0)}
+    pairs = df.withColumn("q", df.y + 1)
+    assert {r.g for r in diffs.bland_altman(pairs, "y", "q", ["g"]).collect()} == {"a", None}
+
+
+@pytest.mark.parametrize("limit", [0, 24])
+def test_both_grids_refuse_duplicates_and_keep_null_units(spark, limit, monkeypatch):
+    monkeypatch.setattr(reshape, "MAX_WIDE_AGGREGATES", limit)
+    df = spark.createDataFrame([("u", 1, 5), (None, 2, 7), ("u", 9, 1), ("u", 9, 1)], "unit string, level int, n long")
+    got = {tuple(r) for r in reshape.complete_grid(df, ["unit"], {"level": [1, 2]}, ["n"]).collect()}
+    assert got == {("u", 1, 5), ("u", 2, 0), (None, 1, 0), (None, 2, 7)}
+    with pytest.raises(Exception, match="more than one row"):
+        reshape.complete_grid(spark.createDataFrame([("u", 1, 5), ("u", 1, 6)], df.schema), ["unit"], {"level": [1, 2]}, ["n"]).collect()
