@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from resurvey.llm.base import only, parts_for, written
+from resurvey.llm.base import mixed, only, parts_for, written
 from resurvey.llm.tokens import CHUNK_BYTES, chunks, pieces_of
 
 # Frequencies add up to 2**SCALE; states lie in [LOW, LOW << 32).
@@ -242,7 +242,7 @@ def _counts(rows: DataFrame) -> DataFrame:
 def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, key: str = "doc_id", text: str = "text", file_ids: int = FILE_IDS) -> None:
     """Write the ids of all texts below ``path``: ``table`` (Parquet) and ``blocks`` (files in key order).
 
-    ``key`` is an integer column; NULL keys come first, equal keys in the order of their ids.  A
+    ``key`` is an integer column; NULL keys come first, equal keys in an order fixed by their ids.  A
     NULL or empty text is one end id; an empty table gives no blocks.  Other columns are not read.
     """
     spark = docs.sparkSession
@@ -250,7 +250,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, key:
     _counts(rows).write.parquet(f"{path}/table")
     coder_of = _coder(spark, path)
     total = rows.agg(F.sum("n")).first()[0] or 0
-    ordered = rows.repartitionByRange(parts_for(total, file_ids), "key", "ids").sortWithinPartitions("key", "ids")
+    # equal keys are told apart by a hash, since Spark samples what it ranges by in the driver
+    ranged = rows.withColumn("tie", mixed("ids")).repartitionByRange(parts_for(total, file_ids), "key", "tie")
+    ordered = ranged.sortWithinPartitions("key", "tie", "ids")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         coder = Coder(coder_of.value)

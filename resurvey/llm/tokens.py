@@ -20,13 +20,14 @@ import pyarrow as pa
 CHUNK_BYTES = 2_000_000
 BATCH_BYTES = 250_000
 # Pieces kept in a worker; beyond it the memory starts anew, which costs time but not results.
-KEPT_PIECES = 1_200_000
+KEPT_PIECES = 2_000_000
 
 AMBIGUOUS = re.compile(r" \s")
 CUT = re.compile(r"(?<=\S)(?= )|(?= \S)")
 # Inside a piece: after a letter or digit in front of these marks, and after a single line end.
 LETTER = "[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"
 INNER = re.compile(rf"(?<={LETTER})(?=[.,!?;:\n])|(?<=\S\n)(?={LETTER})")
+MARKS = frozenset(".,!?;:")
 # Stands in front of a piece that has no space of its own; no valid text contains it.
 MARK = "\ud800"
 
@@ -46,6 +47,8 @@ def cut_text(text: str) -> list[str]:
 
 def inner(piece: str) -> list[str]:
     """A piece cut once more at its marks; the parts are pieces themselves."""
+    if piece[-1:] in MARKS and piece[:-1].isalpha() and piece[-2] < "\u0250":
+        return [piece[:-1], MARK + piece[-1]]  # a word behind a space and one mark
     first, *rest = INNER.split(piece[1:] if piece[:1] == MARK else " " + piece)
     return [first[1:] if first[:1] == " " and len(first) > 1 else MARK + first, *[MARK + p for p in rest]]
 
