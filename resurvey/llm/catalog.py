@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from resurvey.llm import bpe, decontam, line_dedup, near_dedup, quality, rans, shards, token_counts, toxicity, warc
-from resurvey.llm.base import ORACLES, QUERIES, fresh_path, query, table
+from resurvey.llm.base import ORACLES, QUERIES, fresh_path, query, table, written
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -118,7 +118,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "archives")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
-    records = warc.read_records(spark, path, with_payload=False)
+    # three joins read the records, so they are parsed once
+    records = written(warc.read_records(spark, path, with_payload=False), "warc-records")
     return warc.page_digests(warc.captures(records))
 
 

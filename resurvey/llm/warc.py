@@ -25,6 +25,8 @@ REVISIT_BYTES = 1000
 DATE = "2024-01-01T00:00:00Z"
 RECORDS_PER_FILE = 30_000
 MEMBER_BYTES = (16 << 20) - 1
+# Compressed bytes handed to the library at once.
+INFLATE_BYTES = 1 << 13
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -125,18 +127,22 @@ def inflate(data: bytes) -> Iterator[bytes]:
     if data[:2] != b"\x1f\x8b":
         yield data
         return
-    while data:
-        member = zlib.decompressobj(31)
-        yield member.decompress(data)
-        if not member.eof:
-            raise ValueError("the archive ends inside a record")
-        data = member.unused_data
+    view, at = memoryview(data), 0
+    while at < len(view):
+        member, parts = zlib.decompressobj(31), []
+        while not member.eof:
+            if at >= len(view):
+                raise ValueError("the archive ends inside a record")
+            step = view[at : at + INFLATE_BYTES]  # what lies behind the member is copied, so not all of the rest
+            parts.append(member.decompress(step))
+            at += len(step) - len(member.unused_data)
+        yield b"".join(parts)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (names in lower case) and block of each record, found by its stated length."""
     rest = b""
-    for part in inflate(memoryview(data).tobytes()):
+    for part in inflate(data):
         rest += part
         at = 0
         while True:
