@@ -22,8 +22,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines go, documents stay; n_chars follows the text."""
-    cleaned = line_dedup.remove_boilerplate(only(docs, *DOCUMENT_COLUMNS))
+    """Boilerplate lines go, except from copies of whole documents; documents stay; n_chars follows the text."""
+    cleaned = line_dedup.remove_boilerplate(only(docs, *DOCUMENT_COLUMNS), copies_only=True)
     return line_dedup.with_length(only(cleaned, *DOCUMENT_COLUMNS))
 
 

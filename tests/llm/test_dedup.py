@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from resurvey.llm import line_dedup, near_dedup, wordhash
 from resurvey.llm.components import connected_components
 
@@ -179,5 +180,28 @@ def test_boilerplate_lines(spark, corner_rows, min_sites):
     assert any(k[4] for k in got)
 
 
+def test_boilerplate_above_half_goes_from_all_but_copies(spark):
+    menu, foot = "the same long menu on every page " * 3, "the same long foot on every page " * 3
+    rows = [(i, f"{menu}\nown line {i}\n\n{foot}", f"site{i}") for i in range(6)]
+    rows += [(i, f"{menu}\n{foot}" if i % 2 else f" {menu}\n\n{foot}", f"site{i % 3}") for i in range(10, 14)]  # copies
+    rows += [(i, f"{menu}\nowned by two\n{foot}", f"site{i % 3}") for i in (15, 16)]  # copies with a line of their own
+    rows += [(20, f"{foot}\n{menu}", "site0"), (20, f"{foot}\n{menu}", "site0")]  # a repeated row is no other document
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = Counter(map(tuple, line_dedup.remove_boilerplate(docs, copies_only=True).select("doc_id", "text", "n_removed").collect()))
+    want = Counter((i, f"own line {i}\n", 2) for i in range(6))
+    want += Counter((i, text, 0) for i, text, _ in rows if 10 <= i < 14)
+    assert got == want + Counter({(15, "owned by two", 2): 1, (16, "owned by two", 2): 1, (20, "", 2): 2})
+    assert all(r.n_removed == 0 for r in line_dedup.remove_boilerplate(docs).collect())
+
+
+def test_pipeline_removes_boilerplate_above_half(spark):
+    menu = "the same long menu on every page " * 3
+    docs = spark.createDataFrame(
+        [(i, f"{menu}\nown line {i}", "en", f"site{i}", 1) for i in range(6)], "doc_id long, text string, lang string, source string, n_chars long"
+    )
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_stage(spark, docs, "").collect()}
+    assert got == {i: (f"own line {i}", 10) for i in range(6)}
+
+
 def test_boilerplate_of_nothing(nothing):
     assert line_dedup.remove_boilerplate(nothing).collect() == []
