@@ -3,9 +3,10 @@
 A text's terms are its distinct words and beginnings of words, hashed to 32 bits.  Document counts
 of every term over all labelled training rows pick the terms that tell the labels apart; a
 factorization machine over these learns a weight for each term and, through a short vector per
-term, one for each pair of terms, so that two harmless terms can be harmful together.  It is
-fitted on a bounded sample of training rows (``SAMPLE_ROWS``) in the driver: at most that many
-rows of at most ``TERMS`` bits.
+term, one for each pair of terms, so that two harmless terms can be harmful together.  A second
+machine over all terms, hashed to ``SLOTS`` columns, learns what the first leaves unexplained:
+terms that say nothing alone have their pairs there.  Both are fitted on a bounded sample of
+training rows (``SAMPLE_ROWS``) in the driver.
 """
 
 from __future__ import annotations
@@ -30,6 +31,12 @@ LEAST_DOCUMENTS, LEAST_CHI = 5, 20.0
 HEADS = (4, 5, 6, 7, 8)
 SIZES = 20  # terms for the number of distinct words, by powers of two
 EPOCHS, BATCH, RATE, DECAY, SEED = 40, 256, 0.05, 1e-4, 5
+# The second machine: columns, length of a vector, passes; step and absolute pull to zero of the
+# weights, step of the vectors, relative pull of both; size of the first vectors, bound of a step.
+SLOTS, REST_RANK, REST_EPOCHS = 1 << 20, 4, 30
+REST_RATE, REST_PULL, REST_PACE, REST_DECAY, REST_START, REST_BOUND = 0.1, 0.3, 0.3, 0.6, 0.03, 5.0
+# The pairs of a text with more terms count by this number over its terms, so that long texts do not drown in them.
+REST_TERMS = 32
 KEPT_WORDS = 400_000
 HELD_OUT = 5
 
@@ -81,11 +88,49 @@ class Model:
     weights: np.ndarray
     vectors: np.ndarray
 
-    def score(self, columns: Iterable[int]) -> float:
+    def logit(self, columns: Iterable[int]) -> float:
         at = np.fromiter(columns, np.int64)
         v = self.vectors[at]
-        z = self.bias + self.weights[at].sum() + 0.5 * float((v.sum(0) ** 2 - (v**2).sum(0)).sum())
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        return float(self.bias + self.weights[at].sum() + 0.5 * (v.sum(0) ** 2 - (v**2).sum(0)).sum())
+
+    def score(self, columns: Iterable[int]) -> float:
+        return float(_share(self.logit(columns)))
+
+
+@dataclass
+class Rest:
+    weights: np.ndarray
+    vectors: np.ndarray
+
+    def logit(self, at: np.ndarray) -> float:
+        v = self.vectors[at]
+        return float(self.weights[at].sum() + 0.5 * (v.sum(0) ** 2 - (v**2).sum(0)).sum() * min(1, REST_TERMS / max(1, len(at))))
+
+
+@dataclass
+class Machines:
+    """The machine over picked terms and the one over all terms; a text's logits add up."""
+
+    first: Model
+    used: np.ndarray  # columns of the second machine that a term of enough documents has
+    rest: Rest
+
+    def score(self, terms: Terms, text: str | None) -> float:
+        n, slots = _columns(terms, text, self.first.numbers, self.used)
+        return float(_share(self.first.logit(n) + self.rest.logit(slots)))
+
+
+def _share(z: float | np.ndarray) -> float | np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _columns(terms: Terms, text: str | None, numbers: dict[int, int], used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Columns of a text in the first and in the second machine; ``terms`` gives hashes."""
+    found = terms(text)
+    n = [numbers[x] for x in found if x in numbers]
+    n.append(len(numbers) + min(len(distinct_words(text)).bit_length(), SIZES - 1))
+    slots = np.unique(np.fromiter(found, np.int64, len(found)) % SLOTS)
+    return np.array(n, np.int32), slots[used[slots]].astype(np.int32)
 
 
 def fit(x: np.ndarray, y: np.ndarray, numbers: dict[int, int], epochs: int = EPOCHS, seed: int = SEED) -> Model:
@@ -123,6 +168,44 @@ def fit(x: np.ndarray, y: np.ndarray, numbers: dict[int, int], epochs: int = EPO
     return Model(numbers, float(params[0][0]), params[1], params[2])
 
 
+def fit_rest(rows: list[np.ndarray], y: np.ndarray, offset: np.ndarray, size: int = SLOTS, seed: int = SEED) -> Rest:
+    """Fit by gradient steps on the log loss, beside the logits ``offset``; a row lists its columns, each once."""
+    rng = np.random.Generator(np.random.PCG64(seed))
+    w, v = np.zeros(size, np.float32), rng.normal(0, REST_START, (size, REST_RANK)).astype(np.float32)
+    gw = np.full(size, 1e-8, np.float32)
+    order = rng.permutation([i for i, r in enumerate(rows) if len(r)]).astype(np.int64)
+    parts = []
+    for start in range(0, len(order), BATCH):
+        part = order[start : start + BATCH]
+        length = np.array([len(rows[i]) for i in part])
+        at, inverse = np.unique(np.concatenate([rows[i] for i in part]), return_inverse=True)
+        inverse = inverse.astype(np.int32)
+        by_column = np.argsort(inverse, kind="stable").astype(np.int32)
+        begin = np.searchsorted(inverse[by_column], np.arange(len(at)))
+        row = np.repeat(np.arange(len(part), dtype=np.int32), length)[by_column]
+        parts.append((part, at, inverse, np.cumsum(length) - length, row, begin, np.minimum(1, REST_TERMS / length).astype(np.float32)))
+    for _ in range(REST_EPOCHS if len(set(y.tolist())) > 1 else 0):
+        for k in rng.permutation(len(parts)):
+            part, at, inverse, first, row, begin, scale = parts[k]
+            wa, va = w[at], v[at]
+            sums = np.add.reduceat(va[inverse], first)
+            own = np.add.reduceat((va**2).sum(1)[inverse], first)
+            z = offset[part] + np.add.reduceat(wa[inverse], first) + 0.5 * scale * ((sums**2).sum(1) - own)
+            e = (_share(z) - y[part]).astype(np.float32)
+            g = np.add.reduceat(e[row], begin)
+            # the bound keeps the steps of long texts from running away
+            root = np.sqrt(scale)[:, None]
+            pull = e[:, None] * root * np.clip(root * sums, -REST_BOUND, REST_BOUND)
+            h = np.add.reduceat(pull[row], begin) - va * np.add.reduceat((e * scale)[row], begin)[:, None] + REST_DECAY * va
+            g += REST_DECAY * wa
+            gw[at] += g * g
+            pace = REST_RATE / np.sqrt(gw[at])
+            wa = wa - pace * g
+            w[at] = np.sign(wa) * np.maximum(np.abs(wa) - REST_PULL * pace, 0)
+            v[at] = va - REST_PACE / len(part) * h
+    return Rest(w, v)
+
+
 def held_out(key: str) -> Column:
     """Documents whose labels are not learned from: crc32 of the key as text, modulo 5, is 0."""
     return F.coalesce(F.crc32(F.encode(F.col(key).cast("string"), "UTF-8")) % HELD_OUT == 0, F.lit(False))
@@ -156,7 +239,7 @@ def _counted(pos: list[np.ndarray], neg: list[np.ndarray]) -> pa.RecordBatch:
     )
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, sample_rows: int = SAMPLE_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, sample_rows: int = SAMPLE_ROWS) -> Machines:
     known = only(labels, key, label).where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(key))
     known = known.groupBy(key).agg(F.max((F.col(label) == 1).cast("int")).alias("y"))
     rows = only(docs, key, text).where(F.col(text).isNotNull()).join(known, key)
@@ -164,28 +247,37 @@ def train(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, s
     totals = rows.agg(F.count("*").alias("n"), F.sum("y").alias("toxic")).first()  # one row
     n, toxic = float(totals["n"]), float(totals["toxic"] or 0)
     if not 0 < toxic < n:
-        return fit(np.zeros((int(n > 0), SIZES)), np.array([float(toxic > 0)] * int(n > 0)), {})
+        none = Rest(np.zeros(SLOTS, np.float32), np.zeros((SLOTS, 0), np.float32))
+        return Machines(fit(np.zeros((int(n > 0), SIZES)), np.array([float(toxic > 0)] * int(n > 0)), {}), np.zeros(SLOTS, bool), none)
     a, c = F.col("toxic").cast("double"), F.col("n").cast("double")
     # chi square of the two by two table of term and label
     chi = n * F.pow(a * (n - toxic) - (c - a) * toxic, F.lit(2.0)) / (c * (n - c + 0.5) * toxic * (n - toxic))
-    picked = (
-        term_counts(rows).where(F.col("n") >= LEAST_DOCUMENTS).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI)
-        .orderBy(F.desc("chi"), "term").limit(TERMS).collect()
-    )
+    counts = written(term_counts(rows).where(F.col("n") >= LEAST_DOCUMENTS), "toxic-terms")
+    picked = counts.withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "term").limit(TERMS).collect()
     numbers = {r["term"]: i for i, r in enumerate(picked)}
+    used = np.zeros(SLOTS, bool)
+    used[counts.select((F.col("term") % SLOTS).alias("slot")).distinct().toArrow().column("slot").to_numpy()] = True
+    shared = docs.sparkSession.sparkContext.broadcast((numbers, used))
 
     def bits(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        terms = Terms(numbers)
+        terms = Terms()
+        kind = pa.list_(pa.int32())
         for batch in batches:
-            at = [np.fromiter(terms(t.as_py()), np.int32) for t in batch.column("text")]
-            yield pa.record_batch([pa.array(at, pa.list_(pa.int32())), batch.column("y")], ["at", "y"])
+            both = [_columns(terms, t.as_py(), *shared.value) for t in batch.column("text")]
+            yield pa.record_batch(
+                [pa.array([x for x, _ in both], kind), pa.array([x for _, x in both], kind), batch.column("y")], ["at", "slots", "y"]
+            )
 
     sample = rows.select("id", mixed("id").alias("o")).orderBy("o", "id").limit(sample_rows).select("id").distinct()
-    found = rows.join(sample, "id", "left_semi").orderBy("id").select("text", "y").mapInArrow(bits, "at array<int>, y int").toArrow()
+    found = rows.join(sample, "id", "left_semi").orderBy("id").select("text", "y")
+    found = found.mapInArrow(bits, "at array<int>, slots array<int>, y int").toArrow()
     x = np.zeros((len(found), len(numbers) + SIZES), np.uint8)
     for i, at in enumerate(found.column("at")):
         x[i, at.values.to_numpy()] = 1
-    return fit(x, found.column("y").to_numpy().astype(float), numbers)
+    y = found.column("y").to_numpy().astype(float)
+    first = fit(x, y, numbers)
+    offset = np.array([first.logit(np.flatnonzero(r)) for r in x])
+    return Machines(first, used, fit_rest([r.values.to_numpy() for r in found.column("slots")], y, offset))
 
 
 def toxicity(
@@ -205,9 +297,9 @@ def toxicity(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         m = shared.value
-        terms = Terms(m.numbers)
+        terms = Terms()
         for batch in batches:
-            scores = [m.score(terms(t.as_py())) for t in batch.column(1)]
+            scores = [m.score(terms, t.as_py()) for t in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(scores, pa.float64())], ["id", "score"])
 
     scored = only(docs, key, text).mapInArrow(run, f"id {kind}, score double")

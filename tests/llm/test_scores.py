@@ -82,6 +82,21 @@ def test_machine_learns_pairs():
     assert (got == (y == 1)).mean() > 0.95
 
 
+def test_toxicity_of_pairs_whose_terms_say_nothing_alone(spark):
+    """Toxic where just one of two words stands: neither has a chi square, so no term is picked for it."""
+    rng = np.random.default_rng(1)
+    docs, labels = [], []
+    for i in range(4000):
+        a, b = i % 2, i // 2 % 2  # each of the four cases equally often
+        words = [f"{'qwertyuiop'[k // 10]}{'asdfghjklz'[k % 10]}" for k in rng.choice(100, 15, replace=False)]
+        docs.append((i, " ".join([*words, *["dog"] * a, *["cat"] * b])))
+        labels.append((i, a ^ b))
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    t = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity.toxicity(d, t).where("held_out").join(t, "doc_id").collect()
+    assert len(got) > 500 and np.mean([r.predicted == r.toxic for r in got]) > 0.95
+
+
 def test_toxicity_corner_cases(spark, corner, corner_rows, nothing):
     labels = spark.createDataFrame([(i, i % 2) for i in range(24)] + [(None, 1), (2, None), (2, 1)], "doc_id long, toxic int")
     got = toxicity.toxicity(corner, labels).collect()
