@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resurvey.llm import bpe, decontam, line_dedup, near_dedup, quality, rans, shards, token_counts, toxicity, warc
+from resurvey.llm import bpe, decontam, line_dedup, near_dedup, quality, rans, shards, token_counts, toxicity, warc, whitening
 from resurvey.llm.base import ORACLES, QUERIES, fresh_path, query, table, written
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -127,3 +127,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
