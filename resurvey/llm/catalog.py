@@ -6,13 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resurvey.llm import bpe, decontam, line_dedup, near_dedup, quality, rans, shards, token_counts, toxicity, warc, whitening
+from resurvey.llm import bpe, decontam, line_dedup, near_dedup, packing, quality, rans, shards, token_counts, toxicity, warc, whitening
 from resurvey.llm.base import ORACLES, QUERIES, fresh_path, query, table, written
 
 __all__ = ["ORACLES", "QUERIES"]
 
 SHARDS = 16
 END_ID = 2
+PACKED_END_ID = 1
 
 
 @query("op1_kd_shards")
@@ -133,3 +134,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = whitening.whiten(table(spark, sf_dir, "embeddings"))
     return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+@query("op11_cost_balanced_packing")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), PACKED_END_ID, with_ids=False)
