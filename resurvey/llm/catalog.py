@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resurvey.llm import bpe, decontam, line_dedup, near_dedup, packing, quality, rans, shards, token_counts, toxicity, warc, whitening
+from resurvey.llm import alignment, bpe, decontam, line_dedup, near_dedup, packing, quality, rans, shards, token_counts, toxicity, warc, whitening
 from resurvey.llm.base import ORACLES, QUERIES, fresh_path, query, table, written
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -140,3 +140,10 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), PACKED_END_ID, with_ids=False)
+
+
+@query("op13_tokenizer_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found, _ = alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found
