@@ -34,6 +34,8 @@ HALF = 62
 # An eigenvalue below this share of the largest is zero: its component cannot be scaled.
 ZERO_SHARE = 1e-14
 SWEEPS = 40
+# Sweeps without a smaller error after which they end; a cluster that comes apart may raise it once.
+PATIENCE = 3
 Wide = np.longdouble
 
 
@@ -149,17 +151,22 @@ def eigen(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     x = np.linalg.eigh(a.astype(np.float32))[1].astype(Wide)
     one = np.eye(d, dtype=Wide)
     spread = np.sqrt((a * a).sum())
-    best, last = None, np.inf
+    best, last, idle = None, np.inf, 0
     for _ in range(SWEEPS):
         r = one - x.T @ x
         s = x.T @ (a @ x)
+        s = (s + s.T) / 2  # else its rounding, over a small gap, costs orthogonality
         values = np.diag(s) / (1 - np.diag(r))
         off = s - np.diag(values)
         error = float(np.sqrt((off * off).sum()) + np.sqrt((r * r).sum()))
-        if error >= last:  # what is left is rounding
+        if error < last:
+            best, last, idle = (values, x.copy()), error, 0
+        else:
+            idle += 1
+        if idle > PATIENCE:  # what is left is rounding
             break
-        best, last = (values, x), error
         close = 2 * (np.sqrt((off * off).sum()) + spread * np.sqrt((r * r).sum()))
+        close = max(close, 64 * np.finfo(Wide).eps * spread)  # nearer ones differ by rounding only
         gap = values[None, :] - values[:, None]
         near = np.abs(gap) <= close
         step = np.where(near, r / 2, (s + values[None, :] * r) / np.where(near, Wide(1), gap))
@@ -170,8 +177,9 @@ def eigen(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             inner = own.T @ (a @ own - shift * own)
             scale = np.abs(inner).max()
             if scale > 0:
-                turn = np.linalg.eigh(((inner + inner.T) / (2 * scale)).astype(np.float64))[1]
-                x[:, at] = own @ turn.astype(Wide)
+                turn = np.linalg.eigh(((inner + inner.T) / (2 * scale)).astype(np.float64))[1].astype(Wide)
+                turn = turn @ (3 * np.eye(len(at), dtype=Wide) - turn.T @ turn) / 2  # orthogonal beyond double precision
+                x[:, at] = own @ turn
     values, x = best
     order = np.argsort(-values, kind="stable")
     x = x[:, order] / np.sqrt((x[:, order] ** 2).sum(0))
