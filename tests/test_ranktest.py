@@ -1,4 +1,6 @@
 import itertools
+import math
+import time
 
 import numpy as np
 import pytest
@@ -42,7 +44,55 @@ def test_exact_at_every_size(n):
     low, high = sum(ways[: v + 1]), sum(ways[v:])
     got = ranktest.signed_rank(np.sort(d), np.ones(n, dtype=np.int64), 0.9)
     assert got["method"] == "exact" and got["v"] == v
-    assert got["p"] == pytest.approx(min(1.0, 2 * min(low, high) / 2**n), rel=1e-6)
+    assert got["p"] == pytest.approx(min(1.0, 2 * min(low, high) / 2**n), rel=1e-11)
+
+
+def subsets(n):
+    ways = [1] + [0] * (n * (n + 1) // 2)
+    for rank in range(1, n + 1):
+        for v in range(len(ways) - 1, rank - 1, -1):
+            ways[v] += ways[v - rank]
+    return list(itertools.accumulate(ways))
+
+
+@pytest.mark.parametrize("n", [*range(1, 21), 90])
+def test_tails_by_counting(n):
+    """All tails against whole-number counts of subsets, by both methods where both apply."""
+    upto = subsets(n)
+    for v in range(len(upto)):
+        want = math.log(upto[v]) - n * math.log(2)
+        assert ranktest.null_log_tail(n, v) == pytest.approx(want, abs=1e-11)
+        if n == 90 and 700 < v < len(upto) // 2 and v % 50 == 0:
+            assert ranktest._tilted_log_tail(n, v) == pytest.approx(want, abs=1e-9)
+    for p in (0.5, 0.05, 0.005):
+        at = ranktest.null_quantile(n, p)
+        assert upto[at] >= p * 2**n * (1 - 1e-12) and (at == 0 or upto[at - 1] < p * 2**n * (1 + 1e-12))
+
+
+def test_ten_thousand_pairs():
+    n, rng = 10_000, np.random.default_rng(1)
+    start = time.perf_counter()
+    d = np.sort(np.arange(1, n + 1) * rng.choice([-1, 1], n, p=[0.48, 0.52]))
+    got = ranktest.signed_rank(d, np.ones(n, dtype=np.int64), 0.9)
+    assert time.perf_counter() - start < 2
+    assert got["method"] == "exact" and 0 < got["p"] < 1 and got["lo2"] < got["shift2"] < got["hi2"]
+    # far out, p itself is too small for a double; the tilted value meets the counted one at the border
+    far = ranktest.signed_rank(np.arange(1, n + 1), np.ones(n, dtype=np.int64), 0.9)
+    assert far["p"] == 0.0 and far["log_p"] == pytest.approx((1 - n) * math.log(2))
+    assert ranktest._tilted_log_tail(n, ranktest.COUNTED) == pytest.approx(ranktest.null_log_tail(n, ranktest.COUNTED), rel=1e-11)
+    # near the middle the normal approximation is good
+    half = n * (n + 1) / 4
+    sigma = math.sqrt(n * (n + 1) * (2 * n + 1) / 24)
+    for z in (0.1, 1, 2, 4):
+        v = int(half - z * sigma)
+        assert ranktest.null_log_tail(n, v) == pytest.approx(math.log(math.erfc((half - v - 0.5) / sigma / math.sqrt(2)) / 2), rel=1e-3)
+
+
+def test_normal_tail_stays_finite():
+    v = np.repeat(np.arange(1, 20_001, dtype=np.int64), 1)
+    got = ranktest.signed_rank(v, np.full(len(v), 3, dtype=np.int64), 0.9)
+    assert got["method"] == "normal" and got["p"] == 0.0 and -1e6 < got["log_p"] < -1e4
+    assert ranktest._log_erfc(19.999999) == pytest.approx(ranktest._log_erfc(20.000001), rel=1e-5)
 
 
 def test_all_positive_six_pairs():
