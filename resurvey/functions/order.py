@@ -8,6 +8,8 @@ one group holds a large share of the rows.  The helpers here work at two levels:
    form of the value, so this is an ordinary map-side combined aggregate;
 2. a running total over the *buckets* (at most a few ten thousand per group) gives every
    bucket its offset, and the exact work is done inside single buckets.
+
+Groups with a NULL in their keys are groups like others.
 """
 
 from __future__ import annotations
@@ -17,10 +19,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A group above this many rows is hot: it takes the two-level path.
-HOT_ROWS = 1_000_000
+from resurvey.session import exchange_dir
+
 # Hot keys are broadcast up to this many of them (a key row is well below 100 bytes).
 BROADCAST_GROUPS = 50_000
+# Levels of a gap that one row expands to.
+GAP_LEVELS = 1 << 16
 # Leading decimal digits kept by the coarse bucket: 9,000 buckets per power of ten.
 COARSE_DIGITS = 3
 
@@ -57,7 +61,7 @@ def running_total(
 ) -> DataFrame:
     """Running sum of ``weight`` in ``value`` order within ``by``; one row per (by, value).
 
-    ``by`` columns and ``value`` must not be NULL.
+    ``value`` must not be NULL.
     """
     by = list(by)
     rows = df.withColumn("_bucket", coarse_key(F.col(value)))
@@ -69,19 +73,14 @@ def running_total(
     )
     inside = Window.partitionBy(*by, "_bucket").orderBy(value)
     inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        rows.withColumn("_inside", F.sum(weight).over(inside))
-        .join(offsets, by + ["_bucket"])
-        .withColumn(out, F.col("_inside") + F.col("_offset"))
-        .drop("_bucket", "_inside", "_offset")
-    )
+    rows = join_groups(rows.withColumn("_inside", F.sum(weight).over(inside)), offsets, by + ["_bucket"])
+    return rows.withColumn(out, F.col("_inside") + F.col("_offset")).drop("_bucket", "_inside", "_offset")
 
 
 def number_rows(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence, out: str) -> DataFrame:
     """Row number from 1 within ``by``; ``bucket`` must be non-decreasing along ``order``.
 
-    Rows with a NULL bucket come first, as NULLs do in an ascending order.  ``by`` columns must
-    not be NULL.
+    Rows with a NULL bucket come first, as NULLs do in an ascending order.
     """
     by = list(by)
     rows = df.withColumn("_bucket", F.coalesce(bucket.cast("long"), F.lit(-(2**63)).cast("long")))
@@ -92,12 +91,8 @@ def number_rows(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequenc
         .drop("_n")
     )
     inside = Window.partitionBy(*by, "_bucket").orderBy(*order)
-    return (
-        rows.withColumn("_inside", F.row_number().over(inside))
-        .join(offsets, by + ["_bucket"])
-        .withColumn(out, (F.col("_inside") + F.col("_offset")).cast("long"))
-        .drop("_bucket", "_inside", "_offset")
-    )
+    rows = join_groups(rows.withColumn("_inside", F.row_number().over(inside)), offsets, by + ["_bucket"])
+    return rows.withColumn(out, (F.col("_inside") + F.col("_offset")).cast("long")).drop("_bucket", "_inside", "_offset")
 
 
 def split_hot(df: DataFrame, by: Sequence[str], limit: int) -> tuple[DataFrame, DataFrame | None]:
@@ -105,7 +100,7 @@ def split_hot(df: DataFrame, by: Sequence[str], limit: int) -> tuple[DataFrame,
 
     One counting job runs first and brings back the number of hot groups, nothing else.
     Without any, the data need no join at all; a checked number of them is broadcast; more
-    than that are joined by shuffle.  ``by`` columns must not be NULL.
+    than that are joined by shuffle.
     """
     by = list(by)
     hot = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
@@ -114,43 +109,42 @@ def split_hot(df: DataFrame, by: Sequence[str], limit: int) -> tuple[DataFrame,
         return df, None
     if count <= BROADCAST_GROUPS:
         hot = F.broadcast(hot)
-    return df.join(hot.select(*by), by, "left_anti"), df.join(hot, by)
+    return join_groups(df, hot.select(*by), by, "left_anti"), join_groups(df, hot, by)
 
 
-def exact_quantiles(
-    df: DataFrame,
-    by: Sequence[str],
-    value: str,
-    probs: Sequence[float],
-    names: Sequence[str],
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Exact linearly interpolated quantiles (R type 7) of ``value`` per ``by``.
+def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """``by``, ``_v`` (distinct values, NULL left out), ``_f`` (how many rows have it).
 
-    NULL values are ignored.  Groups up to ``hot_rows`` rows use the built-in ``percentile``;
-    larger ones never meet in one buffer (``_hot_quantiles``).
+    What summaries and quantiles of a group need, in one scan: a shuffle by group *and* value, which
+    no large group can skew.  Its consumers share that shuffle.
+    """
+    rows = df.select(*by, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
+    return rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_f"))
+
+
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """Exact linearly interpolated quantiles (R type 7) of ``value`` per ``by``; NULL values are ignored."""
+    return quantiles_of_counts(value_counts(df, by, value), by, probs, names)
+
+
+def count_and_mean(n: str = "n", mean: str = "mean") -> list[Column]:
+    """Aggregates over ``value_counts``: number of values, and their mean, exact up to one division for decimals."""
+    return [F.sum("_f").alias(n), (F.sum(F.col("_v") * F.col("_f")).cast("double") / F.sum("_f")).alias(mean)]
+
+
+def quantiles_of_counts(freq: DataFrame, by: Sequence[str], probs: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """Exact quantiles (R type 7) per ``by`` of a table of ``value_counts``.
+
+    Counts per coarse bucket say which buckets hold a wanted rank; only their values are ranked.  No
+    group is ever gathered, nothing is counted before the plan runs.
     """
     by = list(by)
-    rows = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    small, large = split_hot(rows, by, hot_rows)
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
-    out = small.groupBy(*by).agg(F.percentile("_v", wanted).alias("_q"))
-    out = out.select(*by, *[F.col("_q")[i].alias(name) for i, name in enumerate(names)])
-    if large is None:
-        return out
-    return out.unionByName(_hot_quantiles(large.drop("_n"), by, probs, names))
-
-
-def _hot_quantiles(df: DataFrame, by: list[str], probs: Sequence[float], names: Sequence[str]) -> DataFrame:
-    """Quantiles of ``_v`` in two passes: rows are counted per coarse bucket, then only the
-    buckets that hold a wanted rank are read again.  No group is ever gathered."""
-    rows = df.withColumn("_bucket", coarse_key(F.col("_v")))
-    whole = Window.partitionBy(*by)
+    rows = freq.withColumn("_v", F.col("_v").cast("double")).withColumn("_bucket", coarse_key(F.col("_v")))
     buckets = (
         rows.groupBy(*by, "_bucket")
-        .agg(F.count(F.lit(1)).alias("_w"))
+        .agg(F.sum("_f").alias("_w"))
         .withColumn("_offset", F.coalesce(F.sum("_w").over(_before(by, "_bucket")), F.lit(0)))
-        .withColumn("_n", F.sum("_w").over(whole))
+        .withColumn("_n", F.sum("_w").over(Window.partitionBy(*by)))
     )
     # position p*(n-1): the rank below (even slots) and the rank above (odd slots), from 1
     ranks = []
@@ -163,12 +157,7 @@ def _hot_quantiles(df: DataFrame, by: list[str], probs: Sequence[float], names:
     picks = buckets.where(held).select(*by, "_bucket", "_offset", "_n")
     running = Window.partitionBy(*by, "_bucket").orderBy("_v")
     running = running.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    exact = (
-        rows.join(picks, by + ["_bucket"])
-        .groupBy(*by, "_bucket", "_v", "_offset", "_n")
-        .agg(F.count(F.lit(1)).alias("_f"))
-        .withColumn("_upto", F.col("_offset") + F.sum("_f").over(running))
-    )
+    exact = join_groups(rows, picks, by + ["_bucket"]).withColumn("_upto", F.col("_offset") + F.sum("_f").over(running))
 
     def at(rank: Column) -> Column:
         return F.max(F.when((rank <= F.col("_upto")) & (rank > F.col("_upto") - F.col("_f")), F.col("_v")))
@@ -189,23 +178,37 @@ def fill_levels(
     """Frequency table with its empty levels, ``_upto`` (running sum) and ``_total``.
 
     ``freq`` has one row per integer level.  Every row fills the gap below it (down to 0 for the
-    first one with ``from_zero``), the last one adds ``extra`` empty levels; no join is needed.
-    The window runs over the levels of a group, which are as many as the result rows.
+    first one with ``from_zero``), the last one adds ``extra`` empty levels.  A gap is expanded in
+    chunks of ``GAP_LEVELS``; running sums and the level below are found bucket by bucket, so that
+    neither a far outlier nor a group of many levels meets in one task.
     """
     by = list(by)
-    order = Window.partitionBy(*by).orderBy(level)
-    below = F.lag(level).over(order)
-    start = F.coalesce(below + 1, F.lit(0).cast("long") if from_zero else F.col(level))
-    last = F.lead(level).over(order).isNull()
-    stop = F.col(level) + F.when(last, extra).otherwise(0)
-    rows = freq.select(
-        *by,
-        F.col(level).alias("_own"),
-        F.col(weight).alias("_w"),
-        F.sum(weight).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_s"),
-        F.sum(weight).over(Window.partitionBy(*by)).alias("_total"),
-        F.sequence(start, stop).alias("_levels"),
-    ).select(*by, "_own", "_w", "_s", "_total", F.explode("_levels").alias(level))
+    rows = freq.withColumn("_bucket", coarse_key(F.col(level)))
+    whole = Window.partitionBy(*by)
+    before = _before(by, "_bucket")
+    buckets = rows.groupBy(*by, "_bucket").agg(F.sum(weight).alias("_w"), F.max(level).alias("_top"))
+    buckets = buckets.select(
+        *by, "_bucket",
+        F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_offset"),
+        F.max("_top").over(before).alias("_under"),
+        F.sum("_w").over(whole).alias("_total"),
+        F.max("_top").over(whole).alias("_last"),
+    )
+    inside = Window.partitionBy(*by, "_bucket").orderBy(level)
+    rows = rows.withColumn("_below", F.lag(level).over(inside)).withColumn(
+        "_s", F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    )
+    rows = join_groups(rows, buckets, by + ["_bucket"])
+    start = F.coalesce(F.col("_below") + 1, F.col("_under") + 1, F.lit(0).cast("long") if from_zero else F.col(level).cast("long"))
+    stop = (F.col(level) + F.when(F.col(level) == F.col("_last"), extra).otherwise(0)).cast("long")
+    chunks = rows.select(
+        *by, F.col(level).alias("_own"), F.col(weight).alias("_w"), (F.col("_s") + F.col("_offset")).alias("_s"), "_total",
+        stop.alias("_stop"), F.explode(F.sequence(start.cast("long"), stop, F.lit(GAP_LEVELS).cast("long"))).alias("_from"),
+    )
+    # a wide gap is many chunks, which several tasks expand
+    rows = chunks.repartition(*by, "_from").withColumn(
+        level, F.explode(F.sequence("_from", F.least(F.col("_from") + GAP_LEVELS - 1, F.col("_stop"))))
+    )
     reached = F.col(level) >= F.col("_own")
     return rows.select(
         *by,
@@ -214,3 +217,21 @@ def fill_levels(
         F.when(reached, F.col("_s")).otherwise(F.col("_s") - F.col("_w")).alias("_upto"),
         "_total",
     )
+
+
+def number_by_range(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
+    """Row number from 1 over ``order`` (NULLs first), which must tell the rows apart where they meet in one value.
+
+    Rows are parted by ranges of ``order``, written with their place in their part, and the rows of
+    earlier parts are added: what is sorted in one task has the size of a part, whatever the values.
+    """
+    spark = df.sparkSession
+    place = F.monotonically_increasing_id()
+    parted = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", place)
+    path = exchange_dir(spark, "numbered")
+    parted.write.parquet(path)
+    rows = spark.read.parquet(path).withColumn("_part", F.shiftright("_place", 33))
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row per part
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(_before([], "_part")), F.lit(0)).alias("_offset"))
+    inside = F.col("_place") - F.shiftleft(F.col("_part"), 33)
+    return rows.join(offsets, "_part").withColumn(out, F.col("_offset") + inside + 1).drop("_part", "_place", "_offset")

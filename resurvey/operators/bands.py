@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from resurvey.functions.order import exact_quantiles, join_groups
+from resurvey.functions.order import count_and_mean, join_groups, quantiles_of_counts, value_counts
 from resurvey.operators.roles import stack_metrics
 
 # ---- fixed values ---------------------------------------------------------------
@@ -41,11 +41,14 @@ def two_grains(df: DataFrame, keys: Sequence[str], bin_col: str) -> DataFrame:
 
 
 def subunit_summary(df: DataFrame, keys: Sequence[str], y: str) -> DataFrame:
-    """F6. Count, mean and exact median per group (see ``two_grains`` for both grains at once)."""
+    """F6. Count, mean and exact median per group (see ``two_grains`` for both grains at once).
+
+    One scan, one shuffle of distinct values with their counts; decimal values are summed exactly.
+    """
     keys = list(keys)
-    plain = df.where(F.col(y).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("mean"))
-    mid = exact_quantiles(df, keys, y, [0.5], ["median"])
-    return join_groups(plain, mid, keys).select(*keys, "n", "mean", "median")
+    freq = value_counts(df, keys, y)
+    mid = quantiles_of_counts(freq, keys, [0.5], ["median"])
+    return join_groups(freq.groupBy(*keys).agg(*count_and_mean()), mid, keys).select(*keys, "n", "mean", "median")
 
 
 def _bands(cutoffs: Sequence[float], one_is_concern: bool | None, high_is_good: bool | None):

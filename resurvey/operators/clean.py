@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from resurvey.functions.order import coarse_key, number_rows, running_total
+from resurvey.functions.order import number_by_range
 
 # ---- fixed values ---------------------------------------------------------------
 # Bounds in percent of the ten cover classes.
@@ -392,19 +392,9 @@ def score_bin(
 
 
 def row_ids(df: DataFrame, order: str, tie: str | None = None, out: str = "row_id") -> DataFrame:
-    """B21. Row number over a declared numeric order, NULLs first, without a one-task sort.
+    """B21. Row number over a declared order, NULLs first, without a one-task sort.
 
-    ``order`` alone must be unique.  With a numeric ``tie`` column equal values are numbered by
-    it, and a value that many rows share is split by the tie as well.
+    ``order`` alone must be unique.  With a ``tie`` column equal values are numbered by it, and a
+    value that many rows share is split by the tie as well.
     """
-    if tie is None:
-        return number_rows(df, [], coarse_key(F.col(order)), [order], out)
-    known = df.where(F.col(order).isNotNull())
-    unknown = df.where(F.col(order).isNull())
-    head = unknown.agg(F.count(F.lit(1)).alias("n")).scalar()
-    totals = running_total(known.groupBy(order).agg(F.count(F.lit(1)).alias("_n")), [], order, "_n", "_upto")
-    offsets = totals.select(order, (F.col("_upto") - F.col("_n") + head).alias("_before"))
-    numbered = number_rows(known, [order], coarse_key(F.col(tie)), [tie], "_inner")
-    placed = numbered.join(offsets, order).withColumn(out, F.col("_before") + F.col("_inner"))
-    first = number_rows(unknown, [], coarse_key(F.col(tie)), [tie], out)
-    return placed.select(*df.columns, out).unionByName(first.select(*df.columns, out))
+    return number_by_range(df, [order] if tie is None else [order, tie], out)

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from resurvey.functions.order import exact_quantiles, fill_levels, join_groups, running_total
+from resurvey.functions.order import count_and_mean, fill_levels, join_groups, quantiles_of_counts, running_total, value_counts
 from resurvey.operators.reshape import complete_grid, pair_by_role
 
 ROLE_MAP = {"N": "n", "Q": "q"}
@@ -171,7 +171,7 @@ def ecdf(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     total = freq.groupBy(*by).agg(F.sum("frequency").alias("_total"))
     upto = running_total(freq, by, "difference", "frequency", "_upto")
     if by:
-        upto = upto.join(total, by)
+        upto = join_groups(upto, total, by)
         share = F.col("_upto") / F.col("_total")
     else:
         share = F.col("_upto") / total.scalar()
@@ -192,9 +192,9 @@ def bland_altman(df: DataFrame, n: str, q: str, by: Sequence[str] = ()) -> DataF
     if not by:
         d = d.withColumn("_all", F.lit(1))
     keys = by or ["_all"]
-    mean = d.groupBy(*keys).agg(F.count("_d").alias("pairs"), F.avg("_d").alias("bias"))
-    limits = exact_quantiles(d, keys, "_d", [0.025, 0.975], ["lower_limit", "upper_limit"])
-    return join_groups(mean, limits, keys).drop("_all")
+    freq = value_counts(d, keys, "_d")
+    limits = quantiles_of_counts(freq, keys, [0.025, 0.975], ["lower_limit", "upper_limit"])
+    return join_groups(freq.groupBy(*keys).agg(*count_and_mean("pairs", "bias")), limits, keys).drop("_all")
 
 
 def bland_altman_points(df: DataFrame, n: str, q: str) -> DataFrame:
@@ -205,10 +205,9 @@ def bland_altman_points(df: DataFrame, n: str, q: str) -> DataFrame:
 def numeric_summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """E26. min, q1, median, mean, q3, max per column, long."""
     long = df.select([F.col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "variable", "value")
-    plain = long.where(F.col("value").isNotNull()).groupBy("variable").agg(
-        F.min("value").alias("minimum"), F.avg("value").alias("mean"), F.max("value").alias("maximum")
-    )
-    mid = exact_quantiles(long, ["variable"], "value", [0.25, 0.5, 0.75], ["q1", "median", "q3"])
+    freq = value_counts(long, ["variable"], "value")
+    plain = freq.groupBy("variable").agg(F.min("_v").alias("minimum"), F.max("_v").alias("maximum"), *count_and_mean())
+    mid = quantiles_of_counts(freq, ["variable"], [0.25, 0.5, 0.75], ["q1", "median", "q3"])
     return plain.join(mid, "variable").select("variable", "minimum", "q1", "median", "mean", "q3", "maximum")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from resurvey.functions.order import exact_quantiles, join_groups
+from resurvey.functions.order import count_and_mean, join_groups, quantiles_of_counts, value_counts
 from resurvey.operators.clean import cycle_display, cycle_label
 from resurvey.operators.reshape import complete_grid, pair_by_role
 
@@ -186,24 +186,26 @@ def role_index_difference(df: DataFrame, unit: Sequence[str], role: str, value:
     """F17. Difference first survey minus re-survey of an index: pairs, mean, 5 and 95 percentiles."""
     wide = pair_by_role(df, unit, role, [value], {"N": "n", "Q": "q"})
     d = wide.select(F.lit(1).alias("_all"), (F.col(f"n_{value}") - F.col(f"q_{value}")).alias("_d")).where("_d IS NOT NULL")
-    plain = d.groupBy("_all").agg(F.count(F.lit(1)).alias("pairs"), F.avg("_d").alias("mean_difference"))
-    return plain.join(exact_quantiles(d, ["_all"], "_d", [0.05, 0.95], ["p05", "p95"]), "_all").drop("_all")
+    freq = value_counts(d, ["_all"], "_d")
+    plain = freq.groupBy("_all").agg(*count_and_mean("pairs", "mean_difference"))
+    return plain.join(quantiles_of_counts(freq, ["_all"], [0.05, 0.95], ["p05", "p95"]), "_all").drop("_all")
 
 
 def box_stats(df: DataFrame, group: Sequence[str], col: str) -> DataFrame:
     """F19. Quartiles, whiskers at the most extreme value within 1.5 IQR, and outlier count per group."""
     group = list(group)
-    q = exact_quantiles(df, group, col, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
+    freq = value_counts(df, group, col)
+    q = quantiles_of_counts(freq, group, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    inside = (F.col(col) >= F.col("q1") - reach) & (F.col(col) <= F.col("q3") + reach)
+    inside = (F.col("_v") >= F.col("q1") - reach) & (F.col("_v") <= F.col("q3") + reach)
     return (
-        join_groups(df.where(F.col(col).isNotNull()), q, group)
+        join_groups(freq, q, group)
         .groupBy(*group, "q1", "median", "q3")
         .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min(F.when(inside, F.col(col))).alias("whisker_low"),
-            F.max(F.when(inside, F.col(col))).alias("whisker_high"),
-            F.count(F.when(~inside, 1)).alias("outliers"),
+            F.sum("_f").alias("n"),
+            F.min(F.when(inside, F.col("_v"))).alias("whisker_low"),
+            F.max(F.when(inside, F.col("_v"))).alias("whisker_high"),
+            F.sum(F.when(inside, 0).otherwise(F.col("_f"))).cast("long").alias("outliers"),
         )
     )
 
