@@ -2,9 +2,7 @@
 
 ``portable`` draws use integer arithmetic that Spark SQL, numpy and any SQL engine compute
 alike, so a resampled result can be checked elsewhere and does not change when a task is
-run again.  ``block_draws`` splits a multinomial draw over the blocks of a large group: every
-block finds its own share by walking down a binary tree of seeded binomial draws, so no task
-ever needs the whole group.
+run again.  Any task can replay any of them.
 """
 
 from __future__ import annotations
@@ -31,16 +29,21 @@ def portable_index(rep: Column, i: Column, stratum: Column, seed: int, n: Column
     return F.call_function("div", x3 * n.cast("long"), F.lit(MODULUS).cast("long"))
 
 
-def portable_state(rep: np.ndarray, i: np.ndarray, stratum: int, seed: int) -> np.ndarray:
-    """State in [0, modulus) of every (replicate, draw) pair (numpy form)."""
+def portable_states(rep: np.ndarray, i: np.ndarray, stratum: int, seed: int) -> np.ndarray:
+    """State in [0, modulus) of replicates and draws of any shapes that fit each other (numpy form)."""
     m = np.int64(MODULUS)
     first = np.int64((int(stratum) * 15485863 + int(seed)) % MODULUS)
-    x = (rep[:, None].astype(np.int64) * 7919 + i[None, :].astype(np.int64) * 104729 + first) % m
+    x = (rep.astype(np.int64) * 7919 + i.astype(np.int64) * 104729 + first) % m
     x = (x * x + 12345) % m
     x = x * 48271 % m
     return (x * x + 67891) % m
 
 
+def portable_state(rep: np.ndarray, i: np.ndarray, stratum: int, seed: int) -> np.ndarray:
+    """State of every (replicate, draw) pair."""
+    return portable_states(rep[:, None], i[None, :], stratum, seed)
+
+
 def portable_indices(rep: np.ndarray, i: np.ndarray, stratum: int, seed: int, n: int | np.ndarray) -> np.ndarray:
     """Indices in [0, n) for every (replicate, draw) pair."""
     return portable_state(rep, i, stratum, seed) * n // MODULUS
@@ -50,29 +53,6 @@ def _stream(seed: int, stratum: int, *path: int) -> np.random.Generator:
     return np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, stratum, *path])))
 
 
-def block_draws(
-    total_rows: int, block_rows: int, block: int, draws: int, reps: int, seed: int, stratum: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """Share of one block in ``draws`` uniform draws over ``total_rows`` rows, per replicate.
-
-    Returns (draws before the block, draws in the block).  Over all blocks the shares are one
-    multinomial sample: siblings share the seeded draw of their parent node.
-    """
-    low, high = 0, -(-total_rows // block_rows)
-    inside = np.full(reps, draws, dtype=np.int64)
-    before = np.zeros(reps, dtype=np.int64)
-    while high - low > 1:
-        mid = (low + high) // 2
-        left_rows = mid * block_rows - low * block_rows
-        node_rows = min(high * block_rows, total_rows) - low * block_rows
-        left = _stream(seed, stratum, low, high).binomial(inside, left_rows / node_rows)
-        if block < mid:
-            inside, high = left, mid
-        else:
-            before, inside, low = before + left, inside - left, mid
-    return before, inside
-
-
 def block_stream(seed: int, stratum: int, block: int) -> np.random.Generator:
     """Generator for the draws inside one block."""
     return _stream(seed, stratum, block, 1, 1)

@@ -1,10 +1,11 @@
 """Bootstrap intervals.
 
 Shared design: replicates are computed next to the data of one stratum, vectorised, and only
-replicate statistics leave the task.  A stratum small enough for one task (``direct_rows``)
-uses the portable draws; a larger one takes a distributed path that is exact as well (seeded
-multinomial shares of ordered blocks, or an index join), so no row is left out and no group is
-gathered whole.  The seed is always an argument.
+replicate statistics leave the task.  All strata use the same portable draws.  A stratum small
+enough for one task is resampled there; a larger one is cut into blocks of its ordered values, and
+every block replays the draws and keeps those that fall into it.  Sums are formed block by block
+from the number of hits of each value, in the same order on both paths, so a result does not
+depend on the path.  The seed is always an argument.
 """
 
 from __future__ import annotations
@@ -13,12 +14,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from resurvey.functions import draws
-from resurvey.functions.order import number_rows, running_total, split_hot
+from resurvey.functions.order import join_groups, number_rows, running_total, split_hot
 from resurvey.operators import regen
 from resurvey.operators.agree import MISSING, pair_cells, specific_agreement
 
@@ -115,6 +116,8 @@ def psa_interval(
 
 INTERVAL_PROBS = {"lo95": 0.025, "lo68": 0.16, "hi68": 0.84, "hi95": 0.975}
 INTERVAL_COLUMNS = [f"{s}_{q}" for s in ("mean", "median") for q in INTERVAL_PROBS]
+# Draws that one row of work replays, and draws of one replicate that are hashed at once.
+WORK_DRAWS, DRAWS_AT_ONCE = 1 << 28, 1 << 21
 
 
 def _middle_ranks(n: int) -> tuple[int, int]:
@@ -122,43 +125,79 @@ def _middle_ranks(n: int) -> tuple[int, int]:
     return (n + 1) // 2, n // 2 + 1
 
 
+def _block_hits(reps: np.ndarray, n: int, stratum: int, seed: int, low: int, size: int) -> np.ndarray:
+    """How often each of the places low .. low + size - 1 of n is drawn, per replicate."""
+    hits = np.zeros((len(reps), size), np.int64)
+    step = max(1, DRAWS_AT_ONCE // len(reps))
+    row = np.arange(len(reps))[:, None] * size
+    for start in range(0, n, step):
+        at = draws.portable_indices(reps, np.arange(start, min(n, start + step)), stratum, seed, n) - low
+        here = (at >= 0) & (at < size)
+        hits += np.bincount((at + row)[here], minlength=hits.size).reshape(hits.shape)
+    return hits
+
+
+def _hit_sums(hits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sum of the drawn values per replicate; the order of the additions depends on nothing but the block."""
+    return (hits * values).sum(axis=1)
+
+
+def _at_rank(hits: np.ndarray, values: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Per replicate, the drawn value with that rank (from 1) inside the block."""
+    return values[np.argmax(np.cumsum(hits, axis=1) >= rank[:, None], axis=1)]
+
+
+def _limits(stats: Sequence[np.ndarray], probs: Sequence[float]) -> list[float]:
+    return [x for s in stats for x in np.quantile(s, probs)]
+
+
+def _rep_rows(df: DataFrame, reps: int, draws_each: Column) -> DataFrame:
+    """``df`` with a row for each run of replicates (``rep0``, ``n_reps``) of about ``WORK_DRAWS`` draws."""
+    step = F.greatest(F.lit(1), F.least(F.lit(reps), F.floor(F.lit(WORK_DRAWS) / draws_each))).cast("int")
+    df = df.withColumn("_step", step).withColumn("rep0", F.explode(F.sequence(F.lit(0), F.lit(reps - 1), F.col("_step"))))
+    return df.withColumn("n_reps", F.least(F.col("_step"), F.lit(reps) - F.col("rep0"))).drop("_step")
+
+
 def mean_median_interval(
     df: DataFrame, keys: Sequence[str], y: str, reps: int, seed: int, direct_rows: int = 10_000, block_rows: int = 65_536
 ) -> DataFrame:
     """G2. Bootstrap percentiles 2.5, 16, 84, 97.5 of mean and median per group; NULL when n <= 1.
 
     Groups up to ``direct_rows`` values are resampled in one task each.  In larger groups equal
-    values are merged, the ordered values are cut into blocks of ``block_rows`` rows, and every
-    block adds its part of each replicate: its share of the draws, their sum, and the middle
-    order statistics when they fall into it.
+    values are merged and the ordered values cut into blocks of ``block_rows``.  A first replay of
+    the draws, in ranges, counts the hits of every block, which tells the blocks that hold the middle
+    ranks of a replicate; in a second one each block adds up its own hits and picks those ranks.
+    Both paths give the same limits to the last bit.
     """
     keys = list(keys)
     data = df.select(*keys, F.col(y).cast("double").alias("_y")).where(F.col("_y").isNotNull())
     small, large = split_hot(data, keys, direct_rows)
     stratum = draws.stratum_number(*[F.col(k) for k in keys])
     kf = _fields(data, keys)
+    probs = list(INTERVAL_PROBS.values())
 
     grouped = _spread(small, keys).groupBy(*keys).agg(F.array_sort(F.collect_list("_y")).alias("values")).withColumn("stratum", stratum)
     out = T.StructType([*kf, *[T.StructField(c, T.DoubleType()) for c in INTERVAL_COLUMNS]])
-    probs = list(INTERVAL_PROBS.values())
+
+    def one_group(v: np.ndarray, number: int) -> list[float]:
+        n = len(v)
+        low, high = (np.full(1, r) for r in _middle_ranks(n))
+        means, medians = [], []
+        for rep in _rep_chunks(reps, n):
+            hits = _block_hits(rep, n, number, seed, 0, n)
+            total = np.zeros(len(rep))
+            for start in range(0, n, block_rows):
+                total += _hit_sums(np.ascontiguousarray(hits[:, start : start + block_rows]), v[start : start + block_rows])
+            means.append(total / n)
+            medians.append((_at_rank(hits, v, low) + _at_rank(hits, v, high)) / 2)
+        return _limits([np.concatenate(means), np.concatenate(medians)], probs)
 
     def direct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for values, number in zip(pdf["values"], pdf["stratum"], strict=True):
-                v = np.asarray(values, dtype=float)
-                if len(v) <= 1:
-                    rows.append([None] * len(INTERVAL_COLUMNS))
-                    continue
-                means, medians = [], []
-                i = np.arange(len(v))
-                for rep in _rep_chunks(reps, len(v)):
-                    drawn = v[draws.portable_indices(rep, i, number, seed, len(v))]
-                    means.append(drawn.mean(axis=1))
-                    medians.append(np.median(drawn, axis=1))
-                rows.append(
-                    [*np.quantile(np.concatenate(means), probs), *np.quantile(np.concatenate(medians), probs)]
-                )
+            rows = [
+                one_group(np.asarray(values, dtype=float), int(number)) if len(values) > 1 else [None] * len(INTERVAL_COLUMNS)
+                for values, number in zip(pdf["values"], pdf["stratum"], strict=True)
+            ]
             stats = pd.DataFrame(rows, columns=INTERVAL_COLUMNS, dtype=float)
             yield pd.concat([pdf[keys].reset_index(drop=True), stats], axis=1)
 
@@ -167,7 +206,7 @@ def mean_median_interval(
     if large is None:
         return near
 
-    # large groups: (value, count) rows, cut at block borders in value order
+    # (value, count) rows, cut at block borders in value order
     freq = large.groupBy(*keys, "_y", "_n").agg(F.count(F.lit(1)).alias("_f"))
     upto = running_total(freq, keys, "_y", "_f", "_upto")
     size = F.lit(block_rows).cast("long")
@@ -177,64 +216,122 @@ def mean_median_interval(
         "_piece",
         F.least("_upto", (F.col("_block") + 1) * size) - F.greatest(F.col("_upto") - F.col("_f"), F.col("_block") * size),
     )
-    pieces = pieces.withColumn("_stratum", stratum).select(*keys, "_n", "_stratum", "_block", "_y", "_piece")
-    part_schema = T.StructType(
-        [
-            *kf,
-            T.StructField("_n", T.LongType()),
-            T.StructField("rep", T.LongType()),
-            T.StructField("part", T.DoubleType()),
-            T.StructField("low", T.DoubleType()),
-            T.StructField("high", T.DoubleType()),
-        ]
-    )
+    blocks = pieces.groupBy(*keys, "_n", "_block").agg(F.array_sort(F.collect_list(F.struct("_y", "_piece"))).alias("table"))
 
-    def one_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_y")
-        n, number, block = (int(pdf[c].iloc[0]) for c in ("_n", "_stratum", "_block"))
-        v = pdf["_y"].to_numpy(float)
-        weight = pdf["_piece"].to_numpy(float)
-        before, inside = draws.block_draws(n, block_rows, block, n, reps, seed, number)
-        rng = draws.block_stream(seed, number, block)
-        low_rank, high_rank = _middle_ranks(n)
-        part, low, high = [], [], []
-        for rep in _rep_chunks(reps, len(v)):
-            got = rng.multinomial(inside[rep], weight / weight.sum())
-            part.append(got @ v)
-            running = np.cumsum(got, axis=1) + before[rep, None]
-            for rank, found in ((low_rank, low), (high_rank, high)):
-                here = (before[rep] < rank) & (rank <= before[rep] + inside[rep])
-                found.append(np.where(here, v[np.argmax(running >= rank, axis=1)], np.nan))
-        res = pd.DataFrame(
-            {"_n": n, "rep": np.arange(reps), "part": np.concatenate(part), "low": np.concatenate(low), "high": np.concatenate(high)}
-        )
-        for k in keys:
-            res[k] = pdf[k].iloc[0]
-        return res[[*keys, "_n", "rep", "part", "low", "high"]]
+    # first replay: hits per block, in ranges of draws
+    sizes = large.groupBy(*keys, "_n").agg(F.count(F.lit(1)).alias("_c")).drop("_c").withColumn("_stratum", stratum)
+    per_row = F.least(F.col("_n"), F.lit(WORK_DRAWS))
+    work = _rep_rows(sizes, reps, per_row).withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(WORK_DRAWS).cast("long"))))
+    hit_fields = [T.StructField(c, T.LongType()) for c in ("_n", "rep", "_block", "hits")]
+
+    def count_hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for _, row in pdf.iterrows():
+                n, number, rep0, n_reps, first = (int(row[c]) for c in ("_n", "_stratum", "rep0", "n_reps", "_from"))
+                rep, n_blocks = np.arange(rep0, rep0 + n_reps), -(-n // block_rows)
+                found = np.zeros((n_reps, n_blocks), np.int64)
+                step = max(1, DRAWS_AT_ONCE // n_reps)
+                for start in range(first, min(n, first + WORK_DRAWS), step):
+                    i = np.arange(start, min(n, start + step, first + WORK_DRAWS))
+                    at = draws.portable_indices(rep, i, number, seed, n) // block_rows
+                    found += np.bincount((at + np.arange(n_reps)[:, None] * n_blocks).ravel(), minlength=found.size).reshape(found.shape)
+                res = pd.DataFrame({"_n": n, "rep": np.repeat(rep, n_blocks), "_block": np.tile(np.arange(n_blocks), n_reps), "hits": found.ravel()})
+                for k in keys:
+                    res[k] = [row[k]] * len(res)
+                yield res[[*keys, "_n", "rep", "_block", "hits"]]
+
+    counted = _spread(work, [*keys, "rep0", "_from"]).mapInPandas(count_hits, T.StructType([*kf, *hit_fields]))
+    counted = counted.groupBy(*keys, "_n", "rep", "_block").agg(F.sum("hits").alias("hits"))
+    order = Window.partitionBy(*keys, "rep").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    counted = counted.withColumn("_before", F.coalesce(F.sum("hits").over(order), F.lit(0)))
+    inside = []
+    for name, rank in (("low", F.expr("(_n + 1) div 2")), ("high", F.expr("_n div 2 + 1"))):
+        local = rank - F.col("_before")
+        inside.append(F.when((local >= 1) & (local <= F.col("hits")), local).otherwise(0).alias(name))
+    wanted = counted.select(*keys, "_block", "rep", *inside).where("low > 0 OR high > 0")
+    wanted = wanted.groupBy(*keys, "_block").agg(F.collect_list(F.struct("rep", "low", "high")).alias("ranks"))
+
+    # second replay: every block keeps its own draws
+    tasks = _rep_rows(join_groups(blocks, wanted, [*keys, "_block"], "left").withColumn("_stratum", stratum), reps, F.col("_n"))
+    part_fields = [T.StructField(c, T.LongType()) for c in ("_n", "rep", "_block")] + [T.StructField(c, T.DoubleType()) for c in ("part", "low", "high")]
+
+    def one_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for _, row in pdf.iterrows():
+                n, number, block, rep0, n_reps = (int(row[c]) for c in ("_n", "_stratum", "_block", "rep0", "n_reps"))
+                v = np.repeat([x["_y"] for x in row["table"]], [x["_piece"] for x in row["table"]])
+                ranks = np.zeros((2, reps), np.int64)
+                for x in row["ranks"] if row["ranks"] is not None else ():
+                    ranks[:, x["rep"]] = x["low"], x["high"]
+                for rep in np.array_split(np.arange(rep0, rep0 + n_reps), -(-n_reps * len(v) // CHUNK_VALUES)):
+                    hits = _block_hits(rep, n, number, seed, block * block_rows, len(v))
+                    picked = [np.where(r[rep] > 0, _at_rank(hits, v, r[rep]), np.nan) for r in ranks]
+                    res = pd.DataFrame({"_n": n, "rep": rep, "_block": block, "part": _hit_sums(hits, v), "low": picked[0], "high": picked[1]})
+                    for k in keys:
+                        res[k] = [row[k]] * len(res)
+                    yield res[[*keys, "_n", "rep", "_block", "part", "low", "high"]]
 
     nan_null = lambda c: F.when(~F.isnan(c), F.col(c))
-    replicates = (
-        pieces.groupBy(*keys, "_block")
-        .applyInPandas(one_block, part_schema)
-        .groupBy(*keys, "_n", "rep")
-        .agg(
-            (F.sum("part") / F.col("_n")).alias("mean"),
-            ((F.max(nan_null("low")) + F.max(nan_null("high"))) / 2).alias("median"),
-        )
-    )
-    wanted = F.array(*[F.lit(p) for p in probs])
-    far = replicates.groupBy(*keys).agg(
-        F.percentile("mean", wanted).alias("_mean"), F.percentile("median", wanted).alias("_median")
+    parts = _spread(tasks, [*keys, "_block", "rep0"]).mapInPandas(one_block, T.StructType([*kf, *part_fields]))
+    replicates = parts.groupBy(*keys, "_n", "rep").agg(
+        (_in_order("_block", "part") / F.col("_n")).alias("mean"), ((F.max(nan_null("low")) + F.max(nan_null("high"))) / 2).alias("median")
     )
-    far = far.select(
-        *keys, *[F.col(f"_{s}")[i].alias(f"{s}_{q}") for s in ("mean", "median") for i, q in enumerate(INTERVAL_PROBS)]
-    )
-    return near.unionByName(far)
+    return near.unionByName(_from_replicates(replicates, keys, ["mean", "median"], probs, out))
+
+
+def _in_order(block: str, part: str) -> Column:
+    """Sum of the parts in the order of their blocks."""
+    listed = F.array_sort(F.collect_list(F.struct(block, part)))
+    return F.aggregate(listed, F.lit(0.0), lambda a, x: a + x[part])
+
+
+def _from_replicates(replicates: DataFrame, keys: Sequence[str], stats: Sequence[str], probs: Sequence[float], out: T.StructType) -> DataFrame:
+    """The percentiles over the replicates, by the function that the direct path uses."""
+    listed = replicates.groupBy(*keys).agg(*[F.array_sort(F.collect_list(s)).alias(s) for s in stats])
+    names = [f.name for f in out.fields if f.name not in keys]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [_limits([np.asarray(x, float) for x in row], probs) for row in zip(*[pdf[s] for s in stats], strict=True)]
+            yield pd.concat([pdf[list(keys)].reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
+
+    return listed.mapInPandas(run, out)
 
 
 # ---- G3 -------------------------------------------------------------------------
 
 
+class _Units:
+    """Value tables of units behind one another; a box is found by its number among a unit's ordered boxes."""
+
+    def __init__(self, tables: Sequence[Sequence]):
+        sizes = np.array([len(t) for t in tables])
+        self.values = np.array([x["v"] for t in tables for x in t], float)
+        self.upto = np.cumsum(np.array([x["f"] for t in tables for x in t], np.int64))
+        ends = self.upto[np.cumsum(sizes) - 1]
+        self.boxes = np.diff(ends, prepend=0)  # boxes of a unit
+        self.before = ends - self.boxes
+
+    def hits(self, reps: np.ndarray, units: int, low: int, boxes: int, stratum: int, seed: int) -> np.ndarray:
+        """How often each value of the units low, low + 1, ... is drawn, per replicate.
+
+        A replicate draws as many units as there are, and ``boxes`` boxes in each of them.
+        """
+        out = np.zeros((len(reps), len(self.values)), np.int64)
+        step = max(1, DRAWS_AT_ONCE // (len(reps) * boxes))
+        for start in range(0, units, step):
+            slots = np.arange(start, min(units, start + step))
+            unit = draws.portable_indices(reps, slots, stratum, seed, units) - low
+            row, slot = np.nonzero((unit >= 0) & (unit < len(self.boxes)))
+            mine = unit[row, slot]
+            position = (slots[slot] * boxes)[:, None] + np.arange(boxes)
+            state = draws.portable_states(reps[row][:, None], position, stratum, seed + 1)
+            box = self.before[mine][:, None] + state * self.boxes[mine][:, None] // draws.MODULUS
+            at = np.searchsorted(self.upto, box, side="right")
+            out += np.bincount((at + (row * len(self.values))[:, None]).ravel(), minlength=out.size).reshape(out.shape)
+        return out
+
+
 def cluster_bootstrap(
     df: DataFrame, area: Sequence[str], unit: str, y: str, boxes: int, reps: int, seed: int,
     direct_units: int = 5_000, block_units: int = 5_000,
@@ -242,13 +339,16 @@ def cluster_bootstrap(
     """G3. Mean box count per area with 5, 50 and 95 percentiles from resampled units and boxes.
 
     A replicate draws as many units as the area has, and ``boxes`` boxes within every drawn unit.
-    Rows are box counts; equal counts of a unit are merged, so a unit is a short value table.
+    Rows are box counts; equal counts of a unit are merged, so a unit is a short table of values
+    with cumulative counts however many boxes it has.  Units are numbered in the order of a hash of
+    their name.  An area of more than ``direct_units`` units is cut into blocks of ``block_units``
+    that replay its draws; both paths give the same limits to the last bit.
     """
     area = list(area)
     per_value = df.groupBy(*area, unit, y).agg(F.count(F.lit(1)).alias("_f"))
     per_unit = per_value.groupBy(*area, unit).agg(
         F.array_sort(F.collect_list(F.struct(F.col(y).cast("double").alias("v"), F.col("_f").alias("f")))).alias("table")
-    )
+    ).withColumn("_mark", F.md5(F.col(unit).cast("string")))
     small, large = split_hot(per_unit, area, direct_units)
     stratum = draws.stratum_number(*[F.col(k) for k in area])
     af = _fields(df, area)
@@ -257,27 +357,23 @@ def cluster_bootstrap(
     grouped = (
         _spread(small, area)
         .groupBy(*area)
-        .agg(F.array_sort(F.collect_list(F.struct(F.col(unit).alias("u"), F.col("table").alias("t")))).alias("units"))
+        .agg(F.array_sort(F.collect_list(F.struct("_mark", F.col(unit).alias("u"), F.col("table").alias("t")))).alias("units"))
         .withColumn("stratum", stratum)
     )
     out = T.StructType([*af, T.StructField("units", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in stats]])
 
+    def one_area(tables: list, number: int) -> list[float]:
+        n = len(tables)
+        total = np.zeros(reps)
+        for start in range(0, n, block_units):
+            block = _Units(tables[start : start + block_units])
+            for rep in _rep_chunks(reps, max(len(block.values), n * boxes)):
+                total[rep] += _hit_sums(block.hits(rep, n, start, boxes, number, seed), block.values)
+        return [n, *_limits([total / (n * boxes)], probs)]
+
     def direct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for units, number in zip(pdf["units"], pdf["stratum"], strict=True):
-                tables = [np.repeat([x["v"] for x in u["t"]], [x["f"] for x in u["t"]]) for u in units]
-                counts = np.array([len(t) for t in tables])
-                start = np.concatenate([[0], np.cumsum(counts)[:-1]])
-                flat = np.concatenate(tables)
-                k = len(tables)
-                means = []
-                for rep in _rep_chunks(reps, k * boxes):
-                    drawn = draws.portable_indices(rep, np.arange(k), number, seed, k)
-                    state = draws.portable_state(rep, np.arange(k * boxes), number, seed + 1)
-                    where = np.repeat(drawn, boxes, axis=1)
-                    means.append(flat[start[where] + state * counts[where] // draws.MODULUS].mean(axis=1))
-                rows.append([k, *np.quantile(np.concatenate(means), probs)])
+            rows = [one_area([u["t"] for u in units], int(number)) for units, number in zip(pdf["units"], pdf["stratum"], strict=True)]
             res = pd.DataFrame(rows, columns=["units", *stats])
             yield pd.concat([pdf[area].reset_index(drop=True), res], axis=1)
 
@@ -285,42 +381,27 @@ def cluster_bootstrap(
     if large is None:
         return near
 
-    mark = F.md5(F.col(unit).cast("string"))
-    numbered = number_rows(large.withColumn("_mark", mark), area, F.conv(F.substring("_mark", 1, 3), 16, 10).cast("int"), ["_mark", unit], "_no")
-    blocks = numbered.withColumn("_block", F.expr(f"(_no - 1) div {block_units}")).withColumn("_stratum", stratum)
-    part_schema = T.StructType(
-        [*af, T.StructField("_n", T.LongType()), T.StructField("rep", T.LongType()), T.StructField("part", T.DoubleType())]
-    )
-
-    def one_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_no")
-        n, number, block = (int(pdf[c].iloc[0]) for c in ("_n", "_stratum", "_block"))
-        _, inside = draws.block_draws(n, block_units, block, n, reps, seed, number)
-        rng = draws.block_stream(seed, number, block)
-        share = np.full(len(pdf), 1 / len(pdf))
-        part = np.zeros(reps)
-        for rep in _rep_chunks(reps, len(pdf)):
-            times = rng.multinomial(inside[rep], share)
-            for j, table in enumerate(pdf["table"]):
-                v = np.array([x["v"] for x in table])
-                f = np.array([x["f"] for x in table], dtype=float)
-                part[rep] += rng.multinomial(boxes * times[:, j], f / f.sum()) @ v
-        res = pd.DataFrame({"_n": n, "rep": np.arange(reps), "part": part})
-        for k in area:
-            res[k] = pdf[k].iloc[0]
-        return res[[*area, "_n", "rep", "part"]]
+    bucket = F.conv(F.substring("_mark", 1, 3), 16, 10).cast("int")
+    numbered = number_rows(large, area, bucket, ["_mark", unit], "_no").withColumn("_block", F.expr(f"(_no - 1) div {block_units}"))
+    blocks = numbered.groupBy(*area, "_n", "_block").agg(F.array_sort(F.collect_list(F.struct("_no", F.col("table").alias("t")))).alias("units"))
+    tasks = _rep_rows(blocks.withColumn("_stratum", stratum), reps, F.col("_n") * boxes)
+    part_schema = T.StructType([*af, *[T.StructField(c, T.LongType()) for c in ("_n", "rep", "_block")], T.StructField("part", T.DoubleType())])
 
-    far = (
-        blocks.select(*area, "_n", "_stratum", "_block", "_no", "table")
-        .groupBy(*area, "_block")
-        .applyInPandas(one_block, part_schema)
-        .groupBy(*area, "_n", "rep")
-        .agg((F.sum("part") / (F.col("_n") * boxes)).alias("mean"))
-        .groupBy(*area, F.col("_n").alias("units"))
-        .agg(F.percentile("mean", F.array(*[F.lit(p) for p in probs])).alias("_q"))
-        .select(*area, "units", *[F.col("_q")[i].alias(c) for i, c in enumerate(stats)])
-    )
-    return near.unionByName(far)
+    def one_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for _, row in pdf.iterrows():
+                n, number, block, rep0, n_reps = (int(row[c]) for c in ("_n", "_stratum", "_block", "rep0", "n_reps"))
+                units = _Units([u["t"] for u in row["units"]])
+                for rep in np.array_split(np.arange(rep0, rep0 + n_reps), -(-n_reps * len(units.values) // CHUNK_VALUES)):
+                    part = _hit_sums(units.hits(rep, n, block * block_units, boxes, number, seed), units.values)
+                    res = pd.DataFrame({"_n": n, "rep": rep, "_block": block, "part": part})
+                    for k in area:
+                        res[k] = [row[k]] * len(res)
+                    yield res[[*area, "_n", "rep", "_block", "part"]]
+
+    parts = _spread(tasks, [*area, "_block", "rep0"]).mapInPandas(one_block, part_schema)
+    replicates = parts.groupBy(*area, F.col("_n").alias("units"), "rep").agg((_in_order("_block", "part") / (F.first("_n") * boxes)).alias("mean"))
+    return near.unionByName(_from_replicates(replicates, [*area, "units"], ["mean"], probs, out))
 
 
 # ---- G4, G5 ---------------------------------------------------------------------

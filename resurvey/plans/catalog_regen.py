@@ -457,7 +457,7 @@ def psa_interval(v: Views):
 
 _CB = f"""{_BOX},
 c1 AS (SELECT area, plot, box_count AS y FROM boxes WHERE cycle_no = 1),
-un AS (SELECT area, plot, row_number() OVER (PARTITION BY area ORDER BY plot) - 1 AS idx FROM (SELECT DISTINCT area, plot FROM c1)),
+un AS (SELECT area, plot, row_number() OVER (PARTITION BY area ORDER BY md5(plot), plot) - 1 AS idx FROM (SELECT DISTINCT area, plot FROM c1)),
 vals AS (SELECT area, plot, y, row_number() OVER (PARTITION BY area, plot ORDER BY y) - 1 AS bidx, count(*) OVER (PARTITION BY area, plot) AS nb FROM c1),
 ar AS (SELECT area, count(*) AS n, {_stratum_sql('area')} AS sid FROM un GROUP BY area),
 {_draws_sql('du', 'ar', 'n', CLUSTER_REPS)},

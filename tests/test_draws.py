@@ -40,16 +40,3 @@ def test_portable_draws_do_not_follow_each_other():
         assert abs(np.corrcoef(a.ravel(), b.ravel())[0, 1]) < 0.05
     means = x.mean(axis=1)
     assert 0.85 < means.var() / (1 / 12 / 8) < 1.15
-
-
-def test_block_draws_are_one_multinomial():
-    total, size, reps = 1050, 100, 4000
-    blocks = -(-total // size)
-    parts = [draws.block_draws(total, size, b, total, reps, 4, 99) for b in range(blocks)]
-    inside = np.array([p[1] for p in parts])
-    before = np.array([p[0] for p in parts])
-    assert (inside.sum(axis=0) == total).all()
-    assert (before == np.cumsum(inside, axis=0) - inside).all()
-    share = np.array([size] * (blocks - 1) + [50]) / total
-    assert np.allclose(inside.mean(axis=1), total * share, rtol=0.02)
-    assert np.allclose(inside.var(axis=1), total * share * (1 - share), rtol=0.12)

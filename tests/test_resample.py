@@ -1,7 +1,10 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from resurvey.functions import draws
 from resurvey.operators import resample
 
 
@@ -33,14 +36,26 @@ def test_interval_width_agrees_with_theory(measures):
 
 
 @pytest.mark.parametrize("block_rows", [37, 128, 100_000])
-def test_blocks_of_a_large_group_give_the_same_distribution(measures, block_rows):
-    near, far = intervals(measures), intervals(measures, direct_rows=100, block_rows=block_rows)
-    assert set(near) == set(far)
-    for g in ("wide", "even"):
-        width = near[g]["mean_hi95"] - near[g]["mean_lo95"]
-        for c in resample.INTERVAL_COLUMNS:
-            assert far[g][c] == pytest.approx(near[g][c], abs=0.35 * width), (g, c)
-    assert far["flat"] == near["flat"]
+def test_both_paths_give_the_same_limits(measures, block_rows, monkeypatch):
+    """To the last bit, with draws counted in ranges and replicates dealt to several tasks."""
+    near = intervals(measures, block_rows=block_rows)
+    monkeypatch.setattr(resample, "WORK_DRAWS", 5000)
+    assert intervals(measures, direct_rows=100, block_rows=block_rows) == near
+
+
+def test_both_sides_of_the_limit(spark):
+    """Groups of one value fewer and one more than a task takes, against plain resampling."""
+    rng = np.random.default_rng(4)
+    data = {n: np.round(rng.normal(50, 9, n), 2) for n in (9_999, 10_000, 10_001)}
+    df = spark.createDataFrame([(str(n), float(y)) for n, v in data.items() for y in v], "g string, y double")
+    got = {r.g: r.asDict() for r in resample.mean_median_interval(df, ["g"], "y", 40, 7).collect()}
+    assert got == {r.g: r.asDict() for r in resample.mean_median_interval(df, ["g"], "y", 40, 7, direct_rows=20_000).collect()}
+    number = {r.g: r.s for r in df.select("g", draws.stratum_number(F.col("g")).alias("s")).distinct().collect()}
+    for n, v in data.items():
+        drawn = np.sort(v)[draws.portable_indices(np.arange(40), np.arange(n), number[str(n)], 7, n)]
+        for name, stat in (("mean", drawn.mean(axis=1)), ("median", np.median(drawn, axis=1))):
+            want = np.quantile(stat, list(resample.INTERVAL_PROBS.values()))
+            assert [got[str(n)][f"{name}_{q}"] for q in resample.INTERVAL_PROBS] == pytest.approx(list(want), rel=1e-12)
 
 
 def test_interval_does_not_depend_on_partitioning(measures):
@@ -93,12 +108,23 @@ def test_cluster_bootstrap(box_rows):
     assert (got["q"].p05, got["q"].p50, got["q"].p95) == (2.0, 2.0, 2.0)
 
 
-def test_cluster_bootstrap_of_a_large_area(box_rows):
-    near, far = cluster(box_rows), cluster(box_rows, direct_units=10, block_units=7)
-    assert far["q"] == near["q"] and far["p"].units == 60
-    width = near["p"].p95 - near["p"].p05
-    for c in ("p05", "p50", "p95"):
-        assert far["p"][c] == pytest.approx(near["p"][c], abs=0.2 * width)
+@pytest.mark.parametrize("block_units", [7, 1000])
+def test_cluster_bootstrap_of_a_large_area(box_rows, block_units, monkeypatch):
+    near = cluster(box_rows, block_units=block_units)
+    monkeypatch.setattr(resample, "WORK_DRAWS", 3000)
+    assert cluster(box_rows, direct_units=10, block_units=block_units) == near
+
+
+def test_a_unit_of_many_boxes(spark):
+    """Ten million equal boxes are one entry of a table."""
+    table = [[{"v": 1.0, "f": 4_000_000}, {"v": 3.0, "f": 6_000_000}], [{"v": 2.0, "f": 8}]]
+    tracemalloc.start()
+    units = resample._Units(table)
+    hits = units.hits(np.arange(2000), 2, 0, 8, 5, 11)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6 and (hits.sum(axis=1) == 16).all()
+    assert hits[:, 1].sum() / hits[:, :2].sum() == pytest.approx(0.6, abs=0.02)
 
 
 @pytest.fixture(scope="module")
