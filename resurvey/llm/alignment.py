@@ -1,9 +1,9 @@
 """Operator 13: two tokenizers' tokens aligned by bytes, pairs counted by inverted bitmaps.
 
-Both tokenizers see each text behind a space.  Texts are cut into units in front of a space or a
-line end between two characters that are not white space: neither tokenizer has tokens that run
-over such a place, so the tokens, groups and links of a text are those of its units, and a unit
-that occurs again is only looked up.
+Both tokenizers see each text behind a space.  Texts are cut into units in front of spaces, and units
+into parts at line ends and between letters and marks: neither tokenizer has tokens that run over
+such a place, so the tokens, groups and links of a text are those of its parts.  A part is encoded
+once, and a unit that occurs again is only looked up.
 
 Documents gather in blocks, where they have small numbers.  A block inverts its links: for each
 pair of ids it keeps the documents in which they are linked as compressed bitmaps, one per binary
@@ -23,6 +23,7 @@ import os
 import pickle
 import re
 from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from resurvey.llm.base import only, written
-from resurvey.llm.tokens import batches_of, chunks
+from resurvey.llm.base import Grown, lean, only, ragged, written
+from resurvey.llm.tokens import AMBIGUOUS, INNER, LETTERS, MARKS, WORD, WordModel, batches_of, chunks
 
 # Text bytes and documents of a block: its postings are held in one task at a time.
 BLOCK_BYTES, BLOCK_DOCUMENTS = 16 << 20, 1 << 16
@@ -42,8 +43,11 @@ KEPT_UNITS = 400_000
 # Units of one text that are turned into links at once.
 UNITS_AT_ONCE = 200_000
 
-WIDE_SPACE = re.compile(r"\s\s")
-CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+# In front of a space unless white space stands on both sides of that cut.
+CUT = re.compile(r"(?<=\S)(?= )|(?= \S)")
+# What no piece of the second vocabulary may hold: a character in front of its space, a line end, a
+# letter or digit in front of a mark.
+OVER_A_CUT = re.compile(rf"[^ ] |\n|[{LETTERS}0-9][{''.join(sorted(MARKS))}]")
 
 
 def byte_of_character() -> dict[str, int]:
@@ -56,28 +60,9 @@ def byte_of_character() -> dict[str, int]:
 def units_of(text: str) -> list[str]:
     """Units of a text that is not empty, behind the space that both tokenizers see in front of it."""
     whole = " " + text
-    if WIDE_SPACE.search(whole) is None and not whole[-1].isspace() and "\n" not in whole:
-        return [" " + w for w in whole[1:].split(" ")]
-    return CUT.split(whole)
-
-
-def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Places start, start + 1, ... of all pieces, one piece behind the other."""
-    ends = np.cumsum(sizes)
-    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
-
-
-class Grown:
-    """An array that grows at its end."""
-
-    def __init__(self, kind: type = np.int64):
-        self.data, self.n = np.zeros(1024, kind), 0
-
-    def add(self, more: np.ndarray) -> None:
-        if self.n + len(more) > len(self.data):
-            self.data = np.concatenate((self.data[: self.n], np.zeros(max(self.n, len(more)) + len(more), self.data.dtype)))
-        self.data[self.n : self.n + len(more)] = more
-        self.n += len(more)
+    if AMBIGUOUS.search(whole) is None:
+        return [" " + w for w in text.split(" ")]
+    return [u for u in CUT.split(whole) if u]
 
 
 class Units:
@@ -101,14 +86,18 @@ class Units:
             known = all(c in letters for c in token)
             self.a_bytes[i] = bytes(letters[c] for c in token) if known else token.encode()
         self.b_bytes = [self._piece(i) for i in range(len(self.b))]
-        if any(re.search("[^ ] |.\n|\n.", self.b.id_to_piece(i).replace("▁", " "), re.S) for i in range(len(self.b))):
+        if any(OVER_A_CUT.search(self.b.id_to_piece(i).replace("▁", " ")) for i in range(len(self.b))):
             raise ValueError("the piece vocabulary has tokens that run over the cuts of units")
+        if not WordModel.fits(self.a):
+            raise ValueError("the first tokenizer must be byte-level, with its splitting pattern")
+        self.words = WordModel(a_path)
         self.a_size = np.array([len(t) for t in self.a_bytes])
         self.b_size = np.array([len(t) for t in self.b_bytes])
         self.a_name = [str(i) for i in range(len(self.a_bytes))]
         self.b_name = [str(i) for i in range(len(self.b_bytes))]
-        (self.line_end,) = self.a.encode("\n", add_special_tokens=False).ids
-        (self.space,) = self.b.encode("\n")[:-1]
+        self.before = self.b.encode("\n")  # its own space and the line end
+        if len(self.before) != 2:
+            raise ValueError("the piece tokenizer must put a space in front of texts and spell line ends by themselves")
         self.clear()
 
     def _piece(self, i: int) -> bytes:
@@ -122,58 +111,82 @@ class Units:
         self.good = Grown(bool)
         self.links = Grown()  # a id * size of the b vocabulary + b id, for each link
 
-    def of(self, units: list[str]) -> list[int]:
-        """The numbers of units."""
-        found = list(map(self.numbers.get, units))
-        if None in found:
-            self.learn(list(dict.fromkeys(u for u, n in zip(units, found, strict=True) if n is None)))
-            found = list(map(self.numbers.__getitem__, units))
-        return found
-
-    def _encode_a(self, units: list[str]) -> list[list[int]]:
-        out: list[list[int] | None] = [None] * len(units)
-        # words of letters go to the library as lines of one text: line ends are tokens of their own
-        plain = [i for i, u in enumerate(units) if u[0] == " " and u[1:].isalpha()]
-        if plain:
-            ids = self.a.encode_batch_fast(["\n".join([units[i] for i in plain])], add_special_tokens=False)[0].ids
-            ids_ = np.array(ids)
-            ends = np.append(np.flatnonzero(ids_ == self.line_end), len(ids)).tolist()
-            if len(ends) != len(plain):
-                raise ValueError("the tokenizer joins line ends with words")
-            start = 0
-            for i, end in zip(plain, ends, strict=True):
-                out[i] = ids[start:end]
-                start = end + 1
-        rest = [i for i, o in enumerate(out) if o is None]
-        for i, e in zip(rest, self.a.encode_batch_fast([units[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = e.ids
-        return out
-
-    def _encode_b(self, units: list[str]) -> list[list[int]]:
-        """The library puts a space in front by itself; a unit that begins with a line end has none."""
-        coded = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
-        for i, u in enumerate(units):
-            if u[0] != " ":
-                if coded[i][0] != self.space:
-                    raise ValueError("the piece tokenizer joins its space with a line end")
-                del coded[i][0]
-        return coded
+    def of(self, texts: list[list[str]]) -> list[list[int]]:
+        """The numbers of the units of texts."""
+        get = self.numbers.get
+        found = [list(map(get, units)) for units in texts]
+        new = dict.fromkeys(u for units, f in zip(texts, found, strict=True) if None in f for u, n in zip(units, f, strict=True) if n is None)
+        if not new:
+            return found
+        self.learn(list(new))
+        get = self.numbers.__getitem__
+        return [list(map(get, units)) if None in f else f for units, f in zip(texts, found, strict=True)]
 
     def learn(self, new: list[str]) -> None:
-        for start, stop in batches_of(new):
-            self._learn(new[start:stop])
-
-    def _learn(self, units: list[str]) -> None:
-        a, b = self._encode_a(units), self._encode_b(units)
-        size = np.array([len(u.encode("utf-8")) for u in units])
-        n_a, n_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-        good = np.ones(len(units), bool)
-        for i, u in enumerate(units):
-            data = u.encode()
-            good[i] = b"".join([self.a_bytes[t] for t in a[i]]) == data == b"".join([self.b_bytes[t] for t in b[i]])
-        ids_a = np.array([t for x, g in zip(a, good, strict=True) if g for t in x], np.int64)
-        ids_b = np.array([t for x, g in zip(b, good, strict=True) if g for t in x], np.int64)
-        n_a, n_b, size = n_a * good, n_b * good, size * good
+        parts = {u: p for u in new if not (u[0] == " " and u[1:].isalpha()) and len(p := INNER.split(u)) > 1}
+        wanted = dict.fromkeys(p for ps in parts.values() for p in ps if p not in self.numbers)
+        wanted.update(dict.fromkeys(u for u in new if u not in parts))
+        words = [p for p in wanted if WORD(p, p[0] == " ")]
+        others = [p for p in wanted if not WORD(p, p[0] == " ")]
+        for kind, some in ((True, words), (False, others)):
+            for start, stop in batches_of(some):
+                self._learn(some[start:stop], kind)
+        if parts:
+            self._compose(list(parts), [[self.numbers[p] for p in ps] for ps in parts.values()])
+
+    def _compose(self, units: list[str], parts: list[list[int]]) -> None:
+        """Learn units from the numbers of their parts."""
+        n = np.array([len(p) for p in parts])
+        at = np.fromiter(chain.from_iterable(parts), np.int64, int(n.sum()))
+        starts = np.cumsum(n) - n
+        n_a, n_b, n_groups, n_links = (np.add.reduceat(x.data[at], starts) for x in (self.n_a, self.n_b, self.n_groups, self.n_links))
+        good = np.logical_and.reduceat(self.good.data[at], starts)
+        links = self.links.data[ragged(self.link_at.data[at], self.n_links.data[at])]
+        groups = [";".join([self.groups[i] for i in p]) for p in parts]
+        self._keep(units, n_a, n_b, n_groups, n_links, good, links, groups)
+
+    def _keep(self, units: list[str], n_a: np.ndarray, n_b: np.ndarray, n_groups: np.ndarray, n_links: np.ndarray, good: np.ndarray, links: np.ndarray, groups: list[str]) -> None:
+        self.numbers.update(zip(units, range(self.good.n, self.good.n + len(units)), strict=True))
+        self.groups += groups
+        self.link_at.add(self.links.n + np.cumsum(n_links) - n_links)
+        self.links.add(links)
+        for kept, new in ((self.n_a, n_a), (self.n_b, n_b), (self.n_groups, n_groups), (self.n_links, n_links), (self.good, good)):
+            kept.add(new)
+
+    def _encode_a(self, units: list[str], words: bool) -> tuple[np.ndarray, np.ndarray]:
+        if words:
+            ids, ends = self.words.encode(units)
+            return ids, np.diff(ends, prepend=0)
+        coded = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
+        n = np.array([len(c) for c in coded])
+        return np.fromiter(chain.from_iterable(coded), np.int64, int(n.sum())), n
+
+    def _encode_b(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The library puts a space in front by itself; what has none of its own is encoded behind a line end."""
+        bare = [u[0] != " " or len(u) == 1 for u in units]
+        coded = self.b.encode(["\n" + u if x else u[1:] for u, x in zip(units, bare, strict=True)], num_threads=1)
+        for c, x in zip(coded, bare, strict=True):
+            if x:
+                if c[:2] != self.before:
+                    raise ValueError("the piece tokenizer joins a line end with what follows")
+                del c[:2]
+        n = np.array([len(c) for c in coded])
+        return np.fromiter(chain.from_iterable(coded), np.int64, int(n.sum())), n
+
+    def _learn(self, units: list[str], words: bool) -> None:
+        (ids_a, n_a), (ids_b, n_b) = self._encode_a(units, words), self._encode_b(units)
+        data = [u.encode() for u in units]
+        size = np.array([len(d) for d in data])
+        at_a, at_b = np.repeat(np.arange(len(units)), n_a), np.repeat(np.arange(len(units)), n_b)
+        good = (np.bincount(at_a, self.a_size[ids_a], len(units)) == size) & (np.bincount(at_b, self.b_size[ids_b], len(units)) == size)
+        spelt = [b"".join(map(t.__getitem__, ids.tolist())) for t, ids in ((self.a_bytes, ids_a), (self.b_bytes, ids_b))]
+        if not good.all() or not spelt[0] == spelt[1] == b"".join(data):
+            ends_a, ends_b = np.cumsum(n_a).tolist(), np.cumsum(n_b).tolist()
+            for i, d in enumerate(data):
+                own_a, own_b = ids_a[ends_a[i] - n_a[i] : ends_a[i]].tolist(), ids_b[ends_b[i] - n_b[i] : ends_b[i]].tolist()
+                good[i] = b"".join([self.a_bytes[t] for t in own_a]) == d == b"".join([self.b_bytes[t] for t in own_b])
+            ids_a, ids_b = ids_a[good[at_a]], ids_b[good[at_b]]
+            n_a, n_b = n_a * good, n_b * good
         # all units behind one another: both tokenizers' tokens cover the same bytes
         end_a, end_b = np.cumsum(self.a_size[ids_a]), np.cumsum(self.b_size[ids_b])
         first = np.searchsorted(end_b, end_a - self.a_size[ids_a], "right")
@@ -182,25 +195,21 @@ class Units:
         unit_a = np.repeat(np.arange(len(units)), n_a)
         n_links = np.bincount(unit_a, count, len(units)).astype(np.int64)
         # groups end where tokens of both end
-        both, last_a, last_b = np.intersect1d(end_a, end_b, assume_unique=True, return_indices=True)
+        _, last_a, last_b = np.intersect1d(end_a, end_b, assume_unique=True, return_indices=True)
         n_groups = np.bincount(unit_a[last_a], minlength=len(units))
         name_a, name_b = [self.a_name[i] for i in ids_a.tolist()], [self.b_name[i] for i in ids_b.tolist()]
         texts, p, q = [], 0, 0
         for x, y in zip((last_a + 1).tolist(), (last_b + 1).tolist(), strict=True):
             if x - p == 1 and y - q == 1:
-                texts.append(name_a[p] + "|" + name_b[q])
+                texts.append(f"{name_a[p]}|{name_b[q]}")
             else:
-                texts.append(",".join(name_a[p:x]) + "|" + ",".join(name_b[q:y]))
+                texts.append(f"{','.join(name_a[p:x])}|{','.join(name_b[q:y])}")
             p, q = x, y
-        at = 0
+        groups, at = [], 0
         for n in n_groups.tolist():
-            self.groups.append(";".join(texts[at : at + n]) if n != 1 else texts[at])
+            groups.append(";".join(texts[at : at + n]) if n != 1 else texts[at])
             at += n
-        self.numbers.update(zip(units, range(self.good.n, self.good.n + len(units)), strict=True))
-        self.link_at.add(self.links.n + np.cumsum(n_links) - n_links)
-        self.links.add(links)
-        for kept, new in ((self.n_a, n_a), (self.n_b, n_b), (self.n_groups, n_groups), (self.n_links, n_links), (self.good, good)):
-            kept.add(new)
+        self._keep(units, n_a, n_b, n_groups, n_links, good, links, groups)
 
 
 _KEPT: dict[tuple[str, str], Units] = {}
@@ -217,7 +226,7 @@ def summed(codes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Distinct codes, rising, and the sums of their weights."""
     if not len(codes):
         return codes, weights
-    order = np.argsort(codes, kind="stable")
+    order = np.argsort(codes)
     codes, weights = codes[order], weights[order]
     starts = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
     return codes[starts], np.add.reduceat(weights, starts)
@@ -235,21 +244,17 @@ class Block:
         self.size = 0
 
     def add(self, units: Units, ids: list, texts: list[str | None]) -> None:
+        if len(units.numbers) > KEPT_UNITS:
+            units.clear()
+        pieces = [units_of(t) if t else [] for t in texts]
+        found = units.of([p if len(p) <= UNITS_AT_ONCE else [] for p in pieces])
         used: list[np.ndarray] = []
         owners: list[np.ndarray] = []
-        held = 0
-        for key, text in zip(ids, texts, strict=True):
-            pieces = units_of(text) if text else []
-            if len(units.numbers) > KEPT_UNITS:
-                self._post(units, used, owners)
-                used, owners, held = [], [], 0
-                units.clear()
-            if len(pieces) > UNITS_AT_ONCE:
-                self._post(units, used, owners)
-                used, owners, held = [], [], 0
-                self._add_long(units, key, pieces)
+        later = []
+        for key, own, at in zip(ids, pieces, found, strict=True):
+            if len(own) > UNITS_AT_ONCE:
+                later.append((key, own))
                 continue
-            at = units.of(pieces)
             numbers = np.array(at, np.int64)
             if not len(numbers) or not units.good.data[numbers].all():
                 self.numbers.append((0, 0, 0, 0))
@@ -257,14 +262,12 @@ class Block:
             else:
                 used.append(numbers)
                 owners.append(np.full(len(numbers), len(self.ids)))
-                held += len(numbers)
                 self.numbers.append(tuple(int(x.data[numbers].sum()) for x in (units.n_a, units.n_b, units.n_groups, units.n_links)))
                 self.digests.append(hashlib.sha256(";".join(map(units.groups.__getitem__, at)).encode()).hexdigest())
             self.ids.append(key)
-            if held > UNITS_AT_ONCE:
-                self._post(units, used, owners)
-                used, owners, held = [], [], 0
         self._post(units, used, owners)
+        for key, own in later:
+            self._add_long(units, key, own)
 
     def _add_long(self, units: Units, key: object, pieces: list[str]) -> None:
         """A long text, some units at a time; where a unit is not good its links are taken back."""
@@ -273,7 +276,7 @@ class Block:
         for start in range(0, len(pieces), UNITS_AT_ONCE):
             if len(units.numbers) > KEPT_UNITS:
                 units.clear()
-            at = units.of(pieces[start : start + UNITS_AT_ONCE])
+            at = units.of([pieces[start : start + UNITS_AT_ONCE]])[0]
             numbers = np.array(at, np.int64)
             good = good and bool(units.good.data[numbers].all())
             if not good:
@@ -416,7 +419,7 @@ def inverted(docs: DataFrame, a_path: str, b_path: str, key: str, text: str, blo
             yield from rows()
 
     out = f"block long, docs array<struct<id {kind}, {DOC_FIELDS}>>, data binary, pair long, n_docs long, n_links long"
-    return only(docs, key, text).mapInArrow(run, out)
+    return only(docs, key, text).mapInArrow(lean(run), out)
 
 
 def pair_counts(postings: DataFrame, b_size: int) -> DataFrame:

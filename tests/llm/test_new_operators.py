@@ -283,7 +283,8 @@ def test_a_long_text_in_parts(monkeypatch, corner_rows):
     def run():
         units, block = alignment.Units(A_PATH, B_PATH), alignment.Block()
         block.add(units, list(range(len(texts))), texts)
-        return block.numbers, block.digests, [x if isinstance(x, bytes) else x.tolist() for x in block.postings()]
+        pairs, n_docs, n_links, _ = block.postings()
+        return dict(zip(block.ids, zip(block.numbers, block.digests))), pairs.tolist(), n_docs.tolist(), n_links.tolist()
 
     whole = run()
     monkeypatch.setattr(alignment, "UNITS_AT_ONCE", 40)
