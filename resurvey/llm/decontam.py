@@ -24,9 +24,12 @@ MASKS = ("11101011", "110100111")
 WINDOW, EQUAL = 13, 11
 # Shorter items, of at least this many words, must occur whole and without substitutions.
 LEAST_WORDS = 5
-# Distinct seeds of the benchmark that tasks get as a filter (8 bytes each, and as much again for
-# the bitmap); a larger benchmark is joined without that filter.
-FILTER_SEEDS = 2_000_000
+# Tasks get the seeds of the benchmark as a Bloom filter of two bits a seed, in 64 times as many bits,
+# at most 2**27 (16 MB); what it lets through by mistake goes in the join.
+LEAST_FILTER_BITS, FILTER_BITS = 16, 27
+FILTER_PART_BITS = 16
+# Hits of one document that are compared at once.
+HITS_AT_ONCE = 4096
 
 
 def _places(mask: str) -> tuple[int, ...]:
@@ -69,22 +72,51 @@ def _words(df: DataFrame, name: str) -> DataFrame:
     return df.select(name, F.encode("text", "UTF-8").alias("text")).mapInArrow(run, f"{name} {kind}, words array<long>")
 
 
+def _slots(seeds_: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of seeds (unsigned) in a filter of 2**bits bits."""
+    return seeds_ >> np.uint64(64 - bits), (seeds_ >> np.uint64(8)) & np.uint64((1 << bits) - 1)
+
+
+def bloom_filter(seeds_: DataFrame, most_bits: int = FILTER_BITS) -> np.ndarray:
+    """The bits of all seeds, eight to a byte; made in parts, of which the driver gets 2**most_bits bits at most."""
+    bits = min(most_bits, max(LEAST_FILTER_BITS, (64 * seeds_.count()).bit_length()))
+
+    def slots(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            found = np.unique(np.concatenate(_slots(batch.column(0).to_numpy().view(np.uint64), bits))).astype(np.int64)
+            yield pa.record_batch([pa.array(found >> FILTER_PART_BITS), pa.array(found & ((1 << FILTER_PART_BITS) - 1))], ["part", "slot"])
+
+    def part(rows: pa.Table) -> pa.Table:
+        marks = np.zeros(1 << FILTER_PART_BITS, bool)
+        marks[rows.column("slot").to_numpy()] = True
+        return pa.table([rows.column("part").slice(0, 1), pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
+
+    parts = seeds_.select("seed").mapInArrow(slots, "part long, slot long").distinct().groupBy("part").applyInArrow(part, "part long, bits binary")
+    out = np.zeros((1 << bits - FILTER_PART_BITS, 1 << FILTER_PART_BITS - 3), np.uint8)
+    for r in parts.collect():
+        out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def passes(filter_: np.ndarray, seeds_: np.ndarray) -> np.ndarray:
+    """Places of the seeds that may be in the filter."""
+    one, two = _slots(seeds_, 3 + len(filter_).bit_length() - 1)
+    bit = lambda at: (filter_[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
+    keep = np.flatnonzero(bit(one))
+    return keep[bit(two[keep]) != 0]
+
+
 def _seed_rows(df: DataFrame, name: str, short: list[int], whole: bool, known: np.ndarray | None) -> DataFrame:
     """(name, place, seed) of rows (name, text).
 
     ``whole``: items shorter than a window give one seed as a whole, longer ones those of the
-    masks.  ``known``: leaves out seeds that are not among these sorted ones.
+    masks.  ``known``: leaves out seeds that are not in this filter.
     """
     kind = df.schema[name].dataType.simpleString()
     shared = None if known is None else df.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        if shared is not None:
-            sorted_ = shared.value
-            bits = max(16, int(len(sorted_) * 64 - 1).bit_length())
-            shift = np.uint64(64 - bits)
-            bitmap = np.zeros(1 << bits, bool)
-            bitmap[sorted_ >> shift] = True
+        filter_ = None if shared is None else shared.value
         for batch in batches:
             rows, places, hashes = [], [], []
             for i, data in enumerate(wordhash.each(batch.column(1))):
@@ -94,10 +126,8 @@ def _seed_rows(df: DataFrame, name: str, short: list[int], whole: bool, known: n
                 else:
                     found = seeds(words, short)
                 for at, h in found:
-                    if shared is not None and len(h):
-                        keep = np.flatnonzero(bitmap[h >> shift])
-                        near = np.searchsorted(sorted_, h[keep])
-                        keep = keep[sorted_[np.minimum(near, len(sorted_) - 1)] == h[keep]] if len(sorted_) else keep[:0]
+                    if filter_ is not None and len(h):
+                        keep = passes(filter_, h)
                         at, h = at[keep], h[keep]
                     rows.append(np.full(len(h), i))
                     places.append(at)
@@ -115,6 +145,36 @@ def _seed_rows(df: DataFrame, name: str, short: list[int], whole: bool, known: n
     return df.select(name, F.encode("text", "UTF-8").alias("text")).mapInArrow(run, f"{name} {kind}, place long, seed long")
 
 
+def _stretches(rows: DataFrame, item_kind: str) -> DataFrame:
+    """doc, item, diagonal, doc_words: of rows (doc, text, hits) the stretch of the text that each hit (item, diagonal, n) lies along.
+
+    A text is hashed once however many hits it has; what it gives has the size of the items.  Places
+    outside the text are NULL.
+    """
+    kind = rows.schema["doc"].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            hits = batch.column("hits")
+            for i, data in enumerate(wordhash.each(batch.column("text"))):
+                words = words_of(data).view(np.int64)
+                mine = hits[i].values
+                begin, size = mine.field("diagonal").to_numpy(), mine.field("n").to_numpy()
+                for a in range(0, len(mine), HITS_AT_ONCE):
+                    b, n = begin[a : a + HITS_AT_ONCE], size[a : a + HITS_AT_ONCE]
+                    ends = np.cumsum(n)
+                    at = np.repeat(b - (ends - n), n) + np.arange(int(ends[-1]))
+                    inside = (at >= 0) & (at < len(words))
+                    found = np.zeros(len(at), np.int64)
+                    found[inside] = words[at[inside]]
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(found, mask=~inside))
+                    columns = [pa.array([batch.column("doc")[i].as_py()] * len(b), batch.column("doc").type), mine.field("item").slice(a, len(b)), pa.array(b), lists]
+                    yield pa.record_batch(columns, ["doc", "item", "diagonal", "doc_words"])
+
+    ready = rows.select("doc", F.encode("text", "UTF-8").alias("text"), "hits")
+    return ready.mapInArrow(run, f"doc {kind}, item {item_kind}, diagonal long, doc_words array<long>")
+
+
 def overlaps(
     docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
@@ -135,24 +195,19 @@ def overlaps(
     lengths = item_words.where(F.size("words") < WINDOW).select(F.size("words").alias("n")).distinct()
     short = sorted(r["n"] for r in lengths.collect())  # at most WINDOW - LEAST_WORDS numbers
     item_seeds = written(_seed_rows(test, "item", [], True, None).withColumnRenamed("place", "item_place").distinct(), "leak-seeds")
-    known = item_seeds.select("seed").distinct()
-    filter_ = None
-    if known.count() <= FILTER_SEEDS:
-        filter_ = np.sort(known.toArrow().column(0).to_numpy().view(np.uint64))
-    hits = _seed_rows(train, "doc", short, False, filter_)
+    hits = _seed_rows(train, "doc", short, False, bloom_filter(written(item_seeds.select("seed").distinct(), "leak-known")))
     diagonals = (
         hits.join(item_seeds, "seed")
         .select("doc", "item", (F.col("place") - F.col("item_place")).alias("diagonal"))
         .distinct()
     )
-    diagonals = written(diagonals, "leak-diagonals")
-    found = small_side(written(diagonals.select("doc").distinct(), "leak-found"))
-    doc_words = _words(train.join(found, "doc", "left_semi"), "doc")
-    aligned = diagonals.join(item_words.alias("i"), "item").join(doc_words.withColumnRenamed("words", "doc_words"), "doc")
-    same = F.transform(
-        F.col("i.words"),
-        lambda w, k: F.coalesce(F.get("doc_words", (F.col("diagonal") + k).cast("int")) == w, F.lit(False)).cast("int"),
-    )
+    # items that share a key are one: each of their texts is compared
+    longest = item_words.groupBy("item").agg(F.max(F.size("words")).alias("n"))
+    along = diagonals.join(longest, "item").groupBy("doc").agg(F.collect_list(F.struct("item", "diagonal", "n")).alias("hits"))
+    found = small_side(written(along, "leak-hits"))
+    stretches = _stretches(train.where("text IS NOT NULL").join(found, "doc"), test.schema["item"].dataType.simpleString())
+    aligned = stretches.join(item_words.alias("i"), "item")
+    same = F.transform(F.col("i.words"), lambda w, k: F.coalesce(F.get("doc_words", k) == w, F.lit(False)).cast("int"))
     n = F.size("same")
     width = F.least(n, F.lit(WINDOW))
     sums = F.transform(F.sequence(F.lit(1), n - width + 1), lambda s: F.aggregate(F.slice("same", s, width), F.lit(0), lambda a, x: a + x))
