@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -123,21 +123,27 @@ def band_status(summary: DataFrame, bands: DataFrame, param: str, value: str) ->
 
 
 def threshold_table(
-    summaries: Mapping[str, DataFrame], stat: str, by_bin: bool = False, param: str | None = None, unit: str | None = None
-) -> DataFrame:
+    tables: Mapping[str, DataFrame], stat: str, by_bin: bool = False, param: str | None = None, unit: str | None = None,
+    summarize: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None,
+) -> DataFrame:
     """F10. One long table over parameters with the mean or median and its 68 and 95 percent limits.
 
-    Every summary holds grain, unit, subunit, grain_bin, period, n, mean, median and the limits of
+    A summary holds grain, unit, subunit, grain_bin, period, n, mean, median and the limits of
     ``mean_median_interval``.  ``param`` keeps one parameter, ``unit`` one unit, ``by_bin`` the
-    fine grain instead of the coarse one.
+    fine grain instead of the coarse one.  ``tables`` are summaries; for a parameter that
+    ``summarize`` names it is the measured rows (see ``two_grains``), of which the wanted groups
+    alone are then summarized and resampled: no predicate passes a Python node by itself.
     """
     if stat not in ("mean", "median"):
         raise ValueError(f"stat must be 'mean' or 'median', not {stat!r}")
-    wanted = {k: v for k, v in summaries.items() if param in (None, k)}
-    df = stack_metrics(wanted, "param").where(F.col("grain") == ("bin" if by_bin else "subunit"))
-    if unit is not None:
-        df = df.where(F.col("unit") == unit)
-    return df.select(
+    wanted = {}
+    for name, df in tables.items():
+        if param not in (None, name):
+            continue
+        rows = df.where(F.col("grain") == ("bin" if by_bin else "subunit"))
+        rows = rows if unit is None else rows.where(F.col("unit") == unit)
+        wanted[name] = summarize[name](rows) if summarize and name in summarize else rows
+    return stack_metrics(wanted, "param").select(
         "param",
         "unit",
         "subunit",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from resurvey.operators import asof, checks, clean, diffs, reshape, roles
-from resurvey.plans.registry import query, rounded, settled, settled_sql
+from resurvey.plans.registry import cents, query, rounded, settled, settled_sql
 from resurvey.plans.views import Views
 
 _SIDES = """
@@ -238,14 +238,15 @@ def merge_summaries(v: Views):
     "stack_metrics",
     "thr",
     f"""
-SELECT 'price' AS metric, unit, count(*) AS n, {settled_sql('avg(y)')} AS mean FROM v_thr GROUP BY unit
+SELECT 'price' AS metric, unit, count(*) AS n, {settled_sql('sum(round(y * 100)::BIGINT)::DOUBLE / count(*)', unit=100)} AS mean FROM v_thr GROUP BY unit
 UNION ALL SELECT 'share', unit, count(*), {settled_sql('avg(100 * y / (SELECT avg(y) FROM v_thr))')} FROM v_thr GROUP BY unit""",
 )
 def stack_metrics(v: Views):
     """D11."""
-    summary = lambda df, c: df.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.avg(c).alias("mean"))
-    share = clean.percent_of_mean(v.thr(), "y", "pct")
-    return settled(roles.stack_metrics({"price": summary(v.thr(), "y"), "share": summary(share, "pct")}), "mean")
+    summary = lambda df, c: df.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), (F.sum(c).cast("double") / F.count(c)).alias("mean"))
+    price = settled(summary(v.thr().withColumn("c", cents("y")), "c"), "mean", unit=100)
+    share = settled(summary(clean.percent_of_mean(v.thr(), "y", "pct"), "pct"), "mean")
+    return roles.stack_metrics({"price": price, "share": share})
 
 
 # ---- K: quality checks ------------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from resurvey.operators import asof, bands, clean, compose, ranktest, regen, resample, reshape
 from resurvey.operators.roles import stack_metrics
 from resurvey.plans.catalog_rows import FIRST, first_surveys
-from resurvey.plans.registry import query, rounded, settled, settled_sql
+from resurvey.plans.registry import cents, query, rounded, settled, settled_sql
 from resurvey.plans.views import PRIORITY_ITEMS, Views
 
 SEED = 20
@@ -142,15 +142,16 @@ def unit_metrics(v: Views):
 
 KEYS = ["grain", "unit", "subunit", "grain_bin", "period"]
 _GRAINS = """
-, g AS (SELECT 'subunit' AS grain, unit, subunit, '' AS grain_bin, period, y FROM v_thr
-        UNION ALL SELECT 'bin', unit, subunit, bin, period, y FROM v_thr WHERE bin <> 'MACHINERY')"""
+, g AS (SELECT 'subunit' AS grain, unit, subunit, '' AS grain_bin, period, round(y * 100)::BIGINT AS y FROM v_thr
+        UNION ALL SELECT 'bin', unit, subunit, bin, period, round(y * 100)::BIGINT FROM v_thr WHERE bin <> 'MACHINERY')"""
 _SUMMARY = f"""{_GRAINS},
-sm AS (SELECT grain, unit, subunit, grain_bin, period, count(*) AS n, avg(y) AS mean, quantile_cont(y, 0.5) AS median FROM g GROUP BY ALL)"""
+sm AS (SELECT grain, unit, subunit, grain_bin, period, count(*) AS n, sum(y)::DOUBLE / count(*) AS mean,
+              quantile_cont(y::DOUBLE, 0.5) AS median FROM g GROUP BY ALL)"""
 
 
 def grain_rows(v: Views):
-    """Measures at both grains; one bin is unmapped, so it counts at the coarse grain only."""
-    rows = v.thr().withColumn("bin", F.nullif(F.col("bin"), F.lit("MACHINERY")))
+    """Measures in cents at both grains; one bin is unmapped, so it counts at the coarse grain only."""
+    rows = v.thr().withColumn("bin", F.nullif(F.col("bin"), F.lit("MACHINERY"))).withColumn("y", cents("y"))
     return bands.two_grains(rows, ["unit", "subunit", "period"], "bin")
 
 
@@ -158,22 +159,22 @@ def grain_rows(v: Views):
     "subunit_summary",
     "thr",
     f"""{_SUMMARY}
-SELECT grain, unit, subunit, grain_bin, period, n, {settled_sql('mean')} AS mean, {settled_sql('median')} AS median FROM sm""",
+SELECT grain, unit, subunit, grain_bin, period, n, {settled_sql('mean', unit=100)} AS mean, {settled_sql('median', unit=100)} AS median FROM sm""",
 )
 def subunit_summary(v: Views):
     """F6, both grains."""
-    return settled(bands.subunit_summary(grain_rows(v), KEYS, "y"), "mean", "median")
+    return settled(bands.subunit_summary(grain_rows(v), KEYS, "y"), "mean", "median", unit=100)
 
 
 def _thr_metrics(v: Views):
     """Two parameters over the same measures: the price in thousands, and its percent of the mean."""
-    price = v.thr().withColumn("m", F.col("y") / 1000)
+    price = v.thr().withColumn("m", (cents("y").cast("decimal(18,0)") * F.lit("0.00001").cast("decimal(6,5)")))
     share = clean.percent_of_mean(v.thr(), "y", "m")
     return {"price": price, "share": share}
 
 
 _METRICS = """
-, mt AS (SELECT 'price' AS param, unit, subunit, period, y / 1000 AS m FROM v_thr
+, mt AS (SELECT 'price' AS param, unit, subunit, period, round(y * 100)::BIGINT::DOUBLE / 100000 AS m FROM v_thr
          UNION ALL SELECT 'share', unit, subunit, period, 100 * y / (SELECT avg(y) FROM v_thr) FROM v_thr)"""
 _BANDS = """
 , bd AS (SELECT 'price' AS param, band, a AS band_min, b AS band_max
@@ -193,9 +194,9 @@ def limit_bands(v: Views):
 
 
 def limit_summary(v: Views):
-    """Summaries of both parameters in one pass, the parameter being a key."""
-    rows = stack_metrics({k: df.select("unit", "subunit", "period", "m") for k, df in _thr_metrics(v).items()}, "param")
-    return bands.subunit_summary(rows, ["param", "unit", "subunit", "period"], "m")
+    """Summaries of both parameters; the price is decimal, so its sums are exact."""
+    keys = ["unit", "subunit", "period"]
+    return stack_metrics({k: bands.subunit_summary(df, keys, "m") for k, df in _thr_metrics(v).items()}, "param")
 
 
 @query("band_limits", "thr", f"{_BANDS} SELECT param, band, band_min::DOUBLE AS band_min, band_max::DOUBLE AS band_max FROM bd")
@@ -205,7 +206,9 @@ def band_limits(v: Views):
 
 
 _CLOSED = f"""{_METRICS}{_BANDS},
-ms AS (SELECT param, unit, subunit, period, count(*) AS n, avg(m) AS mean, quantile_cont(m, 0.5) AS median FROM mt GROUP BY ALL),
+ms AS (SELECT param, unit, subunit, period, count(*) AS n,
+              CASE param WHEN 'price' THEN (sum(round(m * 100000)::BIGINT)::DOUBLE / 100000) / count(*) ELSE avg(m) END AS mean,
+              quantile_cont(m, 0.5) AS median FROM mt GROUP BY param, unit, subunit, period),
 cl AS (SELECT param, band, band_min::DOUBLE AS band_min,
               CASE WHEN band_max = 99999
                    THEN greatest((SELECT max(greatest(mean, median)) FROM ms WHERE ms.param = bd.param),
@@ -263,10 +266,10 @@ _BOOT = f"""{_GRAINS},
 v AS (SELECT *, row_number() OVER (PARTITION BY grain, unit, subunit, grain_bin, period ORDER BY y) - 1 AS idx FROM g),
 gs AS (SELECT grain, unit, subunit, grain_bin, period, count(*) AS n, {_stratum_sql(*KEYS)} AS sid FROM g GROUP BY ALL),
 {_draws_sql('dr', 'gs', 'n', REPS)},
-rp AS (SELECT grain, unit, subunit, grain_bin, period, rep, avg(y) AS mean, quantile_cont(y, 0.5) AS median
+rp AS (SELECT grain, unit, subunit, grain_bin, period, rep, sum(y)::DOUBLE / count(*) AS mean, quantile_cont(y::DOUBLE, 0.5) AS median
        FROM dr JOIN v USING (grain, unit, subunit, grain_bin, period, idx) WHERE n > 1 GROUP BY ALL),
 bt AS (SELECT grain, unit, subunit, grain_bin, period,
-              {', '.join(f'{settled_sql(f"quantile_cont({s}, {p})")} AS {s}_{q}' for s in ('mean', 'median') for q, p in _QS.items())}
+              {', '.join(f'{settled_sql(f"quantile_cont({s}, {p})", 1, 100)} AS {s}_{q}' for s in ('mean', 'median') for q, p in _QS.items())}
        FROM rp GROUP BY ALL)"""
 
 
@@ -281,23 +284,23 @@ def intervals(v: Views, reps: int = REPS):
 )
 def mean_median_interval(v: Views):
     """G2, both grains."""
-    return settled(intervals(v), *resample.INTERVAL_COLUMNS)
+    return settled(intervals(v), *resample.INTERVAL_COLUMNS, digits=1, unit=100)
 
 
 @query(
     "threshold_table",
     "thr",
     f"""{_BOOT},
-sm AS (SELECT grain, unit, subunit, grain_bin, period, count(*) AS n, quantile_cont(y, 0.5) AS median FROM g GROUP BY ALL)
-SELECT 'price' AS param, unit, subunit, grain_bin AS bin, period, n, {settled_sql('median')} AS value, median_lo68 AS lo68,
+sm AS (SELECT grain, unit, subunit, grain_bin, period, count(*) AS n, quantile_cont(y::DOUBLE, 0.5) AS median FROM g GROUP BY ALL)
+SELECT 'price' AS param, unit, subunit, grain_bin AS bin, period, n, {settled_sql('median', unit=100)} AS value, median_lo68 AS lo68,
        median_hi68 AS hi68, median_lo95 AS lo95, median_hi95 AS hi95
 FROM sm LEFT JOIN bt USING (grain, unit, subunit, grain_bin, period) WHERE grain = 'bin' AND unit = 'ASIA'""",
 )
 def threshold_table(v: Views):
     """F10, one unit by bin, medians."""
-    summary = bands.subunit_summary(grain_rows(v), KEYS, "y").join(intervals(v), KEYS, "left")
-    out = bands.threshold_table({"price": summary}, "median", by_bin=True, unit="ASIA")
-    return settled(out, "value", "lo68", "hi68", "lo95", "hi95")
+    summary = {"price": lambda rows: bands.subunit_summary(rows, KEYS, "y").join(resample.mean_median_interval(rows, KEYS, "y", REPS, SEED), KEYS, "left")}
+    out = bands.threshold_table({"price": grain_rows(v)}, "median", by_bin=True, unit="ASIA", summarize=summary)
+    return settled(settled(out, "value", unit=100), "lo68", "hi68", "lo95", "hi95", digits=1, unit=100)
 
 
 # ---- regeneration -----------------------------------------------------------------

@@ -33,21 +33,29 @@ def rounded(df: DataFrame, digits: int, *cols: str) -> DataFrame:
     return df.withColumns({c: F.bround(c, digits) for c in cols})
 
 
-TIE_SHIFT = 0.000037
+def _factor(expr, digits: int, unit: int):
+    """``expr`` in units of the last digit: by one multiplication or one division, alike in Spark and SQL."""
+    up, down = 10.0 ** max(0, digits - len(str(unit)) + 1), 10.0 ** max(0, len(str(unit)) - 1 - digits)
+    return f"({expr}) * {up}::DOUBLE / {down}::DOUBLE" if isinstance(expr, str) else expr * F.lit(up) / F.lit(down)
 
 
-def settled(df: DataFrame, *cols: str) -> DataFrame:
-    """Round to three decimals after a small shift.
+def settled(df: DataFrame, *cols: str, digits: int = 3, unit: int = 1) -> DataFrame:
+    """Round to ``digits``, halves up, values given in parts of ``unit`` (1, 10, 100, ...).
 
-    Means of amounts in cents often end exactly on a rounding border, where the last bit of the
-    sum decides; the shift moves them off it.
+    Means of amounts in cents often end exactly on a rounding border.  Summed as whole cents and
+    divided once they are the same number everywhere, and so is what this makes of them.
     """
-    return df.withColumns({c: F.bround(F.col(c) + TIE_SHIFT, 3) for c in cols})
+    return df.withColumns({c: F.floor(_factor(F.col(c), digits, unit) + 0.5) / F.lit(10.0**digits) for c in cols})
 
 
-def settled_sql(expr: str) -> str:
+def settled_sql(expr: str, digits: int = 3, unit: int = 1) -> str:
     """The same rounding in SQL."""
-    return f"round_even({expr} + {TIE_SHIFT:.6f}::DOUBLE, 3)"
+    return f"floor({_factor(expr, digits, unit)} + 0.5::DOUBLE) / {10.0**digits}::DOUBLE"
+
+
+def cents(c: str) -> Column:
+    """An amount as whole cents."""
+    return F.round(F.col(c) * 100).cast("long")
 
 
 def text_date(c: str) -> Column:
