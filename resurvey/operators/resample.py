@@ -14,6 +14,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -453,42 +454,34 @@ def _index_join(rows: DataFrame, strata: Sequence[str], reps: int, seed: int, k:
     return numbered.join(wanted, [*keys, "_no"])
 
 
-class _Sampler:
-    """Event sums of every replicate for one stratum (a small in-task helper)."""
+class _Stratum:
+    """Rows of one stratum as arrays, ordered by (kind, target, mark, event); samples all replicates at once."""
 
-    def __init__(self, rows: list[dict], strata_numbers: dict, reps: int, seed: int, k: dict[str, int]):
-        self.rows = sorted(rows, key=lambda r: (r["mark"], r["event"]))
-        self.events = sorted({r["event"] for r in rows})
-        self.place = {e: i for i, e in enumerate(self.events)}
-        self.numbers, self.reps, self.seed, self.k = strata_numbers, reps, seed, k
+    def __init__(self, kind, target, event, values: dict[str, np.ndarray], numbers: dict, reps: int, seed: int, k: dict[str, int]):
+        self.kind, self.target, self.values = kind, target, values
+        self.events, self.event = np.unique(event, return_inverse=True)
+        self.numbers, self.reps, self.seed, self.k = numbers, reps, seed, k
 
     def sums(self, kind: str, target: bool, values: Sequence[str]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         """(times drawn, sums per value), each of shape (reps, events)."""
-        mine = [r for r in self.rows if r["kind"] == kind and r["target"] == target]
+        mine = np.flatnonzero((self.kind == kind) & (self.target == target))
         shape = (self.reps, len(self.events))
-        if not mine:
+        if not len(mine):
             return np.zeros(shape), {v: np.zeros(shape) for v in values}
-        rep, i = np.arange(self.reps), np.arange(self.k[kind])
-        idx = draws.portable_indices(rep, i, self.numbers[(kind, target)], self.seed, len(mine))
-        event = np.array([self.place[r["event"]] for r in mine])[idx]
-        cell = (rep[:, None] * len(self.events) + event).ravel()
-        size = shape[0] * shape[1]
-        times = np.bincount(cell, minlength=size).reshape(shape)
-        got = {}
-        for v in values:
-            w = np.array([r[v] for r in mine])[idx].ravel()
-            got[v] = np.bincount(cell, weights=w, minlength=size).reshape(shape)
-        return times, got
-
-
-def _event_stats(events: list, value: np.ndarray, seen: np.ndarray) -> pd.DataFrame:
-    """Mean and 2.5 / 97.5 percentiles per event over the replicates that drew it."""
-    rows = []
-    for j, e in enumerate(events):
-        v = value[seen[:, j], j]
-        if len(v):
-            rows.append((e, v.mean(), *np.quantile(v, [0.025, 0.975])))
-    return pd.DataFrame(rows, columns=["event", "mean", "lo95", "hi95"])
+        rep = np.arange(self.reps)
+        drawn = mine[draws.portable_indices(rep, np.arange(self.k[kind]), self.numbers[kind, target], self.seed, len(mine))]
+        cell = (rep[:, None] * len(self.events) + self.event[drawn]).ravel()
+        count = lambda w=None: np.bincount(cell, weights=w, minlength=shape[0] * shape[1]).reshape(shape)
+        return count(), {v: count(self.values[v][drawn].ravel()) for v in values}
+
+
+def _event_stats(value: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Rows (event number, mean, 2.5 and 97.5 percentiles) over the replicates that drew the event."""
+    found = [(j, value[m, j]) for j, m in enumerate(seen.T) if m.any()]
+    return np.array([(j, v.mean(), *np.quantile(v, [0.025, 0.975])) for j, v in found]).reshape(-1, 4)
+
+
+SIDES = [(kind, target) for kind in "st" for target in (True, False)]
 
 
 def _interval(corners, trees, strata, event, values, reps, seed, k, direct_rows, kernel, formula) -> DataFrame:
@@ -499,27 +492,41 @@ def _interval(corners, trees, strata, event, values, reps, seed, k, direct_rows,
     number = lambda kind, target: draws.stratum_number(
         *[F.col(c) for c in strata], F.lit("T" if target else "F"), F.lit(kind)
     )
+    cols = ["kind", "target", "mark", "event", *values, "trees"]
     grouped = (
         _spread(small, strata)
         .groupBy(*strata)
-        .agg(F.collect_list(F.struct("kind", "target", "mark", "event", *values, "trees")).alias("rows"))
-        .select(*strata, "rows", *[number(x, t).alias(f"num_{x}{int(t)}") for x in "st" for t in (True, False)])
+        .agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("rows"))
+        .select(*strata, "rows", *[number(x, t).alias(f"num_{x}{int(t)}") for x, t in SIDES])
     )
     out = T.StructType(
         [*_fields(rows, [*strata, "event"]), *[T.StructField(c, T.DoubleType()) for c in ("mean", "lo95", "hi95")]]
     )
 
-    def direct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.to_dict("records"):
-                numbers = {(x, t): row[f"num_{x}{int(t)}"] for x in "st" for t in (True, False)}
-                sampler = _Sampler(list(row["rows"]), numbers, reps, seed, k)
-                part = _event_stats(sampler.events, *kernel(sampler))
-                for c in strata:
-                    part[c] = row[c]
-                yield part[[*strata, "event", "mean", "lo95", "hi95"]]
-
-    near = grouped.mapInPandas(direct, out)
+    def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("rows")
+            flat, ends = lists.flatten(), lists.offsets.to_numpy()
+            ends = ends - ends[0]
+            kind, target = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("kind", "target"))
+            names = flat.field("event").dictionary_encode()
+            codes = names.indices.to_numpy()
+            numbers = {c: flat.field(c).to_numpy(zero_copy_only=False) for c in [*values, "trees"]}
+            seeds = {(x, t): batch.column(f"num_{x}{int(t)}").to_pylist() for x, t in SIDES}
+            owners, events, stats = [], [], []
+            for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                one = _Stratum(kind[a:b], target[a:b], codes[a:b], {c: v[a:b] for c, v in numbers.items()}, {x: s[i] for x, s in seeds.items()}, reps, seed, k)
+                found = _event_stats(*kernel(one))
+                owners.append(np.full(len(found), i))
+                events.append(one.events[found[:, 0].astype(int)])
+                stats.append(found[:, 1:])
+            owner = pa.array(np.concatenate(owners or [np.zeros(0, int)]))
+            event_ = names.dictionary.take(pa.array(np.concatenate(events or [np.zeros(0, int)]).astype(np.int64)))
+            table = np.concatenate(stats or [np.zeros((0, 3))])
+            columns = [*[batch.column(c).take(owner) for c in strata], event_, *[pa.array(np.ascontiguousarray(table[:, j])) for j in range(3)]]
+            yield pa.RecordBatch.from_arrays(columns, [*strata, "event", "mean", "lo95", "hi95"])
+
+    near = grouped.mapInArrow(direct, out)
     if large is None:
         return near
     drawn = _index_join(large, strata, reps, seed, k)
@@ -546,7 +553,7 @@ def regen_index_interval(
     """
     values = list(regen.INDEX_CLASSES)
 
-    def kernel(s: _Sampler):
+    def kernel(s: _Stratum):
         seed_side, sap_side, drawn = {}, {}, {}
         for target in (True, False):
             times, got = s.sums("s", target, values)
@@ -588,7 +595,7 @@ def importance_interval(
     """
     values = list(regen.IMPORTANCE_CLASSES)
 
-    def kernel(s: _Sampler):
+    def kernel(s: _Stratum):
         times, got = s.sums("s", True, values)
         _, tree = s.sums("t", True, ["trees"])
         w = regen.IMPORTANCE_POINTS
