@@ -235,3 +235,11 @@ def number_by_range(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(_before([], "_part")), F.lit(0)).alias("_offset"))
     inside = F.col("_place") - F.shiftleft(F.col("_part"), 33)
     return rows.join(offsets, "_part").withColumn(out, F.col("_offset") + inside + 1).drop("_part", "_place", "_offset")
+
+
+def number_in_groups(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """Row number from 1 within ``by`` over ``order``, as ``number_by_range``: no group meets in one task."""
+    by = list(by)
+    numbered = number_by_range(df, [*by, *order], "_global")
+    first = numbered.groupBy(*by).agg(F.min("_global").alias("_first"))
+    return join_groups(numbered, first, by).withColumn(out, F.col("_global") - F.col("_first") + 1).drop("_global", "_first")

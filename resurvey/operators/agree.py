@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from resurvey.operators.reshape import code_list
+
 MISSING = "XXX"
 
 
@@ -206,22 +208,23 @@ def rater_rates(df: DataFrame, code: str, rater1: str, v1: str, rater2: str, v2:
     )
 
 
-def flag_pairs(n: DataFrame, q: DataFrame, link: str, q_id: str, code_cols: Sequence[str], rater: str, levels: Sequence[str]) -> DataFrame:
-    """Linked pairs x code list with the two presence flags and raters (input of E13, E15, E17).
+def flag_pairs(n: DataFrame, q: DataFrame, link: str, q_id: str, code_cols: Sequence[str], rater: str, levels: Sequence[str] = ()) -> DataFrame:
+    """Linked pairs x codes with the two presence flags and raters (input of E13, E15, E17).
 
-    Each pair carries its few codes as an array, so one join serves all codes.  First surveys
-    without a partner stay, with FALSE for the partner.
+    The codes are all that occur in either survey, in upper case, and those in ``levels``.  Each
+    pair carries its few codes as an array, so one join serves all codes.  First surveys without
+    a partner stay, with FALSE for the partner.
     """
 
     def codes(df: DataFrame, key: str, tag: str) -> DataFrame:
         listed = F.transform(F.array_compact(F.array(*[F.col(c) for c in code_cols])), F.upper)
         return df.select(F.col(key).alias("link"), listed.alias(f"_codes{tag}"), F.col(rater).alias(f"rater{tag}"))
 
-    pairs = codes(n, link, "1").join(codes(q, q_id, "2"), "link", "left")
+    first, again = codes(n, link, "1"), codes(q, q_id, "2")
+    found = first.select(F.explode("_codes1").alias("code")).unionByName(again.select(F.explode("_codes2").alias("code")))
     has = lambda tag: F.coalesce(F.array_contains(F.col(f"_codes{tag}"), F.col("code")), F.lit(False))
     return (
-        pairs.withColumn("code", F.explode(F.array(*[F.lit(x) for x in levels])))
+        first.join(again, "link", "left")
+        .withColumn("code", F.explode(code_list(found, "code", levels)))
         .select("link", "code", "rater1", has("1").alias("v1"), "rater2", has("2").alias("v2"))
     )
-
-

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from resurvey.functions.order import number_by_range
+from resurvey.functions.order import number_by_range, number_in_groups
 
 # ---- fixed values ---------------------------------------------------------------
 # Bounds in percent of the ten cover classes.
@@ -337,35 +337,45 @@ def plain_number(col: Column, digits: int = 1) -> Column:
     return F.regexp_replace(text, r"\.0+$", "")
 
 
+def _unit_lines(df: DataFrame, unit: list[str], item: str, value: str, total: DataFrame, total_col: str) -> DataFrame:
+    """(unit, item, value, percent, line) of every item, ``_down`` being its value negated."""
+    rel = F.bround(F.try_divide(100 * F.col(value), F.col(total_col)), 1)
+    line = F.concat(F.translate(F.col(item), "_", " "), F.lit(" ("), plain_number(rel), F.lit("%)"))
+    line = F.replace(line, F.lit("(0%)"), F.lit("trace"))
+    rows = df.select(*unit, item, value).join(total.select(*unit, total_col), unit)
+    return rows.select(*unit, item, value, rel.alias("percent"), line.alias("line"), (-F.col(value)).alias("_down"))
+
+
+def unit_lines(df: DataFrame, unit: Sequence[str], item: str, value: str, total: DataFrame, total_col: str) -> DataFrame:
+    """B19, long form: the items of every unit with percent, text and ``position`` by value (desc) and name.
+
+    Any number of items per unit: positions are found by ranges.
+    """
+    unit = list(unit)
+    rows = _unit_lines(df, unit, item, value, total, total_col)
+    return number_in_groups(rows, unit, ["_down", item], "position").drop("_down")
+
+
 def describe_units(
-    df: DataFrame, unit: Sequence[str], title: Column, item: str, value: str, total: DataFrame, total_col: str, what: str
-) -> DataFrame:
+    df: DataFrame, unit: Sequence[str], title: Column, item: str, value: str, total: DataFrame, total_col: str, what: str,
+    line_end: str = "<br>", most: int = 10_000,
+) -> DataFrame:
     """B19. One label per unit: title, summed percent, then its items by value (desc) and name.
 
-    ``df`` holds one row per unit and item, so a label is as long as the item list of its unit.
-    ``total`` gives the denominator per unit; units without items get a zero line.
+    ``df`` holds one row per unit and item, at most ``most`` of a unit: a label is as long as the
+    item list of its unit (``unit_lines`` has the long form).  ``total`` gives the denominator per
+    unit; units without items get a zero line; ``line_end`` breaks the lines.
     """
-    rel = F.bround(F.try_divide(100 * F.col(value), F.col(total_col)), 1)
     unit = list(unit)
-    line = F.concat(
-        F.translate(F.col(item), "_", " "),
-        F.lit(" ("),
-        plain_number(rel),
-        F.lit("%)"),
-    )
-    line = F.replace(line, F.lit("(0%)"), F.lit("trace"))
+    stop = F.raise_error(F.lit(f"describe_units: more than {most} items in a unit")).cast("string")
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_down", F.col(item).alias("i"), "line"))), lambda x: x["line"]), line_end)
     lines = (
-        df.select(*unit, item, value)
-        .join(total.select(*unit, total_col), unit)
-        .select(*unit, rel.alias("_rel"), F.struct((-F.col(value)).alias("o"), F.col(item).alias("i"), line.alias("t")).alias("_l"))
+        _unit_lines(df, unit, item, value, total, total_col)
         .groupBy(*unit)
-        .agg(
-            F.sum("_rel").alias("_sum"),
-            F.array_join(F.transform(F.array_sort(F.collect_list("_l")), lambda x: x["t"]), "<br>").alias("_items"),
-        )
+        .agg(F.sum("percent").alias("_sum"), F.when(F.count(F.lit(1)) > most, stop).otherwise(listed).alias("_items"))
     )
-    head = F.concat(title, F.lit("<br/>"))
-    full = F.concat(head, plain_number(F.col("_sum")), F.lit(f"% {what}<br>-----<br>"), F.col("_items"))
+    head = F.concat(title, F.lit(line_end.replace(">", "/>")))
+    full = F.concat(head, plain_number(F.col("_sum")), F.lit(f"% {what}{line_end}-----{line_end}"), F.col("_items"))
     return (
         total.join(lines, unit, "left")
         .withColumn("label", F.coalesce(full, F.concat(head, F.lit(f"0% {what}"))))

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from resurvey.functions.order import number_in_groups
 from resurvey.operators.clean import plain_number
 
 
@@ -45,22 +46,36 @@ def item_totals(df: DataFrame, group: Sequence[str], item: str, cover: str) -> D
 
 
 def top_items(totals: DataFrame, group: Sequence[str], item: str, by: str, k: int) -> DataFrame:
-    """F3. Top-k items per group, ties at the boundary kept: one row per item with its position.
+    """F3. Top-k items per group, ties at the boundary kept: one row per item with its position, ties by name.
 
-    Works on item totals; Spark cuts every map partition to rank <= k before the shuffle.
+    Spark cuts every map partition to rank <= k before the shuffle; what remains, ties included, is
+    numbered by ranges, so any number of tied items will do.
     """
     w = Window.partitionBy(*group).orderBy(F.desc(by))
     ranked = totals.withColumn("_rank", F.rank().over(w)).where(F.col("_rank") <= k)
-    order = Window.partitionBy(*group).orderBy(F.desc(by), F.col(item))
-    return ranked.withColumn("position", F.row_number().over(order).cast("long")).drop("_rank")
+    return number_in_groups(ranked, group, ["_rank", item], "position").drop("_rank")
+
+
+# Items that one text may list.
+MOST_LISTED = 10_000
+
+
+def listed_text(position: str, text: Column, joint: str, name: str) -> Column:
+    """Aggregate: texts in the order of ``position``, joined; more than ``MOST_LISTED`` in a group are an error."""
+    stop = F.raise_error(F.lit(f"more than {MOST_LISTED} items in one text; use the long form")).cast("string")
+    parts = F.collect_list(F.struct(F.col(position).alias("p"), text.alias("t")))
+    return F.when(F.count(F.lit(1)) > MOST_LISTED, stop).otherwise(F.array_join(F.transform(F.array_sort(parts), lambda x: x["t"]), joint)).alias(name)
 
 
 def top_list(totals: DataFrame, group: Sequence[str], item: str, by: str, k: int) -> DataFrame:
-    """F3. The top-k items of each group as one text, best first, ties by name."""
-    top = top_items(totals, group, item, by, k)
-    named = F.struct("position", F.translate(F.col(item), "_", " ").alias("name"))
-    ordered = F.transform(F.array_sort(F.collect_list(named)), lambda x: x["name"])
-    return top.groupBy(*group).agg(F.array_join(ordered, ", ").alias("top_items"))
+    """F3. The top-k items of each group as one text, best first, ties by name.
+
+    For groups of few ties (``MOST_LISTED`` items in all); ``top_items`` has the long form.
+    """
+    w = Window.partitionBy(*group).orderBy(F.desc(by))
+    ranked = totals.withColumn("_rank", F.rank().over(w)).where(F.col("_rank") <= k)
+    ordered = ranked.withColumn("_place", F.struct("_rank", item))
+    return ordered.groupBy(*group).agg(listed_text("_place", F.translate(F.col(item), "_", " "), ", ", "top_items"))
 
 
 def priority_item_cover(
@@ -91,44 +106,33 @@ def priority_item_cover(
 
 
 def unit_metrics(
-    comp: DataFrame, priority: DataFrame, keys: Sequence[str], plot: str, year: str, extra: Mapping[str, DataFrame] | None = None
-) -> DataFrame:
+    comp: DataFrame, priority: DataFrame, keys: Sequence[str], plot: str, year: str, extra: Mapping[str, DataFrame] | None = None,
+    line_end: str = "<br/>",
+) -> DataFrame:
     """F5. Map-ready rows: (keys, metric, item, value, label).
 
     ``keys`` are the unit columns incl. coordinates.  ``extra`` adds further metrics that
-    already carry ``value`` and ``label``.
+    already carry ``value`` and ``label``; ``line_end`` breaks the lines of a label.
     """
     keys = list(keys)
     head = F.concat(F.col(plot), F.lit(" ("), F.col(year).cast("string"), F.lit(")"))
     none = F.lit(None).cast("string")
 
-    def rows(df: DataFrame, metric: str, value: Column, label: Column, item: Column = none) -> DataFrame:
-        return df.select(
-            *keys,
-            F.lit(metric).alias("metric"),
-            item.alias("item"),
-            value.cast("double").alias("value"),
-            label.alias("label"),
-        )
+    def row(metric: str, value: Column, text: Column, what: str, item: Column = none) -> Column:
+        label = F.concat(head, F.lit(":" + line_end), text, F.lit(what))
+        return F.struct(F.lit(metric).alias("metric"), item.alias("item"), value.cast("double").alias("value"), label.alias("label"))
 
-    rich = F.col("richness").cast("string")
-    exotic, native = comp.where(F.col("type") == "exotic"), comp.where(F.col("type") == "native")
-    pct = plain_number(F.col("rel_cover"))
-    out = rows(
-        exotic, "exotic_cover", F.col("rel_cover"), F.concat(head, F.lit(":<br/>"), pct, F.lit("% exotic cover"))
-    )
-    out = out.unionByName(
-        rows(exotic, "exotic_richness", F.col("richness"), F.concat(head, F.lit(":<br/>"), rich, F.lit(" exotic herb species")))
-    )
-    out = out.unionByName(
-        rows(native, "native_richness", F.col("richness"), F.concat(head, F.lit(":<br/>"), rich, F.lit(" native herb species")))
-    )
-    out = out.unionByName(
-        rows(
-            priority, "priority_cover", F.col("rel_cover"), F.concat(head, F.lit(":<br/>"), pct, F.lit("% cover")),
-            F.translate(F.col("item"), "_", " "),
-        )
+    rich, pct = F.col("richness"), plain_number(F.col("rel_cover"))
+    exotic = F.array(
+        row("exotic_cover", F.col("rel_cover"), pct, "% exotic cover"),
+        row("exotic_richness", rich, rich.cast("string"), " exotic herb species"),
     )
+    native = F.array(row("native_richness", rich, rich.cast("string"), " native herb species"))
+    # one row of the composition gives all its metrics, so it is computed once
+    out = comp.select(*keys, F.explode(F.when(F.col("type") == "exotic", exotic).when(F.col("type") == "native", native)).alias("_m"))
+    listed = row("priority_cover", F.col("rel_cover"), pct, "% cover", F.translate(F.col("item"), "_", " "))
+    out = out.unionByName(priority.select(*keys, listed.alias("_m"))).select(*keys, "_m.*")
     for metric, df in (extra or {}).items():
-        out = out.unionByName(rows(df, metric, F.col("value"), F.col("label")))
+        more = df.select(*keys, F.lit(metric).alias("metric"), none.alias("item"), F.col("value").cast("double").alias("value"), "label")
+        out = out.unionByName(more)
     return out

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from resurvey.functions.order import number_in_groups
 from resurvey.operators.reshape import pair_by_role
 
 
@@ -183,13 +184,26 @@ def unmatched_items(df: DataFrame, item: str, min_detect: int, min_pct: float =
     )
 
 
-def match_lists(df: DataFrame, unit: Sequence[str], item: str) -> DataFrame:
+def match_rows(df: DataFrame, unit: Sequence[str], item: str) -> DataFrame:
+    """E22, long form: every item of a unit with its list (``both_surveys``, ``first_only``, ``resurvey_only``) and its position there.
+
+    ``df`` is a detection table, one row per unit and item; any number of items per unit.
+    """
+    n, q = F.col("n_seen"), F.col("q_seen")
+    which = F.when(n & q, "both_surveys").when(n, "first_only").when(q, "resurvey_only")
+    rows = df.select(*unit, item, which.alias("list")).where("list IS NOT NULL")
+    return number_in_groups(rows, [*unit, "list"], [item], "position")
+
+
+def match_lists(df: DataFrame, unit: Sequence[str], item: str, joint: str = " - ", most: int = 10_000) -> DataFrame:
     """E22. Per unit three name lists: both surveys, first only, re-survey only.
 
-    ``df`` is a detection table, one row per unit and item, so a list holds each item once.
+    ``df`` is a detection table, one row per unit and item, so a list holds each item once; a unit has
+    at most ``most`` of them (``match_rows`` has the long form).
     """
-    pick = lambda cond: F.array_join(
-        F.array_sort(F.collect_list(F.when(cond, F.col(item)))), " - "
+    stop = F.raise_error(F.lit(f"match_lists: more than {most} items in a unit")).cast("string")
+    pick = lambda cond: F.when(F.count(F.lit(1)) > most, stop).otherwise(
+        F.array_join(F.array_sort(F.collect_list(F.when(cond, F.col(item)))), joint)
     )
     n, q = F.col("n_seen"), F.col("q_seen")
     return df.groupBy(*unit).agg(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from itertools import product
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from resurvey.functions.order import join_groups
@@ -36,14 +36,33 @@ def melt_cells(df: DataFrame, ids: Sequence[str], cells: Sequence[str], name: st
     return df.unpivot(list(ids), list(cells), name, value)
 
 
+# Codes that a list may hold; every unit gets a row for each of them.
+MOST_CODES = 10_000
+
+
+def code_list(codes: DataFrame, code: str, levels: Sequence[str] = ()) -> Column:
+    """The codes of a grid as an array: the listed ones, then any others that occur, in order.
+
+    A one-row aggregate finds them; more than ``MOST_CODES`` distinct codes are an error.
+    """
+    found = codes.agg(F.array_sort(F.collect_set(code)).alias("found"))
+    stop = F.raise_error(F.lit(f"more than {MOST_CODES} codes")).cast("array<string>")
+    found = found.select(F.when(F.size("found") > MOST_CODES, stop).otherwise(F.col("found")).alias("found")).scalar()
+    return F.array_union(F.array(*[F.lit(x) for x in levels]), found) if levels else found
+
+
 def codes_to_flags(
-    units: DataFrame, codes: DataFrame, unit: Sequence[str], code: str, levels: Sequence[str]
+    units: DataFrame, codes: DataFrame, unit: Sequence[str], code: str, levels: Sequence[str] = ()
 ) -> DataFrame:
-    """C3. Long table with one row per unit and level and ``present``; units without codes
-    keep a FALSE row for every level.  ``levels`` is the code list."""
+    """C3. Long table with one row per unit and code and ``present``; units without codes
+    keep a FALSE row for every code.
+
+    The codes are those that occur and those in ``levels``; ``checks.illegal_codes`` reports codes
+    beyond a list.
+    """
     unit = list(unit)
-    seen = codes.where(F.col(code).isin(list(levels))).select(*unit, code).distinct().withColumn("_hit", F.lit(True))
-    grid = units.select(*unit).distinct().withColumn(code, F.explode(F.array(*[F.lit(x) for x in levels])))
+    seen = codes.where(F.col(code).isNotNull()).select(*unit, code).distinct().withColumn("_hit", F.lit(True))
+    grid = units.select(*unit).distinct().withColumn(code, F.explode(code_list(codes, code, levels)))
     return grid.join(seen, unit + [code], "left").select(*unit, code, F.col("_hit").isNotNull().alias("present"))
 
 

@@ -591,12 +591,26 @@ def match_lists(v: Views):
     return detect.match_lists(detections(v), ["unit"], "item")
 
 
+@query(
+    "match_rows",
+    "spec",
+    f"""{_DET},
+ls AS (SELECT unit, item, CASE WHEN n_seen AND q_seen THEN 'both_surveys' WHEN n_seen THEN 'first_only' WHEN q_seen THEN 'resurvey_only' END AS list
+       FROM det)
+SELECT unit, item, list, row_number() OVER (PARTITION BY unit, list ORDER BY item) AS position FROM ls WHERE list IS NOT NULL""",
+)
+def match_rows(v: Views):
+    """E22, long form."""
+    return detect.match_rows(detections(v), ["unit"], "item")
+
+
 @query(
     "class_difference",
     "spec",
     """
-SELECT unit, item, n.cover_class AS n_class, q.cover_class AS q_class, abs(q.cover_class - n.cover_class) AS abs_diff
-FROM (FROM v_spec WHERE role = 'N') n JOIN (FROM v_spec WHERE role = 'Q') q USING (unit, item)""",
+, w AS MATERIALIZED (SELECT unit, item, max(cover_class) FILTER (role = 'N') AS n_class, max(cover_class) FILTER (role = 'Q') AS q_class
+                    FROM v_spec GROUP BY unit, item)
+SELECT unit, item, n_class, q_class, abs(q_class - n_class) AS abs_diff FROM w WHERE n_class IS NOT NULL AND q_class IS NOT NULL""",
 )
 def class_difference(v: Views):
     """E23."""

@@ -203,16 +203,14 @@ def high_value_flag(v: Views):
 @query(
     "key_differences",
     sql="""
-SELECT o_custkey AS custkey, 'a' AS only_in FROM (SELECT DISTINCT o_custkey FROM orders) o
-WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
+SELECT doc_id::VARCHAR AS id, 'a' AS only_in FROM (SELECT DISTINCT doc_id FROM documents) WHERE doc_id NOT IN (SELECT doc_id FROM labels)
 UNION ALL
-SELECT c_custkey, 'b' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""",
+SELECT doc_id::VARCHAR, 'b' FROM (SELECT DISTINCT doc_id FROM labels) WHERE doc_id NOT IN (SELECT doc_id FROM documents)""",
 )
 def key_differences(v: Views):
-    """D9. Customers with orders against all customers."""
-    a = v.table("orders").select(F.col("o_custkey").alias("custkey"))
-    b = v.table("customer").select(F.col("c_custkey").alias("custkey"))
-    return roles.key_differences(a, b, "custkey")
+    """D9. Documents against labels: not every document has one."""
+    id_ = F.col("doc_id").cast("string").alias("id")
+    return roles.key_differences(v.table("documents").select(id_), v.table("labels").select(id_), "id")
 
 
 @query(

@@ -469,6 +469,23 @@ def describe_units(v: Views):
     return clean.describe_units(rows.where("exotic"), unit, title, "item", "cover", total, "total", "EXOTIC COVER")
 
 
+@query(
+    "unit_lines",
+    "spec",
+    f"""{FIRST},
+tot AS (SELECT plot, year, sum(cover) AS total FROM cov GROUP BY ALL)
+SELECT plot, year, item, cover, round_even(100 * cover / total, 1) AS percent,
+       replace(concat(item, ' (', regexp_replace(printf('%.1f', round_even(100 * cover / total, 1)), '\\.0$', ''), '%)'), '(0%)', 'trace') AS line,
+       row_number() OVER (PARTITION BY plot, year ORDER BY cover DESC, item) AS position
+FROM cov JOIN tot USING (plot, year) WHERE exotic""",
+)
+def unit_lines(v: Views):
+    """B19, long form."""
+    rows = first_surveys(v)
+    total = rows.groupBy("plot", "year").agg(F.sum("cover").alias("total"))
+    return clean.unit_lines(rows.where("exotic"), ["plot", "year"], "item", "cover", total, "total")
+
+
 _RICH = f"""{FIRST},
 rich AS (SELECT plot, year, count(*) FILTER (exotic) AS richness FROM cov GROUP BY ALL)"""
 
@@ -536,14 +553,14 @@ def melt_cells(v: Views):
     "codes_to_flags",
     "tree",
     """
-, levels(code) AS (VALUES ('A'), ('N'), ('R'))
+, levels AS (SELECT code1 AS code FROM v_tree WHERE code1 IS NOT NULL UNION SELECT code2 FROM v_tree WHERE code2 IS NOT NULL)
 SELECT id, code, coalesce(code1 = code, FALSE) OR coalesce(code2 = code, FALSE) AS present FROM v_tree CROSS JOIN levels""",
 )
 def codes_to_flags(v: Views):
     """C3."""
     trees = v.tree()
     long = reshape.melt_cells(trees, ["id"], ["code1", "code2"], "slot", "code").where(F.col("code").isNotNull())
-    return reshape.codes_to_flags(trees, long, ["id"], "code", ["A", "N", "R"])
+    return reshape.codes_to_flags(trees, long, ["id"], "code")
 
 
 @query(

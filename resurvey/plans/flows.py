@@ -198,9 +198,13 @@ _FOLIAGE = [(f"Foliage_Condition_{i}", f"Foliage_Percent_Class_{i}") for i in ra
 
 
 def tree_agreement(
-    first: DataFrame, again: DataFrame, damage_codes: Sequence[str], foliage_codes: Sequence[str], reps: int, seed: int
+    first: DataFrame, again: DataFrame, damage_codes: Sequence[str] = (), foliage_codes: Sequence[str] = (), reps: int = 1000, seed: int = 1
 ) -> dict[str, DataFrame]:
-    """Classes, diameters, snag heights, damage codes and foliage conditions of linked trees."""
+    """Classes, diameters, snag heights, damage codes and foliage conditions of linked trees.
+
+    Damage and foliage codes are all that occur, and those of the given lists.  A foliage code that a
+    tree has several times is compared with each of the other survey's levels.
+    """
     rename = {k: v for k, v in _TREE_VALUES.items() if k != v}
     n = first.withColumnsRenamed({**rename, "Tree_ID": "id", "qaqcPlotTree_ID": "link_id"})
     q = again.withColumnsRenamed({**rename, "Tree_ID": "id", "normalPlotTree_ID": "link_id"})
@@ -235,15 +239,19 @@ def tree_agreement(
     flags = agree.flag_pairs(n1, q1, "link_id", "id", _DAMAGE, "rater", damage_codes)
 
     def levels(df: DataFrame, key: str, out: str) -> DataFrame:
-        cells = F.array(*[F.struct(F.col(c).alias("code"), F.col(p).alias("level")) for c, p in _FOLIAGE])
-        return df.select(
-            F.col(key).alias("link"), F.filter(cells, lambda x: x["code"].isNotNull() | x["level"].isNotNull()).alias(out)
-        )
+        cells = F.array(*[F.struct(F.coalesce(F.col(c), F.lit("NA")).alias("code"), F.col(p).alias("level")) for c, p in _FOLIAGE])
+        return df.select(F.col(key).alias("link"), F.filter(cells, lambda x: (x["code"] != "NA") | x["level"].isNotNull()).alias(out))
+
+    fol_n, fol_q = levels(n1, "link_id", "_a"), levels(q1, "id", "_b")
+    found = fol_n.select(F.explode("_a").alias("x")).unionByName(fol_q.select(F.explode("_b").alias("x"))).select("x.code")
+    fol = fol_n.join(fol_q, "link", "left").withColumn("code", F.explode(reshape.code_list(found, "code", foliage_codes)))
+
+    def pick(c: str) -> Column:
+        """All levels of the code, or one NULL."""
+        own = F.transform(F.filter(F.coalesce(F.col(c), F.array().cast(fol_n.schema["_a"].dataType)), lambda x: x["code"] == F.col("code")), lambda x: x["level"])
+        return F.explode(F.when(F.size(own) == 0, F.array(F.lit(None))).otherwise(own))
 
-    fol = levels(n1, "link_id", "_a").join(levels(q1, "id", "_b"), "link", "left")
-    fol = fol.withColumn("code", F.explode(F.array(*[F.lit(x) for x in foliage_codes])))
-    pick = lambda c: F.try_element_at(F.filter(c, lambda x: x["code"] == F.col("code")), F.lit(1))["level"]
-    fol = fol.select("link", "code", pick("_a").alias("v1"), pick("_b").alias("v2"))
+    fol = fol.select("link", "code", "_b", pick("_a").alias("v1")).select("link", "code", "v1", pick("_b").alias("v2"))
     return {
         "unlinked": roles.unlinked(n, q, "link_id", "id", "link_id", "id"),
         "classes": long,

@@ -150,3 +150,24 @@ def test_detection_report(spark):
         ("high_cover", "u", "plot"): (0, 0, 1), ("high_cover", "u", "module"): (0, 0, 1), ("high_cover", "u", "cell"): (0, 1, 0),
         ("rolled_up", "u", "plot"): (1, 0, 0), ("rolled_up", "u", "module"): (0, 0, 0), ("rolled_up", "u", "cell"): (0, 0, 0),
     }
+
+
+def test_codes_beyond_a_list_appear(spark, rows):
+    units = spark.createDataFrame([(1,), (2,), (3,)], "u int")
+    codes = spark.createDataFrame([(1, "A"), (1, "Z"), (2, None), (9, "Q")], "u int, code string")
+    got = rows(reshape.codes_to_flags(units, codes, ["u"], "code", ["B", "A"]))
+    assert got == sorted([(u, c, (u, c) in {(1, "A"), (1, "Z")}) for u in (1, 2, 3) for c in "BAZQ"], key=repr)
+    assert rows(reshape.codes_to_flags(units, codes, ["u"], "code")) == [r for r in got if r[1] != "B"]
+    n = spark.createDataFrame([("q1", "a", None, "r1"), ("q2", None, None, "r1"), (None, "c", None, "r2")], "link string, c1 string, c2 string, rater string")
+    q = spark.createDataFrame([("q1", "A", "b", "r3")], "id string, c1 string, c2 string, rater string")
+    flags = rows(agree.flag_pairs(n, q, "link", "id", ["c1", "c2"], "rater"))
+    assert {(f[0], f[1]): (f[3], f[5]) for f in flags if f[0] == "q1"} == {("q1", "A"): (True, True), ("q1", "B"): (False, True), ("q1", "C"): (False, False)}
+    assert len(flags) == 9
+
+
+def test_match_rows_number_the_items_of_each_list(spark, rows):
+    det = spark.createDataFrame([(1, "b", True, True), (1, "a", True, True), (1, "c", True, False), (1, "d", False, False), (2, "e", False, True)], "u int, item string, n_seen boolean, q_seen boolean")
+    got = rows(detect.match_rows(det, ["u"], "item"), "u", "list", "item", "position")
+    assert got == [(1, "both_surveys", "a", 1), (1, "both_surveys", "b", 2), (1, "first_only", "c", 1), (2, "resurvey_only", "e", 1)]
+    with pytest.raises(Exception, match="more than 2 items"):
+        detect.match_lists(det, ["u"], "item", most=2).collect()

@@ -150,3 +150,18 @@ def test_checks(spark, rows):
     have = spark.createDataFrame([("a",)], "i string")
     assert rows(checks.covers_required(need, have, "g", "i")) == [("herbs", 1, 1, True), ("maps", 2, 1, False)]
     assert rows(checks.missing_required(need, have, "g", "i")) == [("maps", "b")]
+
+
+def test_many_tied_items_are_numbered(spark):
+    """Every item of one group is tied; the NULL group and a small one stay what they are."""
+    totals = spark.range(20_000).select(
+        F.when(F.col("id") < 10_000, "big").when(F.col("id") < 10_004, "small").alias("g"),
+        F.concat(F.lit("i"), F.format_string("%05d", "id")).alias("item"), F.when(F.col("id") < 10_000, 1).otherwise(F.col("id")).alias("cover"),
+    )
+    got = compose.top_items(totals, ["g"], "item", "cover", 3)
+    big = {r.item: r.position for r in got.where("g = 'big'").collect()}
+    assert big == {f"i{k:05d}": k + 1 for k in range(10_000)}
+    assert [(r.item, r.position) for r in got.where("g = 'small'").orderBy("position").collect()] == [("i10003", 1), ("i10002", 2), ("i10001", 3)]
+    assert [r.item for r in got.where("g IS NULL").orderBy("position").collect()] == ["i19999", "i19998", "i19997"]
+    with pytest.raises(Exception, match="long form"):
+        compose.top_list(totals.unionByName(totals.where("g = 'big'").withColumn("item", F.concat("item", F.lit("x")))), ["g"], "item", "cover", 3).collect()
