@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import pickle
+from array import array
 from collections.abc import Iterable
 from zlib import crc32
 
@@ -25,15 +26,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from resurvey.llm.base import only
+from resurvey.llm.base import lean, only, release_memory
 from resurvey.llm.tokens import CHUNK_BYTES, MARK, chunks, cut_text
 
 # Text bytes of a block: its distinct words and sequences are held in one task at a time.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 # Buckets of words for each input partition, and their bounds; a bucket's words are held in one task.
 BUCKETS_PER_PARTITION, MIN_BUCKETS, MAX_BUCKETS = 8, 64, 16_384
-# Words of a bucket kept at once; beyond it they are forgotten, which costs time but not results.
-KEPT_WORDS = 1_500_000
+# Bytes of a bucket's words kept at once, with what a word takes besides its letters and ids; beyond
+# it they are forgotten, which costs time but not results.
+KEPT_BYTES, WORD_BYTES = 128 << 20, 200
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -56,15 +58,32 @@ def _unpack(data: bytes) -> tuple:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
 
 
-def _words_to_bytes(words: list[str]) -> tuple[bytes, bytes]:
-    """Words as UTF-8 behind one another, and their lengths."""
-    coded = [w.encode() for w in words]
-    return b"".join(coded), np.fromiter(map(len, coded), np.uint32, len(coded)).tobytes()
+class _Words:
+    """Words behind one another in one buffer."""
 
+    def __init__(self, data: bytes, sizes: bytes):
+        self.data = data
+        self.sizes = np.frombuffer(sizes, np.uint32).astype(np.int64)
+        self.ends = np.cumsum(self.sizes)
 
-def _bytes_to_words(data: bytes, sizes: bytes) -> list[bytes]:
-    ends = np.cumsum(np.frombuffer(sizes, np.uint32).astype(np.int64))
-    return [data[a:b] for a, b in zip(np.concatenate(([0], ends[:-1])).tolist(), ends.tolist(), strict=True)]
+    def __len__(self) -> int:
+        return len(self.sizes)
+
+    def __getitem__(self, i: int) -> bytes:
+        end = int(self.ends[i])
+        return self.data[end - int(self.sizes[i]) : end]
+
+    def __iter__(self):
+        start = 0
+        for end in map(int, self.ends):
+            yield self.data[start:end]
+            start = end
+
+    def take(self, at: np.ndarray) -> tuple[bytes, bytes]:
+        """The words at these places, and their lengths."""
+        sizes = self.sizes[at]
+        flat = np.frombuffer(self.data, np.uint8)[_gather(self.ends[at] - sizes, sizes)]
+        return flat.tobytes(), sizes.astype(np.uint32).tobytes()
 
 
 class _Block:
@@ -79,26 +98,31 @@ class _Block:
 
     def add(self, keys: list, texts: list[str | None]) -> None:
         numbers = self.numbers
-        found: list[int] = []
+        found = array("I")
         for t in texts:
             pieces = cut_text(t) if t else []
             self.counts.append(len(pieces))
-            found += [numbers.setdefault(p, len(numbers)) for p in pieces]
-        self.places.append(np.array(found, np.uint32))
+            found.extend([numbers.setdefault(p, len(numbers)) for p in pieces])
+        self.places.append(np.frombuffer(found, np.uint32))
         self.keys += keys
 
     def packed(self) -> bytes:
         """Keys, counts, sequences, words; frequent words have small numbers."""
         places = np.concatenate(self.places)
+        self.places = []
         uses = np.bincount(places, minlength=len(self.numbers))
         order = np.argsort(-uses, kind="stable")
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
         places = rank[places]
         planes = [(places >> np.uint32(8 * k)).astype(np.uint8).tobytes() for k in range(4)]
+        del places
         names = list(self.numbers)
-        words = [p[1:] if p[:1] == MARK else " " + p for p in (names[i] for i in order.tolist())]
-        return _pack(self.keys, np.array(self.counts, np.int64).tobytes(), planes, *_words_to_bytes(words))
+        self.numbers.clear()
+        words = [(p[1:] if p[:1] == MARK else " " + p).encode() for p in names]
+        del names
+        words = _Words(b"".join(words), np.fromiter(map(len, words), np.uint32, len(words)).tobytes())
+        return _pack(self.keys, np.array(self.counts, np.int64).tobytes(), planes, *words.take(order))
 
 
 def blocks_of(docs: DataFrame, key: str, text: str, block_bytes: int) -> DataFrame:
@@ -121,15 +145,18 @@ def blocks_of(docs: DataFrame, key: str, text: str, block_bytes: int) -> DataFra
         if block.keys:
             yield row()
 
-    return only(docs, key, text).mapInArrow(run, "block long, data binary")
+    return only(docs, key, text).mapInArrow(lean(run), "block long, data binary")
 
 
-def _by_bucket(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def _by_bucket(words: _Words, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the words in the order of (bucket, word), and where each bucket begins."""
-    order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
-    where = np.fromiter((crc32(w) % buckets for w in words), np.int64, len(words))
-    order = order[np.argsort(where[order], kind="stable")]
-    return order, np.searchsorted(where[order], np.arange(buckets + 1))
+    where = np.fromiter((crc32(w) % buckets for w in words), np.uint16 if buckets <= 1 << 16 else np.uint32, len(words))
+    order = np.argsort(where, kind="stable")
+    borders = np.searchsorted(where[order], np.arange(buckets + 1))
+    for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
+        if b - a > 1:
+            order[a:b] = sorted(order[a:b].tolist(), key=words.__getitem__)
+    return order, borders
 
 
 def bucketed_words(blocks: DataFrame, buckets: int) -> DataFrame:
@@ -138,19 +165,16 @@ def bucketed_words(blocks: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = _bytes_to_words(*_unpack(data.as_py())[3:])
+                words = _Words(*_unpack(data.as_py())[3:])
                 order, borders = _by_bucket(words, buckets)
-                ordered = [words[i] for i in order.tolist()]
-                rows = []
-                for b in np.flatnonzero(np.diff(borders)).tolist():
-                    mine = ordered[borders[b] : borders[b + 1]]
-                    rows.append((b, _pack(b"".join(mine), np.fromiter(map(len, mine), np.uint32, len(mine)).tobytes())))
+                found = np.flatnonzero(np.diff(borders)).tolist()
+                rows = [(b, _pack(*words.take(order[borders[b] : borders[b + 1]]))) for b in found]
                 yield pa.record_batch(
                     [pa.array([b for b, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([w for _, w in rows], pa.binary())],
                     ["bucket", "block", "words"],
                 )
 
-    return blocks.mapInArrow(run, "bucket int, block long, words binary")
+    return blocks.mapInArrow(lean(run), "bucket int, block long, words binary")
 
 
 def encoded_words(words: DataFrame, ranks_path: str, pattern: str, parts: int) -> DataFrame:
@@ -158,25 +182,28 @@ def encoded_words(words: DataFrame, ranks_path: str, pattern: str, parts: int) -
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         ranks = load_ranks(ranks_path)
-        kind = "<u2" if max(ranks.values()) < 1 << 16 else "<u4"
+        kind, code = ("<u2", "H") if max(ranks.values()) < 1 << 16 else ("<u4", "I")
         size = np.dtype(kind).itemsize
         encode = encoder_of(ranks, pattern).encode_ordinary
         known: dict[bytes, bytes] = {}
-        now = None
+        now, held = None, 0
         for batch in batches:
             for bucket, block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if bucket != now or len(known) > KEPT_WORDS:
-                    known, now = {}, bucket
-                mine = _bytes_to_words(*_unpack(data.as_py()))
+                if bucket != now or held > KEPT_BYTES:
+                    known, now, held = {}, bucket, 0
+                mine = _Words(*_unpack(data.as_py()))
+                ids = []
                 for w in mine:
-                    if w not in known:
-                        known[w] = np.array(encode(w.decode()), kind).tobytes()
-                ids = [known[w] for w in mine]
+                    coded = known.get(w)
+                    if coded is None:
+                        coded = known[w] = array(code, encode(w.decode())).tobytes()
+                        held += len(w) + len(coded) + WORD_BYTES
+                    ids.append(coded)
                 counts = np.fromiter(map(len, ids), np.uint32, len(ids)) // size
-                packed = _pack(kind, counts.tobytes(), b"".join(ids))
+                packed = _pack(kind, crc32(mine.data), counts.tobytes(), b"".join(ids))
                 yield pa.record_batch([pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([packed], pa.binary())], ["block", "bucket", "ids"])
 
-    return words.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "block long, bucket int, ids binary")
+    return words.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(run), "block long, bucket int, ids binary")
 
 
 def _gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -205,15 +232,17 @@ def encode_documents(
         if left.num_rows != 1:
             raise ValueError("ids for a block that is not there")
         keys, counts, planes, *words = _unpack(left.column("data")[0].as_py())
-        order, borders = _by_bucket(_bytes_to_words(*words), buckets)
+        words = _Words(*words)
+        order, borders = _by_bucket(words, buckets)
         n_words = len(order)
         starts, lengths = np.zeros(n_words, np.int64), np.full(n_words, -1, np.int64)
         flat, base = [], 0
         for b, data in zip(right.column("bucket").to_pylist(), right.column("ids"), strict=True):
             numbers = order[borders[b] : borders[b + 1]]
-            form, n_ids, coded = _unpack(data.as_py())
+            form, check, n_ids, coded = _unpack(data.as_py())
             n_ids = np.frombuffer(n_ids, np.uint32).astype(np.int64)
-            if len(numbers) != len(n_ids):
+            # a block made again after a loss may hold its rows in another order and with other words
+            if len(numbers) != len(n_ids) or crc32(words.take(numbers)[0]) != check:
                 raise ValueError("a bucket came back with other words")
             starts[numbers] = base + np.cumsum(n_ids) - n_ids
             lengths[numbers] = n_ids
@@ -228,6 +257,8 @@ def encode_documents(
         for a, b in zip((ends - np.frombuffer(counts, np.int64)).tolist(), ends.tolist(), strict=True):
             mine = places[a:b]
             out.append(flat[_gather(starts[mine], lengths[mine])].tobytes())
+        del flat, places, words, order
+        release_memory()
         return pa.table([pa.array(keys, arrow_key), pa.array(out, pa.binary())], ["id", "ids"])
 
     joined = blocks.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(assemble, f"id {'bigint' if arrow_key == pa.int64() else 'string'}, ids binary")
@@ -253,15 +284,16 @@ def decode_documents(encoded: DataFrame, ranks_path: str, key: str = "doc_id") -
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         table, starts, lengths = shared.value
         for batch in batches:
-            out = []
-            for packed in batch.column(1):
-                ids = np.frombuffer(packed.as_py(), "<u4").astype(np.int64)
-                if len(ids) and (ids.max() >= len(lengths) or (lengths[ids] < 0).any()):
-                    raise ValueError("an id that is not in the vocabulary")
-                out.append(table[_gather(starts[ids], lengths[ids])].tobytes())
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["id", "ids", "decoded"])
-
-    decoded = encoded.select(key, "ids").mapInArrow(run, f"id {kind}, ids binary, decoded binary")
+            for part in chunks(batch, "ids", CHUNK_BYTES):
+                out = []
+                for packed in part.column(1):
+                    ids = np.frombuffer(packed.as_buffer(), "<u4")
+                    if len(ids) and (ids.max() >= len(lengths) or (lengths[ids] < 0).any()):
+                        raise ValueError("an id that is not in the vocabulary")
+                    out.append(table[_gather(starts[ids], lengths[ids])].tobytes())
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(out, pa.binary())], ["id", "ids", "decoded"])
+
+    decoded = encoded.select(key, "ids").mapInArrow(lean(run), f"id {kind}, ids binary, decoded binary")
     return decoded.withColumnRenamed("id", key)
 
 
