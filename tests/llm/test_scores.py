@@ -77,7 +77,7 @@ def test_machine_learns_pairs():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 2, (3000, 6)).astype(np.uint8)
     y = (x[:, 0] ^ x[:, 1]).astype(float)
-    model = toxicity.fit(x, y, {})
+    model = toxicity.fit(x, y, np.zeros(0, np.int64))
     got = np.array([model.score(np.flatnonzero(row)) > 0.5 for row in x])
     assert (got == (y == 1)).mean() > 0.95
 
@@ -97,6 +97,63 @@ def test_toxicity_of_pairs_whose_terms_say_nothing_alone(spark):
     assert len(got) > 500 and np.mean([r.predicted == r.toxic for r in got]) > 0.95
 
 
+def test_scores_are_the_sums_over_all_pairs():
+    """Scores of batches against a loop over the pairs of a text's terms, and a worker's memory that starts anew."""
+    rng = np.random.default_rng(4)
+    vocabulary = [f"{a}{b}{c}" for a in ("ba", "do", "Ki") for b in ("nan", "rat", "m") for c in ("a", "elum!", "")]
+    texts = [None, "", " \n", *[" ".join(rng.choice(vocabulary, int(rng.integers(1, 60)))) for _ in range(60)]]
+    rows = [np.array(sorted({x for w in toxicity.distinct_words(t) for x in toxicity.terms_of_word(w)}), np.int64) for t in texts]
+    n_words = np.array([len(toxicity.distinct_words(t)) for t in texts])
+    y = np.array([float("banana" in (t or "")) for t in texts])
+    m = toxicity.fit_machines([r.astype(np.uint32) for r in rows], n_words, y)
+    assert len(m.first.terms) > 1 and len(m.used) > 10
+    first, used = {t: i for i, t in enumerate(m.first.terms.tolist())}, {t: i for i, t in enumerate(m.used.tolist())}
+    want = []
+    for r, n in zip(rows, n_words):
+        one = [first[t] for t in r.tolist() if t in first] + [len(first) + min(int(n).bit_length(), toxicity.SIZES - 1)]
+        two = sorted({used[t % toxicity.SLOTS] for t in r.tolist() if t % toxicity.SLOTS in used})
+        z = m.first.bias + sum(m.first.weights[i] for i in one) + sum(m.rest.weights[i] for i in two)
+        z += sum(m.first.vectors[i] @ m.first.vectors[j] for i, j in itertools.combinations(one, 2))
+        share = min(1, toxicity.REST_TERMS / max(1, len(two)))
+        z += share * sum(m.rest.vectors[i] @ m.rest.vectors[j] for i, j in itertools.combinations(two, 2))
+        want.append(z)
+    scorer = toxicity.Scorer(m)
+    assert np.abs(scorer.logits(texts) - want).max() < 1e-4
+    again = [scorer.logits([t])[0] for t in texts for _ in (scorer.clear(),)]
+    assert np.abs(np.array(again) - want).max() < 1e-4
+
+
+def test_rest_takes_gradient_steps(monkeypatch):
+    """One step over one batch against the dense gradient of the log loss."""
+    for name, value in (("REST_EPOCHS", 1), ("REST_PULL", 0.0), ("REST_DECAY", 0.0), ("REST_BOUND", 1e9)):
+        monkeypatch.setattr(toxicity, name, value)
+    rng = np.random.default_rng(8)
+    x = (rng.random((40, 12)) < 0.4).astype(float)
+    x[:, 0] = 1
+    y, offset = (rng.random(40) < 0.5).astype(float), rng.normal(0, 1, 40)
+    got = toxicity.fit_rest([np.flatnonzero(r).astype(np.int32) for r in x], y, offset, 12)
+    v = np.random.Generator(np.random.PCG64(toxicity.SEED)).normal(0, toxicity.REST_START, (12, toxicity.REST_RANK)).astype(np.float32).astype(float)
+    sums = x @ v
+    z = offset + 0.5 * ((sums**2).sum(1) - x @ (v**2).sum(1))
+    e = 1 / (1 + np.exp(-z)) - y
+    weights = x.T @ e
+    vectors = x.T @ (e[:, None] * sums) - v * (x.T @ e)[:, None]
+    seen = x.any(0)
+    assert np.abs(got.vectors - (v - toxicity.REST_PACE / 40 * vectors))[seen].max() < 1e-5
+    assert np.abs(got.weights + toxicity.REST_RATE * np.sign(weights))[seen & (np.abs(weights) > 0.1)].max() < 1e-3
+
+
+def test_toxicity_sample_is_bounded(spark):
+    """A key with many rows among the sampled ones counts once."""
+    docs = [(7, f"word{i} bad" if i % 2 else f"word{i} good") for i in range(500)] + [(i, "some good text") for i in range(100, 400)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(7, 1), *[(i, i % 2) for i in range(100, 400)]], "doc_id long, toxic int")
+    for rows in (20, 1000):
+        sample = toxicity.training_sample(d, labels, "doc_id", "text", "toxic", rows).collect()
+        assert len(sample) == min(rows, len({r.id for r in sample})) == min(rows, sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in [7, *range(100, 400)]))
+    assert toxicity.toxicity(d, labels, sample_rows=20).count() == len(docs)
+
+
 def test_toxicity_corner_cases(spark, corner, corner_rows, nothing):
     labels = spark.createDataFrame([(i, i % 2) for i in range(24)] + [(None, 1), (2, None), (2, 1)], "doc_id long, toxic int")
     got = toxicity.toxicity(corner, labels).collect()
@@ -136,9 +193,12 @@ def brute_overlaps(docs, items):
     return found
 
 
-@pytest.mark.parametrize("filter_seeds", [0, 2_000_000])
-def test_overlaps(spark, corner_rows, filter_seeds, monkeypatch):
-    monkeypatch.setattr(decontam, "FILTER_SEEDS", filter_seeds)
+@pytest.mark.parametrize(("bits", "hits"), [(16, 2), (27, 4096)])
+def test_overlaps(spark, corner_rows, bits, hits, monkeypatch):
+    """With a filter that lets much through, and a document's hits compared a few at a time."""
+    make = decontam.bloom_filter
+    monkeypatch.setattr(decontam, "bloom_filter", lambda seeds: make(seeds, bits))
+    monkeypatch.setattr(decontam, "HITS_AT_ONCE", hits)
     rng = np.random.default_rng(6)
     word = lambda: "wort" + str(rng.integers(1000))
     items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate([30, 45, 13, 12, 7, 5, 4, 1])]
@@ -162,6 +222,26 @@ def test_overlaps(spark, corner_rows, filter_seeds, monkeypatch):
     assert Counter(map(tuple, decontam.without_leaks(d, t).collect())) == Counter((*x, 1, "s") for x in docs if x[0] not in leaks)
 
 
+def test_filter_holds_every_seed(spark):
+    rng = np.random.default_rng(0)
+    seeds = rng.integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    frame = spark.createDataFrame([(int(s),) for s in seeds.view(np.int64)], "seed long").repartition(3)
+    filter_ = decontam.bloom_filter(frame)
+    assert len(decontam.passes(filter_, seeds)) == len(seeds)
+    others = rng.integers(0, 1 << 63, 20_000).astype(np.uint64) * np.uint64(2)
+    assert len(decontam.passes(filter_, others)) < 100
+
+
+def test_many_hits_move_a_text_once(spark):
+    """A long text that holds an item many times: what is compared has the size of the items, not of the text."""
+    item = " ".join(f"w{i}" for i in range(20))
+    text = " ".join([item, "x y z"] * 2000)
+    docs = spark.createDataFrame([(1, text), (2, "nothing here")], "doc_id long, text string")
+    items = spark.createDataFrame([(5, item)], "item_id long, text string")
+    rows = decontam.overlaps(docs, items).collect()
+    assert [tuple(r) for r in rows] == [(1, 5, 20, 20, 0)]
+
+
 def test_overlaps_of_nothing(spark, corner, nothing):
     items = spark.createDataFrame([], "item_id long, text string")
     assert decontam.overlaps(corner, items).collect() == []
