@@ -532,17 +532,18 @@ _STATS = (
 )
 
 
-@query(
-    "regen_index_interval",
-    "regen regen_tree",
-    f"""{_strata_sql(_INDEX_VALUES, 'TRUE', 'TRUE, FALSE', 'dbh BETWEEN 10 AND 15')},
+def _index_rows(stats: str) -> str:
+    """Rows (plot, cycle_no, event) with ``stats`` of the replicates ``v`` of the index; begins with a comma."""
+    return f"""{_strata_sql(_INDEX_VALUES, 'TRUE', 'TRUE, FALSE', 'dbh BETWEEN 10 AND 15')},
 ev AS (SELECT rep, plot, cycle_no, event, target, sum(50 * seedlings + 5 * small_saplings) AS seed,
               5 * sum(large_saplings) + sum(trees) AS sap FROM sd GROUP BY ALL HAVING bool_or(kind = 's')),
 rt AS (SELECT rep, plot, cycle_no, event, max(seed) FILTER (target) AS st, max(seed) FILTER (NOT target) AS so,
               max(sap) FILTER (target) AS pt, max(sap) FILTER (NOT target) AS po FROM ev GROUP BY ALL),
 iv AS (SELECT *, (coalesce(st / nullif(st + so, 0), 0) + coalesce(pt / nullif(pt + po, 0), 0))::DOUBLE AS v FROM rt)
-SELECT plot, cycle_no, event, {_STATS.format(v='v')} FROM iv GROUP BY ALL""",
-)
+SELECT plot, cycle_no, event, {stats} FROM iv GROUP BY ALL"""
+
+
+@query("regen_index_interval", "regen regen_tree", _index_rows(_STATS.format(v="v")))
 def regen_index_interval(v: Views):
     """G4."""
     out = resample.regen_index_interval(index_corners(v), small_trees(v), STRATA, "event", REPS, SEED)
@@ -557,14 +558,15 @@ _IMPORTANCE_VALUES = {
 }
 
 
-@query(
-    "importance_interval",
-    "regen regen_tree",
-    f"""{_strata_sql(_IMPORTANCE_VALUES, 'target', 'TRUE', 'TRUE')},
+def _importance_rows(stats: str) -> str:
+    """The same of the importance score."""
+    return f"""{_strata_sql(_IMPORTANCE_VALUES, 'target', 'TRUE', 'TRUE')},
 iv AS (SELECT rep, plot, cycle_no, event, ln(1 + sum((p1 + 2 * p2 + 10 * p10) * 1250 + 50 * p50 * 125 + trees * 50 * 25)) AS v
        FROM sd GROUP BY ALL HAVING bool_or(kind = 's'))
-SELECT plot, cycle_no, event, {_STATS.format(v='v')} FROM iv GROUP BY ALL""",
-)
+SELECT plot, cycle_no, event, {stats} FROM iv GROUP BY ALL"""
+
+
+@query("importance_interval", "regen regen_tree", _importance_rows(_STATS.format(v="v")))
 def importance_interval(v: Views):
     """G5."""
     out = resample.importance_interval(importance_corners(v), all_target_trees(v), STRATA, "event", REPS, SEED)
@@ -638,7 +640,30 @@ def regen_table(v: Views):
     )
 
 
-@query("regen_table_intervals")
+def _as_table(sql: str) -> str:
+    """A query that begins with a comma, as one with tables of its own."""
+    return "WITH " + sql.strip().lstrip(",")
+
+
+def _tagged_stats(tag: str) -> str:
+    stats = {"mean": "avg(v)", "lo95": "quantile_cont(v, 0.025)", "hi95": "quantile_cont(v, 0.975)"}
+    return ", ".join(f"round_even({e}, 2) AS {tag}_{c}" for c, e in stats.items())
+
+
+@query(
+    "regen_table_intervals",
+    "regen regen_tree",
+    f"""{_HIST},
+ii AS ({_as_table(_index_rows(_tagged_stats('index')))}),
+ip AS ({_as_table(_importance_rows(_tagged_stats('importance')))}),
+rows AS (SELECT * FROM ii FULL JOIN ip USING (plot, cycle_no, event))
+SELECT plot, cycle_no, event, index_mean, index_lo95, index_hi95, importance_mean, importance_lo95, importance_hi95,
+       survey_date, prior_event, has_prior, coalesce(event_since, FALSE) AS event_since,
+       '(' || (1994 + (cycle_no - 1) * 5) || ',' || (1994 + cycle_no * 5) || ']' AS cycle,
+       '[' || (1995 + (cycle_no - 1) * 5) || ',' || (1994 + cycle_no * 5) || ']' AS cycle_display
+FROM (SELECT DISTINCT plot FROM rows) CROSS JOIN (SELECT unnest([1, 2, 3]::BIGINT[]) AS cycle_no)
+     LEFT JOIN rows USING (plot, cycle_no) LEFT JOIN hist USING (event)""",
+)
 def regen_table_intervals(v: Views):
     """F16 with the bootstrap means and limits of G4 and G5."""
     index = resample.regen_index_interval(index_corners(v), small_trees(v), STRATA, "event", REPS, SEED)
@@ -689,10 +714,43 @@ def signed_rank(v: Views):
     return rounded(_rank_test(v), 6, "shift").select("zone", "exposed", "n", "v_stat", "shift")
 
 
-@query("signed_rank_intervals")
+# p and interval: exact by counting subsets of ranks, otherwise the normal tail by Simpson's rule.
+_RANK_TEST = f"""{_RANKS},
+sz AS (SELECT zone, exposed, abs(d) AS a, count(*) AS t FROM nz GROUP BY ALL),
+g AS (SELECT cn.zone, cn.exposed, cn.n, coalesce(sum(t), 0)::BIGINT AS m, coalesce(sum(t * t * t - t), 0)::DOUBLE AS tied,
+             coalesce(max(t), 0) = 1 AND coalesce(sum(t), 0) = cn.n AS exact, any_value(v_stat) AS v
+      FROM cn LEFT JOIN sz USING (zone, exposed) LEFT JOIN vs USING (zone, exposed) WHERE n >= 6 GROUP BY cn.zone, cn.exposed, cn.n),
+sub AS (WITH RECURSIVE s(k, w) AS (SELECT 0, [1::DOUBLE] UNION ALL
+    SELECT k + 1, list_transform(range(0, (k + 1) * (k + 2) // 2 + 1),
+        lambda i: coalesce(w[i + 1], 0) + CASE WHEN i > k THEN coalesce(w[i - k], 0) ELSE 0 END)
+    FROM s WHERE k < (SELECT coalesce(max(m) FILTER (exact), 0) FROM g)) SELECT * FROM s),
+cdf AS (SELECT k, i AS v, sum(x) OVER (PARTITION BY k ORDER BY i) / 2::DOUBLE ** k AS p
+        FROM (SELECT k, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS i FROM sub)),
+xt AS (SELECT zone, exposed, least(1, 2 * max(p) FILTER (cdf.v = least(g.v, m * (m + 1) // 2 - g.v))) AS p,
+              greatest(1, min(cdf.v) FILTER (p >= 0.05)) AS ord
+       FROM g JOIN cdf ON cdf.k = g.m WHERE exact GROUP BY zone, exposed),
+no AS (SELECT zone, exposed, m, v - m * (m + 1) / 4::DOUBLE AS z, sqrt(m * (m + 1) * (2 * m + 1) / 24::DOUBLE - tied / 48) AS s FROM g WHERE NOT exact AND m > 0),
+nt AS (SELECT *, abs(z - sign(z) / 2) / s / sqrt(2::DOUBLE) AS x FROM no),
+np AS (SELECT zone, exposed, 1 - 2 / sqrt(pi()) * x / 3000 * list_sum(list_transform(range(0, 1001),
+              lambda i: exp(-((x * i / 1000::DOUBLE) ** 2)) * CASE WHEN i IN (0, 1000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)) AS p,
+              greatest(1, floor(m * (m + 1) / 4::DOUBLE - 1.6448536269514722 * sqrt(m * (m + 1) * (2 * m + 1) / 24::DOUBLE)))::BIGINT AS ord
+       FROM nt),
+pr AS (SELECT *, 'exact' AS method FROM xt UNION ALL SELECT *, 'normal' FROM np),
+wl AS (SELECT a.zone, a.exposed, list_sort(list(a.d + b.d)) AS w FROM nz a JOIN nz b ON a.zone = b.zone AND a.exposed = b.exposed AND a.plot <= b.plot GROUP BY ALL)"""
+
+
+@query(
+    "signed_rank_intervals",
+    "regen regen_tree",
+    f"""{_RANK_TEST}
+SELECT cn.zone, cn.exposed, cn.n, g.v AS v_stat, round_even(pr.p, 2) AS p_value,
+       round_even(CASE WHEN g.m = 0 THEN 0 WHEN g.m > 0 THEN hl.shift END, 2) AS shift,
+       round_even(wl.w[pr.ord] / 200::DOUBLE, 2) AS shift_lo, round_even(wl.w[len(wl.w) + 1 - pr.ord] / 200::DOUBLE, 2) AS shift_hi, pr.method
+FROM cn LEFT JOIN g USING (zone, exposed) LEFT JOIN pr USING (zone, exposed) LEFT JOIN wl USING (zone, exposed) LEFT JOIN hl USING (zone, exposed)""",
+)
 def signed_rank_intervals(v: Views):
     """G6: p value and 90 percent interval of the shift."""
-    return rounded(_rank_test(v), 2, "p_value", "shift", "shift_lo", "shift_hi")
+    return rounded(_rank_test(v), 2, "p_value", "shift", "shift_lo", "shift_hi").drop("log_p")
 
 
 @query("stratum_agreement_interval")
