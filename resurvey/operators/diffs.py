@@ -202,13 +202,15 @@ def bland_altman_points(df: DataFrame, n: str, q: str) -> DataFrame:
     return df.withColumn("pair_mean", (F.col(n) + F.col(q)) / 2).withColumn("diff", F.col(q) - F.col(n))
 
 
-def numeric_summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """E26. min, q1, median, mean, q3, max per column, long."""
-    long = df.select([F.col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "variable", "value")
-    freq = value_counts(long, ["variable"], "value")
-    plain = freq.groupBy("variable").agg(F.min("_v").alias("minimum"), F.max("_v").alias("maximum"), *count_and_mean())
-    mid = quantiles_of_counts(freq, ["variable"], [0.25, 0.5, 0.75], ["q1", "median", "q3"])
-    return plain.join(mid, "variable").select("variable", "minimum", "q1", "median", "mean", "q3", "maximum")
+def numeric_summary(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """E26. min, q1, median, mean, q3, max per column (and group), long."""
+    by, numbers = list(by), [F.col(c).cast("double").alias(c) for c in cols]
+    long = df.select(*by, *numbers).unpivot(by, list(cols), "variable", "value")
+    keys = [*by, "variable"]
+    freq = value_counts(long, keys, "value")
+    plain = freq.groupBy(*keys).agg(F.min("_v").alias("minimum"), F.max("_v").alias("maximum"), *count_and_mean())
+    mid = quantiles_of_counts(freq, keys, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
+    return join_groups(plain, mid, keys).select(*keys, "minimum", "q1", "median", "mean", "q3", "maximum")
 
 
 def histogram(df: DataFrame, col: str, width: float, center: float = 0.0, by: Sequence[str] = ()) -> DataFrame:

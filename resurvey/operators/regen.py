@@ -105,16 +105,16 @@ def index_columns(s: str, t: str) -> tuple[Column, Column]:
     return seed, sap
 
 
-def regen_index(df: DataFrame, trees: DataFrame, event: Sequence[str]) -> DataFrame:
+def regen_index(df: DataFrame, trees: DataFrame, event: Sequence[str], classes: Mapping[str, Sequence[str]] = INDEX_CLASSES) -> DataFrame:
     """F14. Sustainability index of every event: seed ratio + sapling ratio, each target share
     between 0 and 1.
 
-    ``df``: corner rows with the size classes and ``target``; ``trees``: counts of F13.
+    ``df``: corner rows with the size ``classes`` and ``target``; ``trees``: counts of F13.
     """
     event = list(event)
     aggs, tree_aggs = [], []
     for side, is_side in (("t", F.col("target")), ("o", ~F.col("target"))):
-        for name, cols in INDEX_CLASSES.items():
+        for name, cols in classes.items():
             aggs.append(F.coalesce(F.sum(F.when(is_side, total(cols))), F.lit(0)).alias(f"{side}_{name}"))
         tree_aggs.append(F.sum(F.when(is_side, F.col("trees"))).alias(f"{side}_trees"))
     sums = df.groupBy(*event).agg(*aggs).join(trees.groupBy(*event).agg(*tree_aggs), event, "left")

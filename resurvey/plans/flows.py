@@ -10,13 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from resurvey.operators import agree, asof, bands, checks, clean, compose, detect, diffs, ranktest, regen, resample, reshape, roles
 from resurvey.operators.roles import stack_metrics
 from resurvey.session import exchange_dir
-from resurvey.sources.files import filter_options, write_dataset
+from resurvey.sources.files import files_in, filter_options, write_dataset
 from resurvey.sources.schemas import DISTURBANCES
 
 ORIGIN, WIDTH = 2010, 5
@@ -43,6 +43,45 @@ def _survey(df: DataFrame, code: str = "QAQC") -> DataFrame:
     return clean.role_from_code(keyed, code, 0, -1)
 
 
+# ---- readiness --------------------------------------------------------------------
+
+# ---- fixed values: the files each analysis needs
+REQUIRED_FILES = {
+    "Maps": ["VegDat.csv", "FinalCG.csv", "OakHickSS.csv", "OakHickTree.csv", "BurnPlots.csv"],
+    "Oak-Hickory": ["VegDat.csv", "FinalCG.csv", "OakHickSS.csv", "OakHickTree.csv", "BurnPlots.csv"],
+    "QAQC - Herbs": ["Herbs.csv"],
+    "QAQC - Trees": ["TreesNorm.csv", "TreesQAQC.csv", "AllTrees.csv", "SeedlingsSaplings.csv", "Densiometer.csv"],
+    "QAQC - Site": ["SiteMetrics.csv", "CWD.csv", "Community.csv"],
+    "Thresholds": [
+        "cegl_x_bin.csv", "qry_event_HPExotic_count_byPanelYear.csv", "qry_snagDensity_event_panel.csv",
+        "qry_stat_cwd_byPanelYear.csv", "qry_tree_eventGrowthMort_panel.csv",
+    ],
+}
+# ---------------------------------------------------------------------------------
+
+
+def readiness(spark: SparkSession, folder: str, required: Mapping[str, Sequence[str]] = REQUIRED_FILES) -> dict[str, DataFrame]:
+    """Which analyses can run on the files of a folder: ``analyses`` (A3) and the ``missing`` files.
+
+    Only the names of the files are read.
+    """
+    rows = [(analysis, item) for analysis, items in required.items() for item in items]
+    needed = spark.createDataFrame(rows, "analysis string, item string")
+    found = files_in(spark, folder).select(F.element_at(F.split("path", "/"), -1).alias("item"))
+    return {
+        "analyses": checks.covers_required(needed, found, "analysis", "item"),
+        "missing": checks.missing_required(needed, found, "analysis", "item"),
+    }
+
+
+def require(spark: SparkSession, folder: str, analysis: str, required: Mapping[str, Sequence[str]] = REQUIRED_FILES) -> None:
+    """Stop with the names of the files that an analysis lacks; to be called in front of it."""
+    missing = readiness(spark, folder, {analysis: required[analysis]})["missing"]
+    names = sorted(r["item"] for r in missing.collect())  # files of one analysis
+    if names:
+        raise FileNotFoundError(f"{analysis} needs {', '.join(names)} in {folder}")
+
+
 # ---- vegetation -------------------------------------------------------------------
 
 
@@ -291,7 +330,11 @@ def count_agreement(all_trees: DataFrame, seedlings: DataFrame, densiometer: Dat
     }
 
 
-MIN_DETECTIONS = {"plot": 5, "module": 30, "cell": 30}  # fixed values of the dashboard charts
+# ---- fixed values: detections that make an item worth listing, on the charts and in the report
+MIN_DETECTIONS = {"plot": 5, "module": 30, "cell": 30}
+REPORT_DETECTIONS = {"plot": 5, "module": 30, "cell": 60}
+# ---------------------------------------------------------------------------------
+_HERB_NUMBERS = ["n_richness", "q_richness", "turnover", "rich_diff_percent", "unique_items", "matched", "match_by_mean", "match_by_unique"]
 
 
 def herb_agreement(
@@ -319,6 +362,10 @@ def herb_agreement(
         "unmatched": stack_metrics(
             {s: detect.unmatched_items(scaled.where(F.col("scale") == s), "item", k) for s, k in min_detections.items()}, "scale"
         ),
+        "unmatched_report": stack_metrics(
+            {s: detect.unmatched_items(scaled.where(F.col("scale") == s), "item", k) for s, k in REPORT_DETECTIONS.items()}, "scale"
+        ),
+        "numbers": diffs.numeric_summary(summary, _HERB_NUMBERS, ["subset", "scale"]),
         "match_lists": detect.match_lists(match, ["unit"], "item"),
         "class_difference": classes,
         "class_table": diffs.difference_cdf(classes, "abs_diff"),
@@ -424,13 +471,26 @@ def regeneration(
 
     exposed = history.groupBy("plot").agg(F.bool_or("has_prior").alias("exposed"))
     last, start = max(cycles), min(cycles)
+    surveyed = table.where(F.col("event").isNotNull())
     tested = (
-        table.where(F.col("event").isNotNull())
-        .groupBy("park", "plot", "cycle_no")
-        .agg(F.avg("index_mean").alias("index_mean"))
+        surveyed.groupBy("park", "plot", "cycle_no")
+        .agg(F.avg("index_mean").alias("index_mean"), F.avg("importance_mean").alias("importance_mean"))
         .join(exposed, "plot", "left")
         .withColumn("exposed", F.coalesce("exposed", F.lit(False)))
     )
+    rank_test = lambda value: ranktest.signed_rank_by_group(tested, ["park", "exposed"], "plot", "cycle_no", value, start, last)
+
+    # both surveys of a plot in one cycle
+    paired = [*keys, "role"]
+    both = F.col("community_type") == "target"
+    sized = lambda lo, hi, targets: regen.module_tree_counts(
+        stems.where(both), paired, lo, hi, [1, 2, 3, 4], targets=targets, role=None
+    )
+    indices = regen.regen_index(corners.where(both), sized(10, 15, (True, False)), paired, index_classes)
+    scores = regen.importance_score(corners.where(both), sized(None, None, (True,)), paired)
+    difference = lambda df, value: regen.role_index_difference(
+        df.groupBy(*strata, "role").agg(F.avg(value).alias(value)), strata, "role", value
+    )
     return {
         "main": main,
         "boxes": boxes,
@@ -442,8 +502,11 @@ def regeneration(
         "illegal_corners": checks.illegal_codes(corners, ["event"], "corner", CORNERS),
         "incomplete_events": checks.incomplete_parents(corners, ["event"], "corner", CORNERS),
         "orphan_dates": dates.join(events.select("plot", "year"), ["plot", "year"], "left_anti"),
-        "rank_test": ranktest.signed_rank_by_group(
-            tested, ["park", "exposed"], "plot", "cycle_no", "index_mean", start, last
-        ),
+        "rank_test": rank_test("index_mean"),
+        "importance_rank_test": rank_test("importance_mean"),
+        "index_difference": difference(indices, "regen_index"),
+        "importance_difference": difference(scores, "importance"),
+        "index_boxes": regen.box_stats(surveyed, ["park", "has_prior"], "index_mean"),
+        "importance_boxes": regen.box_stats(surveyed, ["park", "has_prior"], "importance_mean"),
         "years_since": asof.years_since_event(history, "survey_date", "prior_event", "role"),
     }

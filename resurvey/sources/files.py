@@ -79,3 +79,8 @@ def extent_by_unit(df: DataFrame, unit: str, x: str, y: str, piece: str) -> Data
         ((F.min(y) + F.max(y)) / 2).alias("y_centre"),
         F.count_distinct(piece).alias("pieces"),
     )
+
+
+def files_in(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
+    """``path`` of the files of a folder, wherever Spark can read; their content is not read."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path")

@@ -2,6 +2,7 @@
 
 import csv
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -183,6 +184,27 @@ def test_trees(load):
     for name in ("damage_intervals", "foliage_agreement", "snag_height_ecdf", "dbh_limits"):
         assert out[name].count() > 0
 
+    # codes are found in the data; a foliage code that a tree has twice is compared twice
+    more = [{**t, "Condition_Damage_Code_2": "zz"} if t["Tree_ID"] == "n5" else t for t in first]
+    more = [{**t, "Foliage_Condition_2": "X", "Foliage_Percent_Class_2": 1, "Foliage_Condition_3": "X", "Foliage_Percent_Class_3": 2} if t["Tree_ID"] == "n6" else t for t in more]
+    out = flows.tree_agreement(load("tn2", schemas.TREES_FIRST, more), load("tq2", schemas.TREES_AGAIN, again), reps=50)
+    damage = {r.code: (r.n11, r.n10, r.n11 + r.n00 + r.n10) for r in out["damage"].collect()}
+    assert set(damage) == {"AB", "CD", "ZZ"} and damage["ZZ"] == (0, 1, 29)
+    fol = {r.code: (r.both_missing, r.matched, r.mismatched) for r in out["foliage"].collect()}
+    assert fol["X"] == (28, 0, 2)
+
+
+def test_readiness(spark, tmp_path):
+    for name in ("Herbs.csv", "SiteMetrics.csv", "CWD.csv", "notes.txt"):
+        (tmp_path / name).write_text("a,b\n")
+    out = flows.readiness(spark, str(tmp_path))
+    got = {r.analysis: (r.required_items, r.available_items, r.complete) for r in out["analyses"].collect()}
+    assert got["QAQC - Herbs"] == (1, 1, True) and got["QAQC - Site"] == (3, 2, False) and got["Maps"] == (5, 0, False)
+    assert {r.item for r in out["missing"].where("analysis = 'QAQC - Site'").collect()} == {"Community.csv"}
+    flows.require(spark, str(tmp_path), "QAQC - Herbs")
+    with pytest.raises(FileNotFoundError, match="Community.csv"):
+        flows.require(spark, str(tmp_path), "QAQC - Site")
+
 
 def test_counts(load, unit_rows):
     rnd = random.Random(5)
@@ -227,6 +249,13 @@ def test_herbs(load, unit_rows):
     assert out["class_table"].count() > 0 and out["match_lists"].count() == 12
     assert out["class_matrix"].agg(F.sum("pairs")).first()[0] == out["class_difference"].count()
     assert out["unmatched"].where("unmatched_percent <= 50").count() == 0
+    few = {r.scale: r.n for r in out["unmatched_report"].groupBy("scale").agg(F.min("detections").alias("n")).collect()}
+    assert all(n >= flows.REPORT_DETECTIONS[scale] for scale, n in few.items())
+    numbers = {(r.subset, r.scale, r.variable): r for r in out["numbers"].collect()}
+    assert len(numbers) == 3 * 3 * 8
+    turnover = sorted(r.turnover for r in s.where("subset = 'all' AND scale = 'module' AND turnover IS NOT NULL").collect())
+    got = numbers["all", "module", "turnover"]
+    assert (got.minimum, got.maximum, got.median) == (turnover[0], turnover[-1], statistics.median(turnover))
 
 
 def test_regeneration(load, vegetation, spark):
@@ -266,6 +295,15 @@ def test_regeneration(load, vegetation, spark):
     assert areas == {("target", "ABCD"): 3, ("target", "EFGH"): 2, ("ruderal", "ABCD"): 1, ("ruderal", "EFGH"): 1}
     assert {r.park: (r.units, r.resurveyed) for r in out["resurveys"].collect()} == {"ABCD": (3, 3), "EFGH": (2, 2)}
     assert sum(r.n for r in out["rank_test"].collect()) == 5
+    assert sum(r.n for r in out["importance_rank_test"].collect()) == 5
+    for name, value in (("index_boxes", "index_mean"), ("importance_boxes", "importance_mean")):
+        got = {(r.park, r.has_prior): (r.n, r.median) for r in out[name].collect()}
+        want = {}
+        for r in table:
+            want.setdefault((r.park, r.has_prior), []).append(r[value])
+        assert got == {k: (len(v), pytest.approx(statistics.median(v))) for k, v in want.items()}
+    for name in ("index_difference", "importance_difference"):
+        assert all(r.p05 <= r.mean_difference <= r.p95 for r in out[name].collect())
     assert out["illegal_corners"].count() == 0
     missing = {r.missing for r in out["incomplete_events"].collect()}
     assert missing == {"M2C3,M3C2,M4C2,M4C3"}
