@@ -11,28 +11,32 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from resurvey.llm.base import mixed, only, parts_for, written
+from resurvey.functions.order import number_by_range
+from resurvey.llm.base import mixed, only, small_side, written
 
 # Keys: 32 bits of the dimension, then 16 bits that part equal values; three digits of 16 bits.
 VALUE_BITS, TIE_BITS, DIGIT_BITS = 32, 16, 16
 DIGIT = 1 << DIGIT_BITS
 ROUNDS = (VALUE_BITS + TIE_BITS) // DIGIT_BITS
-# Rows numbered together inside a shard.
-ROWS_PER_RUN = 50_000
 
 
-def coordinate(c: str, kind: str) -> Column:
-    """A dimension as a number that keeps the order: numbers as they are, strings by six bytes.
+def with_coordinates(rows: DataFrame, dims: Sequence[str]) -> DataFrame:
+    """A written table with ``dim_<c>`` for each dimension: a number that keeps the order, NULL first.
 
-    NULL comes first.
+    Numbers stay as they are; a string becomes its place among the distinct strings of the column.
     """
-    if kind == "string":
-        head = F.hex(F.substring(F.encode(F.col(c), "UTF-8"), 1, 6))
-        return F.coalesce(F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double") + 1, F.lit(0.0))
-    return F.coalesce(F.col(c).cast("double"), F.lit(-1.0))
+    kinds = dict(rows.dtypes)
+    for d in dims:
+        if kinds[d] == "string":
+            names = number_by_range(rows.select(F.col(d).alias("name")).where("name IS NOT NULL").distinct(), ["name"], f"dim_{d}")
+            rows = rows.join(small_side(names.withColumnRenamed("name", d)), d, "left")
+            rows = rows.withColumn(f"dim_{d}", F.coalesce(F.col(f"dim_{d}").cast("double"), F.lit(0.0)))
+        else:
+            rows = rows.withColumn(f"dim_{d}", F.coalesce(F.col(d).cast("double"), F.lit(-1.0)))
+    return rows
 
 
 def _settle(rows: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -145,19 +149,17 @@ def shard_documents(
     """
     if (shards is None) == (target_bytes is None):
         raise ValueError("give either shards or target_bytes")
-    kinds = {c: t for c, t in docs.dtypes}
     plain = [d for d in dims if d != "size"]
     slim = only(docs, *dict.fromkeys([key, text, *plain])).select(
         F.col(key).alias("key"),
-        *[coordinate(d, kinds[d]).alias(f"dim_{d}") for d in plain],
+        *[F.col(f"`{d}`").alias(f"own_{d}") for d in plain],
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size"),
         F.crc32(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")).alias("text_crc32"),
+        F.monotonically_increasing_id().alias("row"),  # written, so it stays; repeated rows are told apart by it
     )
-    slim = slim.withColumn("dim_size", F.log2("size"))
-    slim = written(slim, "shard-rows")
-    names = [f"dim_{d}" for d in dims]
-    tie = mixed("key", "text_crc32")
-    placed = kd_leaves(slim, names, "size", tie, shards, target_bytes)
+    slim = written(slim.withColumn("own_size", F.log2("size")), "shard-rows")
+    names = [f"own_{d}" for d in dims]
+    placed = kd_leaves(with_coordinates(slim, names).drop(*names), [f"dim_{d}" for d in names], "size", mixed("key", "text_crc32", "row"), shards, target_bytes)
     placed = placed.withColumnRenamed("leaf", "shard")
     return number_in_shards(placed).select(
         F.col("key").alias(key), "size", "text_crc32", "shard", "slot"
@@ -165,20 +167,9 @@ def shard_documents(
 
 
 def number_in_shards(placed: DataFrame) -> DataFrame:
-    """``slot``: gapless numbers from 0 in each shard, in order of (run, key, crc), runs by hash."""
-    from pyspark.sql import Window
-
-    n = placed.count()
-    runs = parts_for(n, ROWS_PER_RUN, 64)
-    rows = placed.withColumn("run", F.pmod(mixed("key", "text_crc32"), F.lit(runs)))
-    before = Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        rows.groupBy("shard", "run").agg(F.count("*").alias("n"))
-        .select("shard", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    )
-    inside = Window.partitionBy("shard", "run").orderBy("key", "text_crc32")
-    return (
-        rows.withColumn("place", F.row_number().over(inside) - 1)
-        .join(starts, ["shard", "run"])
-        .withColumn("slot", F.col("start") + F.col("place"))
-    )
+    """``slot``: gapless numbers from 0 in each shard, in the order of (key, crc, row)."""
+    sizes = placed.groupBy("shard").agg(F.count("*").alias("n"))  # a row per shard
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    numbered = number_by_range(placed.select("shard", "key", "text_crc32", "row", "size"), ["shard", "key", "text_crc32", "row"], "number")
+    return numbered.join(small_side(starts), "shard").withColumn("slot", F.col("number") - F.col("start") - 1)

@@ -54,3 +54,18 @@ def test_widest_dimension_is_cut(spark):
     docs = spark.range(200).selectExpr("IF(id < 100, id, id + 1000000) AS doc_id", "'t' AS text", "'s' AS source", "'en' AS lang")
     rows = shards.shard_documents(docs, shards=2, dims=("doc_id",)).collect()
     assert {(r.doc_id < 1000, r.shard) for r in rows} in ({(True, 0), (False, 1)}, {(True, 1), (False, 0)})
+
+
+def test_strings_are_told_apart_by_more_than_their_beginning(spark):
+    """Sources that share their first letters are the widest dimension: each lies in one shard."""
+    docs = spark.range(800).selectExpr("id AS doc_id", "'t' AS text", "concat('https://source/', id % 8) AS source", "'en' AS lang")
+    rows = shards.shard_documents(docs, shards=8, dims=("source",)).collect()
+    assert len({(r.doc_id % 8, r.shard) for r in rows}) == 8
+    check(rows, [(r.doc_id, r.text) for r in docs.collect()], 8, 0)
+
+
+def test_repeated_rows_are_parted(spark):
+    """One row makes up two fifths of the table."""
+    rows = [(7, "x" * 99, "s", "en")] * 400 + [(i, "y" * 99, "s", "en") for i in range(1000, 1600)] + [(None, None, None, None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(6)
+    check(shards.shard_documents(docs, shards=4).collect(), rows, 4, 400)
