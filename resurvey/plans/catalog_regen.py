@@ -352,11 +352,11 @@ def _tree_sql(name: str, cond: str, targets: str, keys: str = _EN, role: str = "
 
 
 def small_trees(v: Views):
-    return regen.module_tree_counts(v.regen_tree(), EVENT_N, 10, 15, [1, 2, 3, 4])
+    return v.stem_counts(EVENT_N, 10, 15)
 
 
 def all_target_trees(v: Views):
-    return regen.module_tree_counts(v.regen_tree(), EVENT_N, None, None, [1, 2, 3, 4], targets=(True,))
+    return v.stem_counts(EVENT_N, None, None, targets=(True,))
 
 
 @query("module_tree_counts", "regen_tree", f", {_tree_sql('tr', 'dbh BETWEEN 10 AND 15', 'TRUE, FALSE')} SELECT * FROM tr")
@@ -423,7 +423,7 @@ FROM d""",
 )
 def role_index_difference(v: Views):
     """F17, with the trees of both surveys."""
-    trees = regen.module_tree_counts(v.regen_tree(), [*EVENT_N, "role"], 10, 15, [1, 2, 3, 4], role=None)
+    trees = v.stem_counts([*EVENT_N, "role"], 10, 15, role=None)
     index = regen.regen_index(v.regen(), trees, [*EVENT_N, "role"])
     out = regen.role_index_difference(index, ["event"], "role", "regen_index")
     return rounded(out, 6, "mean_difference", "p05", "p95")

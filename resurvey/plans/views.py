@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from resurvey.operators import regen
+
 CELLS = ["m1c2", "m1c4", "m2c2", "m2c3", "m3c2", "m3c4", "m4c2", "m4c3"]
 PAIRS = [("m1c2", "m1c4"), ("m2c2", "m2c3"), ("m3c2", "m3c4"), ("m4c2", "m4c3")]
 MODULES = {"m1": PAIRS[0], "m2": PAIRS[1], "m3": PAIRS[2], "m4": PAIRS[3]}
@@ -249,31 +251,47 @@ class Views:
                 ]
             )
         )
+        return self._placed(counted, "zone", "community").select(
+            "event", "area", "zone", "community", "plot", "year", "cycle_no",
+            self._role().alias("role"),
+            F.concat(F.lit("C"), F.col("l_linenumber").cast("string")).alias("corner"),
+            (1 + F.col("l_linenumber") % 4).cast("long").alias("module"),
+            "target",
+            *SIZE_CLASSES,
+        )
+
+    def _placed(self, counted: DataFrame, *more: str) -> DataFrame:
+        """Counts by l_suppkey and year with the names of their event and place."""
         supp = self.table("supplier").select("s_suppkey", "s_nationkey")
         place = (
             self.table("nation")
             .join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
             .select("n_nationkey", F.col("n_name").alias("area"), F.col("r_name").alias("zone"))
         )
-        return (
-            counted.join(supp, F.col("l_suppkey") == F.col("s_suppkey"))
-            .join(place, F.col("s_nationkey") == F.col("n_nationkey"))
-            .select(
-                F.concat_ws("-", F.col("l_suppkey").cast("string"), F.col("year").cast("string")).alias("event"),
-                "area",
-                "zone",
-                F.concat(F.lit("G"), F.lpad(F.col("n_nationkey").cast("string"), 3, "0")).alias("community"),
-                F.col("l_suppkey").cast("string").alias("plot"),
-                "year",
-                F.ceil((F.col("year") - 1994) / 5).cast("long").alias("cycle_no"),
-                self._role().alias("role"),
-                F.concat(F.lit("C"), F.col("l_linenumber").cast("string")).alias("corner"),
-                (1 + F.col("l_linenumber") % 4).cast("long").alias("module"),
-                "target",
-                *SIZE_CLASSES,
-            )
+        joined = counted.join(supp, F.col("l_suppkey") == F.col("s_suppkey")).join(place, F.col("s_nationkey") == F.col("n_nationkey"))
+        return joined.withColumns(
+            {
+                "event": F.concat_ws("-", F.col("l_suppkey").cast("string"), F.col("year").cast("string")),
+                "community": F.concat(F.lit("G"), F.lpad(F.col("n_nationkey").cast("string"), 3, "0")),
+                "plot": F.col("l_suppkey").cast("string"),
+                "cycle_no": F.ceil((F.col("year") - 1994) / 5).cast("long"),
+            }
+        )
+
+    def regen_stems(self) -> DataFrame:
+        """The rows of ``regen_tree`` on numeric keys: l_suppkey, year, role, module, target, dbh, status."""
+        part = self.table("part").select("p_partkey", F.col("p_type").isin(TARGET_TYPES).alias("target"), F.col("p_size").cast("double").alias("dbh"))
+        return self.table("lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+            "l_suppkey", F.year("l_shipdate").cast("long").alias("year"), self._role().alias("role"),
+            (1 + F.col("l_linenumber") % 4).cast("long").alias("module"), "target", "dbh", (F.col("l_quantity").cast("long") % 5).alias("status"),
         )
 
+    def stem_counts(self, keys: list[str], lo: float | None, hi: float | None, **kw) -> DataFrame:
+        """F13 counted on the numeric keys; ``keys`` are the event columns that the counts then get."""
+        own = ["l_suppkey", "year", *[k for k in keys if k == "role"]]
+        counts = regen.module_tree_counts(self.regen_stems(), own, lo, hi, [1, 2, 3, 4], **kw)
+        return self._placed(counts).select(*keys, "target", "module", "trees")
+
     def regen_tree(self) -> DataFrame:
         """one row per measured tree: diameter, status, module, target flag."""
         return self._regen_base().select(
