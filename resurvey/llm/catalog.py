@@ -36,18 +36,20 @@ WITH lines AS (
 ), spread AS (
     SELECT line FROM lines WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= {line_dedup.MIN_SITES}
 ), marked AS (
-    SELECT l.doc_id, l.pos, l.raw, s.line IS NOT NULL AS boiler, CASE WHEN s.line IS NOT NULL THEN length(l.line) ELSE 0 END AS size
-    FROM lines l LEFT JOIN spread s ON l.line = s.line
+    SELECT l.doc_id, l.pos, l.raw, l.line, s.line IS NOT NULL AS boiler FROM lines l LEFT JOIN spread s ON l.line = s.line
 ), per_doc AS (
-    SELECT m.doc_id, count(*) AS n_lines, sum(m.boiler::INT) AS n_boilerplate,
-           sum(m.size) > {line_dedup.MAX_SHARE} * any_value(length(d.text)) AS copy,
-           coalesce(string_agg(CASE WHEN NOT m.boiler THEN m.raw END, chr(10) ORDER BY m.pos), '') AS rest
-    FROM marked m JOIN documents d ON d.doc_id = m.doc_id GROUP BY m.doc_id
+    SELECT doc_id, count(*) AS n_lines, sum(boiler::INT) AS n_boilerplate,
+           coalesce(string_agg(CASE WHEN NOT boiler THEN raw END, chr(10) ORDER BY pos), '') AS rest,
+           bool_and(boiler) FILTER (line <> '') AS whole, string_agg(line, chr(10) ORDER BY pos) FILTER (line <> '') AS own
+    FROM marked GROUP BY doc_id
+), twins AS (
+    SELECT own FROM per_doc WHERE whole GROUP BY own HAVING count(*) > 1
+), judged AS (
+    SELECT p.*, p.n_boilerplate > 0 AND NOT coalesce(p.whole AND p.own IN (SELECT own FROM twins), FALSE) AS cut FROM per_doc p
 )
 SELECT d.doc_id, coalesce(p.n_lines, 0)::BIGINT AS n_lines, coalesce(p.n_boilerplate, 0)::BIGINT AS n_boilerplate,
-       (CASE WHEN p.copy OR p.copy IS NULL THEN 0 ELSE p.n_boilerplate END)::BIGINT AS n_removed,
-       md5(CASE WHEN p.n_boilerplate > 0 AND NOT p.copy THEN p.rest ELSE d.text END) AS text_md5
-FROM documents d LEFT JOIN per_doc p ON p.doc_id = d.doc_id
+       (CASE WHEN p.cut THEN p.n_boilerplate ELSE 0 END)::BIGINT AS n_removed, md5(CASE WHEN p.cut THEN p.rest ELSE d.text END) AS text_md5
+FROM documents d LEFT JOIN judged p ON p.doc_id = d.doc_id
 """
 
 

@@ -18,17 +18,13 @@ LOG_K = 12
 NEAR = 0.1
 # A line on this many sites is boilerplate.
 MIN_SITES = 5
-# A document that consists of boilerplate above this share of its characters may be a copy of other
-# documents, not a page with boilerplate around it; a copy stays for the document dedup.  The check
-# of operator 4 in SQL has this rule; ``copies_only`` replaces it.
-MAX_SHARE = 0.5
 
 
 def _lines(rows: DataFrame, *more: str) -> DataFrame:
-    """One row per line that is not blank: row, pos, size, h, g (two hashes of the line), site, ``more``."""
+    """One row per line that is not blank: row, pos, h, g (two hashes of the line), site, ``more``."""
     parts = rows.select("_row", "site", *more, F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     line = parts.withColumn("line", F.trim("line")).where("line <> ''")
-    return line.select("_row", "site", "pos", F.length("line").alias("size"), mixed("line").alias("h"), F.hash("line").alias("g"), *more)
+    return line.select("_row", "site", "pos", mixed("line").alias("h"), F.hash("line").alias("g"), *more)
 
 
 def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -56,16 +52,15 @@ def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 def remove_boilerplate(
     docs: DataFrame, site: str = "source", key: str = "doc_id", text: str = "text",
-    min_sites: int = MIN_SITES, max_share: float = MAX_SHARE, copies_only: bool = False,
+    min_sites: int = MIN_SITES,
 ) -> DataFrame:
     """All rows and columns of ``docs``, with boilerplate lines gone from ``text``, and three counts.
 
     Lines are split at ``\\n`` and compared without spaces at their ends; blank lines stay.  Added:
     ``n_lines`` (lines of the text, blank ones included; 0 for NULL), ``n_boilerplate`` (its lines
-    found to be boilerplate), ``n_removed`` (those taken out: all, or none in a copy).  A document
-    that is boilerplate above ``max_share`` of its characters counts as a copy; with ``copies_only``
-    a document is one if all its lines are boilerplate and a document with another key or text has
-    the same lines in the same order, blank ones aside.  A NULL or empty text and a row with NULL
+    found to be boilerplate), ``n_removed`` (those taken out: all, or none in a copy).  A document is
+    a copy, which the document dedup is left to deal with, if all its lines are boilerplate and a
+    document with another key or text has the same lines in the same order, blank ones aside.  A NULL or empty text and a row with NULL
     site keep their place; repeated rows are treated alike; a NULL key is a key like others.  An
     input column with one of the added names is replaced.
     """
@@ -75,28 +70,22 @@ def remove_boilerplate(
         F.struct(*[F.col(f"`{c}`") for c in taken.columns]).alias("doc"),
         F.col(site).alias("site"), F.col(text).alias("text"), mixed(F.col(key), F.col(text)).alias("_row"),
     )
-    if copies_only:
-        # two hashes of the lines that are not blank, in their order
-        own = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
-        rows = rows.withColumn("_s", mixed(own)).withColumn("_t", F.hash(own)).withColumn("_w", F.size(own))
-    same = ["_s", "_t", "_w"] if copies_only else []
+    # two hashes of the lines that are not blank, in their order
+    own = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    rows = rows.withColumn("_s", mixed(own)).withColumn("_t", F.hash(own)).withColumn("_w", F.size(own))
+    same = ["_s", "_t", "_w"]
     lines = _lines(rows, *same)
     flagged = spread_lines(lines, min_sites).select("h", "g")
     found = (
-        lines.select("_row", "pos", "size", "h", "g", *same)
+        lines.select("_row", "pos", "h", "g", *same)
         .join(flagged, ["h", "g"], "left_semi")
         .groupBy("_row")  # a document's own lines
-        .agg(F.collect_set("pos").alias("at"), F.sum("size").alias("_n"), F.count("*").alias("_c"), *[F.first(c).alias(c) for c in same])
+        .agg(F.collect_set("pos").alias("at"), *[F.first(c).alias(c) for c in same])
     )
-    # equal rows have given each of their lines as often as there are rows
-    copies = F.col("_c") / F.size("at")
-    found = found.select("_row", "at", (F.col("_n") / copies).alias("chars"), *same)
-    copy = F.col("chars") > F.lit(max_share) * F.length("text")
-    if copies_only:
-        found = written(found, "line-found")
-        alike = found.where("size(at) = _w").groupBy(*same).agg(F.min("_row").alias("_a"), F.max("_row").alias("_b")).where("_a <> _b")
-        found = found.join(alike.select(*same, F.lit(True).alias("shown")), same, "left").drop(*same)
-        copy = F.col("shown").isNotNull()
+    found = written(found, "line-found")
+    alike = found.where("size(at) = _w").groupBy(*same).agg(F.min("_row").alias("_a"), F.max("_row").alias("_b")).where("_a <> _b")
+    found = found.join(alike.select(*same, F.lit(True).alias("shown")), same, "left").drop(*same)
+    copy = F.col("shown").isNotNull()
     joined = rows.join(found, "_row", "left")
     split = F.split("text", "\n")
     n_flagged = F.coalesce(F.size("at"), F.lit(0)).cast("long")

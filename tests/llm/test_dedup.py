@@ -143,8 +143,10 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").collect() == []
 
 
-def brute_lines(rows, min_sites, max_share):
-    sites = defaultdict(set)
+def brute_lines(rows, min_sites):
+    sites, same = defaultdict(set), defaultdict(set)
+    for r in rows:
+        same[tuple(x.strip(" ") for x in (r[1] or "").split("\n") if x.strip(" "))].add(r[:2])
     for r in rows:
         for line in (r[1] or "").split("\n"):
             if line.strip(" ") and r[3] is not None:
@@ -156,9 +158,9 @@ def brute_lines(rows, min_sites, max_share):
             continue
         lines = r[1].split("\n")
         flags = [bool(line.strip(" ")) and len(sites[line.strip(" ")]) >= min_sites for line in lines]
-        size = sum(len(line.strip(" ")) for line, f in zip(lines, flags, strict=True) if f)
-        copy = size > max_share * len(r[1])
         n = sum(flags)
+        own = tuple(x.strip(" ") for x in lines if x.strip(" "))
+        copy = n == len(own) and len(same[own]) > 1
         text = r[1] if copy or not n else "\n".join(line for line, f in zip(lines, flags, strict=True) if not f)
         out[r[0], text, len(lines), n, 0 if copy else n] += 1
     return out
@@ -176,7 +178,7 @@ def test_boilerplate_lines(spark, corner_rows, min_sites):
     done = line_dedup.remove_boilerplate(docs, min_sites=min_sites)
     assert done.columns == ["doc_id", "text", "lang", "source", "h", "at", "doc", "n_lines", "n_boilerplate", "n_removed"]
     got = Counter((r.doc_id, r.text, r.n_lines, r.n_boilerplate, r.n_removed) for r in done.collect())
-    assert got == brute_lines(rows, min_sites, line_dedup.MAX_SHARE)
+    assert got == brute_lines(rows, min_sites)
     assert any(k[4] for k in got)
 
 
@@ -187,11 +189,10 @@ def test_boilerplate_above_half_goes_from_all_but_copies(spark):
     rows += [(i, f"{menu}\nowned by two\n{foot}", f"site{i % 3}") for i in (15, 16)]  # copies with a line of their own
     rows += [(20, f"{foot}\n{menu}", "site0"), (20, f"{foot}\n{menu}", "site0")]  # a repeated row is no other document
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
-    got = Counter(map(tuple, line_dedup.remove_boilerplate(docs, copies_only=True).select("doc_id", "text", "n_removed").collect()))
+    got = Counter(map(tuple, line_dedup.remove_boilerplate(docs).select("doc_id", "text", "n_removed").collect()))
     want = Counter((i, f"own line {i}\n", 2) for i in range(6))
     want += Counter((i, text, 0) for i, text, _ in rows if 10 <= i < 14)
     assert got == want + Counter({(15, "owned by two", 2): 1, (16, "owned by two", 2): 1, (20, "", 2): 2})
-    assert all(r.n_removed == 0 for r in line_dedup.remove_boilerplate(docs).collect())
 
 
 def test_pipeline_removes_boilerplate_above_half(spark):
