@@ -57,7 +57,8 @@ def psa_interval(
     """G1. Specific agreement with its 5 and 95 bootstrap percentiles.
 
     Pairs are never resampled: a replicate is one multinomial draw over the contingency cells
-    (at most (levels + 1)^2 of them), so the cost does not depend on the number of pairs.
+    (at most (levels + 1)^2 of them), found cell by cell from portable binomial numbers, so the cost
+    is the root of the number of pairs.
     No interval below five uses of the category.
     """
     by = list(by)
@@ -83,8 +84,7 @@ def psa_interval(
                 b = np.array([place[c["rating2"]] for c in row["cells"]])
                 pairs = np.array([c["pairs"] for c in row["cells"]], dtype=np.int64)
                 size = min(block, reps - row["block"] * block)
-                rng = draws.block_stream(seed, int(row["stratum"]), int(row["block"]))
-                got = rng.multinomial(pairs.sum(), pairs / pairs.sum(), size=size)
+                got = draws.multinomial(pairs, row["block"] * block + np.arange(size), int(row["stratum"]), seed)
                 num = np.zeros((size, len(names)))
                 den = np.zeros((size, len(names)))
                 for j in range(len(pairs)):

@@ -452,10 +452,47 @@ def box_stats(v: Views):
 # ---- resampling -------------------------------------------------------------------
 
 
-@query("psa_interval")
+def _agreement_sql(by: str, stratum: str, reps: int = 1000) -> str:
+    """G1 in SQL: binomial shares of the draws, cell after cell, as ``draws.multinomial`` takes them."""
+    names = ", ".join(f"'{x}'" for x in [*LEVELS, "XXX"])
+    keys = f"{by}, " if by else ""
+    using = f"USING ({by}, category)" if by else "USING (category)"
+    out = f"""
+, rp AS (SELECT {'coalesce(fit1, 0)::BIGINT AS fit, ' if by else ''}coalesce(value1, 'XXX') AS a, coalesce(value2, 'XXX') AS b FROM v_pair),
+ce AS (SELECT {keys}a, b, count(*) AS n FROM rp GROUP BY ALL),
+cn AS (SELECT *, row_number() OVER (PARTITION BY {by or '1'} ORDER BY a, b) - 1 AS c, sum(n) OVER (PARTITION BY {by or '1'}) AS total,
+              sum(n) OVER (PARTITION BY {by or '1'} ORDER BY a, b ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, {stratum} AS sid FROM ce),
+k0 AS (SELECT DISTINCT {keys}rep, total::BIGINT AS m FROM cn CROSS JOIN (SELECT unnest(range(0, {reps})) AS rep))"""
+    for c in range(16):
+        out += f""",
+d{c} AS (SELECT {keys}rep, m, n / rest::DOUBLE AS p, ({_state_sql('rep', f'{c}', 'sid', SEED)} + 0.5::DOUBLE) / {_M} AS u FROM k{c} JOIN (FROM cn WHERE c = {c}) x {f'USING ({by})' if by else 'ON TRUE'}),
+b{c} AS (SELECT *, greatest(0, floor(m * p - 10 * sqrt(m * p * (1 - p)) - 10))::BIGINT AS lo, least(m, ceil(m * p + 10 * sqrt(m * p * (1 - p)) + 10))::BIGINT AS hi FROM d{c} WHERE p < 1),
+f{c} AS (SELECT {keys}rep, m, u, lo, hi, sum(w) OVER (PARTITION BY {keys}rep ORDER BY j) AS f, sum(w) OVER (PARTITION BY {keys}rep) AS t
+       FROM (SELECT *, exp(lgamma(m + 1.0::DOUBLE) - lgamma(j + 1.0::DOUBLE) - lgamma(m - j + 1.0::DOUBLE) + j * ln(p) + (m - j) * ln(1 - p)) AS w
+             FROM (SELECT *, unnest(range(lo, hi + 1)) AS j FROM b{c}))),
+g{c} AS (SELECT {keys}rep, least(any_value(hi), any_value(lo) + count(*) FILTER (f <= u * t))::BIGINT AS k FROM f{c} GROUP BY ALL
+       UNION ALL SELECT {keys}rep, m FROM d{c} WHERE p >= 1),
+k{c + 1} AS (SELECT {keys}rep, m - k AS m FROM k{c} JOIN g{c} USING ({keys}rep))"""
+    drawn = " UNION ALL ".join(f"SELECT {keys}rep, {c} AS c, k FROM g{c}" for c in range(16))
+    return out + f""",
+dr AS ({drawn}),
+cl AS (SELECT unnest([{names}]) AS category),
+sh AS (SELECT {keys}rep, category, sum(k * ((a = category)::INT + (b = category)::INT)) AS den, sum(2 * k) FILTER (a = category AND b = category) AS num
+       FROM dr JOIN cn USING ({keys}c) CROSS JOIN cl GROUP BY ALL),
+lm AS (SELECT {keys}category, quantile_cont(psa, 0.05) AS lo, quantile_cont(psa, 0.95) AS hi
+       FROM (SELECT {keys}category, round_even(100 * coalesce(coalesce(num, 0)::DOUBLE / nullif(den, 0), 0), 0) AS psa FROM sh) GROUP BY ALL),
+pt AS (SELECT {keys}category, 2 * coalesce(sum(n) FILTER (a = category AND b = category), 0) AS num,
+              coalesce(sum(n) FILTER (a = category), 0) + coalesce(sum(n) FILTER (b = category), 0) AS denom
+       FROM ce CROSS JOIN cl GROUP BY ALL)
+SELECT {keys}category, num::BIGINT AS num, denom::BIGINT AS denom, round_even(100 * num / nullif(denom, 0), 0)::DOUBLE AS psa,
+       CASE WHEN denom >= 5 THEN round_even(lo, 6) END AS psa_lo, CASE WHEN denom >= 5 THEN round_even(hi, 6) END AS psa_hi
+FROM pt LEFT JOIN lm {using}"""
+
+
+@query("psa_interval", "pair", _agreement_sql("", "0"))
 def psa_interval(v: Views):
     """G1; its point part is the query ``specific_agreement``."""
-    return resample.psa_interval(v.pair(), "value1", "value2", LEVELS, 1000, SEED)
+    return rounded(resample.psa_interval(v.pair(), "value1", "value2", LEVELS, 1000, SEED), 6, "psa_lo", "psa_hi")
 
 
 _CB = f"""{_BOX},
@@ -753,10 +790,10 @@ def signed_rank_intervals(v: Views):
     return rounded(_rank_test(v), 2, "p_value", "shift", "shift_lo", "shift_hi").drop("log_p")
 
 
-@query("stratum_agreement_interval")
+@query("stratum_agreement_interval", "pair", _agreement_sql("fit", _stratum_sql("fit")))
 def stratum_agreement_interval(v: Views):
     """G1 for every confidence class of the first call."""
     rows = v.pair().withColumn("fit", F.coalesce(F.col("fit1"), F.lit(0)).cast("long"))
-    return resample.psa_interval(rows, "value1", "value2", LEVELS, 1000, SEED, by=["fit"])
+    return rounded(resample.psa_interval(rows, "value1", "value2", LEVELS, 1000, SEED, by=["fit"]), 6, "psa_lo", "psa_hi")
 
 

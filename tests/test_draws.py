@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -40,3 +42,23 @@ def test_portable_draws_do_not_follow_each_other():
         assert abs(np.corrcoef(a.ravel(), b.ravel())[0, 1]) < 0.05
     means = x.mean(axis=1)
     assert 0.85 < means.var() / (1 / 12 / 8) < 1.15
+
+
+def test_binomial_quantiles_are_exact():
+    u = (np.arange(2000) + 0.5) / 2000
+    for n, p in ((1, 0.3), (7, 0.5), (40, 0.02), (300, 0.97)):
+        pmf = [math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1)]
+        want = np.searchsorted(np.cumsum(pmf), u, side="right")
+        assert (draws.binomial_quantile(u, np.full(2000, n), p) == want).mean() > 0.999
+    big = draws.binomial_quantile(u[::20], np.full(100, 10**7), 0.25)
+    assert abs(big.mean() - 2.5e6) < 50 and abs(big.std() / np.sqrt(10**7 * 0.25 * 0.75) - 1) < 0.05
+    assert (draws.binomial_quantile(u, np.arange(2000), 1.0) == np.arange(2000)).all()
+
+
+def test_portable_multinomial():
+    counts = np.array([500, 0, 20, 300, 1])
+    got = draws.multinomial(counts, np.arange(4000), 77, 3)
+    assert (got.sum(axis=1) == counts.sum()).all() and (got >= 0).all() and not got[:, 1].any()
+    share = counts / counts.sum()
+    assert np.abs(got.mean(axis=0) - counts).max() < 1.5
+    assert np.allclose(np.cov(got.T)[0, [0, 3]], [counts.sum() * share[0] * (1 - share[0]), -counts.sum() * share[0] * share[3]], rtol=0.08)
