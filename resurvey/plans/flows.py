@@ -1,9 +1,10 @@
 """The analyses from source tables to results, as compositions of the operators.
 
 Every flow takes tables as read by ``read_survey`` with the types of ``sources.schemas`` and
-returns named DataFrames.  Nothing runs before a result is written or shown, with two exceptions:
-the size-checked resampling paths count their groups first, and ``regeneration`` writes its
-prepared tables to the shared folder because many results read them.
+returns named DataFrames.  Nothing runs before a result is written or shown, with three exceptions:
+the size-checked resampling paths count their groups first, numbers by ranges write the rows they
+number, and ``regeneration`` writes its prepared tables to the shared folder because many results
+read them.
 """
 
 from __future__ import annotations

@@ -1,7 +1,7 @@
 """Session settings used by the tests, the bench and interactive runs.
 
-On a cluster the session comes from ``spark-submit``; nothing in the library
-depends on this module.
+On a cluster the session comes from ``spark-submit``; of this module the library uses
+``exchange_dir`` only.
 """
 
 from __future__ import annotations
