@@ -43,8 +43,8 @@ KEPT_UNITS = 400_000
 # Units of one text that are turned into links at once.
 UNITS_AT_ONCE = 200_000
 
-# In front of a space unless white space stands on both sides of that cut.
-CUT = re.compile(r"(?<=\S)(?= )|(?= \S)")
+# In front of a run of spaces: the second vocabulary has pieces of several spaces.
+CUT = re.compile(r"(?<=\S)(?= )")
 # What no piece of the second vocabulary may hold: a character in front of its space, a line end, a
 # letter or digit in front of a mark.
 OVER_A_CUT = re.compile(rf"[^ ] |\n|[{LETTERS}0-9][{''.join(sorted(MARKS))}]")

@@ -1,6 +1,7 @@
 """Whitening, packing and alignment against plain versions, on corner cases and on vocabularies' whole texts."""
 
 import hashlib
+import random
 from collections import Counter
 from fractions import Fraction
 from zlib import crc32
@@ -267,6 +268,21 @@ def test_alignment_of_corner_cases(spark, corner, corner_rows, nothing, monkeypa
     assert found.collect() == [] and counted.collect() == []
 
 
+ALPHABET = [
+    "a", "b", "é", "中", "😀", " ", "  ", "\n", "\t", "\x00", "\u2028", "\xa0", "　", "'s", "'ll", ".", ",", "#", "$$", "%", "1", "23", "<s>", "</s>",
+    "<unk>", "<|endoftext|>", "<0x0A>", "\r", "\x85", "\x1c", "\u0308", "ǅ", "ß", "İ", "🇩🇪", "\xad", "\u200b", "words", " the",
+]
+
+
+def test_alignment_of_random_texts():
+    rng, plain, units = random.Random(5), Plain(), alignment.Units(A_PATH, B_PATH)
+    texts = ["".join(rng.choices(ALPHABET, k=rng.randint(1, 40))) for _ in range(1500)]
+    block = alignment.Block()
+    block.add(units, list(range(len(texts))), texts)
+    want = [((w[0], w[1], w[2], len(w[3])), w[4]) if w else ((0, 0, 0, 0), "") for w in map(plain, texts)]
+    assert list(zip(block.numbers, block.digests)) == want
+
+
 def test_alignment_of_the_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     rows, _ = plain_alignment([r.text for r in docs])
