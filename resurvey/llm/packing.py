@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from resurvey.llm.base import mixed, only, parts_for, written
+from resurvey.llm.base import lean, mixed, only, parts_for, written
 from resurvey.llm.tokens import CHUNK_BYTES, chunks, pieces_of
 
 SEQUENCE_TOKENS = 2048
@@ -121,7 +121,7 @@ def numbered_ids(docs: DataFrame, tokenizer_path: str, end_id: int, key: str, te
                 )
                 number += len(coded)
 
-    return only(docs, key, text).mapInArrow(run, f"row long, id {kind}, n long, ids binary")
+    return only(docs, key, text).mapInArrow(lean(run), f"row long, id {kind}, n long, ids binary")
 
 
 def packed_rows(sizes: DataFrame, size: int, group_documents: int, width: int = WIDTH) -> DataFrame:
@@ -190,4 +190,4 @@ def pack_documents(
 
     out = f"id {kind}, doc_tokens long, start long, length long, sequence_id long, offset long, ids_crc32 long" + ", ids binary" * with_ids
     cols = ["start", "length", *["ids"] * with_ids, "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    return joined.mapInArrow(run, out).select(F.col("id").alias(key), *cols)
+    return joined.mapInArrow(lean(run), out).select(F.col("id").alias(key), *cols)

@@ -25,13 +25,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from resurvey.llm.base import mixed, only, parts_for, written
+from resurvey.llm.base import lean, mixed, only, parts_for, written
 from resurvey.llm.tokens import CHUNK_BYTES, chunks, pieces_of
 
 # Frequencies add up to 2**SCALE; states lie in [LOW, LOW << 32).
 SCALE, LOW = 20, 1 << 31
-LANES, BLOCK_IDS, CHECKPOINT_STEPS = 2048, 1 << 19, 128
-FILE_IDS = 8 << 20
+LANES, BLOCK_IDS, CHECKPOINT_STEPS = 2048, 1 << 19, 64
+FILE_IDS = 4 << 20
 FILES_PER_GROUP = 1000
 # Ids counted at once.
 COUNT_IDS = 1 << 20
@@ -57,17 +57,20 @@ class Table:
             raise ValueError("more distinct ids than the table has places")
         if not len(symbols):
             return Table(symbols, np.zeros(0, np.uint64), np.zeros(0, np.uint64))
-        freqs = np.maximum(1, np.floor(counts / counts.sum() * total)).astype(np.int64)
-        spare = total - int(freqs.sum())
-        rank = np.argsort(-freqs, kind="stable")
-        if spare > 0:
-            freqs[rank[0]] += spare
-        for i in rank if spare < 0 else ():  # take what is too much from the largest
-            take = min(-spare, int(freqs[i]) - 1, max(1, int(freqs[i]) // 8))
-            freqs[i] -= take
-            spare += take
-            if spare == 0:
+        # those whose share is below one place get one, the others share the rest of the places
+        freqs = np.ones(len(symbols), np.int64)
+        large = np.arange(len(symbols))
+        while True:
+            share = counts[large] / counts[large].sum() * (total - (len(symbols) - len(large)))
+            if not (share < 1).any() or len(large) == 1:
                 break
+            large = large[share >= 1]
+        freqs[large] = np.maximum(1, np.floor(share)).astype(np.int64)
+        spare = total - int(freqs.sum())
+        rank = large[np.argsort(np.floor(share) - share, kind="stable")]
+        freqs[rank[:spare]] += 1  # fewer than there are ids of more than one place
+        if freqs.sum() != total or freqs.min() < 1:
+            raise ValueError("the frequencies do not fill the table")
         return Table(symbols, freqs.astype(np.uint64), np.concatenate(([0], np.cumsum(freqs)[:-1])).astype(np.uint64))
 
     def name(self) -> int:
@@ -135,6 +138,29 @@ class Coder:
         return out
 
 
+    def decode_all(self, n: int, lanes: int, checkpoints: list[tuple[int, np.ndarray]], words: np.ndarray) -> np.ndarray:
+        """All ids; the stretches between checkpoints are decoded side by side, each from its own."""
+        whole = len(checkpoints) - 1  # all stretches but the last are full
+        tail = self.decode(n, lanes, checkpoints, words, first=whole)
+        if not whole:
+            return tail
+        at = np.array([a for a, _ in checkpoints[:whole]], np.int64)
+        x = np.stack([state for _, state in checkpoints[:whole]])
+        out = np.empty((whole, CHECKPOINT_STEPS, lanes), np.uint32)
+        mask, scale, shift = np.uint64((1 << SCALE) - 1), np.uint64(SCALE), np.uint64(32)
+        for t in range(CHECKPOINT_STEPS):
+            slot = x & mask
+            s = self.places[slot.astype(np.int64)]
+            out[:, t] = s
+            x = self.freq[s] * (x >> scale) + slot - self.start[s]
+            row, lane = np.nonzero(x < LOW)
+            used = np.bincount(row, minlength=whole)
+            rank = np.arange(len(row)) - np.repeat(np.cumsum(used) - used, used)
+            x[row, lane] = (x[row, lane] << shift) | words[at[row] + rank]
+            at += used
+        return np.concatenate((out.ravel(), tail))
+
+
 def pack_block(coder: Coder, keys: list[int | None], sizes: list[int], ids: np.ndarray) -> bytes:
     """A block up to its last zero byte, which the sink adds."""
     lanes, marks, words = coder.encode(ids)
@@ -158,7 +184,7 @@ class Block:
     words: np.ndarray
 
     def ids(self, coder: Coder) -> np.ndarray:
-        return coder.decode(int(self.sizes.sum()), self.lanes, self.checkpoints, self.words)
+        return coder.decode_all(int(self.sizes.sum()), self.lanes, self.checkpoints, self.words)
 
 
 def read_blocks(data: bytes, table: int) -> Iterator[Block]:
@@ -213,7 +239,7 @@ def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int, key: str, text:
                 n = pa.array([len(c) // size for c in coded], pa.int64())
                 yield pa.record_batch([part.column(key).cast(pa.int64()), n, pa.array([bytes([size]) + press(c) for c in coded], pa.binary())], ["key", "n", "ids"])
 
-    return only(docs, key, text).mapInArrow(run, "key long, n long, ids binary")
+    return only(docs, key, text).mapInArrow(lean(run), "key long, n long, ids binary")
 
 
 def unpack(packed: bytes) -> np.ndarray:
@@ -270,7 +296,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, key:
         if keys:
             yield pa.record_batch([pa.array([pack_block(coder, keys, [len(p) for p in parts], np.concatenate(parts))], pa.binary())], ["block"])
 
-    blocks = ordered.select("key", "ids").mapInArrow(run, "block binary")
+    blocks = ordered.select("key", "ids").mapInArrow(lean(run), "block binary")
     # the text sink writes the bytes as they are
     blocks.select(F.col("block").cast("string").alias("value")).write.option("lineSep", "\0").text(f"{path}/blocks")
 
@@ -285,6 +311,8 @@ def _coder(spark: SparkSession, path: str):
 def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """One row per document of the files: ``key``, ``start``, ``n_tokens``, ``ids_crc32`` (, ``ids``).
 
+    Files are decoded in parallel, and the checkpoints of a block side by side.
+
     ``start`` counts the ids of all documents before it, over all files in their order.
     """
     coder_of = _coder(spark, path)

@@ -111,6 +111,41 @@ def test_table_keeps_rare_symbols():
     assert table.freqs.min() >= 1 and int(table.freqs.sum()) == 1 << rans.SCALE
 
 
+@pytest.mark.parametrize("n", [1, 1000, 70_000, 200_000])
+def test_table_of_a_large_vocabulary(n):
+    """One frequent id beside many rare ones, and counts near each other: shares add up and ids come back."""
+    rng = np.random.default_rng(n)
+    for counts in (np.r_[10**9, np.ones(n - 1, np.int64)], rng.integers(1, 50, n), np.sort(rng.pareto(0.5, n) * 3 + 1).astype(np.int64)):
+        table = rans.Table.of_counts(np.arange(n), counts)
+        assert int(table.freqs.sum()) == 1 << rans.SCALE and table.freqs.min() >= 1
+        coder = rans.Coder(table)
+        ids = rng.integers(0, n, 30_000).astype(np.uint32)
+        lanes, marks, words = coder.encode(ids)
+        assert (coder.decode_all(len(ids), lanes, marks, words.astype(np.uint64)) == ids).all()
+
+
+def test_checkpoints_are_used(monkeypatch):
+    """Each stretch is decoded from its own checkpoint: a damaged one spoils its stretch and no other."""
+    monkeypatch.setattr(rans, "CHECKPOINT_STEPS", 4)
+    rng = np.random.default_rng(3)
+    ids = rng.integers(0, 300, 128 * 4 * 5 + 77).astype(np.uint32)
+    monkeypatch.setattr(rans, "LANES", 128)
+    coder = rans.Coder(rans.Table.of_counts(*np.unique(ids, return_counts=True)))
+    lanes, marks, words = coder.encode(ids)
+    words = words.astype(np.uint64)
+    stretch = lanes * 4
+    assert len(marks) == -(-len(ids) // stretch) > 4
+    assert (coder.decode_all(len(ids), lanes, marks, words) == ids).all()
+    for k in range(len(marks)):
+        at, state = marks[k]
+        broken = [m if j != k else (at, state ^ np.uint64(0b1010101)) for j, m in enumerate(marks)]
+        try:
+            wrong = np.flatnonzero(coder.decode_all(len(ids), lanes, broken, words) != ids)
+        except (IndexError, ValueError):  # ran beyond the words
+            continue
+        assert len(wrong) and wrong.min() // stretch == wrong.max() // stretch == k
+
+
 def test_damaged_blocks_are_found():
     coder = rans.Coder(rans.Table.of_counts(np.arange(3), np.array([5, 2, 1])))
     block = rans.pack_block(coder, [7, None], [3, 1], np.array([0, 1, 0, 2])) + b"\0"
