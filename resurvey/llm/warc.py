@@ -23,7 +23,8 @@ from resurvey.llm.base import only, small_side, written
 # Equal payloads of at least this many bytes are stored once.
 REVISIT_BYTES = 1000
 DATE = "2024-01-01T00:00:00Z"
-RECORDS_PER_FILE = 30_000
+# Compressed bytes after which an archive is closed; a reading task holds one archive.
+FILE_BYTES = 64 << 20
 MEMBER_BYTES = (16 << 20) - 1
 # Compressed bytes handed to the library at once.
 INFLATE_BYTES = 1 << 13
@@ -102,24 +103,30 @@ def compressed(record: bytes) -> bytes:
     return b"".join(gzip.compress(p, 6, mtime=0) for p in parts)[:-1]
 
 
-def write_archives(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
+def write_archives(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
     """Write the records of rows (page_id, url, html) as archives below ``path``.
 
     Of rows with equal payloads of at least 1000 bytes the one with the largest page_id is a
-    response, the others are revisits of it.  NULL html is an empty payload, a NULL url becomes
+    response, the others are revisits of it.  An archive is closed once it holds ``file_bytes``; the
+    records of a page stay together.  NULL html is an empty payload, a NULL url becomes
     ``urn:none``; a row with NULL page_id is written without naming it; repeated rows are written
     one by one; an empty table gives no records; other columns are not read.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        archive = held = 0
         for batch in batches:
             for records in batch.column(0):
-                yield pa.record_batch([pa.array([compressed(r.as_py()) for r in records.values], pa.binary())], ["value"])
-
-    members = transactions(pages).mapInArrow(run, "value binary")
-    # the text sink writes the bytes as they are
-    sink = members.select(F.col("value").cast("string").alias("value")).write
-    sink.option("lineSep", "\0").option("maxRecordsPerFile", records_per_file).text(path)
+                members = [compressed(r.as_py()) for r in records.values]
+                yield pa.record_batch([pa.array([archive] * len(members), pa.int32()), pa.array(members, pa.binary())], ["archive", "value"])
+                held += sum(map(len, members))
+                if held >= file_bytes:
+                    archive, held = archive + 1, 0
+
+    members = transactions(pages).mapInArrow(run, "archive int, value binary")
+    # the text sink writes the bytes as they are; a task's archives are folders apart
+    sink = members.select("archive", F.col("value").cast("string").alias("value")).write
+    sink.option("lineSep", "\0").partitionBy("archive").text(path)
 
 
 def inflate(data: bytes) -> Iterator[bytes]:

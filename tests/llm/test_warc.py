@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import random
 from collections import Counter
 
 import pytest
@@ -35,10 +36,10 @@ def expected(rows):
     return out
 
 
-@pytest.mark.parametrize("per_file", [2, 30_000])
-def test_round_trip(spark, page_rows, per_file):
+@pytest.mark.parametrize("file_bytes", [1, 3000, 64 << 20])
+def test_round_trip(spark, page_rows, file_bytes):
     path = fresh_path(spark, "warc")
-    warc.write_archives(spark.createDataFrame(page_rows, KIND).repartition(3), path, per_file)
+    warc.write_archives(spark.createDataFrame(page_rows, KIND).repartition(3), path, file_bytes)
     got = warc.page_digests(warc.captures(warc.read_records(spark, path, with_payload=False))).collect()
     assert Counter(map(tuple, got)) == expected(page_rows)
 
@@ -79,3 +80,14 @@ def test_members_and_damage(monkeypatch):
     for bad in (data[:-4], record[:-6], b"HTTP" + record):
         with pytest.raises(ValueError):
             list(warc.parse(bad))
+
+
+def test_archives_are_closed_by_bytes(spark):
+    """Pages of very different sizes: no archive holds more than the bound and one page."""
+    rng = random.Random(1)
+    rows = [(i, "u", "".join(rng.choices("abcdefgh", k=200_000 if i % 9 == 0 else 300)), "d", "r", 1) for i in range(60)]
+    path = fresh_path(spark, "warc")
+    warc.write_archives(spark.createDataFrame(rows, KIND).coalesce(1), path, 150_000)
+    files = spark.read.format("binaryFile").load(path).select("path", "length").collect()
+    assert len(files) > 3 and max(f.length for f in files) < 150_000 + 110_000
+    assert warc.page_digests(warc.captures(warc.read_records(spark, path, with_payload=False))).count() == 60
