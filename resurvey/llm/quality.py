@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from resurvey.llm import wordhash
-from resurvey.llm.base import mixed, only, written
+from resurvey.llm.base import hash_sample, lean, only, written
 
 SYMBOLS = b"#*$%&|<>"
 WIDTH = 5
@@ -92,7 +92,7 @@ def stats_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
             yield pa.record_batch([batch.column(0), *[pa.array(rows[:, i]) for i in range(len(names))]], ["id", *names])
 
     rows = only(docs, key, text).select(F.col(key).alias("id"), F.encode(text, "UTF-8").alias("text"))
-    stats = rows.mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} long" for n in names))
+    stats = rows.mapInArrow(lean(run), f"id {kind}, " + ", ".join(f"{n} long" for n in names))
     return stats.withColumnRenamed("id", key)
 
 
@@ -175,7 +175,7 @@ def scored(stats: DataFrame, forest: list, key: str = "doc_id") -> DataFrame:
             score = anomaly(shared.value, as_features(x)) if shared.value else np.zeros(len(batch))
             yield pa.record_batch([batch.column(key), *[batch.column(n) for n in BASE], pa.array(score)], [key, *BASE, "anomaly"])
 
-    return stats.mapInArrow(run, f"{key} {kind}, " + ", ".join(f"{n} long" for n in BASE) + ", anomaly double")
+    return stats.mapInArrow(lean(run), f"{key} {kind}, " + ", ".join(f"{n} long" for n in BASE) + ", anomaly double")
 
 
 def base_failed() -> F.Column:
@@ -198,16 +198,15 @@ def quality_rules(
 
     Words are ``[^\\x20\\x09-\\x0D]+``; ``n_symbols`` counts ``#*$%&|<>``; a line equals an earlier
     one only to the character.  A NULL or empty text has zeros and fails the base rules.  The
-    verdict is that the anomaly is at most the threshold; without labelled good rows it keeps all.
+    verdict is that the anomaly lies below the threshold; without labelled good rows it keeps all.
     Labels of one key count once, 0 if they differ; NULL labels and keys are left out.  Repeated
     rows are treated alike; an empty table gives no rows; other columns are not read.
     """
     stats = written(stats_of(docs, key, text), "rule-stats")
     known = only(labels, key, label).where(F.col(key).isNotNull() & F.col(label).isNotNull())
     known = known.groupBy(key).agg(F.min(label).alias("_label"))
-    labelled = stats.join(known, key)
-    passed = labelled.where(~base_failed())
-    sample = passed.orderBy(mixed(key), key).limit(sample_rows).select(*BASE, *MORE, "_label").toPandas()
+    passed = written(stats.where(~base_failed()).join(known, key), "rule-labelled")
+    sample = hash_sample(passed, sample_rows, key, *BASE, *MORE).select(*BASE, *MORE, "_label").toPandas()
     good_rows = sample["_label"].to_numpy() == 1
     forest = []
     if good_rows.any():

@@ -53,6 +53,36 @@ def test_forest_isolates_what_no_good_row_shows():
     assert (quality.anomaly(forest, bad) > limit).mean() > 0.9
 
 
+def test_anomaly_is_the_mean_path_length():
+    """Against a walk down each tree, row by row, and on a table whose verdict is computed plainly."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (300, 4))
+    forest = quality.grow_forest(x[:200], x.min(0), x.max(0), trees=20, rows=64)
+    want = []
+    for row in x:
+        total = 0.0
+        for feature, value, left, length in forest:
+            at, depth = 0, 0
+            while feature[at] >= 0:
+                at, depth = int(left[at]) + int(row[feature[at]] >= value[at]), depth + 1
+            assert length[at] >= depth
+            total += length[at]
+        want.append(2.0 ** (-total / len(forest) / quality.mean_path(64)))
+    assert np.abs(quality.anomaly(forest, x, 64) - want).max() < 1e-12
+
+
+def test_threshold_keeps_the_good_rows():
+    good, bad = np.zeros(100, int), np.zeros(100, int)
+    good[30:60] = 10
+    bad[55:90] = 4
+    limit = quality.best_threshold(good, bad, 0.9)
+    kept = good[: round(limit * 100)].sum() / good.sum()
+    others = [b for b in range(1, 101) if good[:b].sum() >= 0.9 * good.sum()]
+    worth = {b: good[:b].sum() / good.sum() + bad[b:].sum() / bad.sum() for b in others}
+    assert kept >= 0.9 and worth[round(limit * 100)] == max(worth.values())
+    assert quality.best_threshold(good, np.zeros(100, int), 0.9) == 1.0
+
+
 def test_quality_verdict_on_labelled_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     rows = quality.quality_rules(docs, labels).where("NOT base_failed").join(labels, "doc_id").groupBy("quality", "kept").count().collect()
