@@ -212,11 +212,32 @@ def _gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
+class TokenBytes:
+    """The token-byte table: a row per token of the vocabulary, as arrays."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        size = max(ranks.values(), default=-1) + 1
+        self.lengths = np.full(size, -1, np.int64)
+        for token, rank in ranks.items():
+            self.lengths[rank] = len(token)
+        self.starts = np.cumsum(np.maximum(self.lengths, 0)) - np.maximum(self.lengths, 0)
+        self.data = np.frombuffer(b"".join(t for t, _ in sorted(ranks.items(), key=lambda x: x[1])), np.uint8)
+
+    def join(self, ids: np.ndarray) -> bytes:
+        """The bytes of the ids, in their order; an id that is not in the table is an error."""
+        if len(ids) and (ids.max() >= len(self.lengths) or (self.lengths[ids] < 0).any()):
+            raise ValueError("an id that is not in the vocabulary")
+        return self.data[_gather(self.starts[ids], self.lengths[ids])].tobytes()
+
+
 def encode_documents(
-    docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES
-) -> DataFrame:
+    docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES,
+    decode: bool = False,
+) -> DataFrame:
     """``key``, ``ids`` (little-endian unsigned 32-bit integers) of every row of ``docs``.
 
+    With ``decode`` also ``decoded``, what the ids give back by the token-byte table, in the same task.
+
     ``pattern`` must be the splitting pattern for which the cuts in ``tokens`` are safe.  A NULL or
     empty text has no ids.  Rows are kept as they are: repeated rows give repeated rows, NULL keys
     stay, an empty table gives no rows.  Other columns are not read.
@@ -226,6 +247,7 @@ def encode_documents(
     buckets = min(MAX_BUCKETS, max(MIN_BUCKETS, BUCKETS_PER_PARTITION * n))
     blocks = blocks_of(docs, key, text, block_bytes).repartition(max(1, n), "block")
     ids = encoded_words(bucketed_words(blocks, buckets), ranks_path, pattern, max(1, n))
+    table = docs.sparkSession.sparkContext.broadcast(TokenBytes(load_ranks(ranks_path))) if decode else None
     arrow_key = pa.from_numpy_dtype(np.int64) if kind in ("bigint", "int", "smallint", "tinyint") else pa.string()
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -253,16 +275,21 @@ def encode_documents(
         flat = np.concatenate(flat or [np.zeros(0, "<u4")]).astype("<u4", copy=False)
         places = sum(np.frombuffer(p, np.uint8).astype(np.uint32) << np.uint32(8 * k) for k, p in enumerate(planes))
         ends = np.cumsum(np.frombuffer(counts, np.int64))
-        out = []
+        out, decoded = [], []
         for a, b in zip((ends - np.frombuffer(counts, np.int64)).tolist(), ends.tolist(), strict=True):
             mine = places[a:b]
-            out.append(flat[_gather(starts[mine], lengths[mine])].tobytes())
+            ids = flat[_gather(starts[mine], lengths[mine])]
+            out.append(ids.tobytes())
+            if decode:
+                decoded.append(table.value.join(ids))
         del flat, places, words, order
         release_memory()
-        return pa.table([pa.array(keys, arrow_key), pa.array(out, pa.binary())], ["id", "ids"])
+        columns = [pa.array(keys, arrow_key), pa.array(out, pa.binary())]
+        return pa.table([*columns, pa.array(decoded, pa.binary())] if decode else columns, ["id", "ids", "decoded"] if decode else ["id", "ids"])
 
-    joined = blocks.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(assemble, f"id {'bigint' if arrow_key == pa.int64() else 'string'}, ids binary")
-    return joined.select(F.col("id").cast(kind).alias(key), "ids")
+    schema = f"id {'bigint' if arrow_key == pa.int64() else 'string'}, ids binary" + ", decoded binary" * decode
+    joined = blocks.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(assemble, schema)
+    return joined.select(F.col("id").cast(kind).alias(key), *joined.columns[1:])
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str, key: str = "doc_id") -> DataFrame:
@@ -271,26 +298,13 @@ def decode_documents(encoded: DataFrame, ranks_path: str, key: str = "doc_id") -
     The table has a row per token of the vocabulary and goes to all tasks.  An id that is not in
     it is an error; no ids give no bytes.
     """
-    ranks = load_ranks(ranks_path)
-    size = max(ranks.values(), default=-1) + 1
-    lengths = np.full(size, -1, np.int64)
-    for token, rank in ranks.items():
-        lengths[rank] = len(token)
-    starts = np.cumsum(np.maximum(lengths, 0)) - np.maximum(lengths, 0)
-    by_rank = sorted(ranks.items(), key=lambda x: x[1])
-    shared = encoded.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(t for t, _ in by_rank), np.uint8), starts, lengths))
+    shared = encoded.sparkSession.sparkContext.broadcast(TokenBytes(load_ranks(ranks_path)))
     kind = encoded.schema[key].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        table, starts, lengths = shared.value
         for batch in batches:
             for part in chunks(batch, "ids", CHUNK_BYTES):
-                out = []
-                for packed in part.column(1):
-                    ids = np.frombuffer(packed.as_buffer(), "<u4")
-                    if len(ids) and (ids.max() >= len(lengths) or (lengths[ids] < 0).any()):
-                        raise ValueError("an id that is not in the vocabulary")
-                    out.append(table[_gather(starts[ids], lengths[ids])].tobytes())
+                out = [shared.value.join(np.frombuffer(packed.as_buffer(), "<u4")) for packed in part.column(1)]
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(out, pa.binary())], ["id", "ids", "decoded"])
 
     decoded = encoded.select(key, "ids").mapInArrow(lean(run), f"id {kind}, ids binary, decoded binary")
@@ -299,8 +313,7 @@ def decode_documents(encoded: DataFrame, ranks_path: str, key: str = "doc_id") -
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` of every row."""
-    decoded = decode_documents(encode_documents(docs, ranks_path, pattern, key, text), ranks_path, key)
-    return decoded.select(
+    return encode_documents(docs, ranks_path, pattern, key, text, decode=True).select(
         key, F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )

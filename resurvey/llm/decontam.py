@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from resurvey.llm import wordhash
-from resurvey.llm.base import only, small_side, written
+from resurvey.llm.base import lean, only, small_side, written
 
 MASKS = ("11101011", "110100111")
 # An overlap is a window of this many words of which at least so many are equal.
@@ -69,7 +69,7 @@ def _words(df: DataFrame, name: str) -> DataFrame:
             words = [words_of(t).view(np.int64) for t in wordhash.each(batch.column(1))]
             yield pa.record_batch([batch.column(0), pa.array(words, pa.list_(pa.int64()))], [name, "words"])
 
-    return df.select(name, F.encode("text", "UTF-8").alias("text")).mapInArrow(run, f"{name} {kind}, words array<long>")
+    return df.select(name, F.encode("text", "UTF-8").alias("text")).mapInArrow(lean(run), f"{name} {kind}, words array<long>")
 
 
 def _slots(seeds_: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +142,7 @@ def _seed_rows(df: DataFrame, name: str, short: list[int], whole: bool, known: n
                 [name, "place", "seed"],
             )
 
-    return df.select(name, F.encode("text", "UTF-8").alias("text")).mapInArrow(run, f"{name} {kind}, place long, seed long")
+    return df.select(name, F.encode("text", "UTF-8").alias("text")).mapInArrow(lean(run), f"{name} {kind}, place long, seed long")
 
 
 def _stretches(rows: DataFrame, item_kind: str) -> DataFrame:
@@ -172,7 +172,7 @@ def _stretches(rows: DataFrame, item_kind: str) -> DataFrame:
                     yield pa.record_batch(columns, ["doc", "item", "diagonal", "doc_words"])
 
     ready = rows.select("doc", F.encode("text", "UTF-8").alias("text"), "hits")
-    return ready.mapInArrow(run, f"doc {kind}, item {item_kind}, diagonal long, doc_words array<long>")
+    return ready.mapInArrow(lean(run), f"doc {kind}, item {item_kind}, diagonal long, doc_words array<long>")
 
 
 def overlaps(

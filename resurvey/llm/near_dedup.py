@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from resurvey.llm import wordhash
-from resurvey.llm.base import only, small_side, written
+from resurvey.llm.base import lean, only, small_side, written
 from resurvey.llm.components import connected_components
 
 WIDTH = 5
@@ -110,7 +110,7 @@ def features(docs: DataFrame, key: str, text: str) -> DataFrame:
             yield pa.record_batch(columns, ["doc", "n", "node", "bands", "sketch"])
 
     rows = only(docs, key, text).select(F.col(key).alias("doc"), F.encode(text, "UTF-8").alias("text"))
-    found = rows.mapInArrow(run, f"doc {kind}, n long, node long, bands array<long>, sketch array<long>")
+    found = rows.mapInArrow(lean(run), f"doc {kind}, n long, node long, bands array<long>, sketch array<long>")
     return found.withColumn("node", F.when(F.col("doc").isNotNull(), F.col("node")))
 
 
@@ -130,7 +130,7 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
                     sets.append(s.view(np.int64))
             yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
-    return texts.mapInArrow(run, "node long, shingles array<long>")
+    return texts.mapInArrow(lean(run), "node long, shingles array<long>")
 
 
 def sketch_similarity(a: Column, b: Column) -> Column:
