@@ -14,6 +14,8 @@ from resurvey.llm import bpe, decontam, line_dedup, near_dedup, toxicity
 from resurvey.llm.base import DOCUMENT_COLUMNS, fresh_path, only, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+# Smaller blocks than the operator's own: executors have held four other stages before this one.
+BLOCK_BYTES = 3 << 20
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +42,7 @@ def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each document and what they decode to: doc_id, n_tokens, ids, text."""
     ranks = public_tokenizers.path(RANKS)
-    encoded = bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN)
-    return bpe.decode_documents(encoded, ranks).select(
+    return bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN, block_bytes=BLOCK_BYTES, decode=True).select(
         "doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.decode("decoded", "UTF-8").alias("text")
     )
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from resurvey.llm.base import Grown, hash_sample, lean, only, ragged, written
-from resurvey.llm.tokens import CHUNK_BYTES, chunks
+from resurvey.llm.tokens import chunks
 
 # Rows of the fitting sample; terms of the model; length of a term's vector.
 SAMPLE_ROWS, TERMS, RANK = 20_000, 1024, 8
@@ -43,7 +43,9 @@ SLOTS, REST_RANK, REST_EPOCHS = 1 << 20, 4, 30
 REST_RATE, REST_PULL, REST_PACE, REST_DECAY, REST_START, REST_BOUND = 0.1, 0.3, 0.3, 0.6, 0.03, 5.0
 # The pairs of a text with more terms count by this number over its terms, so that long texts do not drown in them.
 REST_TERMS = 32
-KEPT_WORDS = 200_000
+KEPT_WORDS = 150_000
+# Text bytes handled at once.
+CHUNK_BYTES = 500_000
 HELD_OUT = 5
 
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
@@ -293,10 +295,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, lab
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for batch in batches:
-            words = [distinct_words(t.as_py()) for t in batch.column("text")]
+        for part in (p for batch in batches for p in chunks(batch, "text", CHUNK_BYTES)):
+            words = [distinct_words(t.as_py()) for t in part.column("text")]
             terms = [np.fromiter({x for w in ws for x in terms_of_word(w)}, np.int64) for ws in words]
-            columns = [batch.column("id"), batch.column("y"), batch.column("h"), pa.array([len(w) for w in words], pa.int32()), pa.array(terms, pa.list_(pa.int64()))]
+            columns = [part.column("id"), part.column("y"), part.column("h"), pa.array([len(w) for w in words], pa.int32()), pa.array(terms, pa.list_(pa.int64()))]
             yield pa.record_batch(columns, ["id", "y", "h", "n_words", "terms"])
 
     found = rows.mapInArrow(lean(run), f"id {kind}, y int, h long, n_words int, terms array<long>")
