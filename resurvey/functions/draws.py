@@ -49,6 +49,86 @@ def portable_indices(rep: np.ndarray, i: np.ndarray, stratum: int, seed: int, n:
     return portable_state(rep, i, stratum, seed) * n // MODULUS
 
 
+# Numbers that a step of ``Draws`` holds at once, so that they stay in the cache of a core.
+TILE = 16_384
+_M, _31 = np.uint64(MODULUS), np.uint64(31)
+_ADD1, _MUL, _ADD2, _ONE = np.uint64(12345), np.uint64(48271), np.uint64(67891), np.uint64(1)
+
+
+def _fold(x: np.ndarray, spare: np.ndarray) -> None:
+    """A number of the same remainder in place: the modulus is 2^31 - 1, so the bits above the lowest 31 are added to them."""
+    np.right_shift(x, _31, out=spare)
+    np.bitwise_and(x, _M, out=x)
+    np.add(x, spare, out=x)
+
+
+class Draws:
+    """The draws first .. first + count - 1 of a stratum, for many replicates: ``portable_indices`` without divisions.
+
+    With b for the draw's share of the first state and a for the replicate's, the second state is
+    48271 * ((a + b)^2 + 12345) = b * (2 * 48271 * a) + 48271 * (b^2 + 12345) + 48271 * a^2, whose parts
+    are found once per draw and once per replicate.
+    """
+
+    def __init__(self, first: int, count: int, stratum: int, seed: int):
+        start = (first * 104729 + int(stratum) * 15485863 + int(seed)) % MODULUS
+        b = np.arange(count, dtype=np.uint64)
+        b *= np.uint64(104729)
+        b += np.uint64(start)
+        spare = np.empty_like(b)
+        for _ in range(2):
+            _fold(b, spare)
+        b -= _M * (b >= _M)
+        c = b * b
+        _fold(c, spare)
+        c += _ADD1
+        c *= _MUL
+        for _ in range(2):
+            _fold(c, spare)
+        self.count, self.b, self.c = count, b, c
+
+    def indices(self, reps: np.ndarray, n: int, room: np.ndarray | None = None) -> np.ndarray:
+        """Indices in [0, n), n below the modulus, of every replicate (rows) and draw; ``room`` may take them."""
+        a = reps.astype(np.uint64) * np.uint64(7919) % _M
+        k, s = a * np.uint64(2 * 48271) % _M, a * a % _M * _MUL % _M
+        size = len(reps) * self.count
+        out = (np.empty(size, np.uint64) if room is None else room[:size].view(np.uint64)).reshape(len(reps), self.count)
+        rows = max(1, TILE // max(1, self.count))
+        spare = np.empty(TILE, np.uint64)
+        for r in range(0, len(reps), rows):
+            height = min(rows, len(reps) - r)
+            for start in range(0, self.count, TILE):
+                x = out[r : r + height, start : start + TILE]
+                part = slice(start, start + TILE)
+                if height == 1:
+                    x = x[0]
+                    self._fill(x, spare[: x.size], k[r], s[r], n, part)
+                else:
+                    self._fill(x, spare[: x.size].reshape(x.shape), k[r : r + height, None], s[r : r + height, None], n, part)
+        return out.view(np.int64)
+
+    def _fill(self, x: np.ndarray, t: np.ndarray, k, s, n: int, part: slice) -> None:
+        np.multiply(self.b[part], k, out=x)
+        np.add(x, self.c[part], out=x)
+        np.add(x, s, out=x)
+        _fold(x, t)  # below 2^32, so its square fits
+        np.multiply(x, x, out=x)
+        np.add(x, _ADD2, out=x)
+        _fold(x, t)
+        _fold(x, t)
+        # below twice the modulus: the remainder itself
+        np.add(x, _ONE, out=t)
+        np.right_shift(t, _31, out=t)
+        np.add(x, t, out=x)
+        np.bitwise_and(x, _M, out=x)
+        # x * n // modulus
+        np.multiply(x, np.uint64(n), out=x)
+        np.right_shift(x, _31, out=t)
+        np.add(x, t, out=x)
+        np.add(x, _ONE, out=x)
+        np.right_shift(x, _31, out=x)
+
+
 def _log_factorial(x: np.ndarray) -> np.ndarray:
     """log x! of whole numbers."""
     small = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, 20)))))

@@ -117,8 +117,8 @@ def psa_interval(
 
 INTERVAL_PROBS = {"lo95": 0.025, "lo68": 0.16, "hi68": 0.84, "hi95": 0.975}
 INTERVAL_COLUMNS = [f"{s}_{q}" for s in ("mean", "median") for q in INTERVAL_PROBS]
-# Draws that one row of work replays, and draws of one replicate that are hashed at once.
-WORK_DRAWS, DRAWS_AT_ONCE = 1 << 28, 1 << 21
+# Draws that one row of work replays, draws of one replicate that are hashed at once, and hits counted at once.
+WORK_DRAWS, DRAWS_AT_ONCE, HITS_AT_ONCE = 1 << 28, 1 << 21, 1 << 17
 
 
 def _middle_ranks(n: int) -> tuple[int, int]:
@@ -126,16 +126,26 @@ def _middle_ranks(n: int) -> tuple[int, int]:
     return (n + 1) // 2, n // 2 + 1
 
 
-def _block_hits(reps: np.ndarray, n: int, stratum: int, seed: int, low: int, size: int) -> np.ndarray:
-    """How often each of the places low .. low + size - 1 of n is drawn, per replicate."""
-    hits = np.zeros((len(reps), size), np.int64)
-    step = max(1, DRAWS_AT_ONCE // len(reps))
-    row = np.arange(len(reps))[:, None] * size
-    for start in range(0, n, step):
-        at = draws.portable_indices(reps, np.arange(start, min(n, start + step)), stratum, seed, n) - low
-        here = (at >= 0) & (at < size)
-        hits += np.bincount((at + row)[here], minlength=hits.size).reshape(hits.shape)
-    return hits
+def _block_hits(reps: np.ndarray, n: int, stratum: int, seed: int, low: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """How often each of the places low .. low + size - 1 of n is drawn, for some replicates after the other.
+
+    Replicates come in groups so small that their hits stay in the cache, or are one where places are many.
+    """
+    ranges = range(0, n, DRAWS_AT_ONCE)
+    drawn = draws.Draws(0, n, stratum, seed) if len(ranges) == 1 else None
+    step = max(1, HITS_AT_ONCE // n if drawn else CHUNK_VALUES // size)
+    room = np.empty(step * min(n, DRAWS_AT_ONCE), np.uint64)
+    for at in range(0, len(reps), step):
+        rep = reps[at : at + step]
+        hits = np.zeros((len(rep), size), np.int64)
+        for start in ranges:
+            mine = drawn or draws.Draws(start, min(DRAWS_AT_ONCE, n - start), stratum, seed)
+            places = mine.indices(rep, n, room)
+            if low or size < n:
+                places -= low
+            for row, place in zip(hits, places, strict=True):
+                row += np.bincount(place if size == n else place[place.view(np.uint64) < size], minlength=size)
+        yield rep, hits
 
 
 def _hit_sums(hits: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -143,9 +153,16 @@ def _hit_sums(hits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (hits * values).sum(axis=1)
 
 
-def _at_rank(hits: np.ndarray, values: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Per replicate, the drawn value with that rank (from 1) inside the block."""
-    return values[np.argmax(np.cumsum(hits, axis=1) >= rank[:, None], axis=1)]
+def _at_ranks(hits: np.ndarray, values: np.ndarray, ranks: Sequence[np.ndarray]) -> list[np.ndarray]:
+    """Per replicate, the drawn values with those ranks (from 1) among the values; NaN for rank 0."""
+    out = [np.full(len(hits), np.nan) for _ in ranks]
+    for j, row in enumerate(hits):
+        if any(rank[j] for rank in ranks):
+            upto = np.cumsum(row)
+            for found, rank in zip(out, ranks, strict=True):
+                if rank[j]:
+                    found[j] = values[np.searchsorted(upto, rank[j])]
+    return out
 
 
 def _limits(stats: Sequence[np.ndarray], probs: Sequence[float]) -> list[float]:
@@ -160,15 +177,17 @@ def _rep_rows(df: DataFrame, reps: int, draws_each: Column) -> DataFrame:
 
 
 def mean_median_interval(
-    df: DataFrame, keys: Sequence[str], y: str, reps: int, seed: int, direct_rows: int = 10_000, block_rows: int = 65_536
-) -> DataFrame:
+    df: DataFrame, keys: Sequence[str], y: str, reps: int, seed: int, direct_rows: int = 10_000, block_rows: int = 65_536,
+    task_rows: int = CHUNK_VALUES,
+) -> DataFrame:
     """G2. Bootstrap percentiles 2.5, 16, 84, 97.5 of mean and median per group; NULL when n <= 1.
 
     Groups up to ``direct_rows`` values are resampled in one task each.  In larger groups equal
-    values are merged and the ordered values cut into blocks of ``block_rows``.  A first replay of
-    the draws, in ranges, counts the hits of every block, which tells the blocks that hold the middle
-    ranks of a replicate; in a second one each block adds up its own hits and picks those ranks.
-    Both paths give the same limits to the last bit.
+    values are merged and the ordered values cut into blocks of ``block_rows``, the unit of sums.  A
+    task gathers the blocks of a span of about ``task_rows`` values and replays a run of replicates over
+    them, so a group of one span draws every number once, whatever its blocks.  Of larger groups a
+    first replay, in ranges of draws, counts the hits of every span, which tells the spans that hold
+    the middle ranks of a replicate.  All paths give the same limits to the last bit.
     """
     keys = list(keys)
     data = df.select(*keys, F.col(y).cast("double").alias("_y")).where(F.col("_y").isNotNull())
@@ -182,15 +201,14 @@ def mean_median_interval(
 
     def one_group(v: np.ndarray, number: int) -> list[float]:
         n = len(v)
-        low, high = (np.full(1, r) for r in _middle_ranks(n))
         means, medians = [], []
-        for rep in _rep_chunks(reps, n):
-            hits = _block_hits(rep, n, number, seed, 0, n)
+        for rep, hits in _block_hits(np.arange(reps), n, number, seed, 0, n):
             total = np.zeros(len(rep))
             for start in range(0, n, block_rows):
-                total += _hit_sums(np.ascontiguousarray(hits[:, start : start + block_rows]), v[start : start + block_rows])
+                total += _hit_sums(hits[:, start : start + block_rows], v[start : start + block_rows])
+            low, high = _at_ranks(hits, v, [np.full(len(rep), r) for r in _middle_ranks(n)])
             means.append(total / n)
-            medians.append((_at_rank(hits, v, low) + _at_rank(hits, v, high)) / 2)
+            medians.append((low + high) / 2)
         return _limits([np.concatenate(means), np.concatenate(medians)], probs)
 
     def direct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -218,64 +236,93 @@ def mean_median_interval(
         F.least("_upto", (F.col("_block") + 1) * size) - F.greatest(F.col("_upto") - F.col("_f"), F.col("_block") * size),
     )
     blocks = pieces.groupBy(*keys, "_n", "_block").agg(F.array_sort(F.collect_list(F.struct("_y", "_piece"))).alias("table"))
+    per_span = max(1, task_rows // block_rows)
+    span_rows = per_span * block_rows
+    blocks = blocks.select(
+        *keys, "_n", F.expr(f"_block div {per_span}").alias("_span"), "_block", F.col("table._y").alias("y"), F.col("table._piece").alias("f")
+    )
 
-    # first replay: hits per block, in ranges of draws
-    sizes = large.groupBy(*keys, "_n").agg(F.count(F.lit(1)).alias("_c")).drop("_c").withColumn("_stratum", stratum)
+    # first replay, where a group has several spans: hits per span, in ranges of draws
+    sizes = large.where(F.col("_n") > span_rows).groupBy(*keys, "_n").agg(F.count(F.lit(1)).alias("_c")).drop("_c").withColumn("_stratum", stratum)
     per_row = F.least(F.col("_n"), F.lit(WORK_DRAWS))
     work = _rep_rows(sizes, reps, per_row).withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(WORK_DRAWS).cast("long"))))
-    hit_fields = [T.StructField(c, T.LongType()) for c in ("_n", "rep", "_block", "hits")]
+    hit_fields = [T.StructField(c, T.LongType()) for c in ("_n", "rep", "_span", "hits")]
 
     def count_hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for _, row in pdf.iterrows():
                 n, number, rep0, n_reps, first = (int(row[c]) for c in ("_n", "_stratum", "rep0", "n_reps", "_from"))
-                rep, n_blocks = np.arange(rep0, rep0 + n_reps), -(-n // block_rows)
-                found = np.zeros((n_reps, n_blocks), np.int64)
-                step = max(1, DRAWS_AT_ONCE // n_reps)
-                for start in range(first, min(n, first + WORK_DRAWS), step):
-                    i = np.arange(start, min(n, start + step, first + WORK_DRAWS))
-                    at = draws.portable_indices(rep, i, number, seed, n) // block_rows
-                    found += np.bincount((at + np.arange(n_reps)[:, None] * n_blocks).ravel(), minlength=found.size).reshape(found.shape)
-                res = pd.DataFrame({"_n": n, "rep": np.repeat(rep, n_blocks), "_block": np.tile(np.arange(n_blocks), n_reps), "hits": found.ravel()})
+                rep, n_spans = np.arange(rep0, rep0 + n_reps), -(-n // span_rows)
+                found = np.zeros((n_reps, n_spans), np.int64)
+                last = min(n, first + WORK_DRAWS)
+                for start in range(first, last, DRAWS_AT_ONCE):
+                    drawn = draws.Draws(start, min(DRAWS_AT_ONCE, last - start), number, seed)
+                    for one, counts in zip(rep, found, strict=True):
+                        counts += np.bincount(drawn.indices(one[None], n)[0] // span_rows, minlength=n_spans)
+                res = pd.DataFrame({"_n": n, "rep": np.repeat(rep, n_spans), "_span": np.tile(np.arange(n_spans), n_reps), "hits": found.ravel()})
                 for k in keys:
                     res[k] = [row[k]] * len(res)
-                yield res[[*keys, "_n", "rep", "_block", "hits"]]
+                yield res[[*keys, "_n", "rep", "_span", "hits"]]
 
     counted = _spread(work, [*keys, "rep0", "_from"]).mapInPandas(count_hits, T.StructType([*kf, *hit_fields]))
-    counted = counted.groupBy(*keys, "_n", "rep", "_block").agg(F.sum("hits").alias("hits"))
-    order = Window.partitionBy(*keys, "rep").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    counted = counted.groupBy(*keys, "_n", "rep", "_span").agg(F.sum("hits").alias("hits"))
+    order = Window.partitionBy(*keys, "rep").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
     counted = counted.withColumn("_before", F.coalesce(F.sum("hits").over(order), F.lit(0)))
     inside = []
     for name, rank in (("low", F.expr("(_n + 1) div 2")), ("high", F.expr("_n div 2 + 1"))):
         local = rank - F.col("_before")
         inside.append(F.when((local >= 1) & (local <= F.col("hits")), local).otherwise(0).alias(name))
-    wanted = counted.select(*keys, "_block", "rep", *inside).where("low > 0 OR high > 0")
-    wanted = wanted.groupBy(*keys, "_block").agg(F.collect_list(F.struct("rep", "low", "high")).alias("ranks"))
+    wanted = counted.select(*keys, "_span", "rep", *inside).where("low > 0 OR high > 0")
+    # the first block of a span carries the ranks
+    wanted = wanted.groupBy(*keys, (F.col("_span") * per_span).alias("_block")).agg(
+        F.array_sort(F.collect_list(F.struct("rep", "low", "high"))).alias("ranks")
+    )
 
-    # second replay: every block keeps its own draws
+    # second replay: every span keeps its own draws; its blocks meet in a task one after the other
     tasks = _rep_rows(join_groups(blocks, wanted, [*keys, "_block"], "left").withColumn("_stratum", stratum), reps, F.col("_n"))
-    part_fields = [T.StructField(c, T.LongType()) for c in ("_n", "rep", "_block")] + [T.StructField(c, T.DoubleType()) for c in ("part", "low", "high")]
-
-    def one_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for _, row in pdf.iterrows():
-                n, number, block, rep0, n_reps = (int(row[c]) for c in ("_n", "_stratum", "_block", "rep0", "n_reps"))
-                v = np.repeat([x["_y"] for x in row["table"]], [x["_piece"] for x in row["table"]])
-                ranks = np.zeros((2, reps), np.int64)
-                for x in row["ranks"] if row["ranks"] is not None else ():
-                    ranks[:, x["rep"]] = x["low"], x["high"]
-                for rep in np.array_split(np.arange(rep0, rep0 + n_reps), -(-n_reps * len(v) // CHUNK_VALUES)):
-                    hits = _block_hits(rep, n, number, seed, block * block_rows, len(v))
-                    picked = [np.where(r[rep] > 0, _at_rank(hits, v, r[rep]), np.nan) for r in ranks]
-                    res = pd.DataFrame({"_n": n, "rep": rep, "_block": block, "part": _hit_sums(hits, v), "low": picked[0], "high": picked[1]})
-                    for k in keys:
-                        res[k] = [row[k]] * len(res)
-                    yield res[[*keys, "_n", "rep", "_block", "part", "low", "high"]]
+    task = [*keys, "_span", "rep0"]
+    tasks = _spread(tasks, task).sortWithinPartitions(*task, "_block")
+    part_fields = [T.StructField(c, T.LongType()) for c in ("_n", "rep", "_span")]
+    part_fields += [T.StructField("parts", T.ArrayType(T.DoubleType())), *[T.StructField(c, T.DoubleType()) for c in ("low", "high")]]
+
+    def one_span(row: dict, values: list[np.ndarray], listed: list | None) -> Iterator[pa.RecordBatch]:
+        n, span = row["_n"], row["_span"]
+        v = np.concatenate(values)
+        all_reps = np.arange(row["rep0"], row["rep0"] + row["n_reps"])
+        ranks = np.zeros((2, reps), np.int64)
+        if n <= span_rows:
+            ranks[:] = np.array(_middle_ranks(n))[:, None]
+        for x in listed or ():
+            ranks[:, x["rep"]] = x["low"], x["high"]
+        ends = np.cumsum([len(x) for x in values])
+        for rep, hits in _block_hits(all_reps, n, row["_stratum"], seed, span * span_rows, len(v)):
+            sums = np.stack([_hit_sums(hits[:, b - len(x) : b], x) for x, b in zip(values, ends, strict=True)], axis=1)
+            picked = _at_ranks(hits, v, [r[rep] for r in ranks])
+            parts = pa.ListArray.from_arrays(np.arange(0, sums.size + 1, sums.shape[1]).astype(np.int32), sums.ravel())
+            own = [pa.array([row[c]] * len(rep), t) for c, t in [*[(k, row["types"][k]) for k in keys], ("_n", pa.int64())]]
+            columns = [*own, pa.array(rep), pa.array([span] * len(rep), pa.int64()), parts, *[pa.array(x) for x in picked]]
+            yield pa.RecordBatch.from_arrays(columns, [*keys, "_n", "rep", "_span", "parts", "low", "high"])
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [*task, "_n", "n_reps", "_stratum"]
+        own, values, listed = None, [], None
+        for batch in batches:
+            y, f = (batch.column(c) for c in ("y", "f"))
+            for i, row in enumerate(batch.select(names).to_pylist()):
+                same = own is not None and all(row[c] == own[c] or row[c] != row[c] and own[c] != own[c] for c in task)
+                if not same:
+                    if own is not None:
+                        yield from one_span(own, values, listed)
+                    own, values, listed = row | {"types": {k: batch.schema.field(k).type for k in keys}}, [], batch.column("ranks")[i].as_py()
+                values.append(np.repeat(y[i].values.to_numpy(), f[i].values.to_numpy()))
+        if own is not None:
+            yield from one_span(own, values, listed)
 
     nan_null = lambda c: F.when(~F.isnan(c), F.col(c))
-    parts = _spread(tasks, [*keys, "_block", "rep0"]).mapInPandas(one_block, T.StructType([*kf, *part_fields]))
+    parts = tasks.select(*task, "_n", "n_reps", "_stratum", "y", "f", "ranks").mapInArrow(replay, T.StructType([*kf, *part_fields]))
+    total = F.aggregate(F.flatten(F.array_sort(F.collect_list(F.struct("_span", "parts")))["parts"]), F.lit(0.0), lambda a, x: a + x)
     replicates = parts.groupBy(*keys, "_n", "rep").agg(
-        (_in_order("_block", "part") / F.col("_n")).alias("mean"), ((F.max(nan_null("low")) + F.max(nan_null("high"))) / 2).alias("median")
+        (total / F.col("_n")).alias("mean"), ((F.max(nan_null("low")) + F.max(nan_null("high"))) / 2).alias("median")
     )
     return near.unionByName(_from_replicates(replicates, keys, ["mean", "median"], probs, out))
 

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from resurvey.functions import draws
@@ -62,3 +63,13 @@ def test_portable_multinomial():
     share = counts / counts.sum()
     assert np.abs(got.mean(axis=0) - counts).max() < 1.5
     assert np.allclose(np.cov(got.T)[0, [0, 3]], [counts.sum() * share[0] * (1 - share[0]), -counts.sum() * share[0] * share[3]], rtol=0.08)
+
+
+@pytest.mark.parametrize("n", [1, 7, 857, draws.TILE + 1, 300_001, draws.MODULUS - 1])
+@pytest.mark.parametrize("stratum, seed", [(0, 0), (draws.MODULUS - 1, 20), (123456789, -5)])
+def test_draws_without_divisions_are_the_portable_ones(n, stratum, seed):
+    reps = np.array([0, 1, 2, 999, 10**6])
+    count = min(n, 40_000)
+    for first in {0, n - count}:
+        want = draws.portable_indices(reps, np.arange(first, first + count), stratum, seed, n)
+        assert np.array_equal(draws.Draws(first, count, stratum, seed).indices(reps, n), want)

@@ -43,6 +43,14 @@ def test_both_paths_give_the_same_limits(measures, block_rows, monkeypatch):
     assert intervals(measures, direct_rows=100, block_rows=block_rows) == near
 
 
+@pytest.mark.parametrize("task_rows", [37, 200, 10_000])
+def test_spans_of_blocks_give_the_same_limits(measures, task_rows, monkeypatch):
+    """One span of all blocks, whose draws are made once, and several spans, whose hits are counted first."""
+    near = intervals(measures, block_rows=37)
+    monkeypatch.setattr(resample, "WORK_DRAWS", 50_000)
+    assert intervals(measures, direct_rows=100, block_rows=37, task_rows=task_rows) == near
+
+
 def test_both_sides_of_the_limit(spark):
     """Groups of one value fewer and one more than a task takes, against plain resampling."""
     rng = np.random.default_rng(4)
