@@ -165,3 +165,23 @@ def test_many_tied_items_are_numbered(spark):
     assert [r.item for r in got.where("g IS NULL").orderBy("position").collect()] == ["i19999", "i19998", "i19997"]
     with pytest.raises(Exception, match="long form"):
         compose.top_list(totals.unionByName(totals.where("g = 'big'").withColumn("item", F.concat("item", F.lit("x")))), ["g"], "item", "cover", 3).collect()
+
+
+def test_regen_table_computes_its_metrics_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    metrics = spark.createDataFrame([("a", 1, "a1", 0.5), ("a", 2, "a2", 0.7), ("b", 1, "b1", None), (None, 1, "c1", 0.1)], "plot string, cycle_no long, event string, value double")
+    history = spark.createDataFrame([("a1", True), ("b1", False)], "event string, event_since boolean")
+    out = regen.regen_table(metrics.mapInPandas(count, metrics.schema), history, "plot", [1, 2, 3], ["event"], 1994, 5)
+    got = {(r.plot, r.cycle_no): (r.event, r.value, r.event_since) for r in out.collect()}
+    assert seen.value == 4
+    assert got == {
+        ("a", 1): ("a1", 0.5, True), ("a", 2): ("a2", 0.7, False), ("a", 3): (None, None, False),
+        ("b", 1): ("b1", None, False), ("b", 2): (None, None, False), ("b", 3): (None, None, False),
+        (None, 1): (None, None, False), (None, 2): (None, None, False), (None, 3): (None, None, False),
+    }

@@ -169,3 +169,13 @@ def test_importance_interval_is_the_same_on_both_paths(strata):
     args = (c, trees, ["plot", "cycle_no"], "event", 60, 4)
     near = table(resample.importance_interval(*args))
     assert len(near) == 6 and near == table(resample.importance_interval(*args, direct_rows=1))
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 40, 41, 999, 1000])
+def test_short_quantiles_are_those_of_numpy(n):
+    rng = np.random.default_rng(n)
+    probs = [0.025, 0.16, 0.5, 0.84, 0.975, 0.0, 1.0]
+    for v in (rng.normal(3, 9, n), rng.integers(0, 4, n).astype(float), np.full(n, 0.1)):
+        assert resample._quantiles(v, probs) == list(np.quantile(v, probs))
+    v[-1] = np.nan
+    assert np.isnan(resample._quantiles(v, probs)).all()
