@@ -3,8 +3,8 @@
 Shared design: replicates are computed next to the data of one stratum, vectorised, and only
 replicate statistics leave the task.  All strata use the same portable draws.  A stratum small
 enough for one task is resampled there; a larger one is cut into blocks of its ordered values, and
-every block replays the draws and keeps those that fall into it.  Sums are formed block by block
-from the number of hits of each value, in the same order on both paths, so a result does not
+a task replays the draws for a span of blocks and keeps those that fall into it (mean and median:
+spans of millions of values, so that nearly all strata draw once).  Sums are formed block by block from the number of hits of each value, in the same order on both paths, so a result does not
 depend on the path.  The seed is always an argument.
 """
 
