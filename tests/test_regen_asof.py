@@ -1,9 +1,10 @@
-from datetime import date
+from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from resurvey.operators import asof, checks, compose, regen, roles
+from resurvey.plans.views import Views
 
 S = "unit string, role string, cycle_no long, survey_date date"
 
@@ -185,3 +186,37 @@ def test_regen_table_computes_its_metrics_once(spark):
         ("b", 1): ("b1", None, False), ("b", 2): (None, None, False), ("b", 3): (None, None, False),
         (None, 1): (None, None, False), (None, 2): (None, None, False), (None, 3): (None, None, False),
     }
+
+
+def test_views_send_no_table_of_parts_or_suppliers_to_the_driver(spark, tmp_path):
+    schemas = {
+        "lineitem": "l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_linestatus string, l_shipdate timestamp",
+        "part": "p_partkey long, p_type string, p_size int",
+        "supplier": "s_suppkey long, s_nationkey int",
+        "nation": "n_nationkey int, n_name string, n_regionkey int",
+        "region": "r_regionkey int, r_name string",
+    }
+    day = datetime(1996, 5, 1)
+    tables = {
+        "lineitem": [(1, 1, 1, 6.0, "O", day), (1, 1, 1, 11.0, "O", day), (2, 1, 2, 6.0, "O", day), (None, 1, 1, 6.0, "O", day), (9, 1, 1, 6.0, "O", day), (1, None, 1, 6.0, "O", day)],
+        "part": [(1, "ECONOMY", 10), (1, "ECONOMY", 10), (2, "OTHER", 50), (None, "PROMO", 12)],
+        "supplier": [(1, 3), (None, 3)],
+        "nation": [(3, "here", 4)],
+        "region": [(4, "there")],
+    }
+    for name, kind in schemas.items():
+        spark.createDataFrame(tables[name], kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    v = Views(spark, str(tmp_path))
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    corners = v.regen()
+    assert sorted((r.event, r.area, r.corner, r.target, r.seed15_30, r.sap5_10) for r in corners.collect()) == [
+        ("1-1996", "here", "C1", True, 34, 0), ("1-1996", "here", "C2", False, 0, 6),
+    ]
+    trees = v.stem_counts(["event"], 10, 15)
+    assert sorted((r.module, r.trees) for r in trees.where("target").collect()) == [(1, 0), (2, 4), (3, 0), (4, 0)]
+    for df in (corners, trees):
+        for key in ("l_partkey", "l_suppkey"):
+            assert f"SortMergeJoin [{key}" in plan(df) and f"BroadcastHashJoin [{key}" not in plan(df)

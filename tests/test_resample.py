@@ -163,6 +163,21 @@ def test_index_interval_is_the_same_on_both_paths(strata):
     assert all(0 <= lo <= mean <= hi <= 2 for mean, lo, hi in near.values())
 
 
+def test_index_interval_computes_its_rows_once(spark, strata):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    rows = [df.mapInPandas(count, df.schema) for df in strata]
+    for direct_rows in (8_000, 1):
+        seen.value = 0
+        out = resample.regen_index_interval(*rows, ["plot", "cycle_no"], "event", 60, 4, direct_rows=direct_rows)
+        assert len(table(out)) == 6 and seen.value == sum(df.count() for df in strata)
+
+
 def test_importance_interval_is_the_same_on_both_paths(strata):
     corners, trees = strata
     c = corners.withColumnsRenamed({"seedlings": "p1", "small_saplings": "p2", "large_saplings": "p10"}).withColumn("p50", F.lit(1))
