@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from resurvey.functions.order import count_and_mean, join_groups, quantiles_of_counts, value_counts
 from resurvey.operators.clean import cycle_display, cycle_label
 from resurvey.operators.reshape import complete_grid, pair_by_role
-from resurvey.session import exchange_dir
+from resurvey.session import written
 
 # ---- fixed values ---------------------------------------------------------------
 PLOT_M2 = 400  # plot area
@@ -172,9 +172,7 @@ def regen_table(
     ``event_since``.  ``metrics`` may be costly (bootstrap intervals) and is needed twice, for the units and
     for their values, so it is computed once and written.
     """
-    spark, path = metrics.sparkSession, exchange_dir(metrics.sparkSession, "metrics")
-    metrics.write.parquet(path)
-    metrics = spark.read.schema(metrics.schema).parquet(path)
+    metrics = written(metrics, "metrics")
     rows = metrics.join(history, list(keys), "left")
     grid = metrics.select(plot).distinct().withColumn(
         "cycle_no", F.explode(F.array(*[F.lit(c).cast("long") for c in cycles]))

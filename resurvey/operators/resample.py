@@ -23,7 +23,7 @@ from resurvey.functions import draws
 from resurvey.functions.order import join_groups, number_rows, running_total, split_hot
 from resurvey.operators import regen
 from resurvey.operators.agree import MISSING, pair_cells, specific_agreement
-from resurvey.session import exchange_dir
+from resurvey.session import written
 
 CHUNK_VALUES = 4_000_000  # numbers held at once by a vectorised step
 
@@ -474,13 +474,6 @@ def _stratum_rows(corners: DataFrame, trees: DataFrame, strata: Sequence[str], e
     return corner.unionByName(tree)
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """The table written once to the shared folder and read back."""
-    spark, path = df.sparkSession, exchange_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _sub_stratum(strata: Sequence[str]):
     """Stratum number of the (strata, target, kind) sample a row belongs to."""
     side = F.when(F.col("target"), "T").otherwise("F")
@@ -558,8 +551,8 @@ def _interval(corners, trees, strata, event, values, reps, seed, k, direct_rows,
     Rows are needed twice or more, to count and to sample the strata, so the joins behind them run once.
     """
     strata = list(strata)
-    corners = _written(corners.select(*strata, event, "target", "corner", *values), "corners")
-    trees = _written(trees.select(*strata, event, "target", "module", "trees"), "trees")
+    corners = written(corners.select(*strata, event, "target", "corner", *values), "corners")
+    trees = written(trees.select(*strata, event, "target", "module", "trees"), "trees")
     rows = _stratum_rows(corners, trees, strata, event, values)
     small, large = split_hot(rows, strata, direct_rows)
     number = lambda kind, target: draws.stratum_number(

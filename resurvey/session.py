@@ -1,14 +1,14 @@
 """Session settings used by the tests, the bench and interactive runs.
 
 On a cluster the session comes from ``spark-submit``; of this module the library uses
-``exchange_dir`` only.
+``exchange_dir`` and ``written`` only.
 """
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
@@ -44,3 +44,10 @@ def exchange_dir(spark: SparkSession, name: str) -> str:
     # the JVM makes the unique part, so two callers never share a path
     unique = spark.sparkContext._jvm.java.util.UUID.randomUUID().toString()
     return f"{root.rstrip('/')}/{name}-{unique}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table computed once, written to a fresh path and read back; for costly tables that are needed more than once."""
+    spark, path = df.sparkSession, exchange_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
