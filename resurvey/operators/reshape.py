@@ -121,7 +121,8 @@ def _joined_grid(df: DataFrame, unit: list[str], levels: Mapping[str, Sequence],
     single = F.when(F.count(F.lit(1)) > 1, stop).otherwise(True)
     rows = df.where(listed).groupBy(*keys).agg(single.alias("_single"), *[F.max(m).alias(m) for m in measures])
     rows = rows.where("_single").drop("_single")
-    return join_groups(grid, rows, keys, "left").fillna(fill, subset=list(measures))
+    # both sides grow with the data, whatever their compressed files let Spark expect
+    return join_groups(grid, rows.hint("merge"), keys, "left").fillna(fill, subset=list(measures))
 
 
 def wide_counts(df: DataFrame, key: Sequence[str], cat: str, levels: Mapping[str, str], value: str | None = None) -> DataFrame:

@@ -138,6 +138,14 @@ def test_groups_with_a_null_key_are_kept(spark):
     assert {r.g for r in diffs.bland_altman(pairs, "y", "q", ["g"]).collect()} == {"a", None}
 
 
+def test_large_grids_are_not_broadcast(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(reshape, "MAX_WIDE_AGGREGATES", 1)
+    spark.createDataFrame([("u", 1, 5), (None, 2, 7)], "unit string, level int, n long").write.parquet(f"{tmp_path}/t")
+    out = reshape.complete_grid(spark.read.parquet(f"{tmp_path}/t"), ["unit"], {"level": [1, 2]}, ["n"])
+    assert {tuple(r) for r in out.collect()} == {("u", 1, 5), ("u", 2, 0), (None, 1, 0), (None, 2, 7)}
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("limit", [0, 24])
 def test_both_grids_refuse_duplicates_and_keep_null_units(spark, limit, monkeypatch):
     monkeypatch.setattr(reshape, "MAX_WIDE_AGGREGATES", limit)
