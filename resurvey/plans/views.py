@@ -49,7 +49,7 @@ class Views:
         """Line items with columns of their parts, merged by a shuffle of both: parts grow with the line items.
 
         Spark would judge by the compressed bytes of their files whether to broadcast them, and the driver then
-        holds one hash table of every part for each choice of columns, a hundred times those bytes.
+        holds one hash table of every part for each choice of columns, more than fifty times what Spark expects.
         """
         return self.table("lineitem").join(part.hint("merge"), F.col("l_partkey") == F.col("p_partkey"))
 
